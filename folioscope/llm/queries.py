@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import bpe
+from folioscope.llm import bpe, linededup, media
 from folioscope.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,8 +19,31 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.select("__row.doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+l as (select r, doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+m as (select k.r, k.doc_id, k.line, k.i, c.key is not null and k.doc_id <> c.keeper as gone from k left join c using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by r, doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
+    "op10_line_dedup": op10_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
