@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, linededup, media
+from folioscope.llm import bpe, linededup, media, mixing, qualityrules, sharding
 from folioscope.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,10 +40,67 @@ from m group by r, doc_id
 """
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # The texts are read for their sizes only; the mixture is a list of copies in training order.
+    copies = mixing.replicate(docs, "doc_id", "source", "text", alpha=0.5)
+    slim = copies.select("__row.doc_id", "__row.source", "copy", "shuffle_key")
+    return mixing.shuffled(slim)
+
+
+OP2_SQL = """
+with s as (select source, sum(octet_length(encode(coalesce(text, ''))) + 1) as size from documents group by source),
+w as (select source, size, sqrt(size) as weight from s),
+r as (select source, weight * (select sum(size) from w) / ((select sum(weight) from w) * size) as rate from w),
+f as (select k, coalesce(sum(ln(k)) over (order by k), 0) as lf from generate_series(1, 400) as g(k)),
+p as (select source, rate, 0 as k, exp(-rate) as p from r union all select source, rate, k, exp(k * ln(rate) - rate - lf) from r, f where k <= ceil(rate + 12 * sqrt(rate) + 40)),
+c as (select source, k, sum(p) over (partition by source order by k) as c from p),
+d as (select doc_id, source, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':1'), 1, 13))::bigint / 4503599627370496.0 as u from documents),
+n as (select d.doc_id, d.source, count(*) as n from d join c on d.source is not distinct from c.source and c.c <= d.u group by all),
+e as (select doc_id, source, unnest(generate_series(1, n)) as copy from n)
+select doc_id, source, copy, md5('order42:' || coalesce(doc_id::varchar, '') || ':' || copy) as shuffle_key from e
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityrules.verdicts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "text", "source")
+
+
+OP4_SQL = r"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+k as (select distinct on (doc_id, t) r as k, doc_id as kid, t as kt, source as ks from d),
+ws as (select r, list_filter(string_split_regex(t, '[ \t\n\v\f\r]+'), lambda x: x <> '') as w from d),
+w as (select r, unnest(w) as w, generate_subscripts(w, 1) as i from ws),
+g as (select r, i, w as a, lead(w) over (partition by r order by i) as b, lead(w, 2) over (partition by r order by i) as c from w),
+h as (select r, i, count(*) over (partition by r, a, b, c) as n from g where c is not null),
+rep as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from h where n >= 2) group by r),
+l as (select r, unnest(string_split(t, chr(10))) as line from d),
+lw as (select r, line from l where regexp_matches(line, '[^ \t\n\v\f\r]')),
+dup as (select r, count(*) - count(distinct line) as n from lw group by r),
+nl as (select r, regexp_replace(lower(trim(regexp_replace(line, '[ \t\n\v\f\r]+', ' ', 'g'))), '[0-9]', '0', 'g') as line from lw),
+held as (select ks, line, kid, kt, any_value(k) as k, sum(len(string_split(line, ' '))) as words from nl join k on nl.r = k.k group by ks, line, kid, kt),
+hosts as (select source, count(*) as docs from d group by source),
+often as (select held.ks, held.line from held join hosts on held.ks is not distinct from hosts.source group by held.ks, held.line, hosts.docs having count(*) >= 10 and count(*) >= hosts.docs * 0.01),
+gone as (select kid, kt, sum(words) as n from held join often on held.ks is not distinct from often.ks and held.line = often.line group by kid, kt),
+o as (select d.doc_id, len(ws.w) as n_words, coalesce(list_sum(list_transform(ws.w, lambda x: length(x))), 0)::bigint as word_chars,
+ length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(gone.n, 0)::bigint as n_boilerplate_words
+ from d join ws using (r) left join dup using (r) left join rep using (r) left join gone on gone.kid is not distinct from d.doc_id and gone.kt = d.t)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - n_boilerplate_words >= 0.5 * n_words as kept from o
+"""
+
+
+def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.byte_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op10_line_dedup": op10_line_dedup,
+    "op2_source_mixing": op2_source_mixing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_byte_shards": op6_byte_shards,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}
