@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, linededup, media, mixing, qualityrules, sharding
-from folioscope.llm.common import table
+from folioscope.llm import bpe, langid, linededup, media, mixing, qualityrules, sharding
+from folioscope.llm.common import crc_mod, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -62,6 +62,13 @@ select doc_id, source, copy, md5('order42:' || coalesce(doc_id::varchar, '') ||
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = crc_mod("doc_id", 4)
+    model = langid.train(docs.where(fold != 2), "doc_id", "text", "lang")
+    return langid.identify(docs.select("doc_id", (fold == 2).alias("held_out"), "text"), "text", model)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualityrules.verdicts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "text", "source")
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op10_line_dedup": op10_line_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_byte_shards": op6_byte_shards,
