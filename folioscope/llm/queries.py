@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, langid, linededup, media, mixing, qualitycrf, qualityrules, sharding
+from folioscope.llm import bpe, langid, linededup, media, mixing, qualitycrf, qualityrules, sharding, toxicity
 from folioscope.llm.common import crc_mod, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -101,6 +101,14 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(crc_mod("doc_id", 3) != 1), "doc_id", "text", "toxic")
+    found = toxicity.score(docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text"), "text", model)
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op9_quality_crf": op9_quality_crf,
     "op6_byte_shards": op6_byte_shards,
 }
