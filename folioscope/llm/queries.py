@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, langid, linededup, media, mixing, qualitycrf, qualityrules, sharding, toxicity
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, sharding, toxicity
 from folioscope.llm.common import crc_mod, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -109,6 +109,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 2, 80)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+OP8_SQL = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) end as g from d),
+e as (select doc_id, len(g) as n, unnest(g) as g from s),
+c as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as i from e a join e b on a.g = b.g and a.doc_id < b.doc_id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by all),
+l as (select x, y from c where 100 * i >= 80 * (nx + ny - i)),
+u as (select x, y from l union select y, x from l),
+r(doc_id, reached) as (select doc_id, doc_id from documents union select r.doc_id, u.y from r join u on r.reached = u.x),
+m as (select doc_id, min(reached) as component_id from r group by doc_id)
+select s.doc_id, len(s.g) as n_shingles, m.component_id, s.doc_id = m.component_id as kept from s join m using (doc_id)
+"""
+
+
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
@@ -125,8 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_crf": op9_quality_crf,
     "op6_byte_shards": op6_byte_shards,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL}
