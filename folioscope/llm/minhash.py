@@ -223,3 +223,17 @@ def _ranked(rest: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return rest.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1)
+
+
+def representatives(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` of which one stays for each component: that with the least doc_id (of its rows, one); null doc_ids stay."""
+    from pyspark.sql import Window
+
+    from folioscope.llm.common import ROW, carried
+
+    kept = cut(components(df, doc_id, text, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
+    rows = carried(df, __id=doc_id, __text=text)
+    found = rows.join(kept, rows["__id"] == kept["__kept"], "left_semi")
+    once = Window.partitionBy("__id").orderBy(F.xxhash64("__text"))
+    first = found.withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
+    return first.select(ROW).unionByName(rows.where("__id is null").select(ROW)).select(f"{ROW}.*")

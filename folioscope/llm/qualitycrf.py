@@ -21,8 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from folioscope.llm.wordhash import words
 
@@ -222,3 +224,17 @@ def score(df: DataFrame, text: str, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(scores(sent.value, part.column(text).to_pylist()), pa.float64())], names=[*kept, "score"])
 
     return df.mapInArrow(run, df.select(*kept).schema.add("score", "double"))
+
+
+def score_column(text: str, model: Model, spark: SparkSession) -> Column:
+    """The score as a column, so that other columns needn't leave the JVM."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @arrow_udf(T.DoubleType())
+    def scored(t: pa.Array) -> pa.Array:
+        out: list[float] = []
+        for at in range(0, len(t), 128):
+            out += scores(sent.value, t.slice(at, 128).to_pylist())
+        return pa.array(out, pa.float64())
+
+    return scored(F.col(text))
