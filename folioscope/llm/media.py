@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: Boxes whose payload is boxes only.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
@@ -166,7 +167,7 @@ def parse(data: bytes) -> list[Track]:
             size, at = struct.unpack_from(">I", data, at)[0], at + 4
         if flags & 0x20:
             sample_flags = struct.unpack_from(">I", data, at)[0]
-        state |= {"base": base, "size": size, "flags": sample_flags, "track": next((t for t in tracks if t.track_id == tid), None), "next": None}
+        state.update({"base": base, "size": size, "flags": sample_flags, "track": next((t for t in tracks if t.track_id == tid), None), "next": None})
 
     def _fragment_run(at: int, stop: int) -> None:
         track = state.get("track")
@@ -270,7 +271,6 @@ def feature(track: Track) -> str:
     return f"codec={track.codec};handler={track.handler};timescale={track.timescale};duration={track.duration};samples={len(track.samples()[0])};keyframes={keys}"
 
 
-TRACKS = "array<struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,seconds:double,n_samples:long,keyframes:array<struct<offset:long,size:long>>>>"
 _TRACK = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))])
 
 
@@ -299,8 +299,7 @@ def probe(df: DataFrame, content: str) -> DataFrame:
                 found = [describe(x.as_py()) for x in part.column(content)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())], names=[*kept, "media_tracks", "media_error"])
 
-    schema = df.select(*kept).schema.add("media_tracks", TRACKS).add("media_error", "string")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.select(*kept).schema.add("media_tracks", from_arrow_type(pa.list_(_TRACK))).add("media_error", "string"))
 
 
 DIGESTS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]

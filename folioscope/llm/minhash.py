@@ -172,6 +172,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
+    df = df.select(doc_id, text)
     signed = cut(signed_sets(df, doc_id, text, width))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
     classes = cut(classes)
@@ -203,9 +204,7 @@ def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: i
     labels = linked(cut(pairs.select(F.col("id").alias("a"), F.col("first").alias("b"))))
     # Then with the next 1, 2, 4, ... members, by an order of their own in each bucket.
     low, many = 1, 1
-    rest = cut(unsettled(members).select("bucket", "id", "n"))
-    if not rest.isEmpty():
-        rest = cut(_ranked(rest))
+    rest = cut(_ranked(unsettled(members).select("bucket", "id", "n")))
     while not (left := cut(rest.join(labels, "id"))).where(f"rank >= {low}").isEmpty():
         split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("top")).where(f"lo < hi and top > {low}").select("bucket")
         left = cut(left.join(split, "bucket"))

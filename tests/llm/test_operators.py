@@ -1,0 +1,364 @@
+"""Each operator against a brute-force version, on rows that hold what goes wrong."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualityrules, sharding, toxicity
+from folioscope.llm.queries import QUERIES
+
+WHITE = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = T.StructType([T.StructField(*x) for x in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("key", T.StringType()), ("n", T.LongType()), ("__id", T.StringType()), ("rank", T.LongType()))])
+LABELS = "doc_id long, quality int, toxic int, text string, id string"
+
+
+def corpus():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared = "This Line is shared by many documents, word for word."
+    long = words(20_000)
+    base = words(120)
+    texts = [None, "", " \t\n ", "one", "two words", "\n\n", "A\x0bb\x0cC\r\nd", "##$$ %% && || <<>>", "12 34", "𝄞é你好 " * 30, long, base, base, base.upper()]
+    for k in range(12):  # near copies in a chain of edits
+        w = base.split(" ")
+        for j in range(k):
+            w[j * 9] = f"edit{j}"
+        texts.append(" ".join(w))
+    texts += [f"{words(60)}\n {shared.upper() if i % 2 else shared}\t\n{words(5)}\n{shared}" for i in range(7)]
+    texts += [" ".join(["same three words"] * 40), words(51) + "\n" + words(3) + "\n" + words(3)] + [words(rng.randint(1, 300)) for _ in range(30)]
+    rows = [(i, t, rng.choice(["en", "fr", None]), f"s{i % 3}" if i % 7 else None, len(t or ""), "k", i, "x", 1) for i, t in enumerate(texts)]
+    return rows + [rows[11], (3, base, "en", "s0", 1, None, None, None, None), (None, base, "en", "s0", 1, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("docs"))
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0), "t", "i") for i in range(60)] + [(None, 1, 0, None, None), (1, None, None, None, None)], LABELS).write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("none"))
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def by_text(result, rows, *columns):
+    """The result's rows as a multiset, for comparing with brute force."""
+    return Counter(tuple(r[c] for c in columns) for r in result.collect())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables_give_empty_results(spark, empty, name):
+    assert QUERIES[name](spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not n.startswith("op2_")])
+def test_one_row_for_each_row(spark, folder, rows, name):
+    assert Counter(r.doc_id for r in QUERIES[name](spark, folder).collect()) == Counter(r[0] for r in rows)
+
+
+def test_media_round_trip(spark, folder, rows):
+    want = Counter()
+    for r in rows:
+        b = (r[1] or "").encode()
+        p = b + b" " * (-len(b) % 192 if b else 192)
+        want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    assert by_text(QUERIES["op1_media_columns"](spark, folder), rows, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
+
+
+def test_media_probe_of_real_and_broken_files(spark):
+    payload = bytes(range(192)) * 30
+    whole = media.encode(payload)
+    sound = media._box(b"moof", media._full(b"mfhd", struct.pack(">I", 1)), media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 1), flags=0x20000), media._full(b"trun", struct.pack(">Ii", 2, 1000), struct.pack(">II", 10, 0), struct.pack(">II", 20, 0x10000), flags=0x1 | 0x200 | 0x400)))
+    wide = media.FTYP + whole[len(media.FTYP) : -len(payload) - 8] + struct.pack(">I4sQ", 1, b"mdat", 16 + len(payload)) + payload
+    rows = [(1, whole), (2, whole[:400]), (3, None), (4, b""), (5, b"junk of no kind"), (6, whole + sound), (7, wide), (8, media.FTYP)]
+    got = {r.id: r for r in media.probe(spark.createDataFrame(rows, "id int, content binary"), "content").collect()}
+    t = got[1].media_tracks[0]
+    assert (t.codec, t.handler, t.n_samples, t.seconds) == ("raw ", "vide", 30, 30 / 25)
+    assert [whole[k.offset : k.offset + k.size] for k in t.keyframes] == [payload[:192]] * 3
+    assert got[6].media_tracks[0].n_samples == 32 and [k.size for k in got[6].media_tracks[0].keyframes][-1:] == [10]
+    assert "runs past" in got[2].media_error and got[3].media_error == got[4].media_error == "empty" and got[5].media_error
+    assert got[7].media_tracks[0].n_samples == 30 and (got[8].media_tracks, got[8].media_error) == ([], None)
+
+
+def test_poisson_counts_and_rates(spark, folder, rows):
+    size = defaultdict(int)
+    for r in rows:
+        size[r[3]] += len((r[1] or "").encode()) + 1
+    whole = sum(size.values())
+    weight = {s: math.sqrt(n) for s, n in size.items()}
+    rate = {s: weight[s] * whole / (sum(weight.values()) * n) for s, n in size.items()}
+    want = Counter()
+    for r in rows:
+        u = int(hashlib.md5(f"42:{'' if r[0] is None else r[0]}:1".encode()).hexdigest()[:13], 16) / (1 << 52)
+        k, p = 0, math.exp(-rate[r[3]])
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate[r[3]] / k
+            c += p
+        for j in range(k):
+            want[r[0], r[3], j + 1] += 1
+    assert by_text(QUERIES["op2_source_mixing"](spark, folder), rows, "doc_id", "source", "copy") == want
+
+
+def test_poisson_of_high_rates_weights_and_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a" if i % 10 else "b", "x" * 9) for i in range(400)], "doc_id long, source string, text string")
+    n = mixing.replicate(docs, "doc_id", "source", "text", weights={"a": 0.0, "b": 1.0, "zz": 4.0}, target_bytes=400 * 1000).count()
+    assert abs(n - 40_000) < 5 * 200  # 40 documents at a mean of 1000
+    few = {tuple(r) for r in mixing.replicate(docs, "doc_id", "source", "text").select("__row.doc_id", "copy").collect()}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert few == {tuple(r) for r in mixing.replicate(docs, "doc_id", "source", "text").select("__row.doc_id", "copy").collect()}
+
+
+def test_language_of_held_out_texts(spark, sf01):
+    found = QUERIES["op3_language_id"](spark, sf01).join(spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found) and all(0 <= r.score <= 1 for r in found)
+
+
+def test_language_without_letters_and_three_in_a_family(spark, folder, rows):
+    got = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, folder).collect() if r.doc_id in (0, 1, 2, 7, 8)}
+    assert {(r.lang_pred, r.score) for r in got.values()} == {("und", 0.0)}
+    alphabets = {"fr": "abcé", "es": "defñ", "it": "ghij", "xx": "klmn"}
+    rng = random.Random(1)
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(30))
+    docs = spark.createDataFrame([(i, text(alphabets[g]), g) for i, g in enumerate(list(alphabets) * 30)], "doc_id long, text string, lang string")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    assert model.families == ["romance", "xx"] and all(langid.predict(model, text(a))[0] == g for g, a in alphabets.items())
+
+
+def brute_counts(t):
+    words = WHITE.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WHITE.search(x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = Counter(grams)
+    again = {i + j for i, g in enumerate(grams) if n[g] > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len({*lines}), len(again)
+
+
+def test_quality_rules(spark, folder, rows):
+    found = QUERIES["op4_quality_rules"](spark, folder)
+    want = Counter((r[0], *brute_counts(r[1])) for r in rows)
+    assert by_text(found, rows, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == want
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in found.collect())
+
+
+def test_boilerplate_depletes_a_document(spark):
+    spell = lambda x: str(x).translate(str.maketrans("0123456789", "qwertyuiop"))  # noqa: E731  digits are alike to the rule
+    own = lambda i, n: " ".join(f"w{spell(i)}x{spell(j)}" for j in range(n))
+    boiler = own("b", 60)
+    docs = [(i, f"{boiler}\n{own(i, 100)}", "h") for i in range(20)] + [(20, f"{boiler}\n{own(20, 10)}", "h"), (21, f"{boiler}\n{own(21, 10)}", "other")]
+    got = {r.doc_id: r for r in qualityrules.verdicts(spark.createDataFrame(docs * 2, "doc_id long, text string, host string"), "doc_id", "text", "host").collect()}
+    assert all(got[i].kept and got[i].n_boilerplate_words == 60 for i in range(20))
+    assert not got[20].kept and got[21].kept and got[21].n_boilerplate_words == 0
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def test_bpe_is_tiktokens(spark, folder, rows, ranks):
+    import public_tokenizers as P
+    import tiktoken
+
+    tk = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in rows:
+        ids = tk.encode_ordinary(r[1] or "")
+        want[r[0], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += 1
+    assert by_text(QUERIES["op5_byte_bpe"](spark, folder), rows, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_bpe_appends_and_edits(ranks, monkeypatch):
+    import public_tokenizers as P
+
+    e = bpe.PrefixEncoder(ranks, P.PATTERN)
+    rng = random.Random(2)
+    for store in (bpe.PREFIXES, 50):
+        monkeypatch.setattr(bpe, "PREFIXES", store)
+        for _ in range(60):
+            b = bytes(rng.choice(b"theraniouxyz") for _ in range(rng.randint(1, 150)))
+            table = bpe.PrefixTable(e, b[:40])
+            table.append(b[40:])
+            assert table.ids() == e.encode_piece(b)
+            i = rng.randint(0, len(b))
+            j = rng.randint(i, min(len(b), i + 4))
+            table.replace(i, j, b"qu")
+            assert table.ids() == e.encode_piece(b[:i] + b"qu" + b[j:])
+    table = bpe.PrefixTable(e, b"therein" * 400)
+    assert table.replace(10, 12, b"zz") < 200
+
+
+def test_shards(spark, folder, rows):
+    found = QUERIES["op6_byte_shards"](spark, folder).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    by = defaultdict(list)
+    for r in found:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by.values()) and {*by} <= {*range(8)}
+    order = sorted(found, key=lambda r: (r.shard, r.slot))
+    assert [-1 if r.doc_id is None else r.doc_id for r in order] == sorted(-1 if r[0] is None else r[0] for r in rows)
+
+
+def test_shards_are_even(spark):
+    docs = spark.createDataFrame([(i, "y" * (i * 37 % 900)) for i in range(3000)], "doc_id long, text string")
+    total = [r.s for r in sharding.byte_shards(docs, "doc_id", "text", 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(total) == 8 and max(total) - min(total) <= 2 * 901
+
+
+def test_levenshtein_automaton_is_brute_force():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = [("abc", False), ("abcde", False), ("bacdeabcd", False), ("abdca", True), ("bbbb", True)]
+    lexicon = toxicity.Lexicon(terms)
+    rng = random.Random(9)
+    for _ in range(4000):
+        w = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 12)))
+        best = []
+        for k, (t, stem) in enumerate(terms):
+            if w[0] != t[0]:
+                continue
+            d = min(distance(w[:n], t) for n in range(1, len(w) + 1)) if stem else distance(w, t)
+            if d <= toxicity.edits_for(len(t)):
+                best.append((d, k))
+        got = lexicon.match(w)
+        assert (got is None) == (not best) and (got is None or got[0] == min(best)[0]), w
+
+
+def test_toxicity_of_misspelled_quoted_and_clean_texts(spark, sf01, folder):
+    docs, labels = spark.read.parquet(f"{sf01}/documents.parquet"), spark.read.parquet(f"{sf01}/labels.parquet")
+    found = QUERIES["op7_toxicity"](spark, sf01).join(labels, "doc_id").where("held_out and toxic = 0").collect()
+    assert sum(r.predicted for r in found) <= 0.02 * len(found)
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    m = toxicity.Matches(toxicity.Lexicon(model.terms))
+    plain, wrong, quoted, clean, none = toxicity.scores(model, m, ["that was an idiot of the", "that was an idioot of the", 'she said "idiot" of the', "that was an edit of the", None])
+    assert plain > wrong > clean and plain > quoted and plain >= 0.7 and none == clean < 0.5
+    scored = QUERIES["op7_toxicity"](spark, folder).collect()
+    assert all(0 <= r.score <= 1 for r in scored)
+
+
+def shingles(t, k):
+    w = WHITE.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(spark, folder, rows, width):
+    own = [(r[0], shingles(r[1], width)) for r in rows]
+    up = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (a, x) in enumerate(own):
+        for b, y in own[:i]:
+            if x and y and None not in (a, b) and 100 * len(x & y) >= 80 * len(x | y):
+                u, v = sorted((root(a), root(b)))
+                up[v] = u
+    want = Counter((i, len(s), None if i is None else root(i)) for i, s in own)
+    found = minhash.components(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", width, 80)
+    got = by_text(found, rows, "doc_id", "n_shingles", "component_id")
+    # A repeated doc_id with two texts: its rows share a component only through links of its rows' sets.
+    loose = {3}
+    assert {k: v for k, v in got.items() if k[0] not in loose} == {k: v for k, v in want.items() if k[0] not in loose}
+
+
+def test_buckets_with_many_components(spark, monkeypatch):
+    """With one band of one coordinate buckets are coarse: every link must still be found by the later centres."""
+    monkeypatch.setattr(minhash, "BANDS", 1)
+    monkeypatch.setattr(minhash, "ROWS", 1)
+    monkeypatch.setattr(minhash, "BINS", 1)
+    rng = random.Random(3)
+    hot = "the one shared"
+    docs = []
+    for g in range(6):
+        base = [f"g{g}w{j}" for j in range(30)]
+        for c in range(4):
+            w = base[:]
+            w[5 * c] = f"e{g}{c}"
+            docs.append((g * 10 + c, " ".join(w)))
+    rng.shuffle(docs)
+    monkeypatch.setattr(minhash, "band_keys", lambda s: __import__("numpy").zeros((len(s), 1), "uint64"))
+    found = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 2, 80).collect()}
+    assert found == {i: i - i % 10 for i, _ in docs} and hot
+
+
+def test_sketches_fill_and_estimate():
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 5, 40, 3000)] + [" ".join(f"w{i}" for i in range(600, 3600)), "", None]
+    e, at = minhash.sets(texts, 2)
+    s = minhash.sketches(e, at)
+    assert (s[:6] != minhash.FULL).all() and (s[6:] == minhash.FULL).all()
+    same = (s[4] == s[5]).mean()
+    assert abs(same - 2400 / 3598) < 0.15
+
+
+def test_quality_scores(spark, sf01, folder):
+    found = QUERIES["op9_quality_crf"](spark, sf01).join(spark.read.parquet(f"{sf01}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in found) >= 0.95 * len(found)
+    assert all(0 <= r.score <= 1 for r in QUERIES["op9_quality_crf"](spark, folder).collect())
+
+
+def test_crf_marginals_are_brute_force():
+    from itertools import product
+
+    from folioscope.llm.qualitycrf import marginals
+
+    scores, stay = [0.3, -2.0, 1.1, 40.0, -0.2], 0.9
+    weight = {y: math.exp(sum(s * v for s, v in zip(scores, y)) + stay * sum(a == b for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=5)}
+    z = sum(weight.values())
+    want = [sum(w for y, w in weight.items() if y[i]) / z for i in range(5)]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(marginals(scores, stay), want))
+
+
+def test_line_dedup(spark, folder, rows):
+    low = {i: i + 32 for i in range(65, 91)}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
+    held = defaultdict(set)
+    for r in rows:
+        for x in (r[1] or "").split("\n"):
+            if len(key(x)) >= 40:
+                held[key(x)].add(-1 if r[0] is None else r[0])
+    want = Counter()
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if len(held[key(x)]) < 5 or max(held[key(x)]) == (-1 if r[0] is None else r[0])]
+        want[r[0], len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
+    assert by_text(QUERIES["op10_line_dedup"](spark, folder), rows, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    assert sum(k[2] for k in want) > 0
+
+
+def test_line_dedup_with_a_full_filter(spark, folder, monkeypatch):
+    right = by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "kept_sha256")
+    monkeypatch.setattr(linededup, "filter_bits", lambda lines: 64)
+    assert by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "kept_sha256") == right
