@@ -1,0 +1,18 @@
+"""Where loops cut their lineage: the checkpoint folder that the session names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder in spark.checkpoint.dir; only a local session without one gets its own."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
