@@ -23,12 +23,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as a log of jobs: job, member, kind, at, seconds, tokens."""
+    """The event log as a log of jobs: job, member, kind, moment, seconds, tokens."""
     e = load(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("member_id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("value").alias("seconds"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
+    return e.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("member_id"), F.col("event_type").alias("kind"), F.col("ts").alias("moment"), F.col("value").alias("seconds"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
 
 
 #: The same inputs in SQL, for the queries' oracles.
 SQL_NOTES = r"notes as (select doc_id, text, substr(trim(regexp_extract(text, '^[^\n]*')), 1, 80) as title, lang as category, source as journal from documents)"
 SQL_LINKS = r"""links as (select distinct page_id, lower(href) as target from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages))"""
-SQL_JOBS = "jobs as (select event_id as job_id, user_id as member_id, event_type as kind, ts as at, value as seconds, (props::json->>'$.k')::bigint as tokens from events)"
+SQL_JOBS = "jobs as (select event_id as job_id, user_id as member_id, event_type as kind, ts as moment, value as seconds, (props::json->>'$.k')::bigint as tokens from events)"
