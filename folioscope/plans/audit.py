@@ -1 +1,172 @@
-"""Queries."""
+"""Reconciliation and review: coverage of two sources, duplicate identities, issue queues, proposals, linkage."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions.text import present
+from folioscope.plans.registry import query
+from folioscope.sources.tables import load
+
+#: Lines of an order as records with two sources: the line's own fields and those its order and part give.
+SQL_REVIEW = "rev as (select l_orderkey * 10 + l_linenumber as id, l_returnflag as scope, year(l_shipdate)::int as y1, case when l_orderkey % 9 > 0 then year(o_orderdate)::int end as y2, case when l_partkey % 6 > 0 then l_suppkey % 7 end as v1, l_partkey % 7 as v2, case when l_quantity > 40 then '' else l_linestatus end as s1, o_orderstatus as s2 from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 3 = 0)"
+
+
+def review(spark, sf) -> DataFrame:
+    l, o = load(spark, sf, "lineitem").where("l_orderkey % 3 = 0"), load(spark, sf, "orders")  # noqa: E741
+    j = l.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("scope"), F.year("l_shipdate").alias("y1"), F.when(F.col("l_orderkey") % 9 > 0, F.year("o_orderdate")).alias("y2"), F.when(F.col("l_partkey") % 6 > 0, F.col("l_suppkey") % 7).alias("v1"), (F.col("l_partkey") % 7).alias("v2"), F.when(F.col("l_quantity") > 40, "").otherwise(F.col("l_linestatus")).alias("s1"), F.col("o_orderstatus").alias("s2"))
+
+
+def coverage_matrix(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each pair of fields how often either side is there, and how often both agree: one pass, unpivoted."""
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for k, (a, b) in pairs.items()])
+    x = df.select(F.explode(cells).alias("x")).select("x.*")
+    pa, pb = present("a"), present("b")
+    return x.groupBy("field").agg(F.count_if(pa).alias("left_present"), F.count_if(pb).alias("right_present"), F.count_if(~F.coalesce(pa, F.lit(False)) & pb).alias("right_only"), F.count_if(pa & pb).alias("both"), F.count_if(pa & pb & (F.col("a") != F.col("b"))).alias("disagree"))
+
+
+def issues(df: DataFrame, rules: list[tuple[str, int, Column]]) -> DataFrame:
+    """issues (array in rule order) and priority (the least of theirs) for rows with any."""
+    found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, _, cond in rules]))
+    least = F.least(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(p)).otherwise(F.lit(99)) for _, p, cond in rules])
+    return df.select("*", found.alias("issues"), least.alias("priority")).where(F.size("issues") > 0)
+
+
+PAIRS = {"year": ("y1", "y2"), "venue": ("v1", "v2"), "status": ("s1", "s2")}
+
+
+@query("e06_coverage_matrix", f"with {SQL_REVIEW}, x as (select 'year' as field, y1::varchar as a, y2::varchar as b from rev union all select 'venue', v1::varchar, v2::varchar from rev union all select 'status', s1, s2 from rev) select field, count(*) filter (a <> '') as left_present, count(*) filter (b <> '') as right_present, count(*) filter (coalesce(a, '') = '' and b <> '') as right_only, count(*) filter (a <> '' and b <> '') as both, count(*) filter (a <> '' and b <> '' and a <> b) as disagree from x group by field")
+def e06(spark, sf):
+    return coverage_matrix(review(spark, sf), PAIRS)
+
+
+@query("e06_year_differences", f"with {SQL_REVIEW} select case when y1 is null or y2 is null then 'incomparable' when y1 = y2 then '0' when abs(y1 - y2) = 1 then '1' else '2+' end as bucket, count(*) as n from rev group by 1")
+def e06b(spark, sf):
+    d = F.abs(F.col("y1") - F.col("y2"))
+    return review(spark, sf).groupBy(F.when(d.isNull(), "incomparable").when(d == 0, "0").when(d == 1, "1").otherwise("2+").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e07_duplicate_identities", "with r as (select c_custkey, c_mktsegment as scope, round(c_acctbal / 40)::bigint as identity from customer), g as (select identity, scope, count(*) as n from r group by all), h as (select identity, sum(n) as n, count(*) as scopes from g group by 1 having sum(n) >= 2) select case when identity < 0 then 'placeholder' else 'valid' end as class, count(*) as groups, sum(n)::bigint as rows, count(*) filter (scopes = 1) as same_scope, count(*) filter (scopes > 1) as cross_scope from h group by 1")
+def e07(spark, sf):
+    """Two levels of sums: by identity and scope, then by identity."""
+    r = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("scope"), F.round(F.col("c_acctbal") / 40).cast("bigint").alias("identity"))
+    h = r.groupBy("identity", "scope").agg(F.count(F.lit(1)).alias("n")).groupBy("identity").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scopes")).where("n >= 2")
+    return h.groupBy(F.when(F.col("identity") < 0, "placeholder").otherwise("valid").alias("class")).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.count_if(F.col("scopes") == 1).alias("same_scope"), F.count_if(F.col("scopes") > 1).alias("cross_scope"))
+
+
+
+
+def rules() -> list[tuple[str, int, Column]]:
+    return [("year_differs", 1, F.col("y1") != F.col("y2")), ("no_year", 2, F.col("y2").isNull()), ("venue_differs", 3, F.col("v1") != F.col("v2")), ("no_status", 4, F.col("s1") == "")]
+
+
+SQL_ISSUES = f"""{SQL_REVIEW}, q0 as (select *, list_filter([case when y1 <> y2 then 'year_differs' end, case when y2 is null then 'no_year' end, case when v1 <> v2 then 'venue_differs' end, case when s1 = '' then 'no_status' end], lambda x: x is not null) as issues from rev),
+q as (select *, list_min(list_transform(issues, lambda x: case x when 'year_differs' then 1 when 'no_year' then 2 when 'venue_differs' then 3 else 4 end)) as priority from q0 where len(issues) > 0)"""
+
+
+@query("e08_issue_queue", f"with {SQL_ISSUES} select id, array_to_string(issues, ',') as issues, priority, sha256(id || ':' || array_to_string(issues, ',')) as fingerprint from q")
+def e08(spark, sf):
+    q = issues(review(spark, sf), rules())
+    text = F.array_join("issues", ",")
+    return q.select("id", text.alias("issues"), "priority", F.sha2(F.concat(F.col("id").cast("string"), F.lit(":"), text), 256).alias("fingerprint"))
+
+
+@query("e09_issue_samples", f"with {SQL_ISSUES}, x as (select id, unnest(issues) as issue from q), r as (select *, row_number() over (partition by issue order by id) as nth from x), d as (select unnest(['year_differs', 'no_year', 'venue_differs', 'no_status', 'unknown_key']) as issue) select d.issue, count(id) as n, coalesce(string_agg(id::varchar, ',' order by id) filter (nth <= 3), '') as samples from d left join r using (issue) group by 1")
+def e09(spark, sf):
+    """Every known issue with its count, zero included, and its first three rows."""
+    x = issues(review(spark, sf), rules()).select("id", F.explode("issues").alias("issue"))
+    n = x.groupBy("issue").agg(F.count("id").alias("n"))
+    three = x.withColumn("nth", F.row_number().over(Window.partitionBy("issue").orderBy("id"))).where("nth <= 3").groupBy("issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("samples"))
+    every = spark.createDataFrame([(r,) for r in ("year_differs", "no_year", "venue_differs", "no_status", "unknown_key")], "issue string")
+    return every.join(n, "issue", "left").join(three, "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("samples", F.lit("")).alias("samples"))
+
+
+@query("e10_folded_batches", f"with {SQL_ISSUES} select id % 4 as batch, priority, count(*) as n, count(*) filter (y2 is not null and y1 <> y2) as changes from q group by all")
+def e10(spark, sf):
+    return issues(review(spark, sf), rules()).groupBy((F.col("id") % 4).alias("batch"), "priority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y1") != F.col("y2")).alias("changes"))
+
+
+@query("d05_reconciliation", "with c as (select o_orderkey as id, o_orderstatus as status, o_orderdate as updated from orders where o_orderkey % 8 > 0), i as (select l_orderkey as id, max(l_shipdate) as indexed from lineitem where l_orderkey % 5 > 0 group by 1), j as (select coalesce(c.id, i.id) as id, status, case when c.id is null then 'not_catalogued' when i.id is null and status = 'F' then 'missing' when i.id is null then 'waiting' when status <> 'F' then 'not_ready' when updated > indexed - interval 30 day then 'newer' else 'ok' end as state from c full join i on i.id = c.id) select state, count(*) as n, min(id) as first from j group by 1")
+def d05(spark, sf):
+    """Catalogue against index in one full join, each row in one state."""
+    c = load(spark, sf, "orders").where("o_orderkey % 8 > 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("updated"), F.lit(1).alias("c"))
+    i = load(spark, sf, "lineitem").where("l_orderkey % 5 > 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").alias("indexed"))
+    state = F.when(F.col("c").isNull(), "not_catalogued").when(F.col("indexed").isNull() & (F.col("status") == "F"), "missing").when(F.col("indexed").isNull(), "waiting").when(F.col("status") != "F", "not_ready").when(F.expr("updated > indexed - interval 30 day"), "newer").otherwise("ok")
+    return c.join(i, "id", "full_outer").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+@query("d06_category_drift", "with w as (select doc_id, case when doc_id % 10 = 3 then 'xx' else lang end as target from documents where doc_id % 7 > 0) select coalesce(w.target, '(missing)') as target, count(*) filter (w.doc_id is null) as missing, count(*) filter (w.target <> d.lang) as differ from documents d left join w using (doc_id) group by 1")
+def d06(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "lang")
+    w = d.where("doc_id % 7 > 0").select("doc_id", F.when(F.col("doc_id") % 10 == 3, "xx").otherwise(F.col("lang")).alias("target"))
+    return d.join(w, "doc_id", "left").groupBy(F.coalesce("target", F.lit("(missing)")).alias("target")).agg(F.count_if(F.col("target").isNull()).alias("missing"), F.count_if(F.col("target") != F.col("lang")).alias("differ"))
+
+
+@query("d07_batch_match", "with k as (select l_suppkey % 90 as key, count(distinct l_partkey % 5) as ids, min(l_partkey % 5) as one from lineitem where l_returnflag = 'R' group by 1) select s_suppkey, case when k.key is null then 'unmatched' when ids > 4 then 'ambiguous' when one <> s_suppkey % 5 then 'mismatch' else 'matched' end as state from supplier left join k on k.key = s_suppkey")
+def d07(spark, sf):
+    """A key that several records answer is ambiguous, one with the wrong id a mismatch."""
+    k = load(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy((F.col("l_suppkey") % 90).alias("s_suppkey")).agg(F.count_distinct(F.col("l_partkey") % 5).alias("ids"), F.min(F.col("l_partkey") % 5).alias("one"))
+    return load(spark, sf, "supplier").join(k, "s_suppkey", "left").select("s_suppkey", F.when(F.col("ids").isNull(), "unmatched").when(F.col("ids") > 4, "ambiguous").when(F.col("one") != F.col("s_suppkey") % 5, "mismatch").otherwise("matched").alias("state"))
+
+
+@query("d09_review_decisions", f"with {SQL_ISSUES}, a as (select p_partkey as k, p_size from part) select q.id, case when a1.k is not null and a2.k is not null and a1.p_size <> a2.p_size then 'conflict' when a1.p_size > 25 then 'accept' when a1.k is null and a2.k is null then 'no_authority' else 'hold' end as decision from q left join a a1 on a1.k = q.id % 3000 left join a a2 on a2.k = q.id % 2500")
+def d09(spark, sf):
+    """A queue of issues against two candidate authorities each, then a decision table."""
+    q = issues(review(spark, sf), rules()).select("id", (F.col("id") % 3000).alias("k1"), (F.col("id") % 2500).alias("k2"))
+    a = load(spark, sf, "part")
+    j = q.join(a.select(F.col("p_partkey").alias("k1"), F.col("p_size").alias("s1")), "k1", "left").join(a.select(F.col("p_partkey").alias("k2"), F.col("p_size").alias("s2")), "k2", "left")
+    return j.select("id", F.when(F.col("s1") != F.col("s2"), "conflict").when(F.col("s1") > 25, "accept").when(F.col("s1").isNull() & F.col("s2").isNull(), "no_authority").otherwise("hold").alias("decision"))
+
+
+@query("d20_pair_adjudication", "with c as (select s_suppkey, s_suppkey * 3 as k1, s_suppkey * 5 as k2 from supplier), n as (select c.*, (a.p_brand like '%1')::int as m1, (b.p_brand like '%1')::int as m2 from c left join part a on a.p_partkey = k1 left join part b on b.p_partkey = k2) select s_suppkey, case when coalesce(m1, 0) + coalesce(m2, 0) = 1 then case when m1 = 1 then k1 else k2 end end as chosen, case coalesce(m1, 0) + coalesce(m2, 0) when 0 then 'none' when 1 then 'one' else 'both' end as class from n")
+def d20(spark, sf):
+    """Of two candidates exactly one may own the identifier."""
+    p = load(spark, sf, "part").select("p_partkey", F.col("p_brand").like("%1").cast("int").alias("m"))
+    c = load(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("k1"), (F.col("s_suppkey") * 5).alias("k2"))
+    j = c.join(p.select(F.col("p_partkey").alias("k1"), F.col("m").alias("m1")), "k1", "left").join(p.select(F.col("p_partkey").alias("k2"), F.col("m").alias("m2")), "k2", "left")
+    total = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
+    return j.select("s_suppkey", F.when(total == 1, F.when(F.col("m1") == 1, F.col("k1")).otherwise(F.col("k2"))).alias("chosen"), F.when(total == 0, "none").when(total == 1, "one").otherwise("both").alias("class"))
+
+
+@query("d21_proposals_with_holds", f"with {SQL_REVIEW} select id, array_to_string(list_filter([case when scope = 'R' then 'retracted' end, case when v1 is null then 'no_venue' end, case when s1 = '' then 'no_status' end], lambda x: x is not null), ',') as holds, case when scope <> 'R' and v1 is not null and s1 <> '' and y2 is not null and y1 <> y2 then y2 end as year_proposal from rev")
+def d21(spark, sf):
+    holds = F.array_compact(F.array(F.when(F.col("scope") == "R", "retracted"), F.when(F.col("v1").isNull(), "no_venue"), F.when(F.col("s1") == "", "no_status")))
+    return review(spark, sf).select("id", F.array_join(holds, ",").alias("holds"), F.when((F.size(holds) == 0) & (F.col("y1") != F.col("y2")), F.col("y2")).alias("year_proposal"))
+
+
+@query("d10_record_view", "with v as (select doc_id, quality, toxic from labels), o as (select doc_id, max(turn) as turn from (select conv_id as doc_id, turn from conversations where role = 'assistant') group by 1) select d.doc_id, d.source, v.quality, o.turn as latest_offer from documents d left join v using (doc_id) left join o using (doc_id) where v.quality = 1 or v.doc_id is null")
+def d10(spark, sf):
+    """Records with their verdict, if any, and the latest offer; unscored rows are kept on request."""
+    o = load(spark, sf, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max("turn").alias("latest_offer"))
+    j = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left").join(o, "doc_id", "left")
+    return j.where("quality = 1 or quality is null").select("doc_id", "source", "quality", "latest_offer")
+
+
+@query("d14_linkage", "with a as (select p_partkey as id, p_name as t, p_size as y, split_part(p_name, ' ', 1) as b from part where p_partkey % 20 = 0), c as (select p_partkey as rid, p_name as rt, p_size as ry, split_part(p_name, ' ', 1) as b from part where p_partkey % 20 = 1), s as (select id, rid, case when t = rt then 1.0 else len(list_intersect(string_split(t, ' '), string_split(rt, ' '))) / len(list_distinct(list_concat(string_split(t, ' '), string_split(rt, ' ')))) end as sim, abs(y - ry) as gap from a join c using (b) where abs(y - ry) <= 1), r as (select *, row_number() over (partition by id order by sim desc, gap, rid) as nth from s) select id, rid, round(sim, 4) as sim, case when sim >= 0.8 then 'accept' when sim >= 0.3 then 'review' else 'reject' end as decision from r where nth = 1")
+def d14(spark, sf):
+    """Blocks on the first word and the year, compares within, keeps the best."""
+    p = load(spark, sf, "part").select("p_partkey", F.col("p_name").alias("t"), F.col("p_size").alias("y"), F.split("p_name", " ").alias("w"))
+    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), "t", "y", "w", F.col("w")[0].alias("b"), F.explode(F.array(*[F.col("y") + d for d in (-1, 0, 1)])).alias("ry"))
+    c = p.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("rid"), F.col("t").alias("rt"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("w")[0].alias("b"))
+    sim = F.when(F.col("t") == F.col("rt"), 1.0).otherwise(F.size(F.array_intersect("w", "rw")) / F.size(F.array_union("w", "rw")))
+    s = a.join(c, ["b", "ry"]).select("id", "rid", sim.alias("sim"), F.abs(F.col("y") - F.col("ry")).alias("gap"))
+    best = s.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "gap", "rid"))).where("nth = 1")
+    return best.select("id", "rid", F.round("sim", 4).alias("sim"), F.when(F.col("sim") >= 0.8, "accept").when(F.col("sim") >= 0.3, "review").otherwise("reject").alias("decision"))
+
+
+@query("d16_member_usage", "with s as (select user_id, round(sum(value) filter (event_type = 'purchase'), 2) as spent, round(sum(value) filter (event_type = 'view'), 2) as reserved, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'error') as errors from events where ts < timestamp '2024-01-20' group by 1) select c_custkey as member, coalesce(spent, 0) as spent, coalesce(reserved, 0) as reserved, coalesce(clicks, 0) as clicks, coalesce(errors, 0) as errors from customer left join s on user_id = c_custkey where c_custkey < 300")
+def d16(spark, sf):
+    """Every member with usage, those without any included."""
+    of = lambda k: F.round(F.sum(F.when(F.col("event_type") == k, F.col("value"))), 2)
+    s = load(spark, sf, "events").where("ts < timestamp_ntz '2024-01-20'").groupBy(F.col("user_id").alias("member")).agg(of("purchase").alias("spent"), of("view").alias("reserved"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return load(spark, sf, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("member")).join(s, "member", "left").fillna(0)
+
+
+@query("i03_title_jaccard", "with t as (select p_name as a, lag(p_name) over (order by p_partkey) as b, p_partkey from part where p_partkey < 500), w as (select *, string_split(a, ' ') as x, string_split(b, ' ') as y from t where b is not null) select p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) as jaccard, contains(a, b) as contained from w")
+def i03(spark, sf):
+    p = load(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.col("p_name").alias("a"))
+    j = p.join(p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
+    x, y = F.split("a", " "), F.split("b", " ")
+    return j.select("p_partkey", F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 4).alias("jaccard"), F.contains("a", "b").alias("contained"))

@@ -1 +1,107 @@
-"""Queries."""
+"""Ledger and job state in batch form: reservations, leases, outbox, offers, verdicts, gaps.
+
+Events are the log: signup opens, view holds, purchase settles, error releases, click asks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from folioscope.plans.registry import query
+from folioscope.sources.tables import SQL_JOBS, jobs, load
+
+NOW = "2024-01-25 12:00:00"
+
+
+@query("j02_idempotent_intake", f"with {SQL_JOBS}, r as (select member_id, tokens as request, kind, job_id, row_number() over (partition by member_id, tokens order by moment, job_id) as nth, min(kind) over (partition by member_id, tokens) <> max(kind) over (partition by member_id, tokens) as conflict from jobs) select member_id, request, job_id, kind, conflict from r where nth = 1")
+def j02(spark, sf):
+    """The first request of an id makes the job; another payload under the same id is a conflict."""
+    g = jobs(spark, sf).groupBy("member_id", F.col("tokens").alias("request")).agg(F.min(F.struct("moment", "job_id", "kind")).alias("first"), (F.min("kind") != F.max("kind")).alias("conflict"))
+    return g.select("member_id", "request", "first.job_id", "first.kind", "conflict")
+
+
+@query("j03_expired_leases", f"with {SQL_JOBS}, l as (select member_id, max(moment) as moment, arg_max(kind, (moment, job_id)) as kind, arg_max(tokens, (moment, job_id)) as tokens from jobs group by 1) select member_id, kind, case when kind = 'purchase' then 'done' when kind = 'error' then 'failed' when moment + to_minutes(coalesce(tokens, 0) * 60) <= timestamp '{NOW}' then 'expired' else 'running' end as status from l")
+def j03(spark, sf):
+    """The latest event of a job is its state; a lease that has run out by now is expired."""
+    l = jobs(spark, sf).groupBy("member_id").agg(F.max_by(F.struct("moment", "kind", "tokens"), F.struct("moment", "job_id")).alias("l")).select("member_id", "l.*")  # noqa: E741
+    until = F.expr("moment + make_dt_interval(0, 0, coalesce(tokens, 0) * 60, 0)")
+    return l.select("member_id", "kind", F.when(F.col("kind") == "purchase", "done").when(F.col("kind") == "error", "failed").when(until <= F.expr(f"timestamp_ntz '{NOW}'"), "expired").otherwise("running").alias("status"))
+
+
+@query("j04_outbox_pending", f"with {SQL_JOBS} select job_id, moment, kind from jobs where kind = 'click' and (tokens % 3 = 0 or moment < timestamp '2024-01-10') order by moment, job_id limit 100")
+def j04(spark, sf):
+    return jobs(spark, sf).where("kind = 'click' and (tokens % 3 = 0 or moment < timestamp_ntz '2024-01-10')").orderBy("moment", "job_id").limit(100).select("job_id", "moment", "kind")
+
+
+@query("j05_reservation_ledger", f"with {SQL_JOBS} select member_id, strftime(moment, '%Y-%m') as period, sum(case when kind = 'view' then tokens else 0 end)::bigint as held, sum(case when kind = 'purchase' then tokens else 0 end)::bigint as settled, sum(case when kind = 'error' then tokens else 0 end)::bigint as released, greatest(0, sum(case kind when 'view' then tokens when 'purchase' then -tokens when 'error' then -tokens else 0 end))::bigint as open from jobs group by all")
+def j05(spark, sf):
+    """Counters from the log of reservations; never below zero."""
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("tokens")).otherwise(0))
+    g = jobs(spark, sf).groupBy("member_id", F.date_format("moment", "yyyy-MM").alias("period")).agg(of("view").alias("held"), of("purchase").alias("settled"), of("error").alias("released"))
+    return g.withColumn("open", F.greatest(F.lit(0), F.col("held") - F.col("settled") - F.col("released")))
+
+
+@query("e24_balances", f"with {SQL_JOBS}, s as (select member_id, sum(case when kind = 'view' then tokens else 0 end) as r, sum(case when kind = 'purchase' then tokens else 0 end) as s from jobs group by 1) select member_id, case when member_id % 10 = 0 then null else 2000 - r - s end::bigint as balance from s")
+def e24(spark, sf):
+    """A null cap is unlimited, and so is its balance."""
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("tokens")).otherwise(0))
+    g = jobs(spark, sf).groupBy("member_id").agg(of("view").alias("r"), of("purchase").alias("s"))
+    return g.select("member_id", F.when(F.col("member_id") % 10 != 0, 2000 - F.col("r") - F.col("s")).alias("balance"))
+
+
+@query("j06_offer_ttl", f"with {SQL_JOBS}, o as (select job_id, member_id, moment, moment + interval 7 day as expires, kind from jobs where kind in ('signup', 'click')) select job_id, case when expires <= timestamp '{NOW}' then 'expired' when lag(moment) over (partition by member_id order by moment, job_id) > moment - interval 1 day then 'suppressed' else 'open' end as state from o")
+def j06(spark, sf):
+    o = jobs(spark, sf).where("kind in ('signup', 'click')")
+    before = F.lag("moment").over(Window.partitionBy("member_id").orderBy("moment", "job_id"))
+    o = o.withColumn("before", before)
+    return o.select("job_id", F.when(F.expr(f"moment + interval 7 day <= timestamp_ntz '{NOW}'"), "expired").when(F.expr("before > moment - interval 1 day"), "suppressed").otherwise("open").alias("state"))
+
+
+@query("j07_verdict_reuse", f"with {SQL_JOBS}, v as (select kind, tokens, min(job_id) as origin from jobs group by all) select job_id, case when tokens is null then 'no input' when v.origin = job_id then 'judge' else 'reuse' end as action, origin from jobs join v using (kind, tokens)")
+def j07(spark, sf):
+    """An input that was judged before takes the verdict of the first time."""
+    j = jobs(spark, sf)
+    v = j.groupBy("kind", "tokens").agg(F.min("job_id").alias("origin"))
+    return j.join(v, ["kind", "tokens"]).select("job_id", F.when(F.col("tokens").isNull(), "no input").when(F.col("origin") == F.col("job_id"), "judge").otherwise("reuse").alias("action"), "origin")
+
+
+@query("j10_gap_states", f"with {SQL_JOBS}, r as (select member_id, kind, moment, row_number() over (partition by member_id order by moment desc, job_id desc) as nth, count(*) filter (kind = 'click') over (partition by member_id) as asked from jobs where kind <> 'view') select member_id, case kind when 'signup' then 'unrequested' when 'click' then 'requested' when 'purchase' then 'collected' else 'declined' end as state, asked from r where nth = 1")
+def j10(spark, sf):
+    g = jobs(spark, sf).where("kind <> 'view'").groupBy("member_id").agg(F.max_by("kind", F.struct("moment", "job_id")).alias("kind"), F.count_if(F.col("kind") == "click").alias("asked"))
+    k = F.col("kind")
+    return g.select("member_id", F.when(k == "signup", "unrequested").when(k == "click", "requested").when(k == "purchase", "collected").otherwise("declined").alias("state"), "asked")
+
+
+@query("j11_allowed_writes", f"with {SQL_JOBS} select kind, count(*) as writes, count(*) filter (member_id in (select s_suppkey from supplier where s_nationkey < 12)) as allowed from jobs group by kind")
+def j11(spark, sf):
+    ok = load(spark, sf, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("member_id"), F.lit(1).alias("ok")).distinct()
+    return jobs(spark, sf).join(ok, "member_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("writes"), F.count("ok").alias("allowed"))
+
+
+@query("j12_revision_conflicts", f"with {SQL_JOBS}, e as (select member_id, tokens % 10 as revision, count(*) as writers, min(job_id) as winner from jobs group by all) select member_id, revision, writers, winner, writers > 1 as conflict from e")
+def j12(spark, sf):
+    """Two events that expect the same revision of a key conflict; the first of them wins."""
+    e = jobs(spark, sf).groupBy("member_id", (F.col("tokens") % 10).alias("revision")).agg(F.count(F.lit(1)).alias("writers"), F.min("job_id").alias("winner"))
+    return e.withColumn("conflict", F.col("writers") > 1)
+
+
+@query("j13_approvals", f"with {SQL_JOBS}, d as (select job_id, member_id, tokens % 4 as rev from jobs where kind = 'purchase'), p as (select member_id, max(tokens % 4) as rev from jobs where kind = 'view' group by 1), x as (select member_id, min(job_id) as run from jobs where kind = 'error' group by 1) select d.job_id, case when p.rev is null then 'unknown' when d.rev <> p.rev then 'stale' when x.run < d.job_id then 'linked' else 'started' end as outcome from d left join p using (member_id) left join x using (member_id)")
+def j13(spark, sf):
+    j = jobs(spark, sf)
+    p = j.where("kind = 'view'").groupBy("member_id").agg(F.max(F.col("tokens") % 4).alias("current"))
+    x = j.where("kind = 'error'").groupBy("member_id").agg(F.min("job_id").alias("run"))
+    d = j.where("kind = 'purchase'").select("job_id", "member_id", (F.col("tokens") % 4).alias("rev"))
+    return d.join(p, "member_id", "left").join(x, "member_id", "left").select("job_id", F.when(F.col("current").isNull(), "unknown").when(F.col("rev") != F.col("current"), "stale").when(F.col("run") < F.col("job_id"), "linked").otherwise("started").alias("outcome"))
+
+
+@query("j14_skip_done", "select d.doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1) and d.doc_id % 2 = 0")
+def j14(spark, sf):
+    done = load(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return load(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id").join(done, "doc_id", "left_anti")
+
+
+@query("b14_answer_view", f"with {SQL_JOBS}, a as (select member_id, max(moment) filter (kind = 'purchase') as answered, max(moment) filter (kind = 'click') as offered from jobs group by 1) select member_id, answered is not null as has_answer, case when offered is null then 'none' when offered + interval 7 day <= timestamp '{NOW}' then 'expired' else 'open' end as offer from a")
+def b14(spark, sf):
+    a = jobs(spark, sf).groupBy("member_id").agg(F.max(F.when(F.col("kind") == "purchase", F.col("moment"))).alias("answered"), F.max(F.when(F.col("kind") == "click", F.col("moment"))).alias("offered"))
+    return a.select("member_id", F.col("answered").isNotNull().alias("has_answer"), F.when(F.col("offered").isNull(), "none").when(F.expr(f"offered + interval 7 day <= timestamp_ntz '{NOW}'"), "expired").otherwise("open").alias("offer"))
