@@ -1 +1,154 @@
-"""Queries."""
+"""Queries over readers, sinks and packing, on contents made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from folioscope.operators import packing
+from folioscope.plans.registry import query
+from folioscope.sources import readers, sinks
+from folioscope.sources.tables import SQL_NOTES, load, notes
+
+PAGE = "'---' || chr(10) || 'title: \"' || left(text, 10) || '\"' || chr(10) || 'category: ' || lang || chr(10) || ' more: x' || chr(10) || 'year: ' || (1990 + doc_id % 30) || chr(10) || '---' || chr(10) || '# T' || chr(10) || substr(text, 1, 200)"
+
+
+@query("a05_frontmatter", f"with p as (select doc_id, replace(left(text, 10), chr(10), ' ') as head, lang, 1990 + doc_id % 30 as year, left(text, 200) as body from documents where left(text, 10) not like '%' || chr(10) || '%' and left(text, 10) not like '%\"%') select doc_id, trim(head) as title, lang as category, year::varchar as year, length('# T' || chr(10) || body) as body_chars from p")
+def a05(spark, sf):
+    d = load(spark, sf, "documents").where(r"not left(text, 10) rlike '[\n\"]'").select("doc_id", F.expr(PAGE).alias("page"))
+    fields, body = readers.frontmatter("page")
+    d = d.select("doc_id", fields.alias("f"), F.length(body).alias("body_chars"))
+    return d.select("doc_id", F.trim(F.col("f")["title"]).alias("title"), F.col("f")["category"].alias("category"), F.col("f")["year"].alias("year"), "body_chars")
+
+
+@query("a04_listing", "select '/' || lang || '/' || source || '/' || doc_id || '.md' as key from documents where doc_id % 11 <> 0 and source <> 'src4' and n_chars >= 50")
+def a04(spark, sf):
+    """Keys to index: no drafts, no failed folder, nothing too small."""
+    d = load(spark, sf, "documents").select(F.concat_ws("/", F.lit(""), "lang", "source", F.concat(F.when(F.col("doc_id") % 11 == 0, "drafts/").otherwise(""), "doc_id", F.lit(".md"))).alias("key"), "n_chars")
+    return d.where(~F.col("key").rlike("/drafts/|/src4/") & (F.col("n_chars") >= 50)).select("key")
+
+
+@query("a06_json_slices", "select event_id, (props::json->>'$.k')::int as k, substr(props, 2, 4) as part from events where event_id < 3000")
+def a06(spark, sf):
+    e = load(spark, sf, "events").where("event_id < 3000").select("event_id", F.from_json("props", "k int").alias("p"), "props")
+    return e.select("event_id", "p.k", F.substring("props", 2, 4).alias("part"))
+
+
+@query("a07_ledger_lines", "select event_type as step, count(*) as lines, sum(case when event_id % 4 = 0 then 0 else (props::json->>'$.k')::int end)::bigint as tokens from events group by 1")
+def a07(spark, sf):
+    """Lines of a ledger, a missing number being zero."""
+    line = F.to_json(F.struct(F.col("event_type").alias("step"), F.when(F.col("event_id") % 4 != 0, F.get_json_object("props", "$.k").cast("int")).alias("tokens")))
+    p = load(spark, sf, "events").select(F.from_json(line, "step string, tokens int").alias("l"))
+    return p.groupBy("l.step").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.coalesce("l.tokens", F.lit(0))).alias("tokens"))
+
+
+@query("a09_cell_match", "select doc_id, len(string_split(line, ' | ')) as cells from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where list_contains(list_transform(string_split(line, ' | '), lambda c: lower(trim(c))), 'on')")
+def a09(spark, sf):
+    """Rows of the tables in texts that have a cell equal to the needle, without regard to case."""
+    l = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("c", F.split("line", r" \| "))  # noqa: E741
+    return l.where(F.exists("c", lambda x: F.lower(F.trim(x)) == "on")).select("doc_id", F.size("c").alias("cells"))
+
+
+TEI = "'<TEI><teiHeader><title level=\"a\">' || p_name || '</title><surname>' || p_brand || '</surname><surname>' || p_type || '</surname><date when=\"' || (1950 + p_size) || '-01\"/><idno type=\"DOI\">10.1/X' || p_partkey || '</idno></teiHeader><text><idno type=\"DOI\">10.9/other</idno></text></TEI>'"
+
+
+@query("a15_tei_headers", "select p_partkey, p_name as title, p_brand || ';' || p_type as surnames, (1950 + p_size)::varchar as year, '10.1/x' || p_partkey as doi from part")
+def a15(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", readers.tei_header(F.expr(TEI)).alias("h"))
+    return p.select("p_partkey", "h.title", F.array_join("h.surnames", ";").alias("surnames"), "h.year", "h.doi")
+
+
+@query("a17_converter_states", "with r as (select l_partkey as doi, count(distinct l_suppkey % 9) as ids, max(l_suppkey % 9) as id from lineitem where l_returnflag = 'A' group by 1) select p_partkey as doi, case when ids is null then 'error' when ids > 5 or id = 3 then 'mismatch' else 'ok' end as state from part left join r on r.doi = p_partkey")
+def a17(spark, sf):
+    """Every requested key has a state; keys answered in different ways are mismatches."""
+    r = load(spark, sf, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("doi")).agg(F.count_distinct(F.col("l_suppkey") % 9).alias("ids"), F.max(F.col("l_suppkey") % 9).alias("id"))
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("doi")).join(r, "doi", "left").select("doi", F.when(F.col("ids").isNull(), "error").when((F.col("ids") > 5) | (F.col("id") == 3), "mismatch").otherwise("ok").alias("state"))
+
+
+@query("a21_bounded_reads", "select doc_id, case when octet_length(encode(text)) > 8000 then 'too large' else 'ok' end as state, case when octet_length(encode(text)) <= 8000 then sha256(text) end as hash from documents")
+def a21(spark, sf):
+    n = F.octet_length("text")
+    return load(spark, sf, "documents").select("doc_id", F.when(n > 8000, "too large").otherwise("ok").alias("state"), F.when(n <= 8000, F.sha2("text", 256)).alias("hash"))
+
+
+@query("a22_related_keys", "select doc_id, case when doc_id % 3 = 0 then 'papers/' || doc_id || '/assets.md' when doc_id % 3 = 1 then 'sources/' || doc_id || '.assets.md' end as assets from documents")
+def a22(spark, sf):
+    """A stored text's key gives its figures' key; two layouts, null for others."""
+    k = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("papers/"), "doc_id", F.lit("/clean.md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("sources/"), "doc_id", F.lit(".md"))).otherwise("other")
+    one, two = r"^(papers/[A-Za-z0-9._-]+)/clean\.md$", r"^(sources/[A-Za-z0-9._-]+)\.md$"
+    return load(spark, sf, "documents").select("doc_id", k.alias("k")).select("doc_id", F.when(F.col("k").rlike(one), F.concat(F.regexp_extract("k", one, 1), F.lit("/assets.md"))).when(F.col("k").rlike(two), F.concat(F.regexp_extract("k", two, 1), F.lit(".assets.md"))).alias("assets"))
+
+
+@query("a23_kept_files", "select l_orderkey as stem, l_linenumber || '-' || l_partkey as file, l_shipdate < timestamp '1997-01-01' as readable from lineitem where l_returnflag <> 'R' and l_orderkey % 6 = 0")
+def a23(spark, sf):
+    """Files a manifest kept, exploded, each with whether it can be read."""
+    m = load(spark, sf, "lineitem").where("l_orderkey % 6 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_shipdate")).alias("files"))
+    return m.select(F.col("l_orderkey").alias("stem"), F.explode("files").alias("f")).where("f.l_returnflag <> 'R'").select("stem", F.concat_ws("-", "f.l_linenumber", "f.l_partkey").alias("file"), F.expr("f.l_shipdate < timestamp_ntz '1997-01-01'").alias("readable"))
+
+
+@query("b03_publish_outcomes", "with s as (select s_suppkey as key, s_suppkey % 4 as version from supplier where s_suppkey % 3 > 0), w as (select s_suppkey as key, case when s_suppkey % 3 = 0 then null when s_suppkey % 5 = 0 then 99 else s_suppkey % 4 end as expected from supplier where s_suppkey % 2 = 0) select coalesce(s.key, w.key) as key, case when w.key is null then 'kept' when s.key is null then 'created' when s.version = w.expected then 'replaced' else 'conflict' end as outcome, case when w.key is null then s.version when s.key is null then 1 when s.version = w.expected then s.version + 1 else s.version end as version from s full join w on s.key = w.key")
+def b03(spark, sf):
+    p = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("text"))
+    s = p.where("key % 3 > 0").withColumn("version", F.col("key") % 4)
+    w = p.where("key % 2 = 0").withColumn("expected", F.when(F.col("key") % 3 == 0, None).when(F.col("key") % 5 == 0, 99).otherwise(F.col("key") % 4))
+    return sinks.publish(s, w).select("key", "outcome", "version")
+
+
+@query("b10_assembled_pages", f"with {SQL_NOTES} select journal, count(*) as members, string_agg(distinct category, ',' order by category) as categories, md5(string_agg('- [[' || doc_id || ']] ' || md5(text), chr(10) order by doc_id)) as body from notes group by journal")
+def b10(spark, sf):
+    """Pages from aggregates: sorted categories, counts, a line for each member."""
+    n = notes(spark, sf).select("journal", "category", "doc_id", F.concat(F.lit("- [["), "doc_id", F.lit("]] "), F.md5("text")).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    return n.groupBy("journal").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.md5(F.array_join(lines, "\n")).alias("body"))
+
+
+@query("b12_owned_fields", "select p_partkey, case when p_partkey % 4 = 0 then 'new' || p_size else p_name end as title, p_brand as created from part")
+def b12(spark, sf):
+    """The stored header wins, but for question pages, which only keep when they were created."""
+    stored = F.create_map(F.lit("title"), F.col("p_name"), F.lit("created"), F.col("p_brand"))
+    new = F.create_map(F.lit("title"), F.concat(F.lit("new"), F.col("p_size")), F.lit("created"), F.lit("today"))
+    keep = F.when(F.col("p_partkey") % 4 == 0, F.map_filter(stored, lambda k, v: k == "created")).otherwise(stored)
+    merged = F.map_concat(F.map_filter(new, lambda k, v: ~F.map_contains_key(keep, k)), keep)
+    return load(spark, sf, "part").select("p_partkey", merged.alias("m")).select("p_partkey", F.col("m")["title"].alias("title"), F.col("m")["created"].alias("created"))
+
+
+@query("b13_section_once", "select doc_id, (length(text) - length(replace(text, 'Licensed under', ''))) > 0 as had, length(case when text like '%Licensed under%' then text else rtrim(text) || chr(10) || chr(10) || '## Licensed under' || chr(10) || 'x' || chr(10) end) as chars from documents")
+def b13(spark, sf):
+    d = load(spark, sf, "documents")
+    had = F.contains("text", F.lit("Licensed under"))
+    once = sinks.with_section(F.col("text"), "Licensed under", "x")
+    return d.select("doc_id", had.alias("had"), F.length(F.when(had, F.col("text")).otherwise(sinks.with_section(once, "Licensed under", "x"))).alias("chars"))
+
+
+@query("f04_budget_allocation")
+def f04(spark, sf):
+    """A byte budget over the documents of each question, in the order of their rank."""
+    l = load(spark, sf, "lineitem").where("l_orderkey % 4 = 0")  # noqa: E741
+    parts = l.select((F.col("l_orderkey") % 200).alias("question"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.dense_rank().over(Window.partitionBy((F.col("l_orderkey") % 200)).orderBy("l_orderkey")).alias("rank"), (F.col("l_quantity") * 40).cast("long").alias("size"))
+    return packing.allocate(parts, 24_000, 8)
+
+
+@query("f10_batches")
+def f10(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("item"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
+    return packing.batches(d, 12_000)
+
+
+@query("f15_trimmed_payloads")
+def f15(spark, sf):
+    c = load(spark, sf, "conversations")
+    kind = F.when(F.col("role") == "system", "base").when(F.col("role") == "user", "passage").otherwise("excerpt")
+    return packing.trimmed(c.select(F.col("conv_id").alias("grp"), kind.alias("kind"), F.col("turn").alias("pos"), F.length("text").alias("size")), 600)
+
+
+@query("f12_bounded_rows", "with r as (select lang, doc_id, sum(length(left(text, 100))) over (partition by lang order by doc_id rows unbounded preceding) as used from documents) select lang, count(*) filter (used <= 4000) as kept, count(*) filter (used > 4000) as dropped from r group by lang")
+def f12(spark, sf):
+    """Rows kept until the response is full: the running size is taken from bounded previews."""
+    from pyspark.sql import Window
+
+    # Counts need no running sum over the hot language: rows beyond the budget are known from the first ones.
+    d = load(spark, sf, "documents").select("lang", "doc_id", F.length(F.left("text", F.lit(100))).alias("n"))
+    top = d.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("nth <= 4001")
+    used = F.sum("n").over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    kept = top.withColumn("used", used).where("used <= 4000").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("all")).join(kept, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("all") - F.coalesce("kept", F.lit(0))).alias("dropped"))

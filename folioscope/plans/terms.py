@@ -1 +1,98 @@
-"""Queries."""
+"""Term queries over notes made from the documents: their first words are glossary terms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioscope.operators import terms as G
+from folioscope.plans.registry import query
+from folioscope.sources.tables import load
+
+#: A note with a glossary of three lines from the words of a document.
+NOTE = "'# Note' || chr(10) || '## Glossary' || chr(10) || '- **' || w1 || ' (' || w2 || ')**: about ' || w3 || chr(10) || '- **' || w2 || ' / ' || w3 || '**: other ' || w1 || chr(10) || '- **' || upper(left(w3, 3)) || 's vs ' || w1 || '**: third' || chr(10) || '## End' || chr(10) || '- **no**: no'"
+SQL_GLOSS = f"""w as (select doc_id, lang, regexp_extract_all(text, '[A-Za-z]+') as w from documents), n as (select doc_id, lang, w[1] as w1, w[2] as w2, w[3] as w3 from w where len(w) >= 3),
+t as (select doc_id, lang, {NOTE} as text from n), s as (select doc_id, lang, regexp_extract(text, '(?s)(?:^|\\n)## Glossary[^\\n]*\\n(.*?)(?:\\n## |$)', 1) as sec from t),
+g as (select doc_id, lang, trim(unnest(regexp_extract_all(sec, '(?m)^- \\*\\*([^*\\n]+)\\*\\*: ?([^\\n]*)', 1))) as term, trim(unnest(regexp_extract_all(sec, '(?m)^- \\*\\*([^*\\n]+)\\*\\*: ?([^\\n]*)', 2))) as definition from s)"""
+SQL_FORMS = SQL_GLOSS + """, f0 as (select doc_id, lang, definition, regexp_split_to_array(regexp_split_to_array(term, '(?i)\\s+(?:versus|vs\\.?)\\s+')[1], '\\s+/\\s+') as p from g),
+f1 as (select doc_id, lang, definition, trim(unnest(p), ' ,;') as p from f0),
+f2 as (select doc_id, lang, definition, unnest(case when regexp_matches(p, '^(.+?)\\s*\\(([^()]+)\\)$') then [trim(regexp_extract(p, '^(.+?)\\s*\\(([^()]+)\\)$', 1)), trim(regexp_extract(p, '^(.+?)\\s*\\(([^()]+)\\)$', 2))] else [p] end) as form from f1),
+f3 as (select *, trim(regexp_replace(regexp_replace(lower(form), '[^a-z0-9+.\\- ]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .-') as low from f2 where length(form) >= 2),
+f as (select doc_id, lang, definition, form, case when low like '%s' and (regexp_matches(form, '^[A-Z][A-Z0-9]+s$') or (length(low) > 4 and not regexp_matches(low, '(ss|us|is)$'))) then left(low, -1) else low end as slug from f3)"""
+
+
+def gloss(spark, sf):
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    n = load(spark, sf, "documents").select("doc_id", "lang", w.alias("w")).where("size(w) >= 3").select("doc_id", "lang", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.col("w")[2].alias("w3"))
+    return G.glossary(n.select("doc_id", "lang", F.expr(NOTE).alias("text")))
+
+
+def forms(spark, sf):
+    g = gloss(spark, sf).select("doc_id", "lang", "definition", F.explode(G.aliases(F.col("term"))).alias("form"))
+    return g.withColumn("slug", G.normal(F.col("form")))
+
+
+@query("h09_glossary", f"with {SQL_GLOSS} select doc_id, term, definition from g")
+def h09(spark, sf):
+    return gloss(spark, sf).select("doc_id", "term", "definition")
+
+
+@query("h10_aliases", f"with {SQL_FORMS} select distinct doc_id, definition, form, slug from f")
+def h10(spark, sf):
+    return forms(spark, sf).select("doc_id", "definition", "form", "slug").distinct()
+
+
+SYMBOLS = "sym as (select upper(left(p_name, 4)) || (p_partkey % 300) as symbol, case when p_partkey % 3 = 0 then upper(left(p_name, 4)) || (p_partkey % 300 + 1) when p_partkey % 3 = 1 then upper(left(p_name, 3)) || (p_partkey % 40) end as alias from part)"
+SYM_OK = SYMBOLS + ", own as (select distinct upper(symbol) as key, symbol from sym), cl as (select upper(alias) as key, min(symbol) as symbol from sym where alias is not null group by 1 having min(symbol) = max(symbol)), tab as (select * from own union all select * from cl where key not in (select key from own))"
+
+
+@query("a08_unambiguous_aliases", f"with {SYM_OK} select key, symbol from tab")
+def a08(spark, sf):
+    return G.resolved_symbols(symbols(spark, sf))
+
+
+def symbols(spark, sf):
+    return load(spark, sf, "part").select(F.expr("upper(left(p_name, 4)) || (p_partkey % 300)").alias("symbol"), F.expr("case when p_partkey % 3 = 0 then upper(left(p_name, 4)) || (p_partkey % 300 + 1) when p_partkey % 3 = 1 then upper(left(p_name, 3)) || (p_partkey % 40) end").alias("alias"))
+
+
+@query("h11_symbol_lookup", f"with {SYM_OK} select s_suppkey, coalesce(a.symbol, b.symbol) as symbol from supplier left join tab a on a.key = 'BLUE' || (s_suppkey * 3) left join tab b on b.key = 'RED' || s_suppkey where 'BLUE' || (s_suppkey * 3) not in ('BLUE9', 'BLUE30')")
+def h11(spark, sf):
+    """A term's key, else a shorter key, in the table of symbols; blocked keys never resolve."""
+    t = G.resolved_symbols(symbols(spark, sf))
+    s = load(spark, sf, "supplier").select("s_suppkey", F.expr("'BLUE' || (s_suppkey * 3)").alias("k1"), F.expr("'RED' || s_suppkey").alias("k2")).where("k1 not in ('BLUE9', 'BLUE30')")
+    return s.join(t.select(F.col("key").alias("k1"), F.col("symbol").alias("a")), "k1", "left").join(t.select(F.col("key").alias("k2"), F.col("symbol").alias("b")), "k2", "left").select("s_suppkey", F.coalesce("a", "b").alias("symbol"))
+
+
+CAND = ", t0 as (select slug, doc_id as stem, lang = 'en' as scope, form, definition from f)"
+
+
+@query("e11_candidates", f"with {SQL_FORMS}{CAND}, nn as (select slug, count(distinct stem) as notes, count(distinct case when scope then stem end) as in_scope from t0 group by 1 having count(distinct case when scope then stem end) >= 3), c as (select slug, form, row_number() over (partition by slug order by count(*) desc, length(form) desc, form) as nth from t0 group by slug, form), o as (select slug, stem, min(definition) as d from t0 group by all), p as (select slug, stem, d, row_number() over (partition by slug order by stem) as nth from o), d as (select slug, string_agg(d, ' | ' order by stem, d) as definitions from p where nth <= 2 group by 1) select nn.slug, notes, in_scope, c.form as title, definitions from nn join c on c.slug = nn.slug and c.nth = 1 join d on d.slug = nn.slug")
+def e11(spark, sf):
+    t = forms(spark, sf).select("slug", F.col("doc_id").alias("stem"), (F.col("lang") == "en").alias("scope"), "form", "definition")
+    return G.candidates(t, 3)
+
+
+@query("e12_merged_counts", f"with {SQL_FORMS}, m as (select slug, left(slug, 2) as target from (select distinct slug from f) where length(slug) = 3) select coalesce(target, slug) as slug, count(distinct doc_id) as notes, count(distinct form) as forms from f left join m using (slug) group by 1")
+def e12(spark, sf):
+    f = forms(spark, sf)
+    m = f.select("slug").distinct().where("length(slug) = 3").withColumn("target", F.left("slug", F.lit(2)))
+    return G.folded(f.withColumnRenamed("doc_id", "stem"), m)
+
+
+@query("g04_safe_merges", "with m as (select p_partkey as a, p_partkey + 7 as b from part where p_partkey % 11 = 0) select a, b, case when y.p_partkey is null then 'missing' when x.p_type = 'SMALL' or y.p_type = 'SMALL' then 'gene' when len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) = 0 then 'no shared name' else 'accepted' end as outcome from m join part x on x.p_partkey = a left join part y on y.p_partkey = b")
+def g04(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    m = p.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b"), F.split("p_name", " ").alias("na"), F.col("p_type").alias("ta"))
+    j = m.join(p.select(F.col("p_partkey").alias("b"), F.split("p_name", " ").alias("nb"), F.col("p_type").alias("tb")), "b", "left")
+    return j.select("a", "b", F.when(F.col("nb").isNull(), "missing").when((F.col("ta") == "SMALL") | (F.col("tb") == "SMALL"), "gene").when(~F.arrays_overlap("na", "nb"), "no shared name").otherwise("accepted").alias("outcome"))
+
+
+@query("h12_mentions", "with f as (select distinct regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1) as form, item_id as slug from benchmark where regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1) <> ''), k as (select slug, form, list_max(list_transform(regexp_extract_all(lower(form), '[a-z0-9]+'), lambda w: {'n': length(w), 'w': w})).w as token from f), t as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as token from documents), r as (select token from t where token in (select token from k) group by 1 having count(*) <= 400) select distinct k.slug, d.doc_id from k join r using (token) join t using (token) join documents d on d.doc_id = t.doc_id where regexp_matches(lower(d.text), '(^|[^a-z0-9])' || lower(k.form) || 's?([^a-z0-9]|$)')")
+def h12(spark, sf):
+    f = load(spark, sf, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+ [a-z]+)", 1).alias("form"), F.col("item_id").alias("slug")).where("form <> ''").distinct()
+    return G.mentions(load(spark, sf, "documents").select("doc_id", "text"), f, 400)
+
+
+@query("h15_references", r"with r as (select doc_id, unnest(regexp_extract_all(text, '\b(?:v|V)ersion ([0-9])', 1)) as ref from documents) select ref, count(*) as mentions, count(distinct doc_id) as documents from r group by ref")
+def h15(spark, sf):
+    r = load(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(?:v|V)ersion ([0-9])"), F.lit(1))).alias("ref"))
+    return r.groupBy("ref").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("doc_id").alias("documents"))
