@@ -1,18 +1,38 @@
-"""Where loops cut their lineage: the checkpoint folder that the session names."""
+"""Where loops cut their lineage: tables in the checkpoint folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder in spark.checkpoint.dir; only a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; only a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not context.isEmpty():
+            return context.get()
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        if "own" not in _FOLDER:
+            _FOLDER["own"] = tempfile.mkdtemp(prefix="tables-")
+        named = _FOLDER["own"]
+    return named.rstrip("/")
+
+
+_FOLDER: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there: nothing is lost with an executor.
+
+    A checkpoint would carry its plan's partitionings and orderings on, whose number doubles with each join
+    of a loop; a table carries only its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
