@@ -9,13 +9,14 @@ into bin j.  A bin keeps the least hash of the first round that fills it, so tha
 is concentrated around the Jaccard similarity.
 
 Candidates.  Documents with equal sets are one class.  BANDS bands of ROWS coordinates put classes into
-buckets; a pair of similarity 0.8 misses all of them with probability (1 - 0.8**ROWS)**BANDS, under 1e-7.
+buckets; a pair of similarity 0.8 misses all of them with probability (1 - 0.8**ROWS)**BANDS, under 1e-6.
 
-Links.  No bucket is expanded into all its pairs.  Each member is compared with its bucket's first
-member; classes that are now in one component need no more comparing.  Buckets that still hold
-several components go on with the next 1, 2, 4, ... members as centres until each bucket
-is one component or every pair across components has been compared, so no link is lost.  Every link
-is confirmed on the full sets.  Components come from least labels and pointer jumping on links.
+Links.  Each member is compared with its bucket's first member, which settles most copies in one
+comparison each: classes that are now in one component need no more comparing.  Members of buckets
+that still hold several components are grouped, each group is cut into blocks of bounded size,
+and each pair of blocks counts all intersections exactly and gives a spanning forest of its links.
+So no link is lost, and no pair that isn't a link ever becomes a row.  Components come from
+contracting the graph of links.
 
 Nothing that grows with the corpus reaches the driver, and every table that a loop reads again is
 written to the shared checkpoint folder.
@@ -37,9 +38,13 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import cut
 from folioscope.llm.wordhash import mixed, words
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Sets and elements of a block; groups up to SMALL sets share tasks of about SHARED sets.
+BLOCK, BLOCK_ELEMENTS, SMALL, SHARED = 800, 600_000, 64, 400
+#: Elements in at least DENSE sets of a comparison are counted by matrix products over SLICE of them.
+DENSE, SLICE = 24, 4096
 SEEDS = np.random.default_rng(20170925).integers(1, 1 << 63, 2 * BINS + BANDS + 16, dtype=np.uint64)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,23 +156,32 @@ def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (id, label) after joining what the links (a, b) connect; a label is the least id of its component."""
+    """``labels`` (id, label) after joining what the links (a, b) connect; a label is the least id of its component.
+
+    Contraction: every label hooks on its least neighbour that is less, pointer jumping leads each to its
+    tree's root, and the edges between different roots are the next round's, far fewer each time.
+    """
     to = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-    edges = cut(links.join(to("a"), "a").join(to("b"), "b").where("la <> lb").select(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).distinct())
-    if edges.isEmpty():
-        return labels
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("id"), "root"))
-    while True:
-        # Pointer jumping, then the least root among neighbours.
-        jump = now.alias("x").join(now.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", F.col("next").alias("root"))
-        around = both.join(jump.select(F.col("id").alias("v"), "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
-        step = cut(jump.join(around, "id").select("id", F.least("root", "near").alias("root")))
-        if step.join(now.withColumnRenamed("root", "old"), "id").where("root <> old").isEmpty():
-            break
-        now = step
-    moved = labels.join(now.select(F.col("id").alias("label"), "root"), "label", "left")
-    return cut(moved.select("id", F.coalesce("root", "label").alias("label")))
+    edges = cut(links.join(to("a"), "a").join(to("b"), "b").where("la <> lb").select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).distinct())
+    steps = []
+    while not edges.isEmpty():
+        hook = cut(edges.groupBy("u").agg(F.min("v").alias("root")))
+        while True:
+            # Two jumps in a plan; whether the second still moved anything is written with it.
+            ahead = hook.select(F.col("u").alias("root"), F.col("root").alias("next"))
+            once = hook.join(ahead, "root", "left").select("u", F.coalesce("next", "root").alias("root"))
+            twice = once.join(ahead, "root", "left").select("u", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+            jumped = cut(twice)
+            hook = jumped.select("u", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        steps.append(hook)
+        far = hook.select(F.col("u").alias("v"), F.col("root").alias("rv"))
+        near = edges.join(hook, "u").join(far, "v", "left").select("root", F.coalesce("rv", "v").alias("rv")).where("root <> rv")
+        edges = cut(near.select(F.greatest("root", "rv").alias("u"), F.least("root", "rv").alias("v")).distinct())
+    for hook in steps:
+        labels = labels.join(hook.select(F.col("u").alias("label"), "root"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    return cut(labels) if steps else labels
 
 
 def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
@@ -187,9 +201,9 @@ def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: i
     def linked(pairs: DataFrame) -> DataFrame:
         return relabelled(labels, verified(pairs.select("a", "b").distinct(), own, percent))
 
-    # One comparison for each class, with the first of all its first members; most copies are settled here.
-    pairs = members.where("id > first").groupBy("id", "n").agg(F.min("first").alias("first"))
-    labels = linked(pairs.join(sizes, "first").where(close).select(F.col("id").alias("a"), F.col("first").alias("b")))
+    # Each member with its buckets' first ones: rows grow with the members, and most copies are settled here.
+    pairs = members.where("id > first").select("id", "n", "first").distinct().join(sizes, "first").where(close)
+    labels = linked(pairs.select(F.col("id").alias("a"), F.col("first").alias("b")))
 
     def unsettled(of: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with their labels."""
@@ -197,31 +211,78 @@ def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: i
         split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         return named.join(split, "bucket")
 
-    # All members with their bucket's first one.
-    rest = unsettled(members)
-    at_first = rest.where("id = first").select("bucket", F.col("label").alias("label_first"), F.col("n").alias("n_first"))
-    pairs = rest.join(at_first, "bucket").where(F.col("label") != F.col("label_first")).where(close)
-    labels = linked(cut(pairs.select(F.col("id").alias("a"), F.col("first").alias("b"))))
-    # Then with the next 1, 2, 4, ... members, by an order of their own in each bucket.
-    low, many = 1, 1
-    rest = cut(_ranked(unsettled(members).select("bucket", "id", "n")))
-    while not (left := cut(rest.join(labels, "id"))).where(f"rank >= {low}").isEmpty():
-        split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("top")).where(f"lo < hi and top > {low}").select("bucket")
-        left = cut(left.join(split, "bucket"))
-        if left.isEmpty():
-            break
-        centre = left.where(f"rank >= {low} and rank < {low + many}").select("bucket", F.col("id").alias("b"), F.col("label").alias("label_first"), F.col("n").alias("n_first"), F.col("rank").alias("from"))
-        pairs = left.join(centre, "bucket").where((F.col("rank") > F.col("from")) & (F.col("label") != F.col("label_first"))).where(close)
-        labels = linked(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")))
-        rest, low, many = left.select("bucket", "id", "n", "rank"), low + many, many * 2
+    # What no first member settles is compared block by block, all pairs across components included.
+    labels = relabelled(labels, block_links(unsettled(members), own, percent))
     named = classes.select("n", "d1", "d2", "id").join(labels, "id", "left").select("n", "d1", "d2", F.coalesce("label", "id").alias("component"))
     return signed.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _ranked(rest: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return rest.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1)
+def block_links(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all similar members of the same bucket; of the links inside a pair of blocks, a spanning forest."""
+    rest = cut(rest.select("id", "n", "first").distinct())
+    ids = rest.select("id", "n").distinct()
+    groups = relabelled(ids.select("id", F.col("id").alias("label")), rest.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    sized = groups.join(ids, "id")
+    blocks = sized.groupBy("label").agg(F.ceil(F.greatest(F.count("id") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"), F.count("id").alias("members"))
+    placed = cut(sized.join(blocks, "label").where("members > 1"))
+    # Small groups share a task; comparing across groups as well does no harm.
+    few = (F.col("blocks") == 1) & (F.col("members") <= SMALL)
+    bins = max(1, placed.where(few).count() // SHARED)
+    small = placed.where(few).select("id", F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int").alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    large = placed.where(~few).select("id", F.col("label").alias("of"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("id", "of", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    filled = small.unionByName(large).join(own.withColumnRenamed("doc_id", "id"), "id")
+
+    def compare(found: pa.Table) -> pa.Table:
+        e = found.column("elements").combine_chunks()
+        at = np.concatenate(([0], np.cumsum(e.value_lengths().to_numpy(zero_copy_only=False))))
+        label = forest(e.flatten().to_numpy(zero_copy_only=False), at, percent)
+        ids = found.column("id").to_numpy()
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[label[moved]], pa.int64())})
+
+    return filled.groupBy("of", "lo", "hi").applyInArrow(compare, "a long, b long").where("a <> b")
+
+
+def forest(elements: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the least index of the sets that similar ones connect it with."""
+    n = len(at) - 1
+    sizes = np.diff(at)
+    of = np.repeat(np.arange(n), sizes)
+    order = np.argsort(elements, kind="stable")
+    e, of = elements[order], of[order]
+    begins = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+    counts = np.diff(np.append(begins, len(e)))
+    inter = np.zeros((n, n), np.float32)
+    # Elements in few sets add to pairs one by one; the rest through products of 0/1 matrices, a slice at a time.
+    for d in range(2, DENSE):
+        own = begins[counts == d]
+        for i in range(d - 1 if len(own) else 0):
+            for j in range(i + 1, d):
+                np.add.at(inter, (of[own + i], of[own + j]), 1)
+    inter += inter.T
+    dense = np.flatnonzero(counts >= DENSE)
+    for s in range(0, len(dense), SLICE):
+        part = dense[s : s + SLICE]
+        matrix = np.zeros((n, len(part)), np.float32)
+        for k, b in enumerate(part.tolist()):
+            matrix[of[begins[b] : begins[b] + counts[b]], k] = 1
+        inter += matrix @ matrix.T
+    similar = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
+    similar[np.arange(n), np.arange(n)] = False
+    a, b = np.nonzero(np.triu(similar))
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
 
 def representatives(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:

@@ -294,13 +294,15 @@ def test_near_duplicates(spark, folder, rows, width):
     assert {k: v for k, v in got.items() if k[0] not in loose} == {k: v for k, v in want.items() if k[0] not in loose}
 
 
-def test_buckets_with_many_components(spark, monkeypatch):
-    """With one band of one coordinate buckets are coarse: every link must still be found by the later centres."""
+@pytest.mark.parametrize("block,small", [(800, 64), (5, 1), (5, 64)])
+def test_buckets_with_many_components(spark, monkeypatch, block, small):
+    """All documents in one bucket, in one block or many: every link must still be found."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "BANDS", 1)
     monkeypatch.setattr(minhash, "ROWS", 1)
     monkeypatch.setattr(minhash, "BINS", 1)
     rng = random.Random(3)
-    hot = "the one shared"
     docs = []
     for g in range(6):
         base = [f"g{g}w{j}" for j in range(30)]
@@ -311,7 +313,21 @@ def test_buckets_with_many_components(spark, monkeypatch):
     rng.shuffle(docs)
     monkeypatch.setattr(minhash, "band_keys", lambda s: __import__("numpy").zeros((len(s), 1), "uint64"))
     found = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 2, 80).collect()}
-    assert found == {i: i - i % 10 for i, _ in docs} and hot
+    assert found == {i: i - i % 10 for i, _ in docs}
+
+
+def test_forest_is_brute_force(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(60), 40)) for _ in range(60)] + [[1], [1], [2]]
+    for dense in (2, 24):
+        monkeypatch.setattr(minhash, "DENSE", dense)
+        got = minhash.forest(np.concatenate([np.array(s) for s in sets]), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), 60)
+        want = list(range(len(sets)))
+        for _ in sets:
+            want = [min(want[j] for j in range(len(sets)) if j == i or 100 * len({*sets[i]} & {*sets[j]}) >= 60 * len({*sets[i]} | {*sets[j]})) for i in range(len(sets))]
+        assert got.tolist() == want
 
 
 def test_sketches_fill_and_estimate():
