@@ -152,3 +152,121 @@ def f12(spark, sf):
     used = F.sum("n").over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     kept = top.withColumn("used", used).where("used <= 4000").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("all")).join(kept, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("all") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+
+
+def _made(spark, sf, make):
+    """(path, content) of a small file for each nation, made by make(name, key)."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": [f"n{k}" for k in f["n_nationkey"]], "content": [make(n, k) for n, k in zip(f["n_name"], f["n_nationkey"])]})
+
+    return load(spark, sf, "nation").select("n_name", "n_nationkey").mapInPandas(run, "path string, content binary")
+
+
+def _zip(files: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return b.getvalue()
+
+
+@query("a10_spreadsheets", "select 'n' || n_nationkey as path, 'sheet1' as sheet, 1::bigint as row, 1::bigint as col, n_name as value from nation union all select 'n' || n_nationkey, 'sheet1', 1, 28, n_nationkey::varchar from nation")
+def a10(spark, sf):
+    """Cells of workbooks; strings are shared ones."""
+    made = _made(spark, sf, lambda n, k: _zip({"xl/sharedStrings.xml": f"<sst><si><t>other</t></si><si><t>{n}</t></si></sst>", "xl/worksheets/sheet1.xml": f'<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="AB1"><v>{k}</v></c></row></sheetData></worksheet>'}))
+    return readers.spreadsheets(made).where("error is null").drop("error")
+
+
+@query("a11_word_tables", "select 'n' || n_nationkey as path, 'table1' as sheet, 1::bigint as row, 2::bigint as col, n_name || ' ' || n_nationkey as value from nation union all select 'n' || n_nationkey, 'table1', 1, 1, 'name' from nation")
+def a11(spark, sf):
+    p = lambda *t: "<w:tc>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in t) + "</w:tc>"
+    made = _made(spark, sf, lambda n, k: _zip({"word/document.xml": f'<w:document xmlns:w="x"><w:tbl><w:tr>{p("name")}{p(n, k)}</w:tr></w:tbl></w:document>'}))
+    return readers.word_tables(made).where("error is null").drop("error")
+
+
+@query("a12_archive_members", "select 'n' || n_nationkey as path, 'n' || n_nationkey || '::data/' || n_name || '.csv' as member, length(n_name)::bigint as size from nation")
+def a12(spark, sf):
+    return readers.archive_members(_made(spark, sf, lambda n, k: _zip({f"data/{n}.csv": n, "__MACOSX/x": "x"})))
+
+
+@query("a14_tei_markdown", "select 'n' || n_nationkey as path, '# ' || n_name || chr(10) || chr(10) || '## H' || chr(10) || chr(10) || 'p ' || n_nationkey as markdown from nation")
+def a14(spark, sf):
+    return readers.tei_markdown(_made(spark, sf, lambda n, k: f"<TEI><teiHeader><title>{n}</title></teiHeader><head>H</head><p>p  {k}</p></TEI>".encode()))
+
+
+@query("a16_citation_structs", "select p_partkey, p_name as title, 'k' || p_partkey as pmid, case when p_size % 2 = 0 then '10.1/a' || p_partkey end as doi from part")
+def a16(spark, sf):
+    """Nested structs of citation XML in a column; a DOI only if there is exactly one."""
+    xml = F.expr("'<A><PMID>k' || p_partkey || '</PMID><T>' || p_name || '</T><Id type=\"doi\">10.1/A' || p_partkey || '</Id>' || case when p_size % 2 = 1 then '<Id type=\"doi\">10.1/other</Id>' else '' end || '<Id type=\"pmc\">x</Id></A>'")
+    x = load(spark, sf, "part").select("p_partkey", F.from_xml(xml, "PMID string, T string, Id array<struct<_VALUE:string,_type:string>>").alias("x"))
+    own = F.filter("x.Id", lambda i: i["_type"] == "doi")
+    return x.select("p_partkey", F.col("x.T").alias("title"), F.col("x.PMID").alias("pmid"), F.when(F.size(own) == 1, F.lower(own[0]["_VALUE"])).alias("doi"))
+
+
+@query("i10_robust_json", "select event_id, case when event_id % 5 = 4 then null else (props::json->>'$.k')::int end as k from events")
+def i10(spark, sf):
+    """Strict, fenced, embedded; without a value or with a repeated key there is none."""
+    from folioscope.functions.jsons import robust
+
+    p = F.col("props")
+    t = F.when(F.col("event_id") % 5 == 0, p).when(F.col("event_id") % 5 == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```"))).when(F.col("event_id") % 5 == 2, F.concat(F.lit("so "), p, F.lit(" it is"))).when(F.col("event_id") % 5 == 3, F.concat(F.lit(" "), p, F.lit("\n"))).otherwise(F.lit('{"k": 1, "k": 2}'))
+    return load(spark, sf, "events").select("event_id", F.try_variant_get(robust(t), "$.k", "int").alias("k"))
+
+
+@query("b02_create_only", "select 1 as attempt, true as created, 5::bigint as rows union all select 2, false, 5")
+def b02(spark, sf):
+    """The second writer finds the first one's table."""
+    import uuid
+
+    from folioscope.plans.lineage import shared_folder
+
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    r = load(spark, sf, "region")
+    found = [(k, sinks.create_only(df, path), spark.read.parquet(path).count()) for k, df in ((1, r), (2, r.limit(1)))]
+    return spark.createDataFrame(found, "attempt int, created boolean, rows long")
+
+
+@query("b07_html_report", "select 25 as rows, true as safe")
+def b07(spark, sf):
+    page = sinks.html_report(load(spark, sf, "nation").withColumn("x", F.lit("</script>")), "Nations")
+    return spark.createDataFrame([(page.count("n_name"), page.count("</script>") == 1)], "rows int, safe boolean")
+
+
+@query("j01_new_objects", "select event_id, event_type from events where event_id % 3 > 0")
+def j01(spark, sf):
+    """New objects of a stream, but for those that an earlier run finished; the checkpoint makes each once."""
+    import uuid
+
+    from folioscope.plans.lineage import shared_folder
+    from folioscope.streaming import jobs as stream
+
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = load(spark, sf, "events").select("event_id", "event_type")
+    new = spark.readStream.schema(load(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "event_type")
+    done = events.where("event_id % 3 = 0")
+    stream.process_new(new, lambda: done, "event_id", lambda df: df.write.mode("append").parquet(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{root}/out")
+
+
+@query("j08_resumed_batches", "select event_id, event_type from events")
+def j08(spark, sf):
+    """A stream that stops after its first run and goes on: nothing twice, nothing lost."""
+    import uuid
+
+    from folioscope.plans.lineage import shared_folder
+    from folioscope.streaming import jobs as stream
+
+    root = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}"
+    events = load(spark, sf, "events").select("event_id", "event_type")
+    out = spark.createDataFrame([], events.schema)
+    out.write.parquet(f"{root}/out")
+    for _ in range(2):
+        new = spark.readStream.schema(load(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "event_type")
+        stream.process_new(new, lambda: spark.read.schema(events.schema).parquet(f"{root}/out"), "event_id", lambda df: df.write.mode("append").parquet(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{root}/out")
