@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.lineage import cut
+
 
 def backlinks(links: DataFrame, docs: DataFrame) -> DataFrame:
     """target, doc_id, title: who links to each target."""
@@ -35,8 +37,6 @@ def merge_closure(merges: DataFrame) -> DataFrame:
 
     Pointer jumping: each round doubles the distance followed, so log n rounds end every chain that ends.
     """
-    from folioscope.plans.lineage import cut
-
     now = cut(merges.select("slug", "target"))
     for _ in range(now.count().bit_length() + 1):
         ahead = now.select(F.col("slug").alias("target"), F.col("target").alias("next"))
@@ -49,8 +49,6 @@ def merge_closure(merges: DataFrame) -> DataFrame:
 
 def record_groups(records: DataFrame, key: str, links: list[str]) -> DataFrame:
     """Each record with the least key of those it shares a value of some link column with, however indirectly."""
-    from folioscope.plans.lineage import cut
-
     values = records.select(key, F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in links])).alias("value")).where("value is not null")
     values = cut(values.distinct())
     label = cut(records.select(key, F.col(key).alias("root")).distinct())

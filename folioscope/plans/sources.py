@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.jsons import robust
+from folioscope.lineage import shared_folder
 from folioscope.operators import packing
 from folioscope.plans.registry import query
 from folioscope.sources import readers, sinks
 from folioscope.sources.tables import SQL_NOTES, load, notes
+from folioscope.streaming import jobs as stream
 
 PAGE = "'---' || chr(10) || 'title: \"' || left(text, 10) || '\"' || chr(10) || 'category: ' || lang || chr(10) || ' more: x' || chr(10) || 'year: ' || (1990 + doc_id % 30) || chr(10) || '---' || chr(10) || '# T' || chr(10) || substr(text, 1, 200)"
 
@@ -156,8 +164,6 @@ def f12(spark, sf):
 
 def _made(spark, sf, make):
     """(path, content) of a small file for each nation, made by make(name, key)."""
-    import pandas as pd
-
     def run(frames):
         for f in frames:
             yield pd.DataFrame({"path": [f"n{k}" for k in f["n_nationkey"]], "content": [make(n, k) for n, k in zip(f["n_name"], f["n_nationkey"])]})
@@ -166,9 +172,6 @@ def _made(spark, sf, make):
 
 
 def _zip(files: dict[str, str]) -> bytes:
-    import io
-    import zipfile
-
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
         for name, text in files.items():
@@ -212,8 +215,6 @@ def a16(spark, sf):
 @query("i10_robust_json", "select event_id, case when event_id % 5 = 4 then null else (props::json->>'$.k')::int end as k from events")
 def i10(spark, sf):
     """Strict, fenced, embedded; without a value or with a repeated key there is none."""
-    from folioscope.functions.jsons import robust
-
     p = F.col("props")
     t = F.when(F.col("event_id") % 5 == 0, p).when(F.col("event_id") % 5 == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```"))).when(F.col("event_id") % 5 == 2, F.concat(F.lit("so "), p, F.lit(" it is"))).when(F.col("event_id") % 5 == 3, F.concat(F.lit(" "), p, F.lit("\n"))).otherwise(F.lit('{"k": 1, "k": 2}'))
     return load(spark, sf, "events").select("event_id", F.try_variant_get(robust(t), "$.k", "int").alias("k"))
@@ -222,10 +223,6 @@ def i10(spark, sf):
 @query("b02_create_only", "select 1 as attempt, true as created, 5::bigint as rows union all select 2, false, 5")
 def b02(spark, sf):
     """The second writer finds the first one's table."""
-    import uuid
-
-    from folioscope.plans.lineage import shared_folder
-
     path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
     r = load(spark, sf, "region")
     found = [(k, sinks.create_only(df, path), spark.read.parquet(path).count()) for k, df in ((1, r), (2, r.limit(1)))]
@@ -241,11 +238,6 @@ def b07(spark, sf):
 @query("j01_new_objects", "select event_id, event_type from events where event_id % 3 > 0")
 def j01(spark, sf):
     """New objects of a stream, but for those that an earlier run finished; the checkpoint makes each once."""
-    import uuid
-
-    from folioscope.plans.lineage import shared_folder
-    from folioscope.streaming import jobs as stream
-
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = load(spark, sf, "events").select("event_id", "event_type")
     new = spark.readStream.schema(load(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "event_type")
@@ -257,11 +249,6 @@ def j01(spark, sf):
 @query("j08_resumed_batches", "select event_id, event_type from events")
 def j08(spark, sf):
     """A stream that stops after its first run and goes on: nothing twice, nothing lost."""
-    import uuid
-
-    from folioscope.plans.lineage import shared_folder
-    from folioscope.streaming import jobs as stream
-
     root = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}"
     events = load(spark, sf, "events").select("event_id", "event_type")
     out = spark.createDataFrame([], events.schema)
