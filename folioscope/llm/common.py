@@ -10,12 +10,11 @@ Conventions that every operator here follows:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.lineage import cut  # noqa: F401  the operators' tables are cut there
+
 #: The column that carries an input row through a stage.
 ROW = "__row"
 
@@ -33,33 +32,3 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo n: the fold of a row."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; only a local session without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not context.isEmpty():
-            return context.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        if "own" not in _FOLDER:
-            _FOLDER["own"] = tempfile.mkdtemp(prefix="tables-")
-        named = _FOLDER["own"]
-    return named.rstrip("/")
-
-
-_FOLDER: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read from there: nothing is lost with an executor.
-
-    A checkpoint would carry its plan's partitionings and orderings on, whose number doubles with each join
-    of a loop; a table carries only its size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
