@@ -56,10 +56,10 @@ def rates(df: DataFrame, source: str, text: str, weights: dict[str | None, float
     else:
         given = df.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         weighed = sizes.join(given, sizes["source"].eqNullSafe(given["name"]), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    whole = weighed.agg(F.sum("weight").alias("weights"), F.sum("size").alias("bytes"))
-    target = F.col("bytes") if target_bytes is None else F.lit(target_bytes)
-    # One row beside one row for each source.
-    return weighed.join(F.broadcast(whole)).select("source", F.coalesce(F.try_divide(F.col("weight") * target, F.col("weights") * F.col("size")), F.lit(0.0)).alias("rate"))
+    # One row, as a scalar subquery beside one row for each source.
+    whole = weighed.agg(F.struct(F.sum("weight").alias("weights"), F.sum("size").alias("bytes")).alias("whole")).scalar()
+    target = whole["bytes"] if target_bytes is None else F.lit(target_bytes)
+    return weighed.select("source", F.coalesce(F.try_divide(F.col("weight") * target, whole["weights"] * F.col("size")), F.lit(0.0)).alias("rate"))
 
 
 def replicate(df: DataFrame, doc_id: str, source: str, text: str, seed: int = 42, **target) -> DataFrame:
