@@ -50,8 +50,9 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = terms.select("term").distinct()
     tf = postings(index).join(wanted, "term").groupBy("term", "doc_id", "ord").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    totals = index.agg(F.count(F.lit(1)).alias("total"), F.avg("len").alias("avglen"))
-    hit = tf.join(df, "term").join(terms, "term").join(index.select("doc_id", "ord", "len"), ["doc_id", "ord"]).join(F.broadcast(totals))
+    totals = index.agg(F.struct(F.count(F.lit(1)).alias("total"), F.avg("len").alias("avglen")).alias("t")).scalar()
+    joined = tf.join(df, "term").join(terms, "term").join(index.select("doc_id", "ord", "len"), ["doc_id", "ord"])
+    hit = joined.select("query_id", "doc_id", "ord", "tf", "n", "len", totals["total"].alias("total"), totals["avglen"].alias("avglen"))
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(FLOOR)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
