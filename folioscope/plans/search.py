@@ -142,14 +142,13 @@ def d15(spark, sf):
     return S.merged_candidates(asked, hits)
 
 
-@query("f08_rerank", """with s as (select vec_id, label, row_number() over (order by vec_id) as prior, case when vec_id % 5 = 0 then null else round(embedding[1]::double, 4) end as p from embeddings)
-select vec_id, prior, p, row_number() over (order by coalesce(p, -1) desc, prior) as rank from s where label = 1""".replace("from embeddings)", "from embeddings where label = 1)"))
+@query("f08_rerank", """with s as (select label, vec_id, row_number() over (partition by label order by vec_id) as prior, case when vec_id % 5 = 0 then null else round(embedding[1]::double, 4) end as p from embeddings)
+select label, vec_id, prior, p, row_number() over (partition by label order by coalesce(p, -1) desc, prior) as rank from s""")
 def f08(spark, sf):
-    """Model probabilities decide, unscored ones come last, prior ranks break ties."""
-    e = load(spark, sf, "embeddings").where("label = 1")
-    w = Window.orderBy("vec_id")
-    s = e.select("vec_id", F.row_number().over(w).alias("prior"), F.when(F.col("vec_id") % 5 != 0, F.round(F.col("embedding")[0].cast("double"), 4)).alias("p"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("p", F.lit(-1.0)).desc(), "prior")))
+    """Model probabilities decide, unscored ones come last, prior ranks break ties; a label is a list of candidates."""
+    per = Window.partitionBy("label")
+    s = load(spark, sf, "embeddings").select("label", "vec_id", F.row_number().over(per.orderBy("vec_id")).alias("prior"), F.when(F.col("vec_id") % 5 != 0, F.round(F.col("embedding")[0].cast("double"), 4)).alias("p"))
+    return s.withColumn("rank", F.row_number().over(per.orderBy(F.coalesce("p", F.lit(-1.0)).desc(), "prior")))
 
 
 @query("h14_noise_removed", r"""with t as (select doc_id, regexp_replace(text, '([^\s]\s){41,}', '', 'g') as a from documents),
