@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.plans.registry import QUERIES, SQL
 
@@ -44,7 +45,7 @@ def test_query_is_its_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", ["f01_bm25_topk", "e08_issue_queue", "g01_membership_change", "d12_co_occurrence", "j02_idempotent_intake", "f05_latest_per_key"])
 def test_result_is_the_same_for_shuffled_input(spark, sf, tmp_path, name):
     for t in TABLES:
-        spark.read.parquet(f"{sf}/{t}.parquet").orderBy(__import__("pyspark").sql.functions.rand(3)).repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+        spark.read.parquet(f"{sf}/{t}.parquet").orderBy(F.rand(3)).repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
     a, b = QUERIES[name](spark, sf), QUERIES[name](spark, str(tmp_path))
     assert rows(a.columns, a.collect()) == rows(b.columns, b.collect())
 
