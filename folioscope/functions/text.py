@@ -64,6 +64,17 @@ def doi(c: Column | str, strict: bool = True) -> Column:
     return F.when(bare.rlike(r"^10\.[0-9]{4,9}/[^ ]+$"), bare) if strict else F.nullif(bare, F.lit(""))
 
 
+def decoded_doi(c: Column | str, most: int = 300) -> Column:
+    """As strict, but percent-encoded marks are decoded first, and what is too long is refused."""
+    plain = F.try_url_decode(F.replace(F.trim(col(c)), F.lit("+"), F.lit("%2B")))
+    return F.when(F.length(plain) <= most, doi(plain))
+
+
+def demanded_doi(c: Column | str) -> Column:
+    """As strict, but a value that is there and isn't a DOI fails the query."""
+    return F.when(col(c).isNull() | doi(c).isNotNull(), doi(c)).otherwise(F.raise_error(F.concat(F.lit("not a DOI: "), F.substring(col(c), 1, 80))))
+
+
 def repaired_doi(c: Column | str) -> Column:
     """Without the paths and closing brackets that running text adds."""
     cut = F.regexp_replace(col(c), r"(/(full|pdf|abstract|epdf))?[.,;]*$", "")

@@ -26,17 +26,26 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return keyed.where(~F.col("key").rlike("/(drafts|failed)/"))
 
 
-def frontmatter(text: Column | str, quoted: bool = True) -> tuple[Column, Column]:
-    """(fields as a map, body).  ``quoted``: values lose their quotes; lines that start with a space continue and are left out."""
+def frontmatter(text: Column | str, values: str = "quoted", known: list[str] | None = None, strict: bool = False) -> tuple[Column, Column]:
+    """(fields as a map, body).
+
+    ``values``: ``quoted`` strips quotes, ``json`` decodes JSON strings and keeps other JSON as written, ``raw`` keeps all.
+    ``known``: only these fields.  ``strict``: a header with a line that is no field gives null instead of leaving it out.
+    Lines that start with a space continue and are left out; a repeated field keeps its last value.
+    """
     t = F.col(text) if isinstance(text, str) else text
     fence = r"(?s)^---\n(.*?)\n---\n"
     head = F.regexp_extract(t, fence, 1)
-    lines = F.filter(F.split(head, "\n"), lambda x: x.contains(":") & ~x.startswith(" "))
-    value = lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
-    bare = lambda x: F.btrim(value(x), F.lit('"')) if quoted else value(x)
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), bare(x).alias("value")))
-    # A repeated field keeps its last value.
+    every = F.filter(F.split(head, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith(" "))
+    lines = F.filter(every, lambda x: x.contains(":"))
+    raw = lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
+    value = {"raw": raw, "quoted": lambda x: F.btrim(raw(x), F.lit('"')), "json": lambda x: F.when(raw(x).startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), raw(x), F.lit("}")), "$.v"), raw(x))).otherwise(raw(x))}[values]
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), value(x).alias("value")))
+    if known is not None:
+        pairs = F.filter(pairs, lambda p: p["key"].isin(known))
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
+    if strict:
+        last = F.when(F.size(lines) == F.size(every), last)
     return last, F.regexp_replace(t, fence, "")
 
 

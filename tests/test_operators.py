@@ -131,6 +131,22 @@ def test_text_readers(spark, tmp_path):
     assert sorted((r.step, r.n) for r in readers.json_lines(spark, str(tmp_path / "l.json"), "step string, n long").where("step is not null").collect()) == [("x", 1), ("y", 0)]
 
 
+def test_front_matter_dialects(spark):
+    d = spark.createDataFrame([('---\na: "x \\"y\\""\nb: [1, 2]\njunk\n---\nt',), ("no header",)], "t string")
+    one = lambda **how: [r.f for r in d.select(readers.frontmatter("t", **how)[0].alias("f")).collect()]
+    assert one(values="json") == [{"a": 'x "y"', "b": "[1, 2]"}, {}]
+    assert one(values="raw", known=["b"]) == [{"b": "[1, 2]"}, {}]
+    assert one(strict=True) == [None, {}]
+
+
+def test_doi_dialects(spark):
+    d = spark.createDataFrame([("https://doi.org/10.1000/AB%28c%29",), ("junk",), (None,)], "t string")
+    got = d.select(T.doi("t").alias("a"), T.doi("t", strict=False).alias("b"), T.decoded_doi("t").alias("c")).collect()
+    assert [tuple(r) for r in got] == [("10.1000/ab%28c%29", "10.1000/ab%28c%29", "10.1000/ab(c)"), (None, "junk", None), (None, None, None)]
+    with pytest.raises(Exception, match="not a DOI: junk"):
+        d.select(T.demanded_doi("t")).collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, ["a", "b"]), (1, [])], "id long, tags array<string>")
     sinks.export_csv(df, str(tmp_path / "csv"), "id")
