@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 #: Pieces up to this many bytes share one store of prefixes; longer ones have an array of their own.
 SHARED_BYTES = 48
-#: Entries of a worker's stores of pieces, prefixes and pairs (some 300 MB in all); a full store is emptied, which only costs time.
-PIECES, PREFIXES, PAIRS = 600_000, 800_000, 500_000
+#: Entries of a worker's stores of pieces, prefixes and pairs (some 150 MB in all); a full store is emptied, which only costs time.
+PIECES, PREFIXES, PAIRS = 300_000, 400_000, 300_000
 
 
 class _Pieces(dict):
