@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from folioscope.llm.common import bounded_batches
+
 #: Pieces up to this many bytes share one store of prefixes; longer ones have an array of their own.
 SHARED_BYTES = 48
 #: Entries of a worker's stores of pieces, prefixes and pairs (some 150 MB in all); a full store is emptied, which only costs time.
@@ -205,6 +207,7 @@ def _batches(df: DataFrame, text: str, ranks_path: str, pattern: str, extra: pa.
     """Every column of ``df`` but ``text`` beside the columns that row(encoder, text) gives."""
     with open(ranks_path, "rb") as f:  # the driver's file; its bytes (under 1 MB for 50,000 tokens) go to the workers
         content = df.sparkSession.sparkContext.broadcast(f.read())
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,17 @@ from folioscope.lineage import cut  # noqa: F401  the operators' tables are cut
 ROW = "__row"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts differ in length a thousandfold: batches for Python are bounded in rows and bytes, unless the session has lower bounds."""
+    for name, most in (("maxRecordsPerBatch", 512), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = (spark.conf.get(key, None) or "").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

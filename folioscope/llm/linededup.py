@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from folioscope.llm.common import ROW, carried, cut
+from folioscope.llm.common import ROW, bounded_batches, carried, cut
 
 WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -177,6 +177,7 @@ def _rewritten(text: pa.Array, drops: pa.Array, least: pa.Array) -> pa.Array:
 
 def dedup_lines(df: DataFrame, doc_id: str, text: str, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Rows as (``__row``, ``lines``): the input row, and text, n_lines and n_dropped after dropping repeated lines."""
+    bounded_batches(df.sparkSession)
     found = cut(suspects(df, doc_id, text, min_chars))
     # A key of a third of all documents is many rows: pairs are made distinct on both columns, counts are summed before they shuffle.
     held = found.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))

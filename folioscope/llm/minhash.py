@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import bounded_batches, cut
 from folioscope.llm.wordhash import mixed, words
 
 BANDS, ROWS = 48, 6
@@ -186,6 +186,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
+    bounded_batches(df.sparkSession)
     df = df.select(doc_id, text)
     signed = cut(signed_sets(df, doc_id, text, width))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
