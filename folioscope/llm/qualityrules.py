@@ -1,8 +1,7 @@
 """Quality rules: base counts of each text, and lines that too many documents of a host share [native].
 
 A line is normalised (lower case, digits as 0, white space squeezed and stripped) and hashed.  A hash
-held by at least ``min_docs`` documents of a host and by at least ``min_share`` of the host's
-documents is boilerplate there.  A document whose words outside boilerplate lines are fewer than
+held by at least ``min_docs`` documents of a host is boilerplate there, whatever the host's size.  A document whose words outside boilerplate lines are fewer than
 ``least_share`` of its words is depleted and rejected, as is one that fails a base rule.
 
 Counting is one row for each (host, line, document), pre-summed before it shuffles; the few frequent
@@ -60,20 +59,36 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     return out.drop("__s", "__lines", "__w", "__h")
 
 
-def verdicts(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 10, min_share: float = 0.01, least_share: float = 0.5) -> DataFrame:
-    """doc_id, COUNTS, n_boilerplate_words, base_failed and kept for each row."""
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+def normalised(line: Column) -> Column:
+    return F.regexp_replace(F.lower(squeezed(line)), "[0-9]", "0")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def held_lines(docs: DataFrame) -> DataFrame:
+    """(host, hash, doc_id, content, words, salt): a row for each line of each document of ``docs``."""
     line = docs.select("doc_id", "host", "content", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    line = line.select("doc_id", "host", "content", F.regexp_replace(F.lower(squeezed(F.col("line"))), "[0-9]", "0").alias("line")).where("line <> ''")
+    line = line.select("doc_id", "host", "content", normalised(F.col("line")).alias("line")).where("line <> ''")
     line = line.select("doc_id", "host", "content", F.xxhash64("line").alias("hash"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
-    held = line.groupBy("host", "hash", "doc_id", "content").agg(F.sum("words").alias("words"), F.count("words").alias("times"))
-    sizes = docs.groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("host", "of_host")
-    counted = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    often = counted.join(sizes, counted["host"].eqNullSafe(sizes["of_host"])).where(F.col("n") >= F.col("docs") * min_share)
-    often = often.select(F.col("host").alias("f_host"), F.col("hash").alias("f_hash"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
-    hit = salted.join(often, salted["host"].eqNullSafe(often["f_host"]) & (salted["hash"] == often["f_hash"]) & (salted["salt"] == often["f_salt"]))
-    removed = hit.groupBy("doc_id", "content").agg(F.sum("words").alias("removed"))
+    held = line.groupBy("host", "hash", "doc_id", "content").agg(F.sum("words").alias("words"))
+    return held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
+
+
+def boilerplate(held: DataFrame, min_docs: int) -> DataFrame:
+    """The rows of ``held`` whose line ``min_docs`` documents of the host hold, whatever the host's size."""
+    # Only salts that a line's documents have come back, so that these rows are never more than those of its documents.
+    counted = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).where(F.col("n") >= min_docs)
+    own = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)
+    often = counted.select(F.col("host").alias("f_host"), F.col("hash").alias("f_hash"), F.explode(own).alias("f_salt"))
+    return held.join(often, held["host"].eqNullSafe(often["f_host"]) & (held["hash"] == often["f_hash"]) & (held["salt"] == often["f_salt"]))
+
+
+def verdicts(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 10, least_share: float = 0.5) -> DataFrame:
+    """doc_id, COUNTS, n_boilerplate_words, base_failed and kept for each row."""
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+    removed = boilerplate(held_lines(docs), min_docs).groupBy("doc_id", "content").agg(F.sum("words").alias("removed"))
     counts = base_counts(docs, "text").select("doc_id", "content", *COUNTS)
     both = counts.withColumn("removed", F.lit(0).cast("long")).withColumn("row", F.lit(1)).unionByName(
         removed.select("doc_id", "content", *[F.lit(None).cast("long").alias(c) for c in COUNTS], "removed", F.lit(0).alias("row"))
@@ -81,6 +96,6 @@ def verdicts(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 1
     # Repeated rows of a document meet here, with their lines' words summed over them, and part again.
     met = both.groupBy("doc_id", "content").agg(*[F.max(c).alias(c) for c in COUNTS], F.sum("removed").alias("removed"), F.sum("row").alias("rows"))
     rows = met.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = base_failed()
     gone = (F.col("removed") / F.col("rows")).cast("long")
     return rows.select("doc_id", *COUNTS, gone.alias("n_boilerplate_words"), failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_share * F.col("n_words")))

@@ -172,6 +172,17 @@ def test_boilerplate_depletes_a_document(spark):
     assert not got[20].kept and got[21].kept and got[21].n_boilerplate_words == 0
 
 
+def test_boilerplate_limit_is_the_same_in_a_large_host(spark):
+    spell = lambda x: "".join("qwertyuiop"[int(c)] for c in str(x))
+    own = lambda i, n: " ".join(f"w{spell(i)}x{spell(j)}" for j in range(n))
+    boiler, nearly = own("7", 60), own("8", 60)
+    docs = [(i, f"{boiler}\n{own(i, 10)}", "h") for i in range(10, 20)] + [(i, f"{nearly}\n{own(i, 10)}", "h") for i in range(20, 29)] + [(i, own(i, 1), "h") for i in range(100, 2100)]
+    # Repeated rows are one document.
+    found = qualityrules.verdicts(spark.createDataFrame(docs + docs[10:19], "doc_id long, text string, host string"), "doc_id", "text", "host").where("doc_id < 100").collect()
+    assert len(found) == 28
+    assert all((r.n_boilerplate_words, r.kept) == ((60, False) if r.doc_id < 20 else (0, True)) for r in found)
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers as P
