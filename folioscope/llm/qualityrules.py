@@ -6,7 +6,8 @@ held by at least ``min_docs`` documents of a host is boilerplate there, whatever
 
 Counting is one row for each (host, line, document), pre-summed before it shuffles; the few frequent
 lines come back to their documents over (host, line, salt), so that a line in a third of all
-documents is spread.  Texts are never shuffled.
+documents is spread.  ``verdicts`` counts and never shuffles texts; ``cleaned`` gives the texts without
+their boilerplate lines, and its counts and verdicts are those of the texts it gives.
 
 Defined results: null text has no words, so it fails the base rule; a null host is a host of its own;
 a document is a row's (doc_id, text), so repeated rows count once and are each returned; lines
@@ -99,3 +100,17 @@ def verdicts(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 1
     failed = base_failed()
     gone = (F.col("removed") / F.col("rows")).cast("long")
     return rows.select("doc_id", *COUNTS, gone.alias("n_boilerplate_words"), failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_share * F.col("n_words")))
+
+
+def cleaned(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 10, least_share: float = 0.5) -> DataFrame:
+    """doc_id, text without its boilerplate lines, n_words (of the whole text), n_boilerplate_words, base_failed and kept for each row."""
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+    gone = boilerplate(held_lines(docs), min_docs).groupBy(F.col("doc_id").alias("g_id"), F.col("host").alias("g_host"), F.col("content").alias("g_content")).agg(F.collect_set("hash").alias("gone"))
+    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & docs["host"].eqNullSafe(gone["g_host"]) & (docs["content"] == gone["g_content"]), "left")
+    # Lines without a word never stand in ``gone``: held_lines leaves them out.
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalised(x)))), "\n")
+    rows = base_counts(both.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)), "text")
+    words = squeezed(F.coalesce("left", F.lit("")))
+    n_left = F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+    out = rows.select("doc_id", F.col("left").alias("text"), "n_words", (F.col("n_words") - n_left).alias("n_boilerplate_words"), base_failed().alias("base_failed"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate_words") >= least_share * F.col("n_words")))

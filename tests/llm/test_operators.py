@@ -183,6 +183,18 @@ def test_boilerplate_limit_is_the_same_in_a_large_host(spark):
     assert all((r.n_boilerplate_words, r.kept) == ((60, False) if r.doc_id < 20 else (0, True)) for r in found)
 
 
+def test_cleaned_texts_have_no_boilerplate(spark, sf01):
+    own = lambda i, n: " ".join(f"w{'qwertyuiop'[i % 10]}{'qwertyuiop'[i // 10]}x{'qwertyuiop'[j % 10] * (1 + j // 10)}" for j in range(n))
+    docs = [(i, f"{own(i, 60)}\n  Page {i} OF 9\t\n\n{own(i + 40, 3)}\nPage 7 of 9", "h") for i in range(10)] + [(12, f"{own(12, 60)}\npage 1 of 9", "other"), (13, None, "h"), (None, "Page 5 of 9", None)]
+    got = {r.doc_id: r for r in qualityrules.cleaned(spark.createDataFrame(docs, "doc_id long, text string, host string"), "doc_id", "text", "host").collect()}
+    assert all((got[i].text, got[i].n_words, got[i].n_boilerplate_words, got[i].kept) == (f"{own(i, 60)}\n\n{own(i + 40, 3)}", 71, 8, True) for i in range(10))
+    assert (got[12].text, got[12].n_boilerplate_words, got[13].text, got[None].text) == (docs[10][1], 0, None, "Page 5 of 9")
+    table = spark.read.parquet(f"{sf01}/documents.parquet")
+    same = ["doc_id", "n_words", "n_boilerplate_words", "base_failed", "kept"]
+    a, b = (f(table, "doc_id", "text", "source", min_docs=3).select(same) for f in (qualityrules.cleaned, qualityrules.verdicts))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.where("n_boilerplate_words > 0").count() > 0
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers as P
