@@ -3,8 +3,11 @@
 The lexicon is learned from labelled texts: words and word beginnings (stems) that are far commoner
 in toxic texts.  Its trie and the Levenshtein automata of all its terms run as one automaton over a
 word's characters: a state is the set of (trie node, edits so far), made when first met and then
-kept, so a clean word usually ends after three or four table lookups.  Terms of five letters and
-more may have one edit, of nine and more two; the first letter is always right.
+kept, so a clean word usually ends after a few table lookups.  Terms of four letters and more may have
+one edit, of nine and more two, at any letter, the first too.  Words masked by symbols (id*ot) are
+joined and each symbol counts as a letter.  Edited forms that are no commoner in the sample's toxic
+texts than in its clean ones are clean words, not hits; what the other edited forms weigh is counted
+on the half of the sample that did not choose them.
 
 Each hit weighs the log odds of its term (for edited forms those of the edited form, so that forms
 that clean texts use too weigh nothing).  A window of words around it tells quotation (inside quotation
@@ -23,6 +26,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+#: Words with one to three symbols at a time between letters.
+MASKED = re.compile(r"[^\W_]++(?:(?:[^\w\s]|_){1,3}+[^\W_]++)+")
+#: Shortest and longest stem (words of any length are terms), and words kept.
 LEAST, STEM, WORDS = 4, 7, 900_000
 #: Words of saying, and of the second person, in the languages at hand.
 SAYING = frozenset("said says say wrote writes called calls quoted quote quotes claimed dit disait écrit appelé sagte sagt schrieb nannte dijo dice escribió llamó".split())
@@ -42,14 +50,15 @@ WINDOW, QUOTED, DIRECTED = 6, 0.35, 1.15
 
 
 def edits_for(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 4 else 1 if length < 9 else 2
 
 
 class Lexicon:
-    """A trie of terms (text, is a stem) and the automaton over it."""
+    """A trie of terms (text, is a stem) and the automaton over it; with ``first``, edits may be at the first letter too."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], first: bool = False):
         self.terms = terms
+        self.first = first
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.most: list[int] = [0]  # edits that some term below may have
@@ -79,7 +88,7 @@ class Lexicon:
         stack = list(of.items())
         while stack:
             node, e = stack.pop()
-            if node and e < self.most[node]:
+            if (node or self.first) and e < self.most[node]:
                 for child in self.children[node].values():
                     if e + 1 <= self.most[child] and of.get(child, 99) > e + 1:
                         of[child] = e + 1
@@ -105,7 +114,7 @@ class Lexicon:
         for node, e in self.states[state]:
             if c in self.children[node]:
                 reach(self.children[node][c], e)
-            if node:  # the first letter is right
+            if node or self.first:
                 reach(node, e + 1)
                 for child in self.children[node].values():
                     reach(child, e + 1)
@@ -126,13 +135,16 @@ class Lexicon:
 
 
 class Matches(dict):
-    """word -> its match (None for clean words), filled when asked."""
+    """word -> its match (None for clean words, and for edited forms in ``clean``), filled when asked."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, clean: frozenset[str] = frozenset()):
         self.lexicon = lexicon
+        self.clean = clean
 
     def __missing__(self, word: str) -> tuple[int, int] | None:
         found = self.lexicon.match(word)
+        if found is not None and found[0] and word in self.clean:
+            found = None
         if len(self) >= WORDS:
             self.clear()
         self[word] = found
@@ -145,18 +157,27 @@ class Model:
     weights: dict[tuple[int, int], float] = field(default_factory=dict)  # (term, edits)
     slope: float = 1.0
     shift: float = -3.0
+    clean: frozenset[str] = frozenset()  # edited forms that are clean words
 
 
-def hits(matches: Matches, text: str | None) -> list[tuple[int, int, bool, bool]]:
-    """(term, edits, quoted, directed) of each hit in a text."""
+def hits(matches: Matches, text: str | None) -> list[tuple[int, int, bool, bool, str]]:
+    """(term, edits, quoted, directed, form) of each hit in a text."""
     low = (text or "").lower()
     words = WORD.findall(low)
     found = list(map(matches.__getitem__, words))
-    if not any(found):
+    masked = [w for c in {*low.split()} if not c.isalnum() for w in MASKED.findall(c) if matches[w]]
+    if not masked and not any(found):
         return []
+    forms = words.copy()
     marks, at, out = [m.start() for m in QUOTES.finditer(low)], 0, []
     breaks = [m.start() for m in re.finditer("\n", low)]
     places = [m.start() for m in WORD.finditer(low)]
+    if masked:
+        for m in MASKED.finditer(low):
+            f, i = matches[m.group()], bisect_left(places, m.start())
+            # A masked word stands for its parts if it is closer to a term than each of them.
+            if f is not None and all(x is None or f < x for x in found[i : bisect_left(places, m.end())]):
+                found[i], forms[i] = f, m.group()
     starts = np.searchsorted(breaks, places) if breaks else np.zeros(len(places), int)
     for i, f in enumerate(found):
         if f is None:
@@ -164,14 +185,14 @@ def hits(matches: Matches, text: str | None) -> list[tuple[int, int, bool, bool]
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         line = breaks[starts[i] - 1] if starts[i] else -1
         open_marks = sum(1 for m in marks[at:] if line < m < places[i]) if marks else 0
-        out.append((f[1], f[0], open_marks % 2 == 1 or not SAYING.isdisjoint(near), not SECOND.isdisjoint(near)))
+        out.append((f[1], f[0], open_marks % 2 == 1 or not SAYING.isdisjoint(near), not SECOND.isdisjoint(near), forms[i]))
     return out
 
 
-def total(model: Model, found: list[tuple[int, int, bool, bool]]) -> float:
+def total(model: Model, found: list[tuple[int, int, bool, bool, str]]) -> float:
     """Weight of all hits: repeated ones add less and less, so that length alone makes no text toxic."""
     by_term: dict[tuple[int, int], float] = {}
-    for term, edits, quoted, directed in found:
+    for term, edits, quoted, directed, _ in found:
         k = QUOTED if quoted else DIRECTED if directed else 1.0
         by_term[term, edits] = max(by_term.get((term, edits), 0.0), k)
     return sum(k * model.weights.get(key, 0.0) for key, k in by_term.items())
@@ -205,6 +226,11 @@ def choose_terms(counts: list[tuple[str, int, int, int]], toxic: int, clean: int
     return sorted((t, stem) for t, stem in out.items() if stem or not any(t.startswith(o) and s for o, s in out.items()))
 
 
+def clean_forms(used: dict[str, list[int]], clean: int, toxic: int) -> frozenset[str]:
+    """Forms that are at least as common in the clean texts as in the toxic ones; ``used``: form -> clean texts, toxic texts with it."""
+    return frozenset(form for form, (no, yes) in used.items() if no and no * toxic >= yes * clean)
+
+
 def _sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, toxic: int, clean: int) -> DataFrame:
     usable = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     n = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -226,7 +252,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
                 words = WORD.findall((t.as_py() or "").lower())
                 seen: dict[tuple[str, int], int] = {}
                 for i, w in enumerate(words):
-                    if len(w) >= LEAST and (w, 1) not in seen:
+                    if (w, 1) not in seen:
                         # Copies of a text share the words around a term: a term is as common as it has different neighbours.
                         near = xxhash.xxh3_64_intdigest(" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2])) >> 1 if y else 0
                         seen[w, 1] = near
@@ -244,16 +270,29 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     model = Model(choose_terms([(r.term, r.word, r.a, r.b) for r in often.collect()], sizes[1], sizes[0]))
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = Matches(Lexicon(model.terms))
+        matches = Matches(Lexicon(model.terms, first=True))
         for batch in batches:
             own = [hits(matches, t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array([[list(map(int, h)) for h in x] for x in own], pa.list_(pa.list_(pa.int32())))], names=["id", "y", "hits"])
-
-    rows = sorted(some.mapInArrow(found_in, "id string, y int, hits array<array<int>>").collect(), key=lambda r: (r.id, r.y))
+            numbers = pa.array([[list(map(int, h[:4])) for h in x] for x in own], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), numbers, pa.array([[h[4] for h in x] for x in own], pa.list_(pa.string()))], names=["id", "y", "hits", "forms"])
+
+    rows = sorted(some.mapInArrow(found_in, "id string, y int, hits array<array<int>>, forms array<string>").collect(), key=lambda r: (r.id or "", r.y))
+    found = [(r.y, zlib.crc32((r.id or "").encode()) % 2, [(h[0], h[1], bool(h[2]), bool(h[3]), f) for h, f in zip(r.hits, r.forms)]) for r in rows]
+    # Edited forms that are clean words, as each half of the sample and the whole of it have them.
+    texts, used = [[0, 0], [0, 0]], [{}, {}]
+    for y, half, own in found:
+        texts[half][y] += 1
+        for form in {h[4] for h in own if h[1]}:
+            used[half].setdefault(form, [0, 0])[y] += 1
+    halves = [clean_forms(used[half], *texts[half]) for half in (0, 1)]
+    both = {form: [sum(u.get(form, [0, 0])[y] for u in used) for y in (0, 1)] for form in {*used[0], *used[1]}}
+    model.clean = clean_forms(both, sizes[0], sizes[1])
+    # A text's own half has no say in which of its forms count.
+    counting = [(y, [h for h in own if not h[1] or h[4] not in halves[1 - half]]) for y, half, own in found]
     count: dict[tuple[int, int], list[int]] = {}
-    for r in rows:
-        for key in {(h[0], h[1]) for h in r.hits}:
-            count.setdefault(key, [0, 0])[r.y] += 1
+    for y, own in counting:
+        for key in {(h[0], h[1]) for h in own}:
+            count.setdefault(key, [0, 0])[y] += 1
     for k, (term, _) in enumerate(model.terms):
         exact = count.get((k, 0), [0, 0])
         for e in range(edits_for(len(term)) + 1):
@@ -262,8 +301,8 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
             model.weights[k, e] = max(0.0, math.log((max(yes, prior) + 0.5) / (sizes[1] + 1)) - math.log((no + 0.5) / (sizes[0] + 1)))
             if e and no > yes:
                 model.weights[k, e] = 0.0
-    x = np.array([squash(total(model, [(h[0], h[1], bool(h[2]), bool(h[3])) for h in r.hits])) for r in rows])
-    model.slope, model.shift = curve(x, np.array([float(r.y) for r in rows]))
+    x = np.array([squash(total(model, own)) for _, own in counting])
+    model.slope, model.shift = curve(x, np.array([float(y) for y, _ in counting]))
     return model
 
 
@@ -277,7 +316,7 @@ def score(df: DataFrame, text: str, model: Model) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = Matches(Lexicon(sent.value.terms))
+        matches = Matches(Lexicon(sent.value.terms, first=True), sent.value.clean)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -289,6 +289,54 @@ def test_toxicity_of_misspelled_quoted_and_clean_texts(spark, sf01, folder):
     assert all(0 <= r.score <= 1 for r in scored)
 
 
+def test_levenshtein_automaton_edits_first_letters():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = [("abc", False), ("dabe", False), ("abcde", False), ("bacdeabcd", False), ("abdca", True), ("bbbb", True)]
+    lexicon = toxicity.Lexicon(terms, first=True)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    for term, _ in terms:  # a few edits of each term, at any letter
+        for _ in range(200):
+            w = term
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randint(0, len(w))
+                w = w[:i] + rng.choice(["", "a", "e"]) + w[i + rng.randint(0, 1) :]
+            words.append(w or "a")
+    for w in words:
+        best = []
+        for k, (t, stem) in enumerate(terms):
+            d = min(distance(w[:n], t) for n in range(1, len(w) + 1)) if stem else distance(w, t)
+            if d <= (0 if len(t) < 4 else 1 if len(t) < 9 else 2):
+                best.append((d, k))
+        got = lexicon.match(w)
+        assert (got is None) == (not best) and (got is None or got[0] == min(best)[0]), w
+
+
+def test_toxicity_of_first_letters_symbols_and_short_terms(spark):
+    # Four clean forms of the short term ("dumb") stand in clean texts; a term of three letters is learned too.
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("ghklpwy") for _ in range(rng.randint(7, 9))) for _ in range(300)]
+    some = lambda: " ".join(rng.choice(filler) for _ in range(12))
+    bad, good = ["idiot", "dumb", "zit"], ["dump", "numb", "dumbo", "dub", "said"]
+    rows = [(i, f"{some()} {bad[i % 3]} {some()}" if i < 150 else f"{some()} {good[i % 5]} {some()}", int(i < 150)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "doc_id", "text", "toxic")
+    assert {("idiot", False), ("dumb", False), ("zit", False)} <= {*model.terms} and {"dump", "numb", "dumbo", "dub"} <= model.clean
+    forms = ["zit", "zdiot", "diot", "xidiot", "id*ot", "*diot", "i_diot", "d*mb", "dymb", "**idiot**", "(idiot)", "idiot.the"]
+    clean = ["dump", "numb", "dumbo", "dub", "a*b", "zot", "", "and/or"]
+    found = toxicity.score(spark.createDataFrame([(f, f"we met {f} here") for f in forms + clean], "form string, text string"), "text", model)
+    scores = {r.form: r.score for r in found.collect()}
+    assert all(scores[f] == scores[""] for f in clean), scores
+    assert all(scores[f] > scores[""] for f in forms) and scores["**idiot**"] == scores["(idiot)"] == scores["idiot.the"] > scores["zdiot"], scores
+
+
 def shingles(t, k):
     w = WHITE.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
