@@ -7,8 +7,9 @@ margins break ties.  Weights are one table of WIDTH rows and a column for each p
 a gather and a sum, whatever its length, and whole texts are read.
 
 Training uses a bounded sample: at most about ``per_language`` labelled texts of each language (the
-share that brings its expected number there, chosen by a hash of the id) of at most ``languages``
-languages, those with most texts.  Only text and language of the rows given are seen.
+share that brings its expected number there, chosen by a hash of the id), and every labelled language
+is learned.  Weights take 256 KB for each pair, so they grow with the square of the number of families
+and of the languages inside one.  Only text and language of the rows given are seen.
 
 Defined results: text that is null or has no letter is ``und`` with score 0; ties go to the first
 name; languages outside FAMILIES are families of their own; with a single language it is always
@@ -86,9 +87,9 @@ def svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.0,
 SCALE = 10.0
 
 
-def sample(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language: int, languages: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def sample(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     usable = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
@@ -109,8 +110,8 @@ def sample(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language:
     return sorted(((r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.v, np.float32).astype(np.float64), r.id) for r in found), key=lambda r: (r[0], r[3], len(r[1])))
 
 
-def train(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language: int = 500, languages: int = 64) -> Model:
-    rows = sample(labelled, doc_id, text, lang, per_language, languages)
+def train(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language: int = 500) -> Model:
+    rows = sample(labelled, doc_id, text, lang, per_language)
     names = sorted({r[0] for r in rows})
     of: dict[str, list[str]] = {}
     for n in names:
@@ -157,7 +158,7 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
 def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
     """``df`` without ``text``, with lang_pred and score."""
     kept = [c for c in df.columns if c != text]
-    sent = df.sparkSession.sparkContext.broadcast(model)  # WIDTH floats for each pair of the bounded set of languages
+    sent = df.sparkSession.sparkContext.broadcast(model)  # WIDTH floats for each pair of languages or families
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -146,6 +146,16 @@ def test_language_without_letters_and_three_in_a_family(spark, folder, rows):
     assert model.families == ["romance", "xx"] and all(langid.predict(model, text(a))[0] == g for g, a in alphabets.items())
 
 
+def test_every_labelled_language_is_learned(spark):
+    names = [x for family in langid.FAMILIES.values() for x in family] + [f"x{i:02}" for i in range(39)]
+    rng = random.Random(3)
+    text = lambda k: " ".join("".join(chr(0x4E00 + 16 * k + rng.randrange(4)) for _ in range(5)) for _ in range(12))
+    docs = spark.createDataFrame([(i, text(k), n) for i, (k, n) in enumerate((k, n) for k, n in enumerate(names) for _ in range(1 if k > 63 else 2))], "doc_id long, text string, lang string")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    assert sorted(x for own in model.languages.values() for x in own) == sorted(names) and len(names) == 67
+    assert [langid.predict(model, text(k))[0] for k in range(67)] == names
+
+
 def brute_counts(t):
     words = WHITE.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WHITE.search(x)]
