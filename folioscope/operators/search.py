@@ -108,3 +108,36 @@ def merged_candidates(requested: DataFrame, hits: DataFrame) -> DataFrame:
     both = asked.unionByName(found)
     # A merged list is for one question: its size is the number of hits.
     return both.withColumn("place", F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_last(), F.desc("score"), "doc_id")))
+
+
+#: Headings that begin a list of references, and a DOI that says it is one.
+REFERENCES = r"(?im)^[ \t]*(?:references(?:[ \t]+and[ \t]+notes)?|bibliography|literature[ \t]+cited|reference[ \t]+list|参考(?:文献|文獻)?|참고[ \t]*문헌)[ \t]*[:：]?[ \t]*$"
+EXPLICIT_DOI = r"(?i)(?:\bdoi[ \t]*[:：]\s*|https?://(?:dx\.)?doi\.org/)(10\.[0-9]{4,9}/[^\s<>\"']+)"
+
+
+def doi_candidate(c: Column) -> Column:
+    """A DOI found in running text without the marks that close its sentence or an outer bracket; null if it is none."""
+    c = F.regexp_replace(c, "[.,;:]+$", "")
+    for left, right in ("()", "[]", "{}"):
+        surplus = F.length(F.replace(c, F.lit(left), F.lit(""))) - F.length(F.replace(c, F.lit(right), F.lit("")))
+        closing = F.length(c) - F.length(F.rtrim(c, F.lit(right)))
+        c = F.substring(c, F.lit(1), F.length(c) - F.greatest(F.lit(0), F.least(surplus, closing)))
+    return F.when((F.length(c) <= 512) & c.rlike(r"^10\.[0-9]{4,9}/\S+$"), F.lower(c))
+
+
+def text_facts(docs: DataFrame) -> DataFrame:
+    """doc_id, the squashed text before the reference list, and its first 20 DOI candidates, 20 years, and errors."""
+    d = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), REFERENCES, 2)[0].alias("content"))
+    d = d.select("doc_id", "content", F.transform(F.regexp_extract_all("content", F.lit(EXPLICIT_DOI), F.lit(1)), doi_candidate).alias("found"))
+    d = d.select("doc_id", "content", "found", F.array_distinct(F.array_compact("found")).alias("dois"))
+    years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(r"\b(?:18|19|20)[0-9]{2}\b"), F.lit(0)), lambda y: y.cast("int"))))
+    errors = F.array_compact(F.array(F.when(F.exists("found", lambda x: x.isNull()), "invalid_explicit_doi"), F.when(F.size("dois") > 20, "doi_candidate_limit_reached")))
+    return d.select("doc_id", T.squash("content").alias("squashed"), F.slice("dois", 1, 20).alias("dois"), F.slice(years, 1, 20).alias("years"), errors.alias("errors"))
+
+
+def text_evidence(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Which documents hold the whole title of a claim (item_id, title, doi) or its DOI before their reference list; every pair is compared."""
+    c = claims.select("item_id", F.coalesce(T.squash("title"), F.lit("")).alias("needle"), T.doi("doi").alias("doi"))
+    title = (F.col("needle") != "") & F.contains("squashed", "needle")
+    doi = F.coalesce(F.array_contains("dois", F.col("doi")), F.lit(False))
+    return text_facts(docs).join(c, title | doi).select("item_id", "doc_id", title.alias("title_present"), doi.alias("doi_present"), "dois", "years", "errors")

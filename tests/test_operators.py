@@ -220,3 +220,19 @@ def test_the_rest_works_without_the_llm_folder(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not [k for k in q if k.startswith('op1_')]; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_text_evidence_needs_the_whole_title_before_the_references(spark):
+    whole, opening = "A Long Opening That Many Titles Share: and then its own énd", "a long opening that many titles share: and then"
+    docs = [
+        (1, f"{whole.upper()} (2019, 1999, 2019) doi: 10.1234/AB(c)).\nReferences\ndoi:10.9999/late 2001"),
+        (2, f"{opening} another"), (3, f"text\nReferences and Notes:\n{whole}"), (4, "x " + whole[20:]), (5, "see https://doi.org/10.1234/ab(c), short"), (6, None),
+        (7, " ".join(f"doi:10.1000/{i}" for i in range(25)) + " doi:10.1000/)."),
+    ]
+    claims = spark.createDataFrame([("w", whole, "10.1234/ab(c)"), ("s", "short", None), ("n", "", "10.9999/late"), ("m", None, "10.1000/3")], "item_id string, title string, doi string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.item_id, r.doc_id, r.title_present, r.doi_present) for r in search.text_evidence(d, claims).collect()}
+    assert got == {("w", 1, True, True), ("w", 5, False, True), ("s", 5, True, False), ("m", 7, False, True)}
+    facts = {r.doc_id: r for r in search.text_facts(d).collect()}
+    assert (facts[1].dois, facts[1].years, facts[1].errors) == (["10.1234/ab(c)"], [1999, 2019], [])
+    assert facts[7].dois == [f"10.1000/{i}" for i in range(20)] and facts[7].errors == ["invalid_explicit_doi", "doi_candidate_limit_reached"] and facts[6].squashed == ""
