@@ -50,6 +50,12 @@ def test_result_is_the_same_for_shuffled_input(spark, sf, tmp_path, name):
     assert rows(a.columns, a.collect()) == rows(b.columns, b.collect())
 
 
+def test_budgets_take_every_line(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("int"))
+    found = QUERIES["f04_budget_allocation"](spark, sf).select("doc_id", "ord")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lines.collect()))
+
+
 def test_entry(spark):
     import __spark_entry__
 
