@@ -24,15 +24,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _FOLDER: dict[str, str] = {}
+#: Application folders that are marked for removal at the end of the driver.
+_MARKED: set[str] = set()
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read from there: nothing is lost with an executor.
 
     A checkpoint would carry its plan's partitionings and orderings on, whose number doubles with each join
-    of a loop; a table carries only its size.
+    of a loop; a table carries only its size.  The application's tables go when the driver ends; ``discard`` removes
+    one earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if home not in _MARKED:
+        files, path = _path(spark, home)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(home)
+    where = f"{home}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._table = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``cut`` that nothing will read again; other frames are left alone."""
+    for t in tables:
+        if where := getattr(t, "_table", None):
+            files, path = _path(t.sparkSession, where)
+            files.delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.lineage import cut
+from folioscope.lineage import cut, discard
 
 
 def backlinks(links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -40,10 +40,13 @@ def merge_closure(merges: DataFrame) -> DataFrame:
     now = cut(merges.select("slug", "target"))
     for _ in range(now.count().bit_length() + 1):
         ahead = now.select(F.col("slug").alias("target"), F.col("target").alias("next"))
-        step = cut(now.join(ahead, "target", "left").select("slug", F.coalesce("next", "target").alias("target")))
-        if step.exceptAll(now).isEmpty():
-            break
+        # Whether a row moved is written with it, so that no round compares whole tables.
+        step = cut(now.join(ahead, "target", "left").select("slug", F.coalesce("next", "target").alias("target"), (F.col("next").isNotNull() & (F.col("next") != F.col("target"))).alias("moved")))
+        still = step.where("moved").isEmpty()
+        discard(now)
         now = step
+        if still:
+            break
     return now.join(merges.select(F.col("slug").alias("target")), "target", "left_anti").select("slug", "target")
 
 
@@ -57,10 +60,14 @@ def record_groups(records: DataFrame, key: str, links: list[str]) -> DataFrame:
         near = values.join(least, "value").groupBy(key).agg(F.min("least").alias("near"))
         moved = label.join(near, key, "left").select(key, F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = moved.select(F.col(key).alias("root"), F.col("root").alias("next"))
-        step = cut(moved.join(jump, "root", "left").select(key, F.least("root", F.coalesce("next", "root")).alias("root")))
-        if step.exceptAll(label).isEmpty():
-            return step
+        found = F.least("root", F.coalesce("next", "root"))
+        step = cut(moved.join(jump, "root", "left").join(label.select(key, F.col("root").alias("was")), key).select(key, found.alias("root"), (found != F.col("was")).alias("moved")))
+        still = step.where("moved").isEmpty()
+        discard(label)
         label = step
+        if still:
+            discard(values)
+            return label.select(key, "root")
 
 
 def membership_change(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
