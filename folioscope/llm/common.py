@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.lineage import cut  # noqa: F401  the operators' tables are cut there
+from folioscope.lineage import cut, discard  # noqa: F401  the operators' tables are cut there
 
 #: The column that carries an input row through a stage.
 ROW = "__row"
@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table of a few numbers each that may be broadcast; larger ones are joined in a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` (read from disk, a few numbers a row), to be broadcast if it has been counted and is small enough."""
+    return F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table
+
+
 def carried(df: DataFrame, **named: Column | str) -> DataFrame:
     """The rows of ``df`` as one struct, with the given columns beside it."""
     return df.select(F.struct("*").alias(ROW), *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in named.items()])

@@ -12,18 +12,19 @@ Candidates.  Documents with equal sets are one class.  BANDS bands of ROWS coord
 buckets; a pair of similarity 0.8 misses all of them with probability (1 - 0.8**ROWS)**BANDS, under 1e-6.
 
 Links.  Each member is compared with its bucket's first member, which settles most copies in one
-comparison each: classes that are now in one component need no more comparing.  Members of buckets
-that still hold several components are grouped, each group is cut into blocks of bounded size,
-and each pair of blocks counts all intersections exactly and gives a spanning forest of its links.
-So no link is lost, and no pair that isn't a link ever becomes a row.  Components come from
-contracting the graph of links.
+comparison each: classes that are now in one component need no more comparing.  Each bucket that
+still holds several components is cut into blocks of bounded size, and each pair of its blocks counts
+all intersections exactly and gives a spanning forest of its links.  So no link is lost, and no pair
+that isn't a link ever becomes a row.  Components come from contracting the graph of links.
 
 Nothing that grows with the corpus reaches the driver, and every table that a loop reads again is
 written to the shared checkpoint folder.
 
 Defined results: documents without words (null, empty, white space) have an empty set and are linked with
-nothing; a null doc_id is linked with nothing and has a null component; rows that share a doc_id
-share a component; repeated rows repeat; an empty table gives an empty result.
+nothing; in ``components`` a null doc_id is linked with nothing and has a null component, and rows that share a
+doc_id share a component, whatever their texts; in ``representatives`` a row is a document.  Repeated rows
+repeat; ties go to the least doc_id, then the least hash of the text; texts of any length are read whole; an
+empty table gives an empty result; other columns are carried in a struct, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded_batches, cut
+from folioscope.llm.common import ROW, bounded_batches, carried, cut, discard, small
 from folioscope.llm.wordhash import mixed, words
 
 BANDS, ROWS = 48, 6
@@ -119,38 +120,47 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def signed_sets(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2, bands): the size and digest of each row's set, and its band keys."""
+def signed_sets(df: DataFrame, width: int) -> DataFrame:
+    """(key, doc_id, n, d1, d2, h, bands): the size and digest of each row's set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                e, at = sets(part.column(1).to_pylist(), width)
+                e, at = sets(part.column(3).to_pylist(), width)
                 keys = band_keys(sketches(e, at))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.num_rows + 1) * BANDS, BANDS), pa.int32()), _signed(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(at), pa.int64()), _signed(_sums(mixed(e ^ SEEDS[0]), at)), _signed(_sums(mixed(e ^ SEEDS[1]), at)), bands], names=["doc_id", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(at), pa.int64()), _signed(_sums(mixed(e ^ SEEDS[0]), at)), _signed(_sums(mixed(e ^ SEEDS[1]), at)), bands], names=["key", "doc_id", "h", "n", "d1", "d2", "bands"])
+
+    return df.select("key", "doc_id", "h", "text").mapInArrow(run, "key long, doc_id long, h long, n long, d1 long, d2 long, bands array<long>")
+
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, doc_id, h, text): a hash of the text, and the doc_id or, where it is null, that hash."""
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return df.select(F.coalesce(F.col(doc_id).cast("long"), h).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), h.alias("h"), F.col(text).alias("text"))
 
 
-def full_sets(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, elements)"""
+def full_sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, elements) of the wanted (id, key, h, again); ``again``: other rows have that key too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 e, at = sets(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(e))], names=["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(e))], names=["id", "elements"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, elements array<long>")
+    alone = df.select("key", "text").join(small(wanted.where("not again").select("id", "key")), "key").select("id", "text")
+    rest = small(wanted.where("again").select("id", "key", "h"))
+    again = df.select("key", "h", "text").join(rest, ["key", "h"]).groupBy("id").agg(F.min("text").alias("text"))
+    return alone.unionByName(again).mapInArrow(run, "id long, elements array<long>")
 
 
 def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    left = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
-    both = left.join(own.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b")
+    left = pairs.join(own.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
+    both = left.join(own.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
     inter = F.size(F.array_intersect("ea", "eb"))
     return both.select("a", "b", inter.alias("i"), (F.size("ea") + F.size("eb")).alias("s")).where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
@@ -171,69 +181,107 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
             ahead = hook.select(F.col("u").alias("root"), F.col("root").alias("next"))
             once = hook.join(ahead, "root", "left").select("u", F.coalesce("next", "root").alias("root"))
             twice = once.join(ahead, "root", "left").select("u", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-            jumped = cut(twice)
-            hook = jumped.select("u", "root")
-            if jumped.where("moved").isEmpty():
+            before, hook = hook, cut(twice)
+            discard(before)
+            if hook.where("moved").isEmpty():
                 break
         steps.append(hook)
+        roots = hook.select("u", "root")
         far = hook.select(F.col("u").alias("v"), F.col("root").alias("rv"))
-        near = edges.join(hook, "u").join(far, "v", "left").select("root", F.coalesce("rv", "v").alias("rv")).where("root <> rv")
-        edges = cut(near.select(F.greatest("root", "rv").alias("u"), F.least("root", "rv").alias("v")).distinct())
+        near = edges.join(roots, "u").join(far, "v", "left").select("root", F.coalesce("rv", "v").alias("rv")).where("root <> rv")
+        before, edges = edges, cut(near.select(F.greatest("root", "rv").alias("u"), F.least("root", "rv").alias("v")).distinct())
+        discard(before)
+    discard(edges)
+    if not steps:
+        return labels
+    out = labels
     for hook in steps:
-        labels = labels.join(hook.select(F.col("u").alias("label"), "root"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
-    return cut(labels) if steps else labels
+        out = out.join(hook.select(F.col("u").alias("label"), "root"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    out = cut(out)
+    discard(labels, *steps)
+    return out
 
 
-def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row."""
+CLASS = ["n", "d1", "d2"]
+
+
+def grouped(df: DataFrame, width: int, percent: int, join_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(signed, named, several): the rows of ``keyed`` with their sets' digests, each set's component, and that of doc_ids with several sets.
+
+    A component is a number that says nothing else.  With ``join_ids`` rows that share a doc_id are joined too and null ones left out.
+    """
     bounded_batches(df.sparkSession)
-    df = df.select(doc_id, text)
-    signed = cut(signed_sets(df, doc_id, text, width))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
-    classes = cut(classes)
+    signed = cut(signed_sets(df, width))
+    some = signed.where("n > 0 and doc_id is not null" if join_ids else "n > 0")
+    # One row for each set; its number is given once, as it is written.
+    classes = cut(some.groupBy(*CLASS).agg(F.any_value("bands").alias("bands"), F.min(F.struct("key", "h")).alias("of")).withColumn("id", F.monotonically_increasing_id()))
+    own_set = F.xxhash64(*CLASS)
+    repeated = cut(signed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(own_set).alias("lo"), F.max(own_set).alias("hi")).where("rows > 1").select("key", (F.col("lo") != F.col("hi")).alias("differ")))
+    several = None
+    if join_ids:
+        rows = signed.where("doc_id is not null").join(repeated.where("differ").select("key"), "key", "left_semi").select("doc_id", *CLASS).distinct()
+        several = cut(rows.join(classes.select(*CLASS, "id"), CLASS).select("doc_id", "id"))
     members = classes.select("id", "n", F.explode("bands").alias("bucket"))
     firsts = cut(members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first"))
     members = cut(members.join(firsts, "bucket").select("bucket", "id", "n", "first").distinct())
-    labels = cut(members.select("id").distinct().select("id", F.col("id").alias("label")))
-    own = cut(full_sets(df.join(labels.select(F.col("id").alias("__id")), F.col(doc_id) == F.col("__id"), "left_semi"), doc_id, text, width).distinct())
+    discard(firsts)
+    met = members.select("id").distinct()
+    labels = cut((met if several is None else met.union(several.select("id")).distinct()).select("id", F.col("id").alias("label")))
+    # One row stands for each set that is compared: the set is made again from its text.
+    wanted = classes.join(met, "id", "left_semi").select("id", "of.key", "of.h").join(repeated.select("key", F.lit(True).alias("r")), "key", "left")
+    wanted = cut(wanted.select("id", "key", "h", F.col("r").isNotNull().alias("again")))
+    own = cut(full_sets(df, wanted, width))
+    discard(wanted)
     sizes = members.select(F.col("id").alias("first"), F.col("n").alias("n_first")).distinct()
-    close = (100 * F.least("n", "n_first") >= percent * F.greatest("n", "n_first"))  # else the sizes rule a link out
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return relabelled(labels, verified(pairs.select("a", "b").distinct(), own, percent))
-
+    close = 100 * F.least("n", "n_first") >= percent * F.greatest("n", "n_first")  # else the sizes rule a link out
+    if several is not None:
+        least = several.groupBy("doc_id").agg(F.min("id").alias("b"))
+        labels = relabelled(labels, several.join(least, "doc_id").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
     # Each member with its buckets' first ones: rows grow with the members, and most copies are settled here.
     pairs = members.where("id > first").select("id", "n", "first").distinct().join(sizes, "first").where(close)
-    labels = linked(pairs.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    labels = relabelled(labels, verified(pairs.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), own, percent))
+    # What no first member settles is compared block by block: all pairs of a bucket that holds several components.
+    told = members.join(labels, "id")
+    split = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    labels = relabelled(labels, block_links(told.join(split, "bucket").select("bucket", "id", "n", "first"), own, percent))
+    discard(own, members)
+    named = classes.select(*CLASS, "id").join(labels, "id", "left").select(*CLASS, F.coalesce("label", "id").alias("component"))
+    if several is not None:
+        several = several.join(labels, "id").groupBy("doc_id").agg(F.min("label").alias("by_id"))
+    return signed.select("key", "doc_id", "h", *CLASS), named, several
 
-    def unsettled(of: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component, with their labels."""
-        named = of.join(labels, "id")
-        split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        return named.join(split, "bucket")
 
-    # What no first member settles is compared block by block, all pairs across components included.
-    labels = relabelled(labels, block_links(unsettled(members), own, percent))
-    named = classes.select("n", "d1", "d2", "id").join(labels, "id", "left").select("n", "d1", "d2", F.coalesce("label", "id").alias("component"))
-    return signed.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row."""
+    signed, named, several = grouped(keyed(df, doc_id, text), width, percent, True)
+    told = signed.select("doc_id", *CLASS).join(named, CLASS, "left").join(several, "doc_id", "left")
+    rows = cut(told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "by_id")).alias("component")))
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def block_links(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all similar members of the same bucket; of the links inside a pair of blocks, a spanning forest."""
-    rest = cut(rest.select("id", "n", "first").distinct())
-    ids = rest.select("id", "n").distinct()
-    groups = relabelled(ids.select("id", F.col("id").alias("label")), rest.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    sized = groups.join(ids, "id")
-    blocks = sized.groupBy("label").agg(F.ceil(F.greatest(F.count("id") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"), F.count("id").alias("members"))
-    placed = cut(sized.join(blocks, "label").where("members > 1"))
-    # Small groups share a task; comparing across groups as well does no harm.
-    few = (F.col("blocks") == 1) & (F.col("members") <= SMALL)
-    bins = max(1, placed.where(few).count() // SHARED)
-    small = placed.where(few).select("id", F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int").alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
-    large = placed.where(~few).select("id", F.col("label").alias("of"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    large = large.select("id", "of", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    filled = small.unionByName(large).join(own.withColumnRenamed("doc_id", "id"), "id")
+    """Links (a, b) that join all similar members (bucket, id, n, first) of the same bucket; inside a pair of blocks, a spanning forest of them.
+
+    Work and copies of a set are bounded by the buckets it is in, whatever other buckets their members are in.
+    """
+    rest = cut(rest)
+    x = lambda k: F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}")
+    marks = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"), x(1), x(2))
+    # Buckets with the same members are compared once.
+    once = marks.groupBy("members", "elements", "x1", "x2").agg(F.min("bucket").alias("bucket")).drop("x1", "x2")
+    placed = cut(rest.join(once, "bucket"))
+    discard(rest)
+    # Small buckets share a task, those with the same first member the same one; comparing across buckets does no harm.
+    few = (F.col("members") <= SMALL) & (F.col("elements") <= BLOCK_ELEMENTS // 8)
+    n, e = placed.where(few).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = max(1, n // SHARED, e // BLOCK_ELEMENTS)
+    shared = placed.where(few).select("id", F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("first"), F.lit(bins)).cast("int").alias("lo"), F.lit(-1).alias("hi")).distinct()
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    large = placed.where(~few).select("id", F.col("bucket").alias("of"), blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int").alias("block"))
+    large = large.select("id", "of", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("id", "of", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    filled = shared.unionByName(large).join(own, "id")
 
     def compare(found: pa.Table) -> pa.Table:
         e = found.column("elements").combine_chunks()
@@ -243,7 +291,7 @@ def block_links(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[label[moved]], pa.int64())})
 
-    return filled.groupBy("of", "lo", "hi").applyInArrow(compare, "a long, b long").where("a <> b")
+    return filled.groupBy("of", "lo", "hi").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def forest(elements: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -287,14 +335,19 @@ def forest(elements: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
 
 
 def representatives(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` of which one stays for each component: that with the least doc_id (of its rows, one); null doc_ids stay."""
-    from pyspark.sql import Window
+    """The rows of ``df`` of which one stays for each group of rows that links join: of those with the least doc_id (null last) the one whose text has the least hash.
 
-    from folioscope.llm.common import ROW, carried
-
-    kept = cut(components(df, doc_id, text, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    rows = carried(df, __id=doc_id, __text=text)
-    found = rows.join(kept, rows["__id"] == kept["__kept"], "left_semi")
-    once = Window.partitionBy("__id").orderBy(F.xxhash64("__text"))
-    first = found.withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
-    return first.select(ROW).unionByName(rows.where("__id is null").select(ROW)).select(f"{ROW}.*")
+    A row is a document here, so rows that share a doc_id but not their text are apart, and null doc_ids take part.  Rows without words are
+    linked with nothing, so all of them stay.
+    """
+    rows = carried(df, __id=F.col(doc_id).cast("long"), __text=text).withColumn("__h", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
+    signed, named, _ = grouped(keyed(df, doc_id, text), width, percent, False)
+    first = signed.where("n > 0").join(named, CLASS).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("of"))
+    kept = small(cut(first.select(F.coalesce("of.doc_id", "of.h").alias("k_key"), F.col("of.doc_id").alias("k_id"), F.col("of.h").alias("k_h"))))
+    has_words = F.coalesce(F.col("__text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = rows.where(has_words).withColumn("__key", F.coalesce("__id", "__h"))
+    found = found.join(kept, (found["__key"] == kept["k_key"]) & (found["__h"] == kept["k_h"]) & found["__id"].eqNullSafe(kept["k_id"]), "left_semi")
+    # Repeated rows of a document: one of them.
+    once = Window.partitionBy("__key", "__h").orderBy(F.xxhash64(ROW))
+    one = found.select(ROW, "__key", "__h").withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
+    return one.select(ROW).unionByName(rows.where(~has_words).select(ROW)).select(f"{ROW}.*")

@@ -369,10 +369,52 @@ def test_near_duplicates(spark, folder, rows, width):
                 up[v] = u
     want = Counter((i, len(s), None if i is None else root(i)) for i, s in own)
     found = minhash.components(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", width, 80)
-    got = by_text(found, rows, "doc_id", "n_shingles", "component_id")
-    # A repeated doc_id with two texts: its rows share a component only through links of its rows' sets.
-    loose = {3}
-    assert {k: v for k, v in got.items() if k[0] not in loose} == {k: v for k, v in want.items() if k[0] not in loose}
+    assert by_text(found, rows, "doc_id", "n_shingles", "component_id") == want
+
+
+def test_doc_ids_with_several_texts(spark, tmp_path):
+    import duckdb
+
+    from folioscope.llm.queries import OP8_SQL
+
+    words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    a, b, c = words(1), words(2), words(3)
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, c), (9, ""), (9, c), (10, None), (10, None), (11, ""), (11, words(4)), (12, words(5)), (12, words(6)), (13, words(6))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["op8_minhash_near_dedup"](spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id", "kept").collect()))
+    assert got == sorted(con.sql(OP8_SQL).fetchall())
+    assert {r[0]: r[2] for r in got} == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8, 10: 10, 11: 11, 12: 12, 13: 12}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_representatives_keep_one_row_of_each_group(spark, seed):
+    rng = random.Random(seed)
+    bases = [[f"b{seed}g{g}w{j}" for j in range(60)] for g in range(8)]
+    rows = []
+    for _ in range(60):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        rows.append((rng.choice([*range(20), None]), " ".join(w)))
+    rows += rows[:9] + [(3, None), (3, None), (None, " \n")]
+    rng.shuffle(rows)
+    rows = [(*r, f"row{k}", k) for k, r in enumerate(rows)]
+    own = [shingles(r[1], 5) for r in rows]
+    up = list(range(len(rows)))
+    for _ in rows:
+        up = [min(up[j] for j in range(len(rows)) if j == i or own[i] and own[j] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])) for i in range(len(rows))]
+    kept = minhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, key string, id long"), "doc_id", "text", 5, 80)
+    assert kept.columns == ["doc_id", "text", "key", "id"]
+    got = kept.collect()
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[up[i]].append(r)
+    assert Counter(up[r.id] for r in got) == Counter(dict.fromkeys(groups, 1))
+    for r in got:
+        ids = [-1 if x[0] is None else x[0] for x in groups[up[r.id]]]
+        assert tuple(r) == rows[r.id] and (r.doc_id in (None, min((i for i in ids if i >= 0), default=None)))
 
 
 @pytest.mark.parametrize("block,small", [(800, 64), (5, 1), (5, 64)])
