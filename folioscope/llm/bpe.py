@@ -9,20 +9,20 @@ recomputes states only until they agree with the old ones for as long as the lon
 
 Defined results: null text encodes as the empty text (no tokens, no bytes); repeated rows repeat;
 pieces of any length are encoded whole (the shared prefix store is used for short pieces only, a
-private array for long ones); bytes that are in no token cannot occur, as every byte is a token.
+private array for long ones); bytes that are in no token cannot occur, as every byte is a token; there are no ties, as
+every prefix has one last token; an empty table gives an empty result; clashing names: see ``common.beside``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import bounded_batches
+from folioscope.llm.common import beside, bounded_batches
 
 #: Pieces up to this many bytes share one store of prefixes; longer ones have an array of their own.
 SHARED_BYTES = 48
@@ -203,39 +203,33 @@ def encoder_of(content: bytes, pattern: str) -> PrefixEncoder:
     return _ENCODERS[key]
 
 
-def _batches(df: DataFrame, text: str, ranks_path: str, pattern: str, extra: pa.Schema | list, row) -> DataFrame:
-    """Every column of ``df`` but ``text`` beside the columns that row(encoder, text) gives."""
+def _added(df: DataFrame, text: str, ranks_path: str, pattern: str, fields: list[pa.Field], row) -> DataFrame:
+    """``df`` without ``text``, with the columns that row(encoder, text) gives."""
     with open(ranks_path, "rb") as f:  # the driver's file; its bytes (under 1 MB for 50,000 tokens) go to the workers
         content = df.sparkSession.sparkContext.broadcast(f.read())
     bounded_batches(df.sparkSession)
-    kept = [c for c in df.columns if c != text]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         enc = encoder_of(content.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [row(enc, t.as_py()) for t in part.column(text)]
-                cols = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), extra)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + cols, names=kept + [f.name for f in extra])
 
-    from pyspark.sql.pandas.types import from_arrow_schema
+        def make(values: pa.Array) -> list[pa.Array]:
+            rows = [row(enc, t.as_py()) for t in values]
+            return [pa.array(list(c), f.type) for c, f in zip(zip(*rows), fields)]
+
+        return make
 
-    schema = df.select(*kept).schema
-    for f in from_arrow_schema(pa.schema(extra)).fields:
-        schema = schema.add(f)
-    return df.mapInArrow(run, schema)
+    return beside(df, text, fields, start)
 
 
 def encode_documents(df: DataFrame, text: str, ranks_path: str, pattern: str) -> DataFrame:
-    """``df`` without ``text``, with ids (array<int>), n_tokens (long) and decoded (binary, the text's bytes again)."""
-    extra = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int64()), pa.field("decoded", pa.binary())]
+    """``df`` without ``text``, with ids (array<int>), n_tokens (long) and decoded_sha256 (of the bytes decoded from the ids)."""
+    extra = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int64()), pa.field("decoded_sha256", pa.string())]
 
     def row(enc: PrefixEncoder, t: str | None) -> tuple:
         ids = enc.encode(t)
-        return memoryview(ids).cast("I").tolist(), len(ids) // 4, enc.decode(ids)
+        return np.frombuffer(ids, "<u4").astype(np.int32), len(ids) // 4, hashlib.sha256(enc.decode(ids)).hexdigest()
 
-    return _batches(df, text, ranks_path, pattern, extra, row)
+    return _added(df, text, ranks_path, pattern, extra, row)
 
 
 def token_digests(df: DataFrame, text: str, ranks_path: str, pattern: str) -> DataFrame:
@@ -246,4 +240,4 @@ def token_digests(df: DataFrame, text: str, ranks_path: str, pattern: str) -> Da
         ids = enc.encode(t)
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()
 
-    return _batches(df, text, ranks_path, pattern, extra, row)
+    return _added(df, text, ranks_path, pattern, extra, row)

@@ -3,15 +3,21 @@
 Conventions that every operator here follows:
 
 * A null text counts as the empty text unless the operator's docstring says otherwise.
-* Only the named input columns are read; other columns, whatever their names, pass untouched in
-  pipeline stages (the whole row travels as one struct) and are ignored by the queries.
+* Only the named input columns are read; other columns pass untouched and are ignored by the queries.  In
+  stages that rewrite or choose rows the whole row travels as one struct; where an operator adds columns, one of
+  the input's that has the name of an added column gets ``_in`` at its end.
 * A repeated row is an ordinary row: it is returned as often as it came.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from folioscope.lineage import cut, discard  # noqa: F401  the operators' tables are cut there
 
@@ -51,3 +57,35 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo n: the fold of a row."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def beside(df: DataFrame, read: str, fields: list[pa.Field], start: Callable[[], Callable[[pa.Array], list[pa.Array]]], rows: int = 256, keep: bool = False) -> DataFrame:
+    """``df`` (without the column ``read`` unless ``keep``), with the columns ``fields`` that start()(values of ``read``) gives for some rows at a time.
+
+    Columns travel under numbers, so that no name of the input meets one of the outputs.
+    """
+    kept = [c for c in df.columns if keep or c != read]
+    added = [f.name for f in fields]
+    names = []
+    for own in kept:
+        c = own
+        while c in added or c in names or (c != own and c in kept):
+            c += "_in"
+        names.append(c)
+    slots = [f"c{i}" for i in range(len(kept))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.columns[-1])], names=[*slots, *added])
+
+    source = df.select(*[quoted(c).alias(s) for c, s in zip(kept, slots)], quoted(read).alias("__read"))
+    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(f.name, from_arrow_type(f.type)) for f in fields]])
+    found = source.mapInArrow(run, schema)
+    return found.select(*[F.col(s).alias(n) for s, n in zip(slots, names)], *added)

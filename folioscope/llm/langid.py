@@ -1,34 +1,37 @@
 """Language identification: the family first, then one-versus-one linear SVMs inside it.
 
 Features are hashed byte trigrams of the lower-cased text whose non-letters are spaces, as shares of
-the text's trigrams.  Every model is a linear SVM (hinge loss, dual coordinate descent) between two
-families or between two languages of a family; with more than two, each pair votes and the summed
-margins break ties.  Weights are one table of WIDTH rows and a column for each pair, so a text costs
+the text's trigrams.  Every classifier is a linear SVM (hinge loss, dual coordinate descent): between two families, or
+with more of them between each and the rest, and then between two languages of a family, where each pair votes
+and the summed margins break ties.  Weights are one table of WIDTH rows and a column for each classifier, so a text costs
 a gather and a sum, whatever its length, and whole texts are read.
 
 Training uses a bounded sample: at most about ``per_language`` labelled texts of each language (the
-share that brings its expected number there, chosen by a hash of the id), and every labelled language
-is learned.  Weights take 256 KB for each pair, so they grow with the square of the number of families
-and of the languages inside one.  Only text and language of the rows given are seen.
+share that brings its expected number there, chosen by a hash of id and text), and every labelled language
+is learned.  Weights take 256 KB for each classifier, so they grow with the number of families and with the
+square of the languages inside one.  Only text and language of the rows given are seen.
 
-Defined results: text that is null or has no letter is ``und`` with score 0; ties go to the first
+Defined results: text that is null or has no letter (Unicode category L) is ``und`` with score 0; ties go to the first
 name; languages outside FAMILIES are families of their own; with a single language it is always
-predicted; without any, ``und``; repeated rows repeat.
+predicted; without any, ``und``; a repeated row is learned from once; repeated rows repeat; an empty table gives
+an empty result; clashing names: see ``common.beside``.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import beside
+
 #: Language codes of some families.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is", "af"],
@@ -39,9 +42,11 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BITS = 16
 WIDTH = 1 << BITS
+#: Bytes of weights that may go to every executor: some 4,000 classifiers; more is an error, never a language left out.
+MOST_SENT = 1 << 30
 #: Bytes as letters: ASCII letters and all bytes of longer characters stay, the rest are spaces.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str | None) -> np.ndarray | None:
@@ -58,7 +63,7 @@ def grams(text: str | None) -> np.ndarray | None:
 class Model:
     families: list[str]
     languages: dict[str, list[str]]
-    pairs: list[tuple[str, str, str]]  # level ("" or a family), first, second
+    pairs: list[tuple[str, str, str | None]]  # level ("" or a family), first, second (None: all others)
     weights: np.ndarray  # WIDTH x pairs
     bias: np.ndarray
 
@@ -93,8 +98,9 @@ def sample(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language:
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.where(u < F.try_element_at(share, F.col("lang")))
+    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) / float(1 << 30)
+    # A repeated row teaches once; only texts of the sample are compared.
+    chosen = usable.where(u < F.try_element_at(share, F.col("lang"))).dropDuplicates(["id", "text", "lang"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,20 +123,25 @@ def train(labelled: DataFrame, doc_id: str, text: str, lang: str, per_language:
     for n in names:
         of.setdefault(FAMILY_OF.get(n, n), []).append(n)
     families = sorted(of)
-    pairs = [("", a, b) for a, b in combinations(families, 2)] + [(f, a, b) for f in families for a, b in combinations(of[f], 2)]
+    # Two families: one against the other.  More: each against the rest, so that weights grow with the families, not with their pairs.
+    top = [("", families[0], families[1])] if len(families) == 2 else [("", f, None) for f in families if len(families) > 2]
+    pairs = top + [(f, a, b) for f in families for a, b in combinations(of[f], 2)]
     weights, bias = np.zeros((WIDTH, max(1, len(pairs))), np.float32), np.zeros(max(1, len(pairs)))
     for k, (level, a, b) in enumerate(pairs):
         label = (lambda n: FAMILY_OF.get(n, n)) if not level else (lambda n: n)
-        own = [(r, 1.0 if label(r[0]) == a else -1.0) for r in rows if label(r[0]) in (a, b)]
+        own = [(r, 1.0 if label(r[0]) == a else -1.0) for r in rows if (label(r[0]) in (a, b) if b else True)]
         w, bias[k] = svm([(r[1], r[2]) for r, _ in own], np.array([y for _, y in own]))
         weights[:, k] = w
     return Model(families, of, pairs, weights, bias)
 
 
-def choose(names: list[str], margins: dict[tuple[str, str], float]) -> tuple[str, float]:
-    """The name with most votes of its pairs (summed margins, then order, break ties), and a score from 0 to 1."""
+def choose(names: list[str], margins: dict[tuple[str, str | None], float]) -> tuple[str, float]:
+    """The name with most votes of its pairs (summed margins, then order, break ties) or, against the rest, the largest margin, and a score from 0 to 1."""
     if len(names) == 1:
         return names[0], 1.0
+    if all(b is None for _, b in margins):
+        best = max(names, key=lambda n: (margins[n, None], -names.index(n)))
+        return best, 1 / (1 + math.exp(-3 * max(-50.0, min(50.0, margins[best, None]))))
     votes = dict.fromkeys(names, 0)
     sums = dict.fromkeys(names, 0.0)
     for (a, b), m in margins.items():
@@ -157,13 +168,17 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
 
 def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
     """``df`` without ``text``, with lang_pred and score."""
-    kept = [c for c in df.columns if c != text]
-    sent = df.sparkSession.sparkContext.broadcast(model)  # WIDTH floats for each pair of languages or families
+    if model.weights.nbytes > MOST_SENT:
+        raise ValueError(f"{len(model.pairs)} classifiers take {model.weights.nbytes} bytes, more than MOST_SENT")
+    sent = df.sparkSession.sparkContext.broadcast(model)  # WIDTH floats for each classifier
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         m = sent.value
-        for batch in batches:
-            found = [predict(m, t.as_py()) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return df.mapInArrow(run, df.select(*kept).schema.add("lang_pred", "string").add("score", "double"))
+        def make(values: pa.Array) -> list[pa.Array]:
+            found = [predict(m, t.as_py()) for t in values]
+            return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+
+        return make
+
+    return beside(df, text, [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())], start)

@@ -7,13 +7,16 @@ lines but those in the largest doc_id that holds the key.
 1. Each task puts the hashes of its keys in a pair of Bloom filters: once seen and seen again.  Two
    pairs merge without loss: what both have once may be there twice, so
    ``twice = twice1 | twice2 | (once1 & once2)``.  Tasks send non-empty chunks, merged chunk by chunk.
-2. Only keys that pass the merged second filter are suspects; they alone shuffle, as (digest, doc_id),
+2. Only keys that pass the merged second filter are suspects; they alone shuffle, as (digest, doc_id, text's hash),
    and are counted exactly.  A full filter costs shuffling, never a result.
-3. Confirmed keys join back to the suspects, giving the keys each document drops.
+3. Up to SENT_KEYS confirmed keys go to all tasks with the document that keeps each, and no text is shuffled.  More of
+   them join back to the suspects, and only texts that a filter of the documents with drops lets through are
+   shuffled to meet their drops.  Both ways give the same rows.
 
 Defined results: null text is one empty line; null doc_id is a document smaller than all others; rows
 that share a doc_id are one document for counting and are rewritten each; repeated rows repeat;
-ties cannot occur, as the doc_id decides.
+ties cannot occur, as the doc_id decides; texts and lines of any length are read whole; an empty table gives an empty
+result; other columns travel in a struct, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 PROBES, BITS_PER_LINE, LEAST_BITS, MOST_BITS = 4, 8, 1 << 16, 1 << 29
 #: Bits of a chunk of a filter, and how many groups of tasks merge a chunk before it is merged as a whole.
 CHUNK, GROUPS = 1 << 19, 32
+#: Confirmed keys (16 bytes and a doc_id each) that may be sent to every task.
+SENT_KEYS = 200_000
 
 
 def keys_of(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -106,10 +111,8 @@ def _merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _packed(chunk, -1, *pair)
 
 
-def seen_again(df: DataFrame, text: str, min_chars: int) -> tuple[np.ndarray, int]:
-    """The merged filter of keys that may be in two documents or more, and its bits."""
-    lines = df.agg(F.sum(F.least(F.size(F.split(text, "\n")), F.floor(F.length(text) / F.lit(min_chars)).cast("int")))).first()[0] or 0
-    bits = filter_bits(lines)
+def filters(df: DataFrame, column: str, hashes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged pair of filters of hashes(value), one list for each value of the column."""
     step = min(bits, CHUNK) // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def seen_again(df: DataFrame, text: str, min_chars: int) -> tuple[np.ndarray, in
         waiting: list[int] = []
         for batch in batches:
             for t in batch.column(0):
-                waiting.extend([xxhash.xxh3_64_intdigest(k) for k in {*keys_of(t.as_py(), min_chars)} if k is not None])
+                waiting.extend(hashes(t.as_py()))
                 if len(waiting) >= 50_000:
                     see(once, twice, np.array(waiting, np.uint64), bits)
                     waiting = []
@@ -131,18 +134,27 @@ def seen_again(df: DataFrame, text: str, min_chars: int) -> tuple[np.ndarray, in
             if o.any():
                 yield _packed(c, part, o, t)
 
-    chunks = df.select(text).mapInArrow(fill, _CHUNKS)
+    chunks = df.select(column).mapInArrow(fill, _CHUNKS)
     # Chunks of a bounded number of tasks first, then those of all groups: no task holds the filters of all tasks.
     chunks = chunks.groupBy("chunk", "part").applyInArrow(_merged, _CHUNKS).groupBy("chunk").applyInArrow(_merged, _CHUNKS)
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in chunks.select("chunk", "twice").collect():  # MOST_BITS in all at most, however many lines there are
-        whole[r.chunk * step : (r.chunk + 1) * step] = _unpacked(bytes(r.twice))
-    return whole, bits
+    pair = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    for r in chunks.collect():  # MOST_BITS in all at most, however many lines there are
+        for whole, own in zip(pair, (r.once, r.twice)):
+            whole[r.chunk * step : (r.chunk + 1) * step] = _unpacked(bytes(own))
+    return pair
+
+
+def seen_again(df: DataFrame, text: str, min_chars: int) -> tuple[np.ndarray, int]:
+    """The merged filter of keys that may be in two documents or more, and its bits."""
+    lines = df.agg(F.sum(F.least(F.size(F.split(text, "\n")), F.floor(F.length(text) / F.lit(min_chars)).cast("int")))).first()[0] or 0
+    bits = filter_bits(lines)
+    of = lambda t: [xxhash.xxh3_64_intdigest(k) for k in {*keys_of(t, min_chars)} if k is not None]
+    return filters(df, text, of, bits)[1], bits
 
 
-def suspects(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(digest, doc_id) of each document's keys that pass the second filter."""
-    bitmap, bits = seen_again(df, text, min_chars)
+def suspects(df: DataFrame, min_chars: int) -> DataFrame:
+    """(key, doc_id, h): digests of the keys of each (doc_id, h, text) that pass the second filter."""
+    bitmap, bits = seen_again(df, "text", min_chars)
     sent = df.sparkSession.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,40 +162,74 @@ def suspects(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                keys, ids = [], []
-                for t, i in zip(part.column(1), part.column(0)):
+                keys, of = [], []
+                for j, t in enumerate(part.column(2)):
                     own = {*keys_of(t.as_py(), min_chars)} - {None}
                     keys.extend(own)
-                    ids.extend([i.as_py()] * len(own))
+                    of.extend([j] * len(own))
                 if not keys:
                     continue
                 passed = np.flatnonzero(holds(twice, probes(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)))
-                yield pa.RecordBatch.from_arrays([pa.array([digest(keys[j]) for j in passed], pa.binary()), pa.array([ids[j] for j in passed], part.column(0).type)], names=["key", "doc_id"])
+                rows = pa.array([of[j] for j in passed], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([digest(keys[j]) for j in passed], pa.binary()), part.column(0).take(rows), part.column(1).take(rows)], names=["key", "doc_id", "h"])
+
+    return df.select("doc_id", "h", "text").mapInArrow(find, f"key binary, doc_id {df.schema['doc_id'].dataType.simpleString()}, h long")
+
+
+_LINES = T.StructType().add("text", T.StringType()).add("n_lines", T.LongType()).add("n_dropped", T.LongType())
+
+
+def _without(text: str | None, least: int, gone) -> dict:
+    """A text without the lines whose keys' digests are ``gone``."""
+    t = text or ""
+    lines = t.split("\n")
+    kept = [x for x, k in zip(lines, keys_of(t, least)) if k is None or not gone(digest(k))]
+    return {"text": "\n".join(kept), "n_lines": len(lines), "n_dropped": len(lines) - len(kept)}
+
 
-    return df.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(find, f"key binary, doc_id {df.schema[doc_id].dataType.simpleString()}")
+_ARROW_LINES = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
-@arrow_udf(T.StructType().add("text", T.StringType()).add("n_lines", T.LongType()).add("n_dropped", T.LongType()))
+@arrow_udf(_LINES)
 def _rewritten(text: pa.Array, drops: pa.Array, least: pa.Array) -> pa.Array:
-    out = []
-    for t, d, m in zip(text, drops, least):
-        t = t.as_py() or ""
-        lines = t.split("\n")
-        gone = {*(d.as_py() or ())}
-        kept = [x for x, k in zip(lines, keys_of(t, m.as_py())) if k is None or digest(k) not in gone] if gone else lines
-        out.append({"text": "\n".join(kept), "n_lines": len(lines), "n_dropped": len(lines) - len(kept)})
-    return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
+    return pa.array([_without(t.as_py(), m.as_py(), {*d.as_py()}.__contains__) for t, d, m in zip(text, drops, least)], _ARROW_LINES)
 
 
 def dedup_lines(df: DataFrame, doc_id: str, text: str, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Rows as (``__row``, ``lines``): the input row, and text, n_lines and n_dropped after dropping repeated lines."""
     bounded_batches(df.sparkSession)
-    found = cut(suspects(df, doc_id, text, min_chars))
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = carried(df, __id=doc_id, __text=text, __h=h)
+    found = cut(suspects(df.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.col(text).alias("text")), min_chars))
     # A key of a third of all documents is many rows: pairs are made distinct on both columns, counts are summed before they shuffle.
     held = found.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     confirmed = cut(held.groupBy("key").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
-    # Both sides are tables of their own here, so that a hot key's join can be split.
-    drops = found.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("key").alias("__drops"))
-    rows = carried(df, __id=doc_id, __text=text)
-    joined = rows.join(drops, rows["__id"].eqNullSafe(drops["__of"]), "left")
-    return joined.select(ROW, _rewritten("__text", "__drops", F.lit(min_chars)).alias("lines"))
+    if confirmed.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
+        sent = df.sparkSession.sparkContext.broadcast({bytes(r.key): r.keeper for r in confirmed.collect()})  # SENT_KEYS at most
+
+        @arrow_udf(_LINES)
+        def kept(text: pa.Array, ids: pa.Array) -> pa.Array:
+            keeper = sent.value
+            return pa.array([_without(t.as_py(), min_chars, lambda d, i=i.as_py(): d in keeper and keeper[d] != i) for t, i in zip(text, ids)], _ARROW_LINES)
+
+        return rows.select(ROW, kept("__text", "__id").alias("lines"))
+    # Both sides are tables of their own here, so that a hot key's join can be split; repeated texts of a document need its keys once.
+    pairs = found.distinct().join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = cut(pairs.groupBy(F.col("doc_id").alias("__of"), F.col("h").alias("__oh")).agg(F.collect_set("key").alias("__drops")))
+    bits = filter_bits(drops.count())
+    once = df.sparkSession.sparkContext.broadcast(zlib.compress(filters(drops.select(F.xxhash64("__of", "__oh").alias("x")), "x", lambda x: [x % (1 << 64)], bits)[0].tobytes(), 1))
+
+    opened: list[np.ndarray] = []
+
+    @arrow_udf(T.BooleanType())
+    def has_drops(x: pa.Array) -> pa.Array:
+        if not opened:
+            opened.append(_unpacked(once.value))
+        return pa.array(holds(opened[0], probes(x.to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+
+    marked = rows.withColumn("__hit", has_drops(F.xxhash64("__id", "__h")))
+    hit = marked.where("__hit").join(drops, marked["__id"].eqNullSafe(drops["__of"]) & (marked["__h"] == drops["__oh"]), "left")
+    hit = hit.select(ROW, _rewritten("__text", F.coalesce("__drops", F.array().cast("array<binary>")), F.lit(min_chars)).alias("lines"))
+    whole = F.coalesce("__text", F.lit(""))
+    plain = marked.where("not __hit").select(ROW, F.struct(whole.alias("text"), F.size(F.split(whole, "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).alias("lines"))
+    return hit.unionByName(plain)

@@ -6,9 +6,12 @@ never decoded: an ``mdat`` box is stepped over by its size.  ``text_to_media`` s
 track of fixed-size 8-bit frames, so that every text has a file whose tables can be held against it.
 
 Defined results: a null or empty file has no tracks and the error ``empty``; a box that runs past its
-parent or a table that runs past its box gives the error that names it and no tracks; a file
+parent, a table that runs past its box, boxes nested too deep, a count of more samples than the file has
+bytes for, or an offset or duration beyond 2**62 gives the error that names it and no tracks, never a failed task;
+a duration of all ones is unknown, so that of the sample table counts; a file
 without ``moov`` has no tracks and no error; null text counts as empty and becomes one frame of
-spaces; equal contents give equal results, whichever rows they are in.
+spaces; texts of any length are stored whole; equal contents give equal results, whichever rows they are in,
+so repeated rows repeat; an empty table gives an empty result; clashing names: see ``common.beside``.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import from_arrow_type
+
+from folioscope.llm.common import beside
 
 #: Boxes whose payload is boxes only.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
 #: Frames of FRAME bytes (WIDTH x HEIGHT grey samples), one keyframe and one chunk for each GROUP of them.
 WIDTH, HEIGHT, GROUP, RATE = 16, 12, 12, 25
 FRAME = WIDTH * HEIGHT
+#: Containers inside containers (real files have 6 levels), the largest offset, and the durations that mean "unknown".
+DEEPEST, FARTHEST, UNKNOWN = 24, 1 << 62, ((1 << 32) - 1, (1 << 64) - 1)
+#: How often the bytes of a file may be samples of tables that give one size for all.
+SHARED = 4
 
 
 class MediaError(ValueError):
@@ -47,25 +55,28 @@ class Track:
     stsc: np.ndarray | None = None
     sizes: np.ndarray | None = None
     chunks: np.ndarray | None = None
-    fragments: list[tuple[int, int, int]] = field(default_factory=list)  # offset, size, sync
+    fragments: list[np.ndarray] = field(default_factory=list)  # rows of offset, size, sync
 
     def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Offset, size and whether it is a keyframe, for each sample in decoding order."""
         n = 0 if self.sizes is None else len(self.sizes)
         offsets = np.zeros(n, np.int64)
         if n:
-            if self.stsc is None or self.chunks is None or not len(self.stsc):
+            if self.stsc is None or self.chunks is None or not len(self.stsc) or not len(self.chunks):
                 raise MediaError("samples without chunks")
+            if self.chunks.max() > FARTHEST:
+                raise MediaError("chunk offset out of range")
             first = self.stsc[:, 0].astype(np.int64) - 1
             runs = np.diff(np.append(first, len(self.chunks)))
             if (runs < 0).any() or first[0] != 0:
                 raise MediaError("stsc out of order")
-            per_chunk = np.repeat(self.stsc[:, 1].astype(np.int64), runs)
-            if per_chunk.sum() < n:
+            # Counts are summed, never laid out: a chunk may claim more samples than there are.
+            upto = np.cumsum(np.repeat(self.stsc[:, 1].astype(np.int64), runs))
+            if upto[-1] < n:
                 raise MediaError("chunks hold fewer samples than stsz")
-            chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
+            chunk = np.searchsorted(upto, np.arange(n), side="right")
             before = np.cumsum(self.sizes) - self.sizes
-            start = np.concatenate(([0], np.cumsum(per_chunk)))[chunk]
+            start = np.concatenate(([0], upto))[chunk]
             offsets = self.chunks[chunk].astype(np.int64) + before - before[start]
         key = np.ones(n, bool) if self.sync is None else np.zeros(n, bool)
         if self.sync is not None:
@@ -73,7 +84,7 @@ class Track:
             key[at[(at >= 0) & (at < n)]] = True
         sizes = np.zeros(0, np.int64) if self.sizes is None else self.sizes
         if self.fragments:
-            more = np.array(self.fragments, np.int64)
+            more = np.concatenate(self.fragments)
             return np.append(offsets, more[:, 0]), np.append(sizes, more[:, 1]), np.append(key, more[:, 2] > 0)
         return offsets, sizes, key
 
@@ -98,45 +109,66 @@ def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int,
 
 
 def _table(data: bytes, at: int, end: int, kind: bytes, columns: int, code: str = ">u4", skip: int = 4) -> np.ndarray:
+    _need(at, skip + 4, end, kind)
     count = struct.unpack_from(">I", data, at + skip)[0]
     width = np.dtype(code).itemsize
-    if at + skip + 4 + count * columns * width > end:
-        raise MediaError(f"{kind.decode()} runs past its box")
+    _need(at, skip + 4 + count * columns * width, end, kind)
     out = np.frombuffer(data, code, count * columns, at + skip + 4)
     return out.reshape(count, columns) if columns > 1 else out
 
 
+def _need(at: int, n: int, end: int, kind: bytes) -> None:
+    if at + n > end:
+        raise MediaError(f"{kind.decode('latin-1')} runs past its box")
+
+
 def parse(data: bytes) -> list[Track]:
+    """The tracks of a file; every count is held against the bytes that are left, so work and memory grow with the file only."""
     tracks: list[Track] = []
     defaults: dict[int, tuple[int, int]] = {}  # trex: size and flags by track
     state: dict = {}
 
-    def walk(start: int, end: int, of: Track | None) -> None:
+    def walk(start: int, end: int, of: Track | None, depth: int) -> None:
+        if depth > DEEPEST:
+            raise MediaError(f"boxes nested too deep at {start}")
         for kind, box, at, stop in boxes(data, start, end):
             track = of
             if kind == b"trak":
                 tracks.append(track := Track())
             if kind == b"moof":
-                state["moof"], state["next"] = box, None
+                state.update({"moof": box, "next": None, "track": None})
             if kind in CONTAINERS:
-                walk(at, stop, track)
+                walk(at, stop, track, depth + 1)
                 continue
             if kind == b"trex":
+                _need(at, 24, stop, kind)
                 _, tid, _, _, size, flags = struct.unpack_from(">IIIIII", data, at)
                 defaults[tid] = size, flags
             elif kind == b"tfhd":
-                _fragment_head(at)
+                _fragment_head(at, stop)
             elif kind == b"trun":
                 _fragment_run(at, stop)
             elif track is not None:
                 _leaf(kind, at, stop, track)
 
+    def _claim(size: int, kind: bytes) -> None:
+        # Samples that no table lists one by one; tracks may share bytes, but not without end.
+        state["claimed"] = state.get("claimed", 0) + size
+        if state["claimed"] > SHARED * len(data):
+            raise MediaError(f"{kind.decode()} counts more samples than the file has bytes for")
+
     def _leaf(kind: bytes, at: int, stop: int, track: Track) -> None:
         if kind == b"tkhd":
+            _need(at, 24, stop, kind)
             track.track_id = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
         elif kind == b"mdhd":
-            track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+            _need(at, 20, stop, kind)
+            if data[at] == 1:
+                _need(at, 32, stop, kind)
+            track.timescale, length = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+            track.duration = 0 if length == UNKNOWN[data[at] == 1] else length
         elif kind == b"hdlr":
+            _need(at, 12, stop, kind)
             track.handler = data[at + 8 : at + 12].decode("latin-1")
         elif kind == b"stsd":
             track.codec = next((k.decode("latin-1") for k, *_ in boxes(data, at + 8, stop)), "")
@@ -147,16 +179,23 @@ def parse(data: bytes) -> list[Track]:
         elif kind == b"stsc":
             track.stsc = _table(data, at, stop, kind, 3)
         elif kind == b"stsz":
+            _need(at, 12, stop, kind)
             size, count = struct.unpack_from(">II", data, at + 4)
+            if size:
+                _claim(count * size, kind)
             track.sizes = np.full(count, size, np.int64) if size else _table(data, at, stop, kind, 1, skip=8).astype(np.int64)
         elif kind == b"stco":
             track.chunks = _table(data, at, stop, kind, 1)
         elif kind == b"co64":
             track.chunks = _table(data, at, stop, kind, 1, ">u8")
 
-    def _fragment_head(at: int) -> None:
+    def _fragment_head(at: int, stop: int) -> None:
+        if "moof" not in state:
+            raise MediaError("tfhd outside moof")
+        _need(at, 8, stop, b"tfhd")
         flags, tid = struct.unpack_from(">II", data, at)
         flags &= 0xFFFFFF
+        _need(at, 8 + 8 * bool(flags & 0x1) + 4 * sum(bool(flags & x) for x in (0x2, 0x8, 0x10, 0x20)), stop, b"tfhd")
         at += 8
         base = state["moof"]
         if flags & 0x1:
@@ -173,8 +212,13 @@ def parse(data: bytes) -> list[Track]:
         track = state.get("track")
         if track is None:
             raise MediaError("trun of no track")
+        _need(at, 8, stop, b"trun")
         flags, count = struct.unpack_from(">II", data, at)
         flags &= 0xFFFFFF
+        each = [bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800)]
+        _need(at, 8 + 4 * bool(flags & 0x1) + 4 * bool(flags & 0x4) + 4 * count * sum(each), stop, b"trun")
+        if not each[1]:
+            _claim(count * max(1, state["size"]), b"trun")
         at += 8
         where = state["base"] if state["next"] is None else state["next"]
         if flags & 0x1:
@@ -182,23 +226,19 @@ def parse(data: bytes) -> list[Track]:
         first = None
         if flags & 0x4:
             first, at = struct.unpack_from(">I", data, at)[0], at + 4
-        each = 4 * sum(bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800))
-        if at + count * each > stop:
-            raise MediaError("trun runs past its box")
-        for i in range(count):
-            size, how = state["size"], state["flags"] if first is None or i else first
-            at += 4 * bool(flags & 0x100)
-            if flags & 0x200:
-                size, at = struct.unpack_from(">I", data, at)[0], at + 4
-            if flags & 0x400:
-                how, at = struct.unpack_from(">I", data, at)[0], at + 4
-            at += 4 * bool(flags & 0x800)
-            track.fragments.append((where, size, int(not how & 0x10000)))
-            where += size
-        state["next"] = where
+        rows = np.frombuffer(data, ">u4", count * sum(each), at).reshape(count, sum(each)).astype(np.int64)
+        sizes = rows[:, sum(each[:1])] if each[1] else np.full(count, state["size"], np.int64)
+        how = rows[:, sum(each[:2])] if each[2] else np.full(count, state["flags"], np.int64)
+        if first is not None and count and not each[2]:
+            how[0] = first
+        if not 0 <= where <= FARTHEST:
+            raise MediaError("trun offset out of range")
+        ends = where + np.cumsum(sizes)
+        track.fragments.append(np.stack((ends - sizes, sizes, (how & 0x10000) == 0), axis=1).astype(np.int64))
+        state["next"] = int(ends[-1]) if count else where
 
     try:
-        walk(0, len(data), None)
+        walk(0, len(data), None, 0)
     except struct.error as e:
         raise MediaError(f"truncated table: {e}") from e
     return tracks
@@ -282,24 +322,25 @@ def describe(data: bytes | None) -> tuple[list[dict], str | None]:
         for t in parse(data):
             n = len(t.samples()[0])
             length = t.duration or sum(c * d for c, d in t.stts)
+            if length > FARTHEST:
+                raise MediaError("duration out of range")
             out.append({"track_id": t.track_id, "handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": length, "seconds": length / t.timescale if t.timescale else None, "n_samples": n, "keyframes": [{"offset": a, "size": s} for a, s in ranges(t)]})
         return out, None
-    except (MediaError, IndexError, UnicodeDecodeError) as e:
-        return [], str(e)
+    except (MediaError, IndexError, OverflowError, UnicodeDecodeError) as e:
+        return [], str(e) or type(e).__name__
 
 
 def probe(df: DataFrame, content: str) -> DataFrame:
     """``df`` without the binary column ``content``, with media_tracks and media_error."""
-    kept = [c for c in df.columns if c != content]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [describe(x.as_py()) for x in part.column(content)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())], names=[*kept, "media_tracks", "media_error"])
+    def start():
+        def make(values: pa.Array) -> list[pa.Array]:
+            found = [describe(x.as_py()) for x in values]
+            return [pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())]
+
+        return make
 
-    return df.mapInArrow(run, df.select(*kept).schema.add("media_tracks", from_arrow_type(pa.list_(_TRACK))).add("media_error", "string"))
+    return beside(df, content, [pa.field("media_tracks", pa.list_(_TRACK)), pa.field("media_error", pa.string())], start, 64)
 
 
 DIGESTS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -316,31 +357,18 @@ def text_digest(text: str | None) -> tuple:
 
 def text_to_media(df: DataFrame, text: str) -> DataFrame:
     """``df`` without ``text``, with media (binary)."""
-    kept = [c for c in df.columns if c != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                media = pa.array([encode(padded(t.as_py())[0]) for t in part.column(text)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [media], names=[*kept, "media"])
-
-    return df.mapInArrow(run, df.select(*kept).schema.add("media", "binary"))
+    start = lambda: lambda values: [pa.array([encode(padded(t.as_py())[0]) for t in values], pa.binary())]
+    return beside(df, text, [pa.field("media", pa.binary())], start, 64)
 
 
 def media_digests(df: DataFrame, text: str) -> DataFrame:
     """``df`` without ``text``, with the columns of DIGESTS; files live for one row only."""
-    kept = [c for c in df.columns if c != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [text_digest(t.as_py()) for t in part.column(text)]
-                cols = [pa.array(list(c), kind) for c, (_, kind) in zip(zip(*rows), DIGESTS)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + cols, names=kept + [k for k, _ in DIGESTS])
-
-    schema = df.select(*kept).schema
-    for name, kind in DIGESTS:
-        schema = schema.add(name, "long" if kind == pa.int64() else "string")
-    return df.mapInArrow(run, schema)
+
+    def start():
+        def make(values: pa.Array) -> list[pa.Array]:
+            rows = [text_digest(t.as_py()) for t in values]
+            return [pa.array(list(c), kind) for c, (_, kind) in zip(zip(*rows), DIGESTS)]
+
+        return make
+
+    return beside(df, text, [pa.field(*d) for d in DIGESTS], start)

@@ -59,9 +59,10 @@ def sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(ws, begins)
     out, at = [], [0]
     m = len(h)
-    rolled = np.zeros(max(0, m - width + 1), np.uint64)
+    windows = max(0, m - width + 1)
+    rolled = np.zeros(windows, np.uint64)
     for j in range(width):
-        rolled += h[j : m - width + 1 + j] * SEEDS[2 * BINS + BANDS + j]
+        rolled += h[j : j + windows] * SEEDS[2 * BINS + BANDS + j]
     rolled = mixed(rolled)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
@@ -206,15 +207,16 @@ CLASS = ["n", "d1", "d2"]
 
 
 def grouped(df: DataFrame, width: int, percent: int, join_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(signed, named, several): the rows of ``keyed`` with their sets' digests, each set's component, and that of doc_ids with several sets.
+    """(signed, named, several): the rows of ``keyed`` with their sets' digests, each set with the first row of its component, and sets that share a doc_id.
 
-    A component is a number that says nothing else.  With ``join_ids`` rows that share a doc_id are joined too and null ones left out.
+    The first row, (none, key, h), has the least doc_id, null ones last.  With ``join_ids`` rows that share a doc_id are joined too
+    and null ones left out.
     """
     bounded_batches(df.sparkSession)
     signed = cut(signed_sets(df, width))
     some = signed.where("n > 0 and doc_id is not null" if join_ids else "n > 0")
     # One row for each set; its number is given once, as it is written.
-    classes = cut(some.groupBy(*CLASS).agg(F.any_value("bands").alias("bands"), F.min(F.struct("key", "h")).alias("of")).withColumn("id", F.monotonically_increasing_id()))
+    classes = cut(some.groupBy(*CLASS).agg(F.any_value("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key", "h")).alias("of")).withColumn("id", F.monotonically_increasing_id()))
     own_set = F.xxhash64(*CLASS)
     repeated = cut(signed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(own_set).alias("lo"), F.max(own_set).alias("hi")).where("rows > 1").select("key", (F.col("lo") != F.col("hi")).alias("differ")))
     several = None
@@ -245,19 +247,21 @@ def grouped(df: DataFrame, width: int, percent: int, join_ids: bool) -> tuple[Da
     split = told.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     labels = relabelled(labels, block_links(told.join(split, "bucket").select("bucket", "id", "n", "first"), own, percent))
     discard(own, members)
-    named = classes.select(*CLASS, "id").join(labels, "id", "left").select(*CLASS, F.coalesce("label", "id").alias("component"))
-    if several is not None:
-        several = several.join(labels, "id").groupBy("doc_id").agg(F.min("label").alias("by_id"))
+    # Tables of their own, so that the join of a large component can be split.
+    told = cut(classes.select(*CLASS, "id", "of").join(labels, "id", "left").select(*CLASS, "id", "of", F.coalesce("label", "id").alias("component")))
+    least = cut(told.groupBy("component").agg(F.min("of").alias("first")))
+    named = cut(told.join(least, "component").select(*CLASS, "id", "component", "first"))
     return signed.select("key", "doc_id", "h", *CLASS), named, several
 
 
 def components(df: DataFrame, doc_id: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     signed, named, several = grouped(keyed(df, doc_id, text), width, percent, True)
-    told = signed.select("doc_id", *CLASS).join(named, CLASS, "left").join(several, "doc_id", "left")
-    rows = cut(told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "by_id")).alias("component")))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = named.select(*CLASS, F.col("first.key").alias("by_set"))
+    # Rows without words have the component of their doc_id's other rows.
+    by_id = cut(several.join(named.select("id", F.col("first.key").alias("by_id")), "id").groupBy("doc_id").agg(F.min("by_id").alias("by_id")))
+    rows = signed.select("doc_id", *CLASS).join(by_set, CLASS, "left").join(by_id, "doc_id", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("by_set", "by_id", "doc_id")).alias("component_id"))
 
 
 def block_links(rest: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -341,12 +345,11 @@ def representatives(df: DataFrame, doc_id: str, text: str, width: int = 5, perce
     linked with nothing, so all of them stay.
     """
     rows = carried(df, __id=F.col(doc_id).cast("long"), __text=text).withColumn("__h", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
-    signed, named, _ = grouped(keyed(df, doc_id, text), width, percent, False)
-    first = signed.where("n > 0").join(named, CLASS).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("of"))
-    kept = small(cut(first.select(F.coalesce("of.doc_id", "of.h").alias("k_key"), F.col("of.doc_id").alias("k_id"), F.col("of.h").alias("k_h"))))
+    _, named, _ = grouped(keyed(df, doc_id, text), width, percent, False)
+    kept = small(cut(named.groupBy("component").agg(F.any_value("first").alias("first")).select(F.col("first.key").alias("k_key"), F.col("first.h").alias("k_h"), F.col("first.none").alias("k_none"))))
     has_words = F.coalesce(F.col("__text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     found = rows.where(has_words).withColumn("__key", F.coalesce("__id", "__h"))
-    found = found.join(kept, (found["__key"] == kept["k_key"]) & (found["__h"] == kept["k_h"]) & found["__id"].eqNullSafe(kept["k_id"]), "left_semi")
+    found = found.join(kept, (found["__key"] == kept["k_key"]) & (found["__h"] == kept["k_h"]) & (found["__id"].isNull() == kept["k_none"]), "left_semi")
     # Repeated rows of a document: one of them.
     once = Window.partitionBy("__key", "__h").orderBy(F.xxhash64(ROW))
     one = found.select(ROW, "__key", "__h").withColumn("__nth", F.row_number().over(once)).where("__nth = 1")

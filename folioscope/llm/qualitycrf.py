@@ -7,10 +7,11 @@ each line's probability of being good; a document's quality is their mean weight
 brought to the labels' scale by a logistic curve fitted on the same training documents.
 
 Training uses a bounded sample: about ``per_label`` labelled documents of either label, chosen by a hash
-of the id.  Scoring reads whole texts and sees nothing but them.
+of the id, of at most ``most_lines`` lines each.  Scoring reads whole texts of any length and sees nothing but them.
 
 Defined results: null text is one empty line; any text has a score from 0 to 1; if the sample lacks a
-label, every score is the share of label 1 in it (0.5 if it is empty); repeated rows repeat.
+label, every score is the share of label 1 in it (0.5 if it is empty); repeated label rows count once, ids with both
+labels not at all; repeated rows repeat; an empty table gives an empty result; clashing names: see ``common.beside``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from folioscope.llm.common import beside
 from folioscope.llm.wordhash import words
 
 LOWER, UPPER, DIGIT, WHITE, SYMBOL, SHOUT, BAR, STOP, WIDE = range(9)
@@ -37,6 +39,8 @@ OWN, BESIDE = 14, [1, 3, 4, 5, 7, 8, 9]
 N = OWN + 2 * len(BESIDE)
 #: Labels are of documents, so training sees no change inside one and would let neighbours outweigh a line's own features.
 MOST_STAY = 1.0
+#: In training, lines of a chain, and lines with padding of the chains that are worked on at once.
+CHAIN, CELLS = 512, 32_768
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,43 +107,58 @@ def _soft(a: float, b: float) -> float:
     return (a if a > b else b) + math.log1p(math.exp(-abs(a - b)))
 
 
+def chains(docs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of chains of like length as (features, mask, label, lines of the document each is from).
+
+    A document longer than CHAIN lines is several chains; a group has at most CELLS lines with its padding.
+    """
+    parts = sorted(((x[at : at + CHAIN], float(y), len(x)) for x, y in docs for at in range(0, len(x), CHAIN)), key=lambda p: len(p[0]))
+    out, at = [], 0
+    while at < len(parts):
+        stop = at + 1
+        while stop < len(parts) and (stop + 1 - at) * len(parts[stop][0]) <= CELLS:
+            stop += 1
+        own, m = parts[at:stop], len(parts[stop - 1][0])
+        x, mask = np.zeros((len(own), m, N), np.float32), np.zeros((len(own), m), bool)
+        for i, (f, _, _) in enumerate(own):
+            x[i, : len(f)], mask[i, : len(f)] = f, True
+        out.append((x, mask, np.array([y for _, y, _ in own]), np.array([float(n) for _, _, n in own])))
+        at = stop
+    return out
+
+
+def gradient(w: np.ndarray, stay: float, x: np.ndarray, mask: np.ndarray, y: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Of the log likelihood of a group's chains, each weighed by ``each``, for the weights and ``stay``."""
+    soft = np.logaddexp
+    s = x @ w
+    length = s.shape[1]
+    ahead, back = np.zeros_like(s), np.zeros_like(s)
+    for t in range(1, length):
+        z = ahead[:, t - 1] + s[:, t - 1]
+        ahead[:, t] = np.where(mask[:, t], soft(z + stay, 0) - soft(z, stay), 0)
+    for t in range(length - 2, -1, -1):
+        z = back[:, t + 1] + s[:, t + 1]
+        back[:, t] = np.where(mask[:, t + 1], soft(z + stay, 0) - soft(z, stay), 0)
+    p = 1 / (1 + np.exp(-np.clip(ahead + s + back, -500, 500)))
+    out = np.zeros(N + 1)
+    out[:N] = np.einsum("dl,dln->n", np.where(mask, y[:, None] - p, 0) * each[:, None], x)
+    # Expected number of equal neighbours against all of them.
+    a, b = ahead[:, :-1] + s[:, :-1], back[:, 1:] + s[:, 1:]
+    both, none, one = a + b + stay, np.full_like(a, stay), soft(a, b)
+    equal = np.exp(soft(both, none) - soft(soft(both, none), one))
+    out[N] = (np.where(mask[:, 1:], 1 - equal, 0).sum(1) * each).sum()
+    return out
+
+
 def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Maximum likelihood of the chains, each with one label for all of its lines; each document counts once."""
-    # Chains of like length together, so that padding stays small.
-    docs = sorted(docs, key=lambda d: len(d[0]))
-    groups = []
-    for at in range(0, len(docs), 256):
-        own = docs[at : at + 256]
-        m = max(len(x) for x, _ in own)
-        x, mask = np.zeros((len(own), m, N)), np.zeros((len(own), m), bool)
-        for i, (f, _) in enumerate(own):
-            x[i, : len(f)], mask[i, : len(f)] = f, True
-        groups.append((x, mask, np.array([float(y) for _, y in own]), mask.sum(1)))
+    groups = chains(docs)
     w, stay, share = np.zeros(N), 0.0, np.mean([y for _, y in docs])
     balance = lambda y: np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     m1, m2, lr = np.zeros(N + 1), np.zeros(N + 1), 0.15
-    soft = np.logaddexp
     for step in range(1, rounds + 1):
-        grad = np.zeros(N + 1)
-        for x, mask, y, n in groups:
-            s = x @ w
-            length = s.shape[1]
-            ahead, back = np.zeros_like(s), np.zeros_like(s)
-            for t in range(1, length):
-                z = ahead[:, t - 1] + s[:, t - 1]
-                ahead[:, t] = np.where(mask[:, t], soft(z + stay, 0) - soft(z, stay), 0)
-            for t in range(length - 2, -1, -1):
-                z = back[:, t + 1] + s[:, t + 1]
-                back[:, t] = np.where(mask[:, t + 1], soft(z + stay, 0) - soft(z, stay), 0)
-            p = 1 / (1 + np.exp(-np.clip(ahead + s + back, -500, 500)))
-            each = balance(y) / n  # a long document doesn't outweigh a short one
-            grad[:N] += np.einsum("dl,dln->n", np.where(mask, y[:, None] - p, 0) * each[:, None], x)
-            # Expected number of equal neighbours against all of them.
-            a, b = ahead[:, :-1] + s[:, :-1], back[:, 1:] + s[:, 1:]
-            both, none, one = a + b + stay, np.full_like(a, stay), soft(a, b)
-            equal = np.exp(soft(both, none) - soft(soft(both, none), one))
-            grad[N] += (np.where(mask[:, 1:], 1 - equal, 0).sum(1) * each).sum()
-        grad /= len(docs)
+        # A long document doesn't outweigh a short one.
+        grad = sum(gradient(w, stay, x, mask, y, balance(y) / n) for x, mask, y, n in groups) / len(docs)
         grad -= decay * np.append(w, 4 * stay)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -170,29 +189,38 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(theta[0])), float(theta[1])
 
 
-def sampled(labels: DataFrame, doc_id: str, label: str, per_label: int) -> DataFrame:
-    """(id, y): about ``per_label`` labelled ids of either label."""
-    usable = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+def sampled(labels: DataFrame, doc_id: str, label: str, wanted: dict[int, int]) -> DataFrame:
+    """(id, y): about ``wanted`` ids of either label, chosen by a hash of the id; an id counts once, one with both labels not at all."""
+    given = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    usable = given.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("y") == 1, min(1.0, per_label / counts.get(1, 1))).otherwise(min(1.0, per_label / counts.get(0, 1)))
+    share = F.when(F.col("y") == 1, min(1.0, wanted[1] / counts.get(1, 1))).otherwise(min(1.0, wanted[0] / counts.get(0, 1)))
     return usable.where(u < share)
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int = 1000) -> Model:
-    """``labels``: the rows to learn from only."""
-    some = sampled(labels, doc_id, label, per_label)
-    # About 2 * per_label ids: small by construction.
-    own = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")
+def with_texts(df: DataFrame, some: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text, y): the least text of each id of ``some``, a sample that is small by construction."""
+    met = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")
+    return met.groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
+
+
+def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int = 1000, most_lines: int = 5000) -> Model:
+    """``labels``: the rows to learn from only; texts of more than ``most_lines`` lines teach nothing, so that the sample is bounded in bytes."""
+    own = with_texts(df, sampled(labels, doc_id, label, {1: per_label, 0: per_label}), doc_id, text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, length, first = line_features([t or "" for t in batch.column("text").to_pylist()]) if batch.num_rows else (None, None, [0])
-            rows = [(x[a:b].astype(np.float32).tobytes(), length[a:b].tobytes()) for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "y", "x", "length"])
-
-    rows = sorted(own.select("id", "text", "y").mapInArrow(features, "id string, y int, x binary, length binary").collect(), key=lambda r: (r.id, r.y, r.x))
-    docs = [(np.frombuffer(r.x, np.float32).reshape(-1, N).astype(np.float64), r.y, np.frombuffer(r.length)) for r in rows]
+            rows = []
+            for i, y, t in zip(batch.column("id").cast(pa.string()).to_pylist(), batch.column("y").to_pylist(), batch.column("text")):
+                t = t.as_py() or ""
+                if t.count("\n") < most_lines:
+                    x, length, _ = line_features([t])
+                    rows.append((i, y, x.astype(np.float32).tobytes(), length.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["id", "y", "x", "length"])
+
+    rows = sorted(own.mapInArrow(features, "id string, y int, x binary, length binary").collect(), key=lambda r: (r.id, r.y, r.x))
+    docs = [(np.frombuffer(r.x, np.float32).reshape(-1, N), r.y, np.frombuffer(r.length)) for r in rows]
     if len({y for _, y, _ in docs}) < 2:
         return Model(np.zeros(N), 0.0, constant=float(np.mean([y for _, y, _ in docs])) if docs else 0.5)
     model = Model(*fit([(x, y) for x, y, _ in docs]))
@@ -214,16 +242,9 @@ def scores(model: Model, texts: list[str | None]) -> list[float]:
 
 def score(df: DataFrame, text: str, model: Model) -> DataFrame:
     """``df`` without ``text``, with score."""
-    kept = [c for c in df.columns if c != text]
     sent = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(scores(sent.value, part.column(text).to_pylist()), pa.float64())], names=[*kept, "score"])
-
-    return df.mapInArrow(run, df.select(*kept).schema.add("score", "double"))
+    start = lambda: lambda values: [pa.array(scores(sent.value, values.to_pylist()), pa.float64())]
+    return beside(df, text, [pa.field("score", pa.float64())], start, 128)
 
 
 def score_column(text: str, model: Model, spark: SparkSession) -> Column:

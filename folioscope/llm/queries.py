@@ -75,7 +75,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
-k as (select distinct on (doc_id, t) r as k, doc_id as kid, t as kt, source as ks from d),
+k as (select distinct on (doc_id, t, source) r as k, doc_id as kid, t as kt, source as ks from d),
 ws as (select r, list_filter(string_split_regex(t, '[ \t\n\v\f\r]+'), lambda x: x <> '') as w from d),
 w as (select r, unnest(w) as w, generate_subscripts(w, 1) as i from ws),
 g as (select r, i, w as a, lead(w) over (partition by r order by i) as b, lead(w, 2) over (partition by r order by i) as c from w),
@@ -86,12 +86,11 @@ lw as (select r, line from l where regexp_matches(line, '[^ \t\n\v\f\r]')),
 dup as (select r, count(*) - count(distinct line) as n from lw group by r),
 nl as (select r, regexp_replace(lower(trim(regexp_replace(line, '[ \t\n\v\f\r]+', ' ', 'g'))), '[0-9]', '0', 'g') as line from lw),
 held as (select ks, line, kid, kt, any_value(k) as k, sum(len(string_split(line, ' '))) as words from nl join k on nl.r = k.k group by ks, line, kid, kt),
-hosts as (select source, count(*) as docs from d group by source),
-often as (select held.ks, held.line from held join hosts on held.ks is not distinct from hosts.source group by held.ks, held.line, hosts.docs having count(*) >= 10 and count(*) >= hosts.docs * 0.01),
-gone as (select kid, kt, sum(words) as n from held join often on held.ks is not distinct from often.ks and held.line = often.line group by kid, kt),
+often as (select ks, line from held group by ks, line having count(*) >= 10),
+gone as (select held.kid, held.kt, held.ks, sum(words) as n from held join often on held.ks is not distinct from often.ks and held.line = often.line group by held.kid, held.kt, held.ks),
 o as (select d.doc_id, len(ws.w) as n_words, coalesce(list_sum(list_transform(ws.w, lambda x: length(x))), 0)::bigint as word_chars,
  length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(gone.n, 0)::bigint as n_boilerplate_words
- from d join ws using (r) left join dup using (r) left join rep using (r) left join gone on gone.kid is not distinct from d.doc_id and gone.kt = d.t)
+ from d join ws using (r) left join dup using (r) left join rep using (r) left join gone on gone.kid is not distinct from d.doc_id and gone.kt = d.t and gone.ks is not distinct from d.source)
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - n_boilerplate_words >= 0.5 * n_words as kept from o
 """
 

@@ -14,12 +14,12 @@ that clean texts use too weigh nothing).  A window of words around it tells quot
 marks, or a verb of saying near it) from abuse (a second person near it), which lowers or raises the
 weight.  A logistic curve over the summed weights gives the score.
 
-Training uses a bounded sample: about ``toxic`` and ``clean`` labelled texts, chosen by a hash of the id.
-Scoring reads whole texts and nothing else.
+Training uses a bounded sample: about ``toxic`` and ``clean`` labelled texts, chosen by a hash of the id; an id counts once,
+one with both labels not at all.  Scoring reads whole texts, of any length in one pass, and nothing else.
 
 Defined results: null and empty texts score as texts without hits; without toxic training texts the
 lexicon is empty and all scores are equal; ties between terms go to fewer edits, then to the
-first term; repeated rows repeat.
+first term; repeated rows repeat; an empty table gives an empty result; clashing names: see ``common.beside``.
 """
 
 from __future__ import annotations
@@ -37,15 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import beside
+
 WORD = re.compile(r"[^\W_]+")
 #: Words with one to three symbols at a time between letters.
 MASKED = re.compile(r"[^\W_]++(?:(?:[^\w\s]|_){1,3}+[^\W_]++)+")
-#: Shortest and longest stem (words of any length are terms), and words kept.
-LEAST, STEM, WORDS = 4, 7, 900_000
+#: Shortest and longest stem (words of any length are terms); words kept, and letters of the longest of them.
+LEAST, STEM, WORDS, KEPT = 4, 7, 900_000, 64
 #: Words of saying, and of the second person, in the languages at hand.
 SAYING = frozenset("said says say wrote writes called calls quoted quote quotes claimed dit disait écrit appelé sagte sagt schrieb nannte dijo dice escribió llamó".split())
 SECOND = frozenset("you your yours youre u du dich dir dein deine tu te toi ton vous usted ustedes ti".split())
 QUOTES = re.compile("[\"“”„«»]")
+BREAK = re.compile("\n")
+#: Words looked at on either side of a hit, and what a quotation and an address make of its weight: defaults of ``train``.
 WINDOW, QUOTED, DIRECTED = 6, 0.35, 1.15
 
 
@@ -145,9 +149,10 @@ class Matches(dict):
         found = self.lexicon.match(word)
         if found is not None and found[0] and word in self.clean:
             found = None
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= KEPT:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -158,10 +163,13 @@ class Model:
     slope: float = 1.0
     shift: float = -3.0
     clean: frozenset[str] = frozenset()  # edited forms that are clean words
+    window: int = WINDOW
+    quoted: float = QUOTED
+    directed: float = DIRECTED
 
 
-def hits(matches: Matches, text: str | None) -> list[tuple[int, int, bool, bool, str]]:
-    """(term, edits, quoted, directed, form) of each hit in a text."""
+def hits(matches: Matches, text: str | None, window: int = WINDOW) -> list[tuple[int, int, bool, bool, str]]:
+    """(term, edits, quoted, directed, form) of each hit in a text, in one pass over it."""
     low = (text or "").lower()
     words = WORD.findall(low)
     found = list(map(matches.__getitem__, words))
@@ -169,8 +177,7 @@ def hits(matches: Matches, text: str | None) -> list[tuple[int, int, bool, bool,
     if not masked and not any(found):
         return []
     forms = words.copy()
-    marks, at, out = [m.start() for m in QUOTES.finditer(low)], 0, []
-    breaks = [m.start() for m in re.finditer("\n", low)]
+    marks, breaks = [m.start() for m in QUOTES.finditer(low)], [m.start() for m in BREAK.finditer(low)]
     places = [m.start() for m in WORD.finditer(low)]
     if masked:
         for m in MASKED.finditer(low):
@@ -178,22 +185,23 @@ def hits(matches: Matches, text: str | None) -> list[tuple[int, int, bool, bool,
             # A masked word stands for its parts if it is closer to a term than each of them.
             if f is not None and all(x is None or f < x for x in found[i : bisect_left(places, m.end())]):
                 found[i], forms[i] = f, m.group()
-    starts = np.searchsorted(breaks, places) if breaks else np.zeros(len(places), int)
+    out = []
     for i, f in enumerate(found):
         if f is None:
             continue
-        near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        line = breaks[starts[i] - 1] if starts[i] else -1
-        open_marks = sum(1 for m in marks[at:] if line < m < places[i]) if marks else 0
-        out.append((f[1], f[0], open_marks % 2 == 1 or not SAYING.isdisjoint(near), not SECOND.isdisjoint(near), forms[i]))
+        near = words[max(0, i - window) : i + window + 1]
+        line = bisect_left(breaks, places[i])
+        # Quotation marks of the line before the word: an odd number leaves one open.
+        before = bisect_left(marks, places[i]) - (bisect_left(marks, breaks[line - 1]) if line else 0)
+        out.append((f[1], f[0], before % 2 == 1 or not SAYING.isdisjoint(near), not SECOND.isdisjoint(near), forms[i]))
     return out
 
 
 def total(model: Model, found: list[tuple[int, int, bool, bool, str]]) -> float:
-    """Weight of all hits: repeated ones add less and less, so that length alone makes no text toxic."""
+    """Weight of all hits; of repeated ones the one that weighs most, so that length alone makes no text toxic."""
     by_term: dict[tuple[int, int], float] = {}
     for term, edits, quoted, directed, _ in found:
-        k = QUOTED if quoted else DIRECTED if directed else 1.0
+        k = model.quoted if quoted else model.directed if directed else 1.0
         by_term[term, edits] = max(by_term.get((term, edits), 0.0), k)
     return sum(k * model.weights.get(key, 0.0) for key, k in by_term.items())
 
@@ -232,16 +240,14 @@ def clean_forms(used: dict[str, list[int]], clean: int, toxic: int) -> frozenset
 
 
 def _sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, toxic: int, clean: int) -> DataFrame:
-    usable = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    n = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    some = usable.where(u < F.when(F.col("y") == 1, min(1.0, toxic / n.get(1, 1))).otherwise(min(1.0, clean / n.get(0, 1))))
-    # About toxic + clean ids: small by construction.
-    return df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").select("id", "text", "y")
+    """(id, text, y): about ``toxic`` and ``clean`` labelled texts, each id once."""
+    from folioscope.llm.qualitycrf import sampled, with_texts
+
+    return with_texts(df, sampled(labels, doc_id, label, {1: toxic, 0: clean}), doc_id, text)
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, toxic: int = 1500, clean: int = 4500, most_terms: int = 2000) -> Model:
-    """``labels``: the rows to learn from only."""
+def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, toxic: int = 1500, clean: int = 4500, window: int = WINDOW, quoted: float = QUOTED, directed: float = DIRECTED) -> Model:
+    """``labels``: the rows to learn from only.  Every term that the sample supports is in the lexicon."""
     from folioscope.llm.qualitycrf import curve
 
     some = _sample(df, labels, doc_id, text, label, toxic, clean)
@@ -262,17 +268,17 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
 
     sizes = {r.y: r.n for r in some.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return Model([])
+        return Model([], window=window, quoted=quoted, directed=directed)
     a, b = F.sum("y"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
     met = some.mapInArrow(terms_of, "term string, word int, y int, near long").groupBy("term", "word", "y", "near").agg(F.count(F.lit(1)).alias("n"))
     counted = met.groupBy("term", "word").agg(a.alias("a"), b.alias("b"))
-    often = counted.where(f"a >= {max(5, round(0.01 * sizes[1]))} and (a + 0.5) / {sizes[1] + 1} >= 20 * (b + 0.5) / {sizes[0] + 1}").orderBy(F.desc(F.col("a") - 20 * F.col("b")), "term", "word").limit(most_terms)
-    model = Model(choose_terms([(r.term, r.word, r.a, r.b) for r in often.collect()], sizes[1], sizes[0]))
+    often = counted.where(f"a >= {max(5, round(0.01 * sizes[1]))} and (a + 0.5) / {sizes[1] + 1} >= 20 * (b + 0.5) / {sizes[0] + 1}")
+    model = Model(choose_terms(sorted((r.term, r.word, r.a, r.b) for r in often.collect()), sizes[1], sizes[0]), window=window, quoted=quoted, directed=directed)
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = Matches(Lexicon(model.terms, first=True))
         for batch in batches:
-            own = [hits(matches, t.as_py()) for t in batch.column("text")]
+            own = [hits(matches, t.as_py(), window) for t in batch.column("text")]
             numbers = pa.array([[list(map(int, h[:4])) for h in x] for x in own], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), numbers, pa.array([[h[4] for h in x] for x in own], pa.list_(pa.string()))], names=["id", "y", "hits", "forms"])
 
@@ -307,19 +313,15 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
 
 
 def scores(model: Model, matches: Matches, texts: list[str | None]) -> list[float]:
-    return [1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * squash(total(model, hits(matches, t))) + model.shift)))) for t in texts]
+    return [1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * squash(total(model, hits(matches, t, model.window))) + model.shift)))) for t in texts]
 
 
 def score(df: DataFrame, text: str, model: Model) -> DataFrame:
     """``df`` without ``text``, with score."""
-    kept = [c for c in df.columns if c != text]
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         matches = Matches(Lexicon(sent.value.terms, first=True), sent.value.clean)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(scores(sent.value, matches, part.column(text).to_pylist()), pa.float64())], names=[*kept, "score"])
+        return lambda values: [pa.array(scores(sent.value, matches, values.to_pylist()), pa.float64())]
 
-    return df.mapInArrow(run, df.select(*kept).schema.add("score", "double"))
+    return beside(df, text, [pa.field("score", pa.float64())], start)

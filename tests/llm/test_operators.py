@@ -100,6 +100,97 @@ def test_media_probe_of_real_and_broken_files(spark):
     assert got[7].media_tracks[0].n_samples == 30 and (got[8].media_tracks, got[8].media_error) == ([], None)
 
 
+def moov(*leaves):
+    """A movie box around a track around the given boxes of its sample table, and a header."""
+    b = media._box
+    return media.FTYP + b(b"moov", b(b"trak", media._full(b"tkhd", struct.pack(">III", 0, 0, 1), bytes(12)), b(b"mdia", media._full(b"mdhd", struct.pack(">IIII", 0, 0, 25, 10)), b(b"minf", b(b"stbl", *leaves)))))
+
+
+def test_media_probe_of_hostile_files(spark):
+    b, f = media._box, media._full
+    nested = b""
+    for _ in range(3000):
+        nested = b(b"moov", nested)
+    fragment = lambda *parts, flags=0, base=b"": b(b"moof", b(b"traf", f(b"tfhd", struct.pack(">I", 1), base, flags=flags), *parts))
+    chunk = (f(b"stco", struct.pack(">II", 1, 40)),)
+    huge = 0xFFFFFFFF
+    bad = {
+        "nested": nested,
+        "traf": b(b"traf", f(b"tfhd", struct.pack(">I", 1))),
+        "stsz": moov(f(b"stsz", struct.pack(">II", 1, huge))),
+        "many stsz": moov(*[f(b"stsz", struct.pack(">II", 1, 300))] * 200),
+        "base": moov() + fragment(f(b"trun", struct.pack(">I", 1)), flags=1, base=struct.pack(">Q", huge << 32)),
+        "trun": moov() + fragment(f(b"trun", struct.pack(">I", huge))),
+        "trun 2": moov() + fragment(f(b"trun", struct.pack(">I", huge), flags=0x200)),
+        "co64": moov(f(b"stsz", struct.pack(">II", 1, 1)), f(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), f(b"co64", struct.pack(">IQ", 1, huge << 32))),
+        "stts": moov(f(b"stts", struct.pack(">I", 3), struct.pack(">II", huge, huge) * 3)).replace(struct.pack(">IIII", 0, 0, 25, 10), struct.pack(">IIII", 0, 0, 25, huge)),
+        "short mdhd": media.FTYP + b(b"moov", b(b"trak", b(b"mdia", b(b"mdhd", b"\1")))),
+        "short tfhd": moov() + b(b"moof", b(b"traf", b(b"tfhd", b"\0\0\0\1"))),
+    }
+    good = {
+        "samples per chunk": moov(f(b"stsz", struct.pack(">II", 3, 5)), f(b"stsc", struct.pack(">IIII", 1, 1, huge, 1)), *chunk),
+        "unknown duration": moov().replace(struct.pack(">IIII", 0, 0, 25, 10), struct.pack(">IIII", 0, 0, 25, huge)),
+        "unknown duration 64": media.FTYP + b(b"moov", b(b"trak", b(b"mdia", b(b"mdhd", struct.pack(">IQQIQ", 1 << 24, 0, 0, 25, (1 << 64) - 1))))),
+    }
+    rng = random.Random(6)
+    whole = media.encode(bytes(range(192)) * 30)
+    random_ones = []
+    for _ in range(400):
+        x = bytearray(whole[: rng.choice([len(whole), 900])])
+        for _ in range(rng.randint(1, 6)):
+            x[rng.randrange(700)] = rng.choice([0, 1, 255, rng.randrange(256)])
+        random_ones.append(("any", bytes(x)))
+    rows = [*bad.items(), *good.items(), *random_ones]
+    got = media.probe(spark.createDataFrame([(n, c, 7, "x") for n, c in rows], "name string, content binary, media_tracks int, media_error string"), "content").collect()
+    assert len(got) == len(rows) and all(r.media_tracks_in == 7 and r.media_error_in == "x" for r in got)
+    for r in got:
+        if r.name in bad:
+            assert r.media_error and r.media_tracks == [], r.name
+        elif r.name in good:
+            assert r.media_error is None and len(r.media_tracks) == 1, (r.name, r.media_error)
+    by = {r.name: r for r in got}
+    assert [tuple(k) for k in by["samples per chunk"].media_tracks[0].keyframes] == [(40 + 3 * i, 3) for i in range(5)]
+    assert by["unknown duration"].media_tracks[0].duration == by["unknown duration 64"].media_tracks[0].duration == 0
+
+
+def test_media_form_and_feature(spark, folder, rows):
+    """The stored form, byte by byte: the payload stands at the file's end and the keyframes are each twelfth frame of it."""
+    want = Counter()
+    for r in rows:
+        p = (r[1] or "").encode()
+        p += b" " * (-len(p) % 192 if p else 192)
+        n = len(p) // 192
+        chunks = -(-n // 12)
+        runs = (n >= 12) + (n % 12 > 0)
+        size = 24 + 8 + 108 + 8 + 92 + 8 + 32 + 44 + 8 + 20 + 36 + 8 + (16 + 86) + 24 + (16 + 4 * chunks) + (16 + 12 * runs) + 20 + (16 + 4 * chunks) + 8 + len(p)
+        keys = ",".join(f"{size - len(p) + 192 * 12 * k}+192" for k in range(chunks))
+        want[r[0], size, f"codec=raw ;handler=vide;timescale=25;duration={n};samples={n};keyframes={keys}"] += 1
+    found = QUERIES["op1_media_columns"](spark, folder)
+    got = Counter()
+    for r in found.collect():
+        got[r.doc_id, r.media_bytes, r.feature] += 1
+    assert got == want
+    stored = media.text_to_media(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "n"), "text").collect()
+    assert Counter((r.doc_id, hashlib.sha256(r.media).hexdigest()) for r in stored) == by_text(found, rows, "doc_id", "media_sha256")
+
+
+def test_names_that_clash(spark):
+    names = ["doc_id", "text", "ids", "ids_in", "n_tokens", "decoded", "decoded_sha256", "score", "lang_pred", "media", "__row", "lines", "__id", "__text", "__h", "c0", "__read", "n_bytes"]
+    docs = spark.createDataFrame([tuple([1, "one two three"] + [f"v{i}" for i in range(len(names) - 2)])], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    import public_tokenizers as P
+
+    import corpus_pipeline
+
+    r = corpus_pipeline.byte_bpe(spark, docs, "").collect()[0].asDict()
+    assert r["ids_in_in"] == "v0" and r["ids_in"] == "v1" and r["n_tokens_in"] == "v2" and r["decoded"] == "v3" and r["decoded_sha256_in"] == "v4" and r["n_tokens"] == len(r["ids"])
+    assert bpe.token_digests(docs, "text", P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()[0].n_tokens_in == "v2"
+    assert toxicity.score(docs, "text", toxicity.Model([])).collect()[0].score_in == "v5"
+    assert langid.identify(docs, "text", langid.Model([], {}, [], __import__("numpy").zeros((langid.WIDTH, 1), "float32"), __import__("numpy").zeros(1))).collect()[0].lang_pred_in == "v6"
+    assert media.text_to_media(docs, "text").collect()[0].media_in == "v7" and media.media_digests(docs, "text").collect()[0].n_bytes_in == "v15"
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        assert [tuple(x) for x in stage(spark, docs, "").collect()] == [tuple(docs.collect()[0])]
+
+
 def test_poisson_counts_and_rates(spark, folder, rows):
     size = defaultdict(int)
     for r in rows:
@@ -146,6 +237,47 @@ def test_language_without_letters_and_three_in_a_family(spark, folder, rows):
     assert model.families == ["romance", "xx"] and all(langid.predict(model, text(a))[0] == g for g, a in alphabets.items())
 
 
+def test_language_predictions_by_hand(spark):
+    """Margins, votes and families of a small model, against sums over trigrams one by one."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    families, languages = ["f", "g", "h"], {"f": ["a", "b", "c"], "g": ["d"], "h": ["e", "i"]}
+    pairs = [("", x, None) for x in families] + [("f", "a", "b"), ("f", "a", "c"), ("f", "b", "c"), ("h", "e", "i")]
+    model = langid.Model(families, languages, pairs, rng.normal(size=(langid.WIDTH, len(pairs))).astype(np.float32), rng.normal(size=len(pairs)))
+    for text in ["Some words, 12 of them", "é", "Ünïcode ½ text", "x" * 50]:
+        b = b" " + text.lower().encode() + b" "
+        b = bytes(x if 97 <= x <= 122 or x >= 128 else 32 for x in b)
+        hashes = [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(b) - 2) if b[i] != 32 or b[i + 1] != 32]
+        margin = [sum(float(model.weights[h, k]) for h in hashes) * 10 / len(hashes) + model.bias[k] for k in range(len(pairs))]
+        family = max(range(3), key=lambda k: margin[k])
+        if family == 0:
+            votes = Counter({"a": 0, "b": 0, "c": 0})
+            for (_, x, y), m in zip(pairs[3:6], margin[3:6]):
+                votes[x if m >= 0 else y] += 1
+            sums = {"a": margin[3] + margin[4], "b": margin[5] - margin[3], "c": -margin[4] - margin[5]}
+            want = max("abc", key=lambda x: (votes[x], sums[x]))
+        else:
+            want = "d" if family == 1 else "e" if margin[6] >= 0 else "i"
+        got, score = langid.predict(model, text)
+        assert got == want and 0 <= score <= 1
+    assert [langid.predict(model, t) for t in (None, "", "12", "½", "²", "①", "Ⅳ", "_")] == [("und", 0.0)] * 8
+
+
+def test_linear_svm_reaches_its_optimum():
+    """The dual solution's hinge loss is no worse than any nearby one's."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    y = np.where(x @ [1.0, -2.0, 0.5] + 0.3 > 0, 1.0, -1.0)
+    w, bias = langid.svm([(np.arange(3), v) for v in x], y, rounds=400)
+    weight = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    loss = lambda v: 0.5 * v @ v + (10 * weight * np.maximum(0, 1 - y * (x @ v[:3] + v[3]))).sum()
+    best = np.append(w[:3], bias)
+    assert all(loss(best) <= loss(best + rng.normal(size=4) * s) + 1e-3 for s in (0.01, 0.1, 1.0) for _ in range(50))
+
+
 def test_every_labelled_language_is_learned(spark):
     names = [x for family in langid.FAMILIES.values() for x in family] + [f"x{i:02}" for i in range(39)]
     rng = random.Random(3)
@@ -205,6 +337,15 @@ def test_cleaned_texts_have_no_boilerplate(spark, sf01):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.where("n_boilerplate_words > 0").count() > 0
 
 
+def test_one_text_in_two_hosts_and_repeated_rows(spark):
+    own = lambda i, n: " ".join(f"w{'qwertyuiop'[i % 10]}{'qwertyuiop'[i // 10]}x{'qwertyuiop'[j % 10] * (1 + j // 10)}" for j in range(n))
+    line = own(99, 78)
+    docs = [(i, f"{line}\n{own(i, 60)}", "a") for i in range(20)] + [(5, f"{line}\n{own(5, 60)}", "b")] + [(50, own(50, 60), "a")] * 3000
+    found = qualityrules.verdicts(spark.createDataFrame(docs, "doc_id long, text string, host string"), "doc_id", "text", "host")
+    got = Counter((r.doc_id, r.n_boilerplate_words, r.kept) for r in found.collect())
+    assert got == Counter({(50, 0, True): 3000, **{(i, 78, False): 1 for i in range(20)}, (5, 0, True): 1})
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers as P
@@ -256,6 +397,20 @@ def test_shards(spark, folder, rows):
     assert [-1 if r.doc_id is None else r.doc_id for r in order] == sorted(-1 if r[0] is None else r[0] for r in rows)
 
 
+def test_shard_rule_is_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(rng.randrange(900), "y" * rng.choice([0, 1, 30, 700])) for _ in range(700)] + [(3, None), (None, "z" * 5000), (950, "w" * 20_000)]
+    found = sharding.byte_shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), "doc_id", "text", 8).collect()
+    rows = sorted((-1 if i is None else i, zlib.crc32((t or "").encode()), len(t or "") + 1) for i, t in docs)
+    total, before, want, slots = sum(r[2] for r in rows), 0, Counter(), Counter()
+    for i, crc, size in rows:
+        shard = min(7, int((before + size / 2) * 8 // total))
+        want[i, crc, size, shard, slots[shard]] += 1
+        slots[shard] += 1
+        before += size
+    assert Counter((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in found) == want
+
+
 def test_shards_are_even(spark):
     docs = spark.createDataFrame([(i, "y" * (i * 37 % 900)) for i in range(3000)], "doc_id long, text string")
     total = [r.s for r in sharding.byte_shards(docs, "doc_id", "text", 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
@@ -347,6 +502,39 @@ def test_toxicity_of_first_letters_symbols_and_short_terms(spark):
     assert all(scores[f] > scores[""] for f in forms) and scores["**idiot**"] == scores["(idiot)"] == scores["idiot.the"] > scores["zdiot"], scores
 
 
+def test_toxicity_of_very_long_texts(spark):
+    import time
+
+    model = toxicity.Model([("idiot", False)], {(0, 0): 4.0, (0, 1): 2.0})
+    m = toxicity.Matches(toxicity.Lexicon(model.terms, first=True))
+    for text in ('"idiot" ' * 130_000, "idiot\n" * 150_000, "i*d*i*o*t*" * 100_000, "i" * 1_000_000, '"' * 1_000_000 + " idiot", "*" * 1_000_000):
+        begin = time.time()
+        toxicity.scores(model, m, [text])
+        assert time.time() - begin < 4, text[:9]
+
+
+def test_toxicity_hits_and_total_by_hand():
+    model = toxicity.Model([("idiot", False)], {(0, 0): 4.0, (0, 1): 2.0}, slope=1.0, shift=0.0, window=2, quoted=0.5, directed=2.0)
+    m = toxicity.Matches(toxicity.Lexicon(model.terms, first=True))
+    of = lambda t: toxicity.hits(m, t, model.window)
+    assert of('a "b\nan idiot') == [(0, 0, False, False, "idiot")]  # the mark is in another line
+    assert of('a "an idiot" b') == [(0, 0, True, False, "idiot")] and of('"b" an idiot') == [(0, 0, False, False, "idiot")]
+    assert of("you are an idiot") == [(0, 0, False, False, "idiot")] and of("you an idiot") == [(0, 0, False, True, "idiot")]
+    assert of("she said idiot") == [(0, 0, True, False, "idiot")] and of("said one two idiot") == [(0, 0, False, False, "idiot")]
+    assert toxicity.total(model, of("you idiot. x x x idiot. x x x idoit idiiot")) == 4.0 * 2.0 + 2.0  # the weightiest of each form
+    assert toxicity.scores(model, m, ["an idiot"]) == [1 / (1 + math.exp(-math.log1p(4.0)))]
+
+
+def test_repeated_and_contradictory_labels(spark):
+    from folioscope.llm.qualitycrf import sampled, with_texts
+
+    labels = spark.createDataFrame([(1, 1)] * 5 + [(2, 0), (2, 1), (3, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x"), (3, None), (3, None), (5, "y")], "doc_id long, text string")
+    some = sampled(labels, "doc_id", "toxic", {1: 10, 0: 10})
+    assert sorted(map(tuple, some.collect())) == [(1, 1), (3, 0)]
+    assert sorted((r.id, r.text, r.y) for r in with_texts(docs, some, "doc_id", "text").collect()) == [(1, "a", 1), (3, None, 0)]
+
+
 def shingles(t, k):
     w = WHITE.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
@@ -453,6 +641,12 @@ def test_forest_is_brute_force(monkeypatch):
         assert got.tolist() == want
 
 
+@pytest.mark.parametrize("texts", [["a"], ["a b c"], ["", "a b", None], ["a b c d e"], ["a", "b", "c d"]])
+def test_sets_of_batches_with_few_words(texts):
+    _, at = minhash.sets(texts, 5)
+    assert [b - a for a, b in zip(at, at[1:])] == [len(shingles(t, 5)) for t in texts]
+
+
 def test_sketches_fill_and_estimate():
     texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 5, 40, 3000)] + [" ".join(f"w{i}" for i in range(600, 3600)), "", None]
     e, at = minhash.sets(texts, 2)
@@ -480,6 +674,87 @@ def test_crf_marginals_are_brute_force():
     assert all(abs(a - b) < 1e-9 for a, b in zip(marginals(scores, stay), want))
 
 
+def plain_features(text):
+    """The features of each line, one character at a time."""
+    import numpy as np
+
+    kinds = {**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 0), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), **dict.fromkeys("0123456789", 2), **dict.fromkeys(" \t\n\x0b\x0c\r", 3), "!": 5, "?": 5, "|": 6, **dict.fromkeys(".,;:'\"()-", 7)}
+    own = []
+    for line in text.split("\n"):
+        b = line.encode()
+        n = Counter(8 if x >= 128 else kinds.get(chr(x), 4) for x in b)
+        w = WHITE.findall(line)
+        solid, per, letters = max(len(b) - n[3], 1), max(len(w), 1), max(n[0] + n[1] + n[8], 1)
+        own.append([
+            1, math.sqrt(n[4] / solid), n[2] / solid, math.sqrt(n[5] / solid), math.sqrt(n[6] / solid), n[1] / letters, n[7] / solid, sum(x == y for x, y in zip(w, w[1:])) / per, 1 - len({*w}) / per,
+            float(bool(w) and n[1] > n[0]), math.log1p(len(w)) / 4, min(solid / per, 30) / 8, sum(len(x.encode()) > 18 for x in w) / per, float(not w),
+        ])
+    beside = [1, 3, 4, 5, 7, 8, 9]
+    none = [0.0] * 14
+    return np.array([x + [p[k] for k in beside] + [q[k] for k in beside] for p, x, q in zip([none, *own[:-1]], own, [*own[1:], none])])
+
+
+def test_line_features_are_plain_ones(rows):
+    import numpy as np
+
+    from folioscope.llm.qualitycrf import line_features
+
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 9000] + ["A A a\n\n|x| !! 12\tabc-déf " + "q" * 30 + "\n\n", "\n"]
+    x, length, first = line_features(texts)
+    for t, a, b in zip(texts, first[:-1], first[1:]):
+        assert np.allclose(x[a:b], plain_features(t)) and length[a:b].tolist() == [len(y.encode()) for y in t.split("\n")]
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    from itertools import product
+
+    import numpy as np
+
+    from folioscope.llm import qualitycrf as q
+
+    rng = np.random.default_rng(1)
+    docs = [(rng.normal(size=(n, q.N)).astype(np.float32), y) for n, y in ((1, 1), (4, 0), (3, 1))]
+    w, stay = rng.normal(size=q.N) * 0.3, 0.4
+
+    def likelihood(w, stay):
+        out = 0.0
+        for x, y in docs:
+            s = x.astype(float) @ w
+            value = lambda ys: sum(v * b for v, b in zip(s, ys)) + stay * sum(a == b for a, b in zip(ys, ys[1:]))
+            z = math.log(sum(math.exp(value(ys)) for ys in product((0, 1), repeat=len(x))))
+            out += value((y,) * len(x)) - z
+        return out
+
+    ((x, mask, y, n),) = q.chains(docs)
+    got = q.gradient(w, stay, x, mask, y, np.ones(3))
+    for k in (0, 5, q.N - 1):
+        step = np.eye(q.N)[k] * 1e-5
+        assert abs((likelihood(w + step, stay) - likelihood(w - step, stay)) / 2e-5 - got[k]) < 1e-3
+    assert abs((likelihood(w, stay + 1e-5) - likelihood(w, stay - 1e-5)) / 2e-5 - got[q.N]) < 1e-3
+
+
+def test_crf_scores_are_weighted_means_and_long_labelled_texts_are_bounded(spark):
+    import numpy as np
+
+    from folioscope.llm import qualitycrf as q
+
+    model = q.Model(np.arange(q.N) / 20 - 0.4, 0.5, 0.7, 0.2)
+    texts = ["Some line, of words.\n## || !!\nshort", "", "x"]
+    want = []
+    for t in texts:
+        p = q.marginals((plain_features(t) @ model.weights).tolist(), model.stay)
+        n = [len(x.encode()) + 1 for x in t.split("\n")]
+        good = sum(a * b for a, b in zip(p, n)) / sum(n)
+        want.append(1 / (1 + math.exp(-(0.7 * math.log(good / (1 - good)) + 0.2))))
+    assert np.allclose(q.scores(model, texts), want)
+    docs = [(i, ("Good words in a line of text here\n" if i % 2 else "## 12 || !! 77 ##\n") * (1 + i % 9)) for i in range(60)] + [(60, "x 1\n" * 100_000), (61, "## !!\n" * 4000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    trained = q.train(frame, spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, quality int"), "doc_id", "text", "quality")
+    assert [s > 0.5 for s in q.scores(trained, [docs[1][1], docs[2][1]])] == [True, False]
+    x = np.zeros((3000, q.N), np.float32)
+    assert sum(m.sum() for _, m, _, _ in q.chains([(x, 1), (x[:5], 0)])) == 3005 and max(g[0].shape[1] for g in q.chains([(x, 1)])) <= q.CHAIN
+
+
 def test_line_dedup(spark, folder, rows):
     low = {i: i + 32 for i in range(65, 91)}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
@@ -497,6 +772,12 @@ def test_line_dedup(spark, folder, rows):
     assert sum(k[2] for k in want) > 0
 
 
+def test_line_dedup_without_sent_keys(spark, folder, monkeypatch):
+    right = by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    monkeypatch.setattr(linededup, "SENT_KEYS", 0)
+    assert by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "n_lines", "n_dropped", "kept_sha256") == right
+
+
 def test_line_dedup_with_a_full_filter(spark, folder, monkeypatch):
     right = by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "kept_sha256")
     monkeypatch.setattr(linededup, "filter_bits", lambda lines: 64)
