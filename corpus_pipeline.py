@@ -41,9 +41,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the bytes decoded from them."""
-    coded = bpe.encode_documents(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    """Token ids of each document, their number, and the digest of the bytes decoded from them; columns of ``docs`` that have these names get ``_in`` at their end."""
+    return bpe.encode_documents(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mixing", source_mixing), ("byte_bpe", byte_bpe)]
