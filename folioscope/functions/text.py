@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters, and the plain letters they fold to, one for one.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters that decompose into nothing plainer, and what they are written as.
+LETTERS = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ı": "i", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe"}
+
+
+def _accented() -> dict[str, str]:
+    """Small Latin letters with marks, by their decomposition."""
+    out = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        ch = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if ch == ch.lower() and len(plain) == 1 and plain.isascii() and plain.isalpha():
+            out[ch] = plain
+    return out | {k: v for k, v in LETTERS.items() if len(v) == 1}
+
+
+#: Accented letters, and the plain letters they fold to, one for one; then those that fold to two.
+ACCENTED, PLAIN = ("".join(x) for x in zip(*sorted(_accented().items())))
+PAIRS = {k: v for k, v in LETTERS.items() if len(v) == 2}
 #: Words of a question that say nothing about its subject.
 STOP_WORDS = (
     "a an the of and or to in for with by on from is are was were be been does do did what which how why when where who whom whose "
@@ -15,7 +32,7 @@ STOP_WORDS = (
     "across about versus vs not no any all some more most less much many such same other another each per via"
 ).split()
 #: The expressions of fold() and tokens() in SQL, for oracles.
-SQL_FOLD = f"translate(lower({{0}}), '{ACCENTED}', '{PLAIN}')"
+SQL_FOLD = f"translate({'replace(' * len(PAIRS)}lower({{0}}){''.join(f", '{k}', '{v}')" for k, v in PAIRS.items())}, '{ACCENTED}', '{PLAIN}')"
 SQL_TOKENS = f"regexp_extract_all({SQL_FOLD}, '[a-z0-9]+')"
 
 
@@ -24,7 +41,10 @@ def col(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
+    low = F.lower(col(c))
+    for letter, two in PAIRS.items():
+        low = F.replace(low, F.lit(letter), F.lit(two))
+    return F.translate(low, ACCENTED, PLAIN)
 
 
 def tokens(c: Column | str) -> Column:
@@ -82,20 +102,56 @@ def repaired_doi(c: Column | str) -> Column:
     return F.when(cut.endswith(")") & (opened(cut, ")") > opened(cut, "(")), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
 
 
+def years(c: Column | str) -> Column:
+    """The different years that stand as words in a text, in order."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\b[12][0-9]{3}\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda y: y.cast("int"))))
+
+
 def journal_key(c: Column | str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9]+", " ")), "^the ", "")
 
 
 def snippet(text: Column | str, terms: Column, window: int = 320) -> Column:
-    """A window that starts a third of its size before the first term, with ellipses where text is left out."""
+    """A window that starts a third of its size before the first term, with terms of three letters and more in brackets, longest first, and ellipses where text is left out."""
     t = col(text)
     hits = F.filter(F.transform(terms, lambda w: F.instr(F.lower(t), F.lower(w))), lambda p: p > 0)
     first = F.coalesce(F.array_min(hits), F.lit(0))
     start = F.greatest(F.lit(0), F.when(first > 0, first - 1 - window // 3).otherwise(0))
-    body = F.trim(F.replace(F.substring(t, start + 1, F.lit(window)), F.lit("\n"), F.lit(" ")))
+    long = F.array_sort(F.transform(F.filter(F.array_distinct(terms), lambda w: F.length(w) > 2), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    quoted = lambda w: F.concat(F.lit("(?i)("), F.regexp_replace(w, r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(")"))
+    marked = F.aggregate(long, F.substring(t, start + 1, F.lit(window)), lambda s, w: F.regexp_replace(s, quoted(w["w"]), F.lit("[$1]")))
+    body = F.trim(F.replace(marked, F.lit("\n"), F.lit(" ")))
     return F.concat(F.when(start > 0, "… ").otherwise(""), body, F.when(start + window < F.length(t), " …").otherwise(""))
 
 
+#: Markers of a reporting checklist, the least offset of one, and abbreviations that end no sentence.
+CHECKLIST = ("nature portfolio reporting summary", "nature research reporting summary", "reporting summary", "field-specific reporting", "life sciences study design", "reporting for specific materials, systems and methods")
+LEAST_OFFSET = 2000
+ABBREVIATIONS = ("e.g.", "i.e.", "al.", "vs.", "cf.", "Fig.")
+
+
+def without_checklist(c: Column | str, least: int = LEAST_OFFSET) -> Column:
+    """A text without the reporting checklist that it ends with: cut at the first marker whose first place is far enough in."""
+    t = col(c)
+    cuts = F.filter(F.array(*[F.instr(F.lower(t), m) for m in CHECKLIST]), lambda p: p > least)
+    return F.when(F.size(cuts) > 0, F.rtrim(F.substring(t, F.lit(1), F.array_min(cuts) - 1), F.lit(" \t\n\r\x0b\x0c"))).otherwise(t)
+
+
+def without_blobs(c: Column | str) -> Column:
+    """A text without runs of more than forty single characters; empty if what is left is scattered letters."""
+    left = F.regexp_replace(col(c), r"(\S\s){41,}", "")
+    n = F.size(F.regexp_extract_all(left, F.lit(r"\S+"), F.lit(0)))
+    return F.when((n >= 15) & (F.length(F.regexp_replace(left, r"\s+", "")) < 2 * n), "").otherwise(left)
+
+
+def first_sentence(c: Column | str) -> Column:
+    """Up to the first mark that ends a sentence and is followed by a capital, unless it ends an abbreviation."""
+    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    whole = F.split(F.btrim(col(c), F.lit(" \t\n\r\x0b\x0c")), rf"(?<=[.!?])(?<!{known})\s+(?=[A-Z])", 2)[0]
+    return F.regexp_replace(whole, rf"({known})\s+(?=[A-Z])", "$1 ")
+
+
 def present(c: Column | str) -> Column:
     """Neither null nor empty; a stored False is present."""
     return col(c).isNotNull() & (col(c).cast("string") != "")

@@ -20,11 +20,59 @@ def sections(notes: DataFrame) -> DataFrame:
 
 def markdown_sections(pages: DataFrame, body: str = "text") -> DataFrame:
     """Sections of Markdown under its level-two headings; what stands before the first has an empty heading."""
-    part = pages.select("*", F.posexplode(F.split(F.col(body), r"(?m)^## ")).alias("ord", "part"))
+    part = pages.select("*", F.posexplode(F.split(F.col(body), r"(?m)^## (?=.)")).alias("ord", "part"))
     lead = F.col("ord") == 0
     head = F.when(lead, "").otherwise(F.trim(F.regexp_extract("part", r"^[^\n]*", 0)))
-    content = F.when(lead, F.regexp_replace(F.col("part"), r"^# [^\n]*\n?", "")).otherwise(F.regexp_replace("part", r"^[^\n]*\n?", ""))
-    return part.select(*[c for c in pages.columns if c != body], "ord", head.alias("heading"), F.btrim(content, F.lit(" \n\t")).alias("content")).where("content <> ''")
+    content = F.when(lead, F.regexp_replace(F.btrim("part", F.lit(WHITE)), r"^# [^\n]+\n?", "")).otherwise(F.regexp_replace("part", r"^[^\n]*\n?", ""))
+    return part.select(*[c for c in pages.columns if c != body], "ord", head.alias("heading"), F.btrim(content, F.lit(WHITE)).alias("content")).where("content <> ''")
+
+
+#: Headings of lists of links, and the name of what stands before the first heading.
+LINK_HEADINGS, OPENING = ("linked pages", "connected wiki pages"), "(opening)"
+WHITE = " \t\n\r\x0b\x0c"
+
+
+def without_blocks(body: Column | str, *markers: tuple[str, str]) -> Column:
+    """A body without the managed blocks that stand between each start and end marker."""
+    out = T.col(body)
+    for start, end in markers:
+        out = F.regexp_replace(out, f"(?s)\\Q{start}\\E.*?\\Q{end}\\E\\n?", "")
+    return out
+
+
+def outline(pages: DataFrame, key: str, body: str) -> DataFrame:
+    """key, ord, heading, start, end (character offsets into the body), kind, content: the sections of Markdown pages that hold text.
+
+    Level-two headings begin a section, level-three ones only if they head a list of links; a first line that is the title is left
+    out.  Lines of a page are dealt out by its key once: the offsets, the sections and their text need no other shuffle.
+    """
+    lines = pages.select(key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), "\n")).alias("pos", "line"))
+    level, name = F.length(F.regexp_extract("line", r"^(#{2,3}) ", 1)), F.btrim(F.regexp_extract("line", r"^#{2,3} (.*)$", 1), F.lit(WHITE))
+    lines = lines.select(key, "pos", "line", name.alias("name"), ((level == 2) | ((level == 3) & F.lower(name).isin(*LINK_HEADINGS))).alias("head"))
+    page = Window.partitionBy(key).orderBy("pos")
+    before, upto = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.btrim("line", F.lit(WHITE)) != ""
+    lines = lines.select("*", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("offset"), F.sum(F.col("head").cast("int")).over(upto).alias("sec"), F.min(F.when(filled, F.col("pos"))).over(Window.partitionBy(key)).alias("first"))
+    title = (F.col("pos") == F.col("first")) & F.ltrim(F.col("line")).startswith("# ") & (F.col("sec") == 0)
+    # Blank lines before a title are dropped by trimming, as the title itself is an empty line here.
+    text = F.when(title | F.col("head"), F.lit("")).otherwise(F.col("line"))
+    lines = lines.select(key, "sec", "pos", text.alias("line"), "head", "name", F.when(title | F.col("head"), F.col("offset") + F.length("line")).otherwise(F.col("offset")).alias("offset"), title.alias("title"))
+    own = lines.groupBy(key, "sec").agg(
+        F.max(F.when(F.col("head"), F.col("name"))).alias("name"), F.coalesce(F.max(F.when(F.col("head") | F.col("title"), F.col("pos"))), F.lit(-1)).alias("from_pos"), F.array_sort(F.collect_list(F.struct("pos", "line", "offset"))).alias("l")
+    )
+    kept = F.filter("l", lambda x: x["pos"] >= F.col("from_pos"))
+    own = own.select(key, "sec", "name", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("raw"), F.try_element_at(kept, F.lit(1))["offset"].alias("base"))
+    content = F.btrim("raw", F.lit(WHITE))
+    own = own.select(key, "sec", "name", content.alias("content"), (F.col("base") + F.length("raw") - F.length(F.ltrim(F.col("raw"), F.lit(WHITE)))).alias("start"))
+    whole = Window.partitionBy(key)
+    taken = F.collect_set(F.lower("name")).over(whole)
+    opening = F.lit(OPENING)
+    own = own.withColumn("names", taken)
+    for _ in range(3):
+        opening = F.when(F.array_contains("names", opening), F.concat(F.lit("("), opening, F.lit(")"))).otherwise(opening)
+    own = own.where("content <> ''").withColumn("heading", F.coalesce("name", opening))
+    own = own.withColumn("ord", F.row_number().over(whole.orderBy("sec")) - 1)
+    return own.select(key, "ord", "heading", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("content")).cast("long").alias("end"), section_kind(F.col("heading"), F.col("content")).alias("kind"), "content")
 
 
 def indexed(secs: DataFrame) -> DataFrame:
@@ -73,31 +121,49 @@ def best_sections(scored: DataFrame, k: int, most_sections: int | None = None) -
     return ranked.select("query_id", "rank", "doc_id", "ord", F.round("score", 3).alias("score"))
 
 
-#: What a heading says about its section, in order.
-KINDS = [("limitations", "limit|caveat"), ("results", "result|finding"), ("methods", "method|material|design"), ("interpretation", "discuss|interpret|conclu|implic")]
+#: What a heading says about its section, in order, and the marks of links and lists.
+KINDS = [
+    ("limitations", "limitation|caveat|counter|contradict|open question|untested|한계|반례|미해결"),
+    ("results", "result|finding|결과"),
+    ("methods", "method|design|cohort|sample|방법|설계"),
+    ("interpretation", "discussion|interpretation|synthesis|conclusion|해석|논의|종합"),
+]
+LINK_MARKUP, LIST_MARKER, LINK_SHARE = r"\[\[[^\[\]\n]*\]\]|\[[^\[\]\n]*\]\([^()\n]*\)|https?://\S+", r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]*", 0.1
 
 
 def section_kind(heading: Column, content: Column, kinds: list[tuple[str, str]] = KINDS) -> Column:
     """links if hardly anything but links is in it, else the first kind whose pattern its heading has, else other."""
-    plain = F.length(F.regexp_replace(F.regexp_replace(content, r"\[\[[^\]]*\]\]", ""), r"[\s*-]+", ""))
-    out = F.when(F.lower(F.trim(heading)).isin("linked pages", "connected pages"), "links").when((F.length(content) > 0) & (plain < 0.1 * F.length(content)), "links")
+    plain = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(content, LINK_MARKUP, ""), LIST_MARKER, ""), r"\s+", ""))
+    out = F.when(F.lower(F.btrim(heading, F.lit(WHITE))).isin(*LINK_HEADINGS), "links").when((F.btrim(content, F.lit(WHITE)) != "") & (plain < LINK_SHARE * F.length(content)), "links")
     for kind, pattern in kinds:
         out = out.when(F.lower(heading).rlike(pattern), kind)
     return out.otherwise("other")
 
 
-def select_sections(outline: DataFrame, best: DataFrame, question_words: Column, most: int) -> DataFrame:
-    """For each document the best section, then one of limitations, of results, of methods or interpretation.
+def select_sections(sections: DataFrame, key: str, most: int, everything: bool = False) -> DataFrame:
+    """key, pick, ord, kind, overlap: for each page the best section, then one of limitations, of results, of methods or interpretation.
 
-    ``outline``: doc_id, ord, kind, words; ``best``: doc_id, best_ord.  Within a group the section that shares
-    most words with the question comes first, ties to the earlier one.
+    ``sections``: key, ord, heading, kind, words, wanted (name of the best section, may be null or not there), asked (words of the
+    question).  Without a named best section it is the one that isn't a list of links and shares most words with the question.
+    Within a group the section with most shared words comes first, ties to the earlier one; a group the best section is of
+    is passed over.  With ``everything`` the other sections but links follow, by shared words.
     """
+    s = sections.select(key, "ord", "heading", "kind", "wanted", F.size(F.array_intersect("words", "asked")).alias("overlap"))
     group = F.when(F.col("kind") == "limitations", 1).when(F.col("kind") == "results", 2).when(F.col("kind").isin("methods", "interpretation"), 3)
-    joined = outline.join(best, "doc_id").withColumn("overlap", F.size(F.array_intersect("words", question_words)))
-    of_best = F.max(F.when(F.col("ord") == F.col("best_ord"), F.coalesce(group, F.lit(0)))).over(Window.partitionBy("doc_id"))
-    kept = joined.withColumn("best_group", of_best).withColumn("grp", F.when(F.col("ord") == F.col("best_ord"), 0).otherwise(group)).where("grp is not null and (grp = 0 or grp <> best_group)")
-    first = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "grp").orderBy(F.desc("overlap"), "ord"))).where("nth = 1")
-    return first.withColumn("pick", F.row_number().over(Window.partitionBy("doc_id").orderBy("grp"))).where(F.col("pick") <= most).select("doc_id", "pick", "ord", "kind", "overlap")
+    want = F.lower(F.btrim("wanted", F.lit(WHITE)))
+    named = F.coalesce(F.when(want == "", F.col("heading") == OPENING).otherwise(F.lower("heading") == want), F.lit(False))
+    order = F.struct(named.cast("int").alias("named"), F.when(named, 0).otherwise((F.col("kind") != "links").cast("int")).alias("prose"), F.when(named, 0).otherwise(F.col("overlap")).alias("overlap"), (-F.col("ord")).alias("neg"))
+    page = Window.partitionBy(key)
+    s = s.select("*", group.alias("own_group"), (F.max(order).over(page)["neg"] == -F.col("ord")).alias("best"))
+    s = s.withColumn("of_best", F.max(F.when(F.col("best"), F.coalesce("own_group", F.lit(0)))).over(page))
+    s = s.withColumn("grp", F.when(F.col("best"), 0).when(F.col("own_group") != F.col("of_best"), F.col("own_group")))
+    s = s.withColumn("nth", F.row_number().over(Window.partitionBy(key, "grp").orderBy(F.desc("overlap"), "ord")))
+    place = F.when((F.col("nth") == 1) & F.col("grp").isNotNull(), F.col("grp"))
+    if everything:
+        place = F.coalesce(place, F.when(F.col("kind") != "links", 4))
+    s = s.withColumn("place", place).where("place is not null")
+    s = s.withColumn("pick", F.row_number().over(page.orderBy("place", F.when(F.col("place") == 4, -F.col("overlap")).otherwise(0), "ord")))
+    return s.where(F.col("pick") <= most).select(key, "pick", "ord", "kind", "overlap")
 
 
 def merged_candidates(requested: DataFrame, hits: DataFrame) -> DataFrame:
@@ -110,6 +176,43 @@ def merged_candidates(requested: DataFrame, hits: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_last(), F.desc("score"), "doc_id")))
 
 
+#: What a folder of pages holds, by its name, and what a link names.
+FOLDERS = {"sources": "note", "overviews": "overview", "questions": "question", "concepts": "concept"}
+LINKED = FOLDERS | {"papers": "paper"}
+PAGE_LINK = r"\[\[(?:wiki/)?([a-z]+)/([^\]|#]+)(?:[|#][^\]]*)?\]\]"
+
+
+def mapped(c: Column, values: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)
+
+
+def index_documents(pages: DataFrame) -> DataFrame:
+    """doc_type, doc_id, title, category, year, journal, doi, summary, links (type, id) of pages (key, text).
+
+    The title comes from the header, else from the first level-one heading, else it is the id; the category of a source is the
+    header's, that of a nested overview its folder's, otherwise the kind of page; the summary is the beginning of the One-line Summary.
+    """
+    from folioscope.sources.readers import frontmatter
+
+    fields, body = frontmatter("text")
+    p = pages.select("key", fields.alias("f"), body.alias("body"), F.split("key", "/").alias("parts")).where("key <> 'wiki/index.md' and not startswith(key, 'wiki/indexes/')")
+    deep = F.size("parts") > 2
+    folder = F.when(deep, F.col("parts")[1]).otherwise("papers")
+    name = F.when(deep, F.array_join(F.slice("parts", 3, F.greatest(F.size("parts") - 2, F.lit(0))), "/")).otherwise(F.element_at("parts", -1))
+    p = p.select("*", folder.alias("folder"), F.substring(name, F.lit(1), F.length(name) - 3).alias("doc_id"))
+    of = lambda k: F.nullif(F.try_element_at(F.col("f"), F.lit(k)), F.lit(""))
+    head = F.btrim(F.regexp_extract("body", r"(?m)^# (.+)$", 1), F.lit(WHITE))
+    summary = F.regexp_extract("body", r"(?:^|\n)## One-line Summary[^\n]*\n([\s\S]*?)(?:\n## .|$)", 1)
+    category = F.when(F.col("folder") == "sources", F.coalesce(of("category"), F.lit("note"))).when((F.col("folder") == "overviews") & (F.size("parts") > 3), F.try_element_at("parts", F.lit(3))).otherwise(F.col("folder"))
+    found = F.arrays_zip(F.regexp_extract_all("body", F.lit(PAGE_LINK), F.lit(1)).alias("kind"), F.regexp_extract_all("body", F.lit(PAGE_LINK), F.lit(2)).alias("id"))
+    links = F.filter(F.transform(found, lambda x: F.struct(mapped(x["kind"], LINKED).alias("type"), F.regexp_replace(F.trim(x["id"]), r"\.md$", "").alias("id"))), lambda x: x["type"].isNotNull())
+    return p.select(
+        F.coalesce(mapped(F.col("folder"), FOLDERS), F.lit("paper")).alias("doc_type"), "doc_id", F.coalesce(of("title"), F.nullif(head, F.lit("")), F.col("doc_id")).alias("title"), category.alias("category"),
+        F.coalesce(of("publication_year"), of("year"), F.lit("")).alias("year"), F.coalesce(of("journal"), F.lit("")).alias("journal"), F.coalesce(of("doi"), F.lit("")).alias("doi"),
+        F.substring(F.trim(F.regexp_replace(summary, r"\s+", " ")), 1, 260).alias("summary"), links.alias("links"),
+    )
+
+
 #: Headings that begin a list of references, and a DOI that says it is one.
 REFERENCES = r"(?im)^[ \t]*(?:references(?:[ \t]+and[ \t]+notes)?|bibliography|literature[ \t]+cited|reference[ \t]+list|参考(?:文献|文獻)?|참고[ \t]*문헌)[ \t]*[:：]?[ \t]*$"
 EXPLICIT_DOI = r"(?i)(?:\bdoi[ \t]*[:：]\s*|https?://(?:dx\.)?doi\.org/)(10\.[0-9]{4,9}/[^\s<>\"']+)"
@@ -125,14 +228,24 @@ def doi_candidate(c: Column) -> Column:
     return F.when((F.length(c) <= 512) & c.rlike(r"^10\.[0-9]{4,9}/\S+$"), F.lower(c))
 
 
-def text_facts(docs: DataFrame) -> DataFrame:
-    """doc_id, the squashed text before the reference list, and its first 20 DOI candidates, 20 years, and errors."""
-    d = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), REFERENCES, 2)[0].alias("content"))
-    d = d.select("doc_id", "content", F.transform(F.regexp_extract_all("content", F.lit(EXPLICIT_DOI), F.lit(1)), doi_candidate).alias("found"))
-    d = d.select("doc_id", "content", "found", F.array_distinct(F.array_compact("found")).alias("dois"))
+def text_facts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the squashed text before the reference list, its first 20 DOI candidates, 20 years, an excerpt, errors, and the columns ``more``."""
+    d = docs.select("doc_id", *more, F.split(F.coalesce("text", F.lit("")), REFERENCES, 2)[0].alias("content"))
+    d = d.select("doc_id", *more, "content", F.transform(F.regexp_extract_all("content", F.lit(EXPLICIT_DOI), F.lit(1)), doi_candidate).alias("found"))
+    d = d.select("doc_id", *more, "content", "found", F.array_distinct(F.array_compact("found")).alias("dois"))
     years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(r"\b(?:18|19|20)[0-9]{2}\b"), F.lit(0)), lambda y: y.cast("int"))))
     errors = F.array_compact(F.array(F.when(F.exists("found", lambda x: x.isNull()), "invalid_explicit_doi"), F.when(F.size("dois") > 20, "doi_candidate_limit_reached")))
-    return d.select("doc_id", T.squash("content").alias("squashed"), F.slice("dois", 1, 20).alias("dois"), F.slice(years, 1, 20).alias("years"), errors.alias("errors"))
+    return d.select("doc_id", *more, T.squash("content").alias("squashed"), F.slice("dois", 1, 20).alias("dois"), F.slice(years, 1, 20).alias("years"), F.substring("content", 1, 1500).alias("excerpt"), errors.alias("errors"))
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, doi_present, title_present, candidate_present, dois, years, excerpt, errors of (doc_id, text, doi, title, candidate_title).
+
+    A title is present if all of it, letters and digits only, stands in the text before the reference list.
+    """
+    f = text_facts(docs, "doi", "title", "candidate_title")
+    has = lambda c: F.coalesce((T.squash(c) != "") & F.contains("squashed", T.squash(c)), F.lit(False))
+    return f.select("doc_id", F.coalesce(F.array_contains("dois", T.doi("doi")), F.lit(False)).alias("doi_present"), has("title").alias("title_present"), has("candidate_title").alias("candidate_present"), "dois", "years", "excerpt", "errors")
 
 
 def text_evidence(docs: DataFrame, claims: DataFrame) -> DataFrame:

@@ -5,38 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Greek letters and the names they are written out as.
-GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "σ": "sigma", "ω": "omega"}
+#: The heading and the lines of a glossary, the dashes and Greek letters of terms, and what they are written as.
+HEADING = r"(?:^|\n)## (?:7\. )?Glossary[ \t]*\n"
+LINE = r"(?m)^[ \t]*[-*][ \t]+\*\*(.+?)\*\*[ \t]*[:：][ \t]*(.*)$"
+DASHES = "[‐‑–—]"
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r",
+    "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "ch", "ψ": "ps", "ω": "w", "µ": "m", "ς": "s", "ϵ": "e",
+}
+#: What separates aliases, an alias in brackets, and the least length of one; an acronym's plural, and endings of words that aren't plurals.
+VERSUS, SLASH, BRACKETED, LEAST_ALIAS = r"\s+versus\s+|\s+vs\.?\s+", r"\s+/\s+", r"^(.*?\S)\s*\(([^()]{1,60})\)\s*$", 2
+ACRONYM_PLURAL, SINGULAR, LONGER_THAN = "^[A-Z][A-Za-z0-9-]*[A-Z0-9]s$", "(ss|us|is)$", 4
 
 
 def glossary(notes: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``notes`` without the text, with term and definition for each line of the Glossary section."""
-    section = F.regexp_extract(F.col(text), r"(?s)(?:^|\n)## Glossary[^\n]*\n(.*?)(?:\n## |$)", 1)
-    term = F.regexp_extract_all(section, F.lit(r"(?m)^- \*\*([^*\n]+)\*\*: ?([^\n]*)"), F.lit(1))
-    meaning = F.regexp_extract_all(section, F.lit(r"(?m)^- \*\*([^*\n]+)\*\*: ?([^\n]*)"), F.lit(2))
-    x = notes.select(*[c for c in notes.columns if c != text], F.explode(F.arrays_zip(term.alias("t"), meaning.alias("d"))).alias("x"))
+    section = F.regexp_extract(F.col(text), HEADING + r"([\s\S]*?)(?:\n## |$)", 1)
+    part = lambda k: F.regexp_extract_all(section, F.lit(LINE), F.lit(k))
+    x = notes.select(*[c for c in notes.columns if c != text], F.explode(F.arrays_zip(part(1).alias("t"), part(2).alias("d"))).alias("x"))
     return x.select(*[c for c in notes.columns if c != text], F.trim("x.t").alias("term"), F.trim("x.d").alias("definition"))
 
 
 def aliases(term: Column) -> Column:
     """The forms of a term: sides of a spaced slash, a name and its parenthesis, and only the left of a comparison."""
-    left = F.split(term, r"(?i)\s+(?:versus|vs\.?)\s+", 2)[0]
-    pieces = F.filter(F.transform(F.split(left, r"\s+/\s+"), lambda p: F.btrim(p, F.lit(" ,;"))), lambda p: p != "")
-    both = lambda p: F.array(F.trim(F.regexp_extract(p, r"^(.+?)\s*\(([^()]+)\)$", 1)), F.trim(F.regexp_extract(p, r"^(.+?)\s*\(([^()]+)\)$", 2)))
-    parts = F.flatten(F.transform(pieces, lambda p: F.when(p.rlike(r"^(.+?)\s*\(([^()]+)\)$"), both(p)).otherwise(F.array(p))))
-    return F.filter(F.array_distinct(parts), lambda p: F.length(p) >= 2)
+    pieces = F.filter(F.transform(F.split(F.split(term, VERSUS, 2)[0], SLASH), lambda p: F.trim(F.btrim(F.trim(p), F.lit(",;")))), lambda p: p != "")
+    forms = lambda p: F.when(p.rlike(BRACKETED), F.array(F.regexp_extract(p, BRACKETED, 1), F.trim(F.regexp_extract(p, BRACKETED, 2)))).otherwise(F.array(p))
+    return F.filter(F.array_distinct(F.flatten(F.transform(pieces, forms))), lambda p: F.length(p) >= LEAST_ALIAS)
 
 
 def normal(term: Column) -> Column:
-    """Lower case, Greek by name, marks as spaces, and the last word in the singular."""
-    t = F.lower(term)
-    for letter, name in GREEK.items():
-        t = F.replace(t, F.lit(letter), F.lit(name))
-    t = F.btrim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9+.\- ]+", " "), r"\s+", " "), F.lit(" .-"))
-    last = F.element_at(F.split(t, " "), -1)
-    acronym = F.element_at(F.split(F.trim(term), r"\s+"), -1).rlike("^[A-Z][A-Z0-9]+s$")
-    plural = last.endswith("s") & (acronym | ((F.length(last) > 4) & ~last.rlike("(ss|us|is)$")))
-    return F.when(plural, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    """Lower case, Greek and dashes in ASCII, other marks as spaces, and the last word in the singular."""
+    one = {k: v for k, v in GREEK.items() if len(v) == 1}
+    low = F.translate(F.lower(term), "".join(one), "".join(one.values()))
+    for letter, two in GREEK.items():
+        if letter not in one:
+            low = F.replace(low, F.lit(letter), F.lit(two))
+    low = F.regexp_replace(F.regexp_replace(low, DASHES, "-"), r"[^a-z0-9+.\- ]+", " ")
+    low = F.btrim(F.regexp_replace(low, " +", " "), F.lit(" .-"))
+    last = F.regexp_extract(low, "[^ ]*$", 0)
+    acronym = F.regexp_extract(F.trim(term), r"\S*$", 0).rlike(ACRONYM_PLURAL)
+    plural = last.endswith("s") & (acronym | ((F.length(last) > LONGER_THAN) & ~last.rlike(SINGULAR)))
+    return F.when(plural, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
 
 
 def resolved_symbols(table: DataFrame) -> DataFrame:

@@ -111,31 +111,6 @@ def d07(spark, sf):
     return load(spark, sf, "supplier").join(k, "s_suppkey", "left").select("s_suppkey", F.when(F.col("ids").isNull(), "unmatched").when(F.col("ids") > 4, "ambiguous").when(F.col("one") != F.col("s_suppkey") % 5, "mismatch").otherwise("matched").alias("state"))
 
 
-@query("d09_review_decisions", f"with {SQL_ISSUES}, a as (select p_partkey as k, p_size from part) select q.id, case when a1.k is not null and a2.k is not null and a1.p_size <> a2.p_size then 'conflict' when a1.p_size > 25 then 'accept' when a1.k is null and a2.k is null then 'no_authority' else 'hold' end as decision from q left join a a1 on a1.k = q.id % 3000 left join a a2 on a2.k = q.id % 2500")
-def d09(spark, sf):
-    """A queue of issues against two candidate authorities each, then a decision table."""
-    q = issues(review(spark, sf), rules()).select("id", (F.col("id") % 3000).alias("k1"), (F.col("id") % 2500).alias("k2"))
-    a = load(spark, sf, "part")
-    j = q.join(a.select(F.col("p_partkey").alias("k1"), F.col("p_size").alias("s1")), "k1", "left").join(a.select(F.col("p_partkey").alias("k2"), F.col("p_size").alias("s2")), "k2", "left")
-    return j.select("id", F.when(F.col("s1") != F.col("s2"), "conflict").when(F.col("s1") > 25, "accept").when(F.col("s1").isNull() & F.col("s2").isNull(), "no_authority").otherwise("hold").alias("decision"))
-
-
-@query("d20_pair_adjudication", "with c as (select s_suppkey, s_suppkey * 3 as k1, s_suppkey * 5 as k2 from supplier), n as (select c.*, (a.p_brand like '%1')::int as m1, (b.p_brand like '%1')::int as m2 from c left join part a on a.p_partkey = k1 left join part b on b.p_partkey = k2) select s_suppkey, case when coalesce(m1, 0) + coalesce(m2, 0) = 1 then case when m1 = 1 then k1 else k2 end end as chosen, case coalesce(m1, 0) + coalesce(m2, 0) when 0 then 'none' when 1 then 'one' else 'both' end as class from n")
-def d20(spark, sf):
-    """Of two candidates exactly one may own the identifier."""
-    p = load(spark, sf, "part").select("p_partkey", F.col("p_brand").like("%1").cast("int").alias("m"))
-    c = load(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("k1"), (F.col("s_suppkey") * 5).alias("k2"))
-    j = c.join(p.select(F.col("p_partkey").alias("k1"), F.col("m").alias("m1")), "k1", "left").join(p.select(F.col("p_partkey").alias("k2"), F.col("m").alias("m2")), "k2", "left")
-    total = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
-    return j.select("s_suppkey", F.when(total == 1, F.when(F.col("m1") == 1, F.col("k1")).otherwise(F.col("k2"))).alias("chosen"), F.when(total == 0, "none").when(total == 1, "one").otherwise("both").alias("class"))
-
-
-@query("d21_proposals_with_holds", f"with {SQL_REVIEW} select id, array_to_string(list_filter([case when scope = 'R' then 'retracted' end, case when v1 is null then 'no_venue' end, case when s1 = '' then 'no_status' end], lambda x: x is not null), ',') as holds, case when scope <> 'R' and v1 is not null and s1 <> '' and y2 is not null and y1 <> y2 then y2 end as year_proposal from rev")
-def d21(spark, sf):
-    holds = F.array_compact(F.array(F.when(F.col("scope") == "R", "retracted"), F.when(F.col("v1").isNull(), "no_venue"), F.when(F.col("s1") == "", "no_status")))
-    return review(spark, sf).select("id", F.array_join(holds, ",").alias("holds"), F.when((F.size(holds) == 0) & (F.col("y1") != F.col("y2")), F.col("y2")).alias("year_proposal"))
-
-
 @query("d10_record_view", "with v as (select doc_id, quality, toxic from labels), o as (select doc_id, max(turn) as turn from (select conv_id as doc_id, turn from conversations where role = 'assistant') group by 1) select d.doc_id, d.source, v.quality, o.turn as latest_offer from documents d left join v using (doc_id) left join o using (doc_id) where v.quality = 1 or v.doc_id is null")
 def d10(spark, sf):
     """Records with their verdict, if any, and the latest offer; unscored rows are kept on request."""
@@ -144,29 +119,9 @@ def d10(spark, sf):
     return j.where("quality = 1 or quality is null").select("doc_id", "source", "quality", "latest_offer")
 
 
-@query("d14_linkage", "with a as (select p_partkey as id, p_name as t, p_size as y, split_part(p_name, ' ', 1) as b from part where p_partkey % 20 = 0), c as (select p_partkey as rid, p_name as rt, p_size as ry, split_part(p_name, ' ', 1) as b from part where p_partkey % 20 = 1), s as (select id, rid, case when t = rt then 1.0 else len(list_intersect(string_split(t, ' '), string_split(rt, ' '))) / len(list_distinct(list_concat(string_split(t, ' '), string_split(rt, ' ')))) end as sim, abs(y - ry) as gap from a join c using (b) where abs(y - ry) <= 1), r as (select *, row_number() over (partition by id order by sim desc, gap, rid) as nth from s) select id, rid, round(sim, 4) as sim, case when sim >= 0.8 then 'accept' when sim >= 0.3 then 'review' else 'reject' end as decision from r where nth = 1")
-def d14(spark, sf):
-    """Blocks on the first word and the year, compares within, keeps the best."""
-    p = load(spark, sf, "part").select("p_partkey", F.col("p_name").alias("t"), F.col("p_size").alias("y"), F.split("p_name", " ").alias("w"))
-    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), "t", "y", "w", F.col("w")[0].alias("b"), F.explode(F.array(*[F.col("y") + d for d in (-1, 0, 1)])).alias("ry"))
-    c = p.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("rid"), F.col("t").alias("rt"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("w")[0].alias("b"))
-    sim = F.when(F.col("t") == F.col("rt"), 1.0).otherwise(F.size(F.array_intersect("w", "rw")) / F.size(F.array_union("w", "rw")))
-    s = a.join(c, ["b", "ry"]).select("id", "rid", sim.alias("sim"), F.abs(F.col("y") - F.col("ry")).alias("gap"))
-    best = s.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "gap", "rid"))).where("nth = 1")
-    return best.select("id", "rid", F.round("sim", 4).alias("sim"), F.when(F.col("sim") >= 0.8, "accept").when(F.col("sim") >= 0.3, "review").otherwise("reject").alias("decision"))
-
-
 @query("d16_member_usage", "with s as (select user_id, round(sum(value) filter (event_type = 'purchase'), 2) as spent, round(sum(value) filter (event_type = 'view'), 2) as reserved, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'error') as errors from events where ts < timestamp '2024-01-20' group by 1) select c_custkey as member, coalesce(spent, 0) as spent, coalesce(reserved, 0) as reserved, coalesce(clicks, 0) as clicks, coalesce(errors, 0) as errors from customer left join s on user_id = c_custkey where c_custkey < 300")
 def d16(spark, sf):
     """Every member with usage, those without any included."""
     of = lambda k: F.round(F.sum(F.when(F.col("event_type") == k, F.col("value"))), 2)
     s = load(spark, sf, "events").where("ts < timestamp_ntz '2024-01-20'").groupBy(F.col("user_id").alias("member")).agg(of("purchase").alias("spent"), of("view").alias("reserved"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return load(spark, sf, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("member")).join(s, "member", "left").fillna(0)
-
-
-@query("i03_title_jaccard", "with t as (select p_name as a, lag(p_name) over (order by p_partkey) as b, p_partkey from part where p_partkey < 500), w as (select *, string_split(a, ' ') as x, string_split(b, ' ') as y from t where b is not null) select p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) as jaccard, contains(a, b) as contained from w")
-def i03(spark, sf):
-    p = load(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.col("p_name").alias("a"))
-    j = p.join(p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey")
-    x, y = F.split("a", " "), F.split("b", " ")
-    return j.select("p_partkey", F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 4).alias("jaccard"), F.contains("a", "b").alias("contained"))

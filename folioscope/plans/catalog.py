@@ -79,12 +79,6 @@ def b08(spark, sf):
     return w.select("year", "id", F.row_number().over(per.orderBy("id")).alias("nth"), F.count(F.lit(1)).over(per).alias("n")).where("nth <= 20").select("year", "id", F.greatest(F.lit(0), F.col("n") - 20).alias("capped"))
 
 
-@query("c01_catalogue_search", "select p_partkey as id, p_name, p_size as year from part where contains(lower(p_name), 'a') and contains(lower(p_name), 'e') and p_size between 5 and 40 order by p_retailprice desc, p_size desc, p_partkey desc limit 50")
-def c01(spark, sf):
-    p = load(spark, sf, "part").withColumn("search", F.lower("p_name")).withColumn("year", F.col("p_size")).withColumn("id", F.col("p_partkey"))
-    return search_catalogue(p, "search", ["a", "e"], F.col("p_retailprice"), 50, F.col("p_size").between(5, 40)).select("id", "p_name", "year")
-
-
 @query("c02_screening", f"""with {SQL_PAPERS} select id, case when day is null then 'missing_date' when day not between date '1993-01-01' and date '1997-12-31' then 'outside_range' when status not in ('F', 'O') then 'other_type' when not regexp_matches(priority, '(?i)urgent|high|low') then 'no_topic' else 'candidate' end as reason,
  case when day between date '1993-01-01' and date '1997-12-31' and status in ('F', 'O') and regexp_matches(priority, '(?i)urgent|high|low') then case when regexp_matches(priority, '(?i)urgent') then 'title' else 'topic' end end as scope from papers""")
 def c02(spark, sf):
@@ -162,14 +156,6 @@ def c10(spark, sf):
     return d.join(load(spark, sf, "labels").where("quality = 1"), "doc_id").select("doc_id", "source")
 
 
-@query("c11_page_structure", r"""with h as (select page_id, html, list_distinct(regexp_extract_all(lower(html), '<(title|h1|p|nav|footer)', 1)) as seen from pages) select page_id, array_to_string(list_sort(list_filter(['footer', 'h1', 'nav', 'p', 'title'], lambda x: not list_contains(seen, x))), ',') as missing, length(html) < 200 as short from h""")
-def c11(spark, sf):
-    """Which of the required parts a page lacks."""
-    seen = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("<(title|h1|p|nav|footer)"), F.lit(1)))
-    need = F.array(*[F.lit(x) for x in ("footer", "h1", "nav", "p", "title")])
-    return load(spark, sf, "pages").select("page_id", F.array_join(F.array_except(need, seen), ",").alias("missing"), (F.length("html") < 200).alias("short"))
-
-
 @query("c14_cutoff", "select vec_id, case when vec_id % 7 = 0 then 'unscored' when embedding[2]::double >= 0.1 then 'pass' else 'below' end as state from embeddings")
 def c14(spark, sf):
     """A missing score is never a zero."""
@@ -182,19 +168,6 @@ def c16(spark, sf):
     return papers(spark, sf).select("id", F.when(F.col("segment") == "AUTOMOBILE", "off_list").when(F.col("status") == "P", "licence").when(F.col("total").isNull(), "no_source").alias("reason"))
 
 
-@query("c17_promotion_gate", "select d.doc_id, case when l.doc_id is null then 'no review' when l.toxic = 1 then 'rejected' when l.quality <> 1 then 'not ready' when d.n_chars < 500 then 'too short' when md5(d.text) > 'c' then 'hash differs' else 'promoted' end as outcome from documents d left join labels l using (doc_id)")
-def c17(spark, sf):
-    """All must hold; the first that doesn't is the outcome."""
-    j = load(spark, sf, "documents").join(load(spark, sf, "labels").select("doc_id", "quality", "toxic", F.lit(1).alias("l")), "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("l").isNull(), "no review").when(F.col("toxic") == 1, "rejected").when(F.col("quality") != 1, "not ready").when(F.col("n_chars") < 500, "too short").when(F.md5("text") > "c", "hash differs").otherwise("promoted").alias("outcome"))
-
-
-@query("c18_ingest_gate", "select p_partkey, case when p_size < 5 then 'closed' when p_type not like '%ECONOMY%' and p_type not like '%SMALL%' then 'licence' when p_brand like '%5' then 'no url' else null end as refusal from part")
-def c18(spark, sf):
-    t = F.col("p_type")
-    return load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") < 5, "closed").when(~t.contains("ECONOMY") & ~t.contains("SMALL"), "licence").when(F.col("p_brand").endswith("5"), "no url").alias("refusal"))
-
-
 @query("c19_source_choice", "with l as (select l_orderkey, list(case when l_returnflag <> 'R' then l_suppkey end order by l_linenumber, l_suppkey) as named, list(l_suppkey order by l_linenumber, l_suppkey) as every from lineitem group by 1), f as (select l_orderkey, list_filter(named, lambda x: x is not null) as named, every from l) select l_orderkey, coalesce(named[1], every[1]) as source, case when len(named) > 0 then 'location' else 'repository' end as basis from f")
 def c19(spark, sf):
     """The first location that isn't a repository, else the repository, with the basis of the choice."""
@@ -226,22 +199,6 @@ def c22(spark, sf):
     return load(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", F.array_join(why, ",").alias("reasons"))
 
 
-@query("c23_reply_coverage", "with r as (select conv_id, regexp_extract(text, '^([A-Za-z]+)', 1) as label from conversations where role = 'assistant' union all select conv_id, 'again' from conversations where conv_id % 10 = 0 and turn = 0), n as (select conv_id, count(*) as n from r group by 1) select c.conv_id, case when n.n is null then 'missing' when n.n > 1 then 'repeated' else 'ok' end as state from (select distinct conv_id from conversations) c left join n using (conv_id)")
-def c23(spark, sf):
-    """Every id is answered exactly once."""
-    c = load(spark, sf, "conversations")
-    r = c.where("role = 'assistant'").select("conv_id").unionAll(c.where("conv_id % 10 = 0 and turn = 0").select("conv_id"))
-    n = r.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return c.select("conv_id").distinct().join(n, "conv_id", "left").select("conv_id", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("ok").alias("state"))
-
-
-@query("c24_year_range", "select source, min(case when regexp_matches(y, '^[0-9]+$') then y end) as first, max(case when regexp_matches(y, '^[0-9]+$') then y end) as last from (select source, case when doc_id % 6 = 0 then 'n.d.' else (1990 + doc_id % 30)::varchar end as y from documents) group by source")
-def c24(spark, sf):
-    y = F.when(F.col("doc_id") % 6 == 0, "n.d.").otherwise((1990 + F.col("doc_id") % 30).cast("string"))
-    year = F.when(y.rlike("^[0-9]+$"), y)
-    return load(spark, sf, "documents").groupBy("source").agg(F.min(year).alias("first"), F.max(year).alias("last"))
-
-
 @query("d08_upsert_merge", "with s as (select s_suppkey as k, s_name as name, s_acctbal as bal, 'raw' || s_suppkey as raw from supplier where s_suppkey % 3 > 0), d as (select s_suppkey as k, case when s_suppkey % 4 > 0 then lower(s_name) end as name, null::double as bal, 'rawer' || s_suppkey as raw from supplier where s_suppkey % 5 > 0) select coalesce(d.k, s.k) as k, coalesce(d.name, s.name) as name, coalesce(d.bal, s.bal) as bal, case when length(coalesce(s.raw, '')) > length(coalesce(d.raw, '')) then s.raw else coalesce(d.raw, s.raw) end as raw from d full join s on d.k = s.k")
 def d08(spark, sf):
     """New non-null values win; of two raw payloads the longer stays."""
@@ -357,17 +314,6 @@ def i06(spark, sf):
     return load(spark, sf, "part").select("p_brand", "p_type", T.journal_key(F.concat(F.lit("The "), "p_brand", F.lit(", "), "p_type")).alias("journal")).distinct()
 
 
-@query("i04_slugs", f"select p_partkey, substr(regexp_replace(regexp_replace({T.SQL_FOLD.format('p_name')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20) as slug, left(sha256(p_name), 10) as tail, regexp_extract(p_name || ' 1998 x', '^(.*?)\\s([0-9]{{4}})', 2) as year from part")
-def i04(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", T.slug("p_name", 20).alias("slug"), F.left(F.sha2("p_name", 256), F.lit(10)).alias("tail"), F.regexp_extract(F.concat("p_name", F.lit(" 1998 x")), r"^(.*?)\s([0-9]{4})", 2).alias("year"))
-
-
-@query("i07_dates", "select o_orderkey, year(o_orderdate)::int as year, strftime(o_orderdate, '%Y-%m') as month, strftime(o_orderdate, '%Y-%m-%d') as day, (o_orderdate::date - interval 180 month)::date as back from orders")
-def i07(spark, sf):
-    d = F.col("o_orderdate").cast("date")
-    return load(spark, sf, "orders").select("o_orderkey", F.year(d).alias("year"), F.date_format(d, "yyyy-MM").alias("month"), F.date_format(d, "yyyy-MM-dd").alias("day"), F.add_months(d, -180).alias("back"))
-
-
 @query("i08_canonical_digest", "select s_suppkey, sha256('name=' || s_name || chr(10) || 'nation=' || s_nationkey) as digest from supplier")
 def i08(spark, sf):
     return load(spark, sf, "supplier").select("s_suppkey", T.canonical_digest(("nation", F.col("s_nationkey")), ("name", F.col("s_name"))).alias("digest"))
@@ -391,17 +337,3 @@ def i15(spark, sf):
 @query("i01_folded_words", f"select doc_id, len({T.SQL_TOKENS.format('text')}) as words, md5(regexp_replace({T.SQL_FOLD.format('text')}, '[^a-z0-9]+', '', 'g')) as squashed from documents")
 def i01(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.size(T.tokens("text")).alias("words"), F.md5(T.squash("text")).alias("squashed"))
-
-
-@query("i02_surnames", "select c_custkey, case when c_name is null then null else regexp_matches(lower(c_name), '(^|[^a-z0-9])' || lower(c_mktsegment) || '([^a-z0-9]|$)') end as agrees, regexp_extract(c_name, '([^# ]+)$', 1) as surname from customer")
-def i02(spark, sf):
-    """Whether a name holds another as a whole word; null where there is nothing to compare."""
-    return load(spark, sf, "customer").select("c_custkey", F.when(F.col("c_name").isNotNull(), F.regexp(F.lower("c_name"), F.concat(F.lit("(^|[^a-z0-9])"), F.lower("c_mktsegment"), F.lit("([^a-z0-9]|$)")))).alias("agrees"), F.regexp_extract("c_name", "([^# ]+)$", 1).alias("surname"))
-
-
-@query("i05_comparable", "select l_orderkey, l_linenumber, f as field, case f when 'ship' then strftime(l_shipdate, '%Y') when 'flag' then lower(l_returnflag) when 'part' then regexp_extract(l_partkey::varchar, '([0-9]{1,3})$', 1) end as value from lineitem, (values ('ship'), ('flag'), ('part')) t(f) where l_orderkey % 40 = 0")
-def i05(spark, sf):
-    """Each field in the form in which two sources can be compared."""
-    l = load(spark, sf, "lineitem").where("l_orderkey % 40 = 0")  # noqa: E741
-    f = F.array(F.struct(F.lit("ship").alias("field"), F.date_format("l_shipdate", "yyyy").alias("value")), F.struct(F.lit("flag").alias("field"), F.lower("l_returnflag").alias("value")), F.struct(F.lit("part").alias("field"), F.regexp_extract(F.col("l_partkey").cast("string"), "([0-9]{1,3})$", 1).alias("value")))
-    return l.select("l_orderkey", "l_linenumber", F.explode(f).alias("x")).select("l_orderkey", "l_linenumber", "x.field", "x.value")

@@ -95,19 +95,6 @@ def e16(spark, sf):
     return n.join(top, "source", "left")
 
 
-@query("e17_confusion", "select quality, toxic, count(*) as n, count(*) filter (quality = 1 - toxic) as agree, round(100.0 * count(*) / sum(count(*)) over (), 3) as share from labels group by all")
-def e17(spark, sf):
-    g = load(spark, sf, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1 - F.col("toxic")).alias("agree"))
-    total = g.agg(F.sum("n").alias("total"))
-    return g.join(F.broadcast(total)).select("quality", "toxic", "n", "agree", F.round(100.0 * F.col("n") / F.col("total"), 3).alias("share"))
-
-
-@query("e18_round_counts", f"with {SQL_JOBS} select strftime(moment, '%Y-%m-%d') as day, count(*) as records, count(*) filter (kind = 'view') as scored, count(*) filter (kind = 'purchase') as accepted, count(*) filter (kind = 'error' and moment < timestamp '2024-01-15') as expired, count(distinct member_id) as members, count(*) filter (tokens is null) as pending from jobs where moment >= timestamp '2024-01-05' and moment < timestamp '2024-01-20' group by 1")
-def e18(spark, sf):
-    j = jobs(spark, sf).where("moment >= timestamp_ntz '2024-01-05' and moment < timestamp_ntz '2024-01-20'")
-    return j.groupBy(F.date_format("moment", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("kind") == "view").alias("scored"), F.count_if(F.col("kind") == "purchase").alias("accepted"), F.count_if(F.expr("kind = 'error' and moment < timestamp_ntz '2024-01-15'")).alias("expired"), F.count_distinct("member_id").alias("members"), F.count_if(F.col("tokens").isNull()).alias("pending"))
-
-
 @query("e19_page_metrics", r"select doc_id, length(text) as chars, len(list_distinct(regexp_extract_all(text, '[0-9]+(\.[0-9]+)?'))) as numbers, len(list_distinct(regexp_extract_all(text, '[A-Z]{2,}'))) as symbols from documents")
 def e19(spark, sf):
     distinct = lambda p: F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))))
@@ -156,11 +143,6 @@ def e26(spark, sf):
     return t.withColumn("nth", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("nth <= 20").select("tag", "p_partkey", "nth")
 
 
-@query("e27_validation_sweep", "select source, count(*) as checked, count(*) filter (n_chars < 100) as short, count(*) filter (text not like '%.%') as no_sentence from documents group by 1")
-def e27(spark, sf):
-    return load(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("n_chars") < 100).alias("short"), F.count_if(~F.col("text").contains(".")).alias("no_sentence"))
-
-
 @query("f05_latest_per_key", f"with {SQL_JOBS}, r as (select *, row_number() over (partition by member_id order by moment desc, job_id desc) as nth from jobs) select member_id, job_id, kind, moment from r where nth = 1")
 def f05(spark, sf):
     g = jobs(spark, sf).groupBy("member_id").agg(F.max_by(F.struct("job_id", "kind", "moment"), F.struct("moment", "job_id")).alias("l"))

@@ -89,48 +89,6 @@ def h03(spark, sf):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("sections"), F.sum("w").alias("weight"))
 
 
-@query("h02_documents", f"with {SQL_NOTES}, lines as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as l from notes) select n.doc_id, n.title, n.category, substr(coalesce(l[1], ''), 1, 260) as summary, len(l) as sections from notes n join lines using (doc_id)")
-def h02(spark, sf):
-    n = notes(spark, sf).withColumn("l", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""))
-    return n.select("doc_id", "title", "category", F.substring(F.coalesce(F.try_element_at("l", F.lit(1)), F.lit("")), 1, 260).alias("summary"), F.size("l").alias("sections"))
-
-
-@query("h06_snippets", f"""with {SQL_NOTES}, t as (select doc_id, text, ['th', 'license'] as terms from notes),
-p as (select *, coalesce(list_min(list_filter(list_transform(terms, lambda w: instr(lower(text), w)), lambda x: x > 0)), 0) as f from t),
-s as (select *, greatest(0, case when f > 0 then f - 1 - 106 else 0 end) as st from p)
-select doc_id, (case when st > 0 then '… ' else '' end) || trim(replace(substr(text, (st + 1)::bigint, 320), chr(10), ' ')) || (case when st + 320 < length(text) then ' …' else '' end) as snippet from s""")
-def h06(spark, sf):
-    return notes(spark, sf).select("doc_id", T.snippet("text", F.array(F.lit("th"), F.lit("license"))).alias("snippet"))
-
-
-KIND_SQL = """case when lower(trim(heading)) in ('linked pages', 'connected pages') then 'links'
- when length(content) > 0 and length(regexp_replace(regexp_replace(content, '\\[\\[[^\\]]*\\]\\]', '', 'g'), '[\\s*-]+', '', 'g')) < 0.1 * length(content) then 'links'
- when regexp_matches(lower(heading), '^th') then 'limitations' when regexp_matches(lower(heading), '^a') then 'results' when regexp_matches(lower(heading), '^e') then 'methods' when regexp_matches(lower(heading), '^i') then 'interpretation' else 'other' end"""
-#: The documents' headings are invented words; their first letters stand for the kinds.
-LETTERS = [("limitations", "^th"), ("results", "^a"), ("methods", "^e"), ("interpretation", "^i")]
-
-
-@query("h07_section_kinds", f"with {SECTIONS} select kind, count(*) as sections, sum(length(content))::bigint as chars from (select *, {KIND_SQL} as kind from secs) group by kind")
-def h07(spark, sf):
-    s = S.sections(notes(spark, sf))
-    return s.withColumn("kind", S.section_kind(F.col("heading"), F.col("content"), LETTERS)).groupBy("kind").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).alias("chars"))
-
-
-@query("f03_section_selection", f"""with {SECTIONS}, o as (select doc_id, ord, {KIND_SQL} as kind, list_distinct(list_filter({T.SQL_TOKENS.format('content')}, lambda w: length(w) > 2 and not list_contains([{STOP}], w))) as words from secs),
-v as (select doc_id, ord, kind, len(list_intersect(words, ['ther', 'the', 'eau', 'ation'])) as overlap, case kind when 'limitations' then 1 when 'results' then 2 when 'methods' then 3 when 'interpretation' then 3 end as g from o),
-b as (select doc_id, max(ord) as best_ord from o group by doc_id),
-w as (select v.*, best_ord, max(case when ord = best_ord then coalesce(g, 0) end) over (partition by doc_id) as best_group from v join b using (doc_id)),
-k as (select *, case when ord = best_ord then 0 else g end as grp from w),
-f as (select *, row_number() over (partition by doc_id, grp order by overlap desc, ord) as nth from k where grp is not null and (grp = 0 or grp <> best_group)),
-p as (select doc_id, row_number() over (partition by doc_id order by grp) as pick, ord, kind, overlap from f where nth = 1)
-select * from p where pick <= 3""")
-def f03(spark, sf):
-    s = S.sections(notes(spark, sf))
-    outline = s.select("doc_id", "ord", S.section_kind(F.col("heading"), F.col("content"), LETTERS).alias("kind"), T.content_words("content").alias("words"))
-    best = outline.groupBy("doc_id").agg(F.max("ord").alias("best_ord"))
-    return S.select_sections(outline, best, F.array(*[F.lit(w) for w in ("ther", "the", "eau", "ation")]), 3)
-
-
 @query("d15_candidates", f"""with {INDEX}, {terms_sql('benchmark', 'item_id', 'item_id < 4')}, {SCORED},
 best as (select doc_id, round(max(score), 6) as score from scored group by doc_id),
 req as (select doc_id, min(doc_id % 13)::int as pos from documents where doc_id % 97 = 0 group by doc_id),
@@ -151,23 +109,6 @@ def f08(spark, sf):
     return s.withColumn("rank", F.row_number().over(per.orderBy(F.coalesce("p", F.lit(-1.0)).desc(), "prior")))
 
 
-@query("h14_noise_removed", r"""with t as (select doc_id, regexp_replace(text, '([^\s]\s){41,}', '', 'g') as a from documents),
-c as (select doc_id, a, instr(substr(a, 201), 'Licensed under') as p from t)
-select doc_id, length(case when p > 0 then substr(a, 1, 200 + p - 1) else a end) as kept_chars, length(regexp_replace(a, '\s+', '', 'g')) < 2 * len(regexp_extract_all(a, '\S+')) and len(regexp_extract_all(a, '\S+')) >= 15 as scattered from c""")
-def h14(spark, sf):
-    """Boilerplate tails after the first 200 characters, runs of single characters, and scattered text."""
-    t = load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"([^\s]\s){41,}", "").alias("a"))
-    p = F.instr(F.substr("a", F.lit(201)), "Licensed under")
-    n = F.size(F.regexp_extract_all("a", F.lit(r"\S+"), F.lit(0)))
-    return t.select("doc_id", F.length(F.when(p > 0, F.substring(F.col("a"), F.lit(1), 200 + p - 1)).otherwise(F.col("a"))).alias("kept_chars"), ((F.length(F.regexp_replace("a", r"\s+", "")) < 2 * n) & (n >= 15)).alias("scattered"))
-
-
-@query("h16_first_sentence", r"""select doc_id, regexp_extract(replace(replace(text, 'Th. ', 'Th' || chr(1) || ' '), chr(10), ' '), '^[^.!?]*[.!?]?') as sentence from documents""")
-def h16(spark, sf):
-    """Up to the first full stop that no abbreviation owns."""
-    return load(spark, sf, "documents").select("doc_id", F.regexp_extract(F.replace(F.replace("text", F.lit("Th. "), F.lit("Th\x01 ")), F.lit("\n"), F.lit(" ")), r"^[^.!?]*[.!?]?", 0).alias("sentence"))
-
-
 @query("h08_managed_blocks", r"""select page_id, length(html) as chars, length(regexp_replace(html, '(?s)<nav.*?</nav>', '', 'g')) as kept from pages""")
 def h08(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.length("html").alias("chars"), F.length(F.regexp_replace("html", r"(?s)<nav.*?</nav>", "")).alias("kept"))
@@ -185,19 +126,6 @@ def h13(spark, sf):
     return notes(spark, sf).select("doc_id", F.concat(F.lit("- "), "doc_id", F.lit(" | "), "category", F.lit(" | "), "journal", F.lit(" | "), F.when(F.length("title") > 60, F.concat(F.rtrim(F.substring("title", 1, 59)), F.lit("…"))).otherwise(F.col("title"))).alias("line"))
 
 
-@query("h17_text_evidence", f"""with b as (select item_id, left({T.SQL_FOLD.format('text')}, 40) as needle from benchmark where length(text) >= 40),
-d as (select doc_id, {T.SQL_FOLD.format('text')} as t from documents)
-select item_id, count(*) as documents, min(doc_id) as first from b join d on contains(d.t, b.needle) group by item_id""")
-def h17(spark, sf):
-    """Which documents hold the beginning of each passage: a stated set of needles against all texts."""
-    b = load(spark, sf, "benchmark").where(F.length("text") >= 40).select("item_id", F.substring(T.fold("text"), 1, 40).alias("needle"))
-    needles = b.groupBy().agg(F.collect_list(F.struct("item_id", "needle")).alias("needles"))
-    # The needles are the bounded benchmark table: one row beside each text.
-    d = load(spark, sf, "documents").select("doc_id", T.fold("text").alias("t")).join(F.broadcast(needles))
-    hit = d.select("doc_id", F.explode(F.filter("needles", lambda n: F.contains(F.col("t"), n["needle"]))).alias("n"))
-    return hit.groupBy("n.item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
-
-
 @query("h18_last_result_per_key", """with e as (select user_id, event_type, ts, event_id, value from events), r as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as nth, count(*) over (partition by user_id, event_type) as calls from e) select user_id, event_type, event_id, value, calls from r where nth = 1""")
 def h18(spark, sf):
     e = load(spark, sf, "events")

@@ -1,28 +1,40 @@
-"""Term queries over notes made from the documents: their first words are glossary terms."""
+"""Term queries: glossaries, aliases, symbols, mentions, and the figures and tables that papers refer to.
+
+Every line of a document is a line of its note's glossary: the first words are the term, in one of four shapes, the line is its definition.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
+from folioscope.operators import assets as A
 from folioscope.operators import terms as G
 from folioscope.plans.registry import query
 from folioscope.sources.tables import load
 
-#: A note with a glossary of three lines from the words of a document.
-NOTE = "'# Note' || chr(10) || '## Glossary' || chr(10) || '- **' || w1 || ' (' || w2 || ')**: about ' || w3 || chr(10) || '- **' || w2 || ' / ' || w3 || '**: other ' || w1 || chr(10) || '- **' || upper(left(w3, 3)) || 's vs ' || w1 || '**: third' || chr(10) || '## End' || chr(10) || '- **no**: no'"
-SQL_GLOSS = f"""w as (select doc_id, lang, regexp_extract_all(text, '[A-Za-z]+') as w from documents), n as (select doc_id, lang, w[1] as w1, w[2] as w2, w[3] as w3 from w where len(w) >= 3),
-t as (select doc_id, lang, {NOTE} as text from n), s as (select doc_id, lang, regexp_extract(text, '(?s)(?:^|\\n)## Glossary[^\\n]*\\n(.*?)(?:\\n## |$)', 1) as sec from t),
-g as (select doc_id, lang, trim(unnest(regexp_extract_all(sec, '(?m)^- \\*\\*([^*\\n]+)\\*\\*: ?([^\\n]*)', 1))) as term, trim(unnest(regexp_extract_all(sec, '(?m)^- \\*\\*([^*\\n]+)\\*\\*: ?([^\\n]*)', 2))) as definition from s)"""
-SQL_FORMS = SQL_GLOSS + """, f0 as (select doc_id, lang, definition, regexp_split_to_array(regexp_split_to_array(term, '(?i)\\s+(?:versus|vs\\.?)\\s+')[1], '\\s+/\\s+') as p from g),
-f1 as (select doc_id, lang, definition, trim(unnest(p), ' ,;') as p from f0),
-f2 as (select doc_id, lang, definition, unnest(case when regexp_matches(p, '^(.+?)\\s*\\(([^()]+)\\)$') then [trim(regexp_extract(p, '^(.+?)\\s*\\(([^()]+)\\)$', 1)), trim(regexp_extract(p, '^(.+?)\\s*\\(([^()]+)\\)$', 2))] else [p] end) as form from f1),
-f3 as (select *, trim(regexp_replace(regexp_replace(lower(form), '[^a-z0-9+.\\- ]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .-') as low from f2 where length(form) >= 2),
-f as (select doc_id, lang, definition, form, case when low like '%s' and (regexp_matches(form, '^[A-Z][A-Z0-9]+s$') or (length(low) > 4 and not regexp_matches(low, '(ss|us|is)$'))) then left(low, -1) else low end as slug from f3)"""
+#: A line with its words w1, w2, w3 as a line of a glossary; n is its place in the document.
+ENTRY = """case n % 4 when 0 then '- **' || w1 || ' (' || w2 || ')**: about ' || line when 1 then ' * **' || w2 || ' / ' || w3 || '** ： other ' || line
+ when 2 then '-  **' || upper(left(w3, 3)) || 's vs ' || w1 || '**:third ' || line else '- **' || w1 || '–' || w2 || ' / β' || w3 || ' (αγ' || w3 || ')**: ' || line end"""
+NOTE = "'# Note' || chr(10) || '## ' || case when doc_id % 2 = 0 then '7. Glossary' else 'Glossary' end || chr(10) || lines || chr(10) || '## End' || chr(10) || '- **no**: no'"
+SQL_GLOSS = rf"""w0 as (select doc_id, lang, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
+w as (select doc_id, lang, n, line, regexp_extract_all(line, '[A-Za-z]+') as w from w0), e as (select doc_id, lang, n, line, w[1] as w1, w[2] as w2, w[3] as w3 from w where len(w) >= 3),
+t as (select doc_id, lang, {NOTE.replace('lines', f'string_agg({ENTRY}, chr(10) order by n)')} as text from e group by doc_id, lang), s as (select doc_id, lang, regexp_extract(text, '(?:^|\n)## (?:7\. )?Glossary[ \t]*\n((?s).*?)(?:\n## |$)', 1) as sec from t),
+g as (select doc_id, lang, trim(unnest(regexp_extract_all(sec, '(?m)^[ \t]*[-*][ \t]+\*\*(.+?)\*\*[ \t]*[:：][ \t]*(.*)$', 1))) as term, trim(unnest(regexp_extract_all(sec, '(?m)^[ \t]*[-*][ \t]+\*\*(.+?)\*\*[ \t]*[:：][ \t]*(.*)$', 2))) as definition from s)"""
+GREEK_SQL = "lower(form)"
+for _letter, _plain in G.GREEK.items():
+    GREEK_SQL = f"replace({GREEK_SQL}, '{_letter}', '{_plain}')"
+SQL_FORMS = SQL_GLOSS + rf""", f0 as (select row_number() over () as rn, doc_id, lang, definition, regexp_split_to_array(regexp_split_to_array(term, '\s+versus\s+|\s+vs\.?\s+')[1], '\s+/\s+') as p from g),
+f1 as (select rn, doc_id, lang, definition, trim(trim(trim(unnest(p)), ',;')) as p from f0),
+f2 as (select distinct rn, doc_id, lang, definition, unnest(case when regexp_matches(p, '^(.*?\S)\s*\(([^()]{{1,60}})\)\s*$') then [regexp_extract(p, '^(.*?\S)\s*\(([^()]{{1,60}})\)\s*$', 1), trim(regexp_extract(p, '^(.*?\S)\s*\(([^()]{{1,60}})\)\s*$', 2))] else [p] end) as form from f1),
+f3 as (select *, trim(regexp_replace(regexp_replace(regexp_replace({GREEK_SQL}, '[‐‑–—]', '-', 'g'), '[^a-z0-9+.\- ]+', ' ', 'g'), ' +', ' ', 'g'), ' .-') as low, regexp_extract(trim(form), '\S*$') as last from f2 where length(form) >= 2),
+f as (select doc_id, lang, definition, form, case when low like '%s' and (regexp_matches(last, '^[A-Z][A-Za-z0-9-]*[A-Z0-9]s$') or (length(regexp_extract(low, '[^ ]*$')) > 4 and not regexp_matches(low, '(ss|us|is)$'))) then left(low, -1) else low end as slug from f3)"""
 
 
 def gloss(spark, sf):
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    n = load(spark, sf, "documents").select("doc_id", "lang", w.alias("w")).where("size(w) >= 3").select("doc_id", "lang", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.col("w")[2].alias("w3"))
+    lines = load(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("w", F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0)))
+    e = lines.where("size(w) >= 3").select("doc_id", "lang", "n", "line", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.col("w")[2].alias("w3")).select("doc_id", "lang", F.struct("n", F.expr(ENTRY).alias("entry")).alias("e"))
+    n = e.groupBy("doc_id", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["entry"]), "\n").alias("lines"))
     return G.glossary(n.select("doc_id", "lang", F.expr(NOTE).alias("text")))
 
 
@@ -92,7 +104,53 @@ def h12(spark, sf):
     return G.mentions(load(spark, sf, "documents").select("doc_id", "text"), f, 400)
 
 
-@query("h15_references", r"with r as (select doc_id, unnest(regexp_extract_all(text, '\b(?:v|V)ersion ([0-9])', 1)) as ref from documents) select ref, count(*) as mentions, count(distinct doc_id) as documents from r group by ref")
-def h15(spark, sf):
-    r = load(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(?:v|V)ersion ([0-9])"), F.lit(1))).alias("ref"))
-    return r.groupBy("ref").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("doc_id").alias("documents"))
+#: Papers: documents with sentences that refer to figures and tables.
+PAPER = "text || ' As shown in Fig. ' || (1 + doc_id % 3) || 'a-' || (2 + doc_id % 3) || ', the effect holds for this cohort. See Extended Data Table 2 and Supplementary Figs. 1, 3 and S4 for details of it, and Figure 9. (Tables 1–2 list more values than Fig. ' || (doc_id % 5) || ' does.) Suppl. Fig. ' || (doc_id % 2) || 'b is shorter than Table 12 and table 7 here! As shown again in Fig. 2.  Short Fig. 1.'"
+SQL_NUMBERS = "list_filter(list_transform(regexp_split_to_array({0}, '\\s*(?:[,–-]|and)\\s*'), lambda x: regexp_extract(x, '(?i)^\\s*S?([0-9]+)', 1)), lambda n: n <> '')"
+REF = A.REFERENCE.replace("\\d", "[0-9]").replace("'", "''")
+SQL_MENTIONS = rf"""p as (select doc_id, {PAPER} as text from documents where text is not null), c as (select doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) as s from p),
+s as (select doc_id, unnest(s) as raw, generate_subscripts(s, 1) as pos from c), t as (select doc_id, pos, trim(raw, ' ' || chr(9) || chr(10) || chr(13) || chr(12)) as sentence from s), u as (select * from t where length(sentence) >= 25),
+m as (select doc_id, pos, sentence, unnest(regexp_extract_all(sentence, '{REF}', 1)) as pre, unnest(regexp_extract_all(sentence, '{REF}', 2)) as noun, unnest(regexp_extract_all(sentence, '{REF}', 3)) as chunk, generate_subscripts(regexp_extract_all(sentence, '{REF}'), 1) as nth from u),
+k as (select *, case when lower(pre) like 'extended%' then 'extdata' when lower(pre) like 'suppl%' then 'supp' else '' end || case when lower(noun) like 'table%' then 'table' when lower(pre) like 'extended%' or lower(pre) like 'suppl%' then 'fig' else 'figure' end as kind, {SQL_NUMBERS.format('chunk')} as numbers from m),
+named as (select doc_id, pos, sentence, kind, unnest(numbers) as number from k), firsts as (select doc_id, pos, sentence, kind, unnest(numbers) as number from (select *, row_number() over (partition by doc_id, pos, kind order by nth) as f from k) where f = 1),
+keys as (select doc_id, kind || number as key, sentence, min(pos) as pos from firsts group by all), kept as (select *, row_number() over (partition by doc_id, key order by pos) as nth from keys),
+top as (select * from kept where nth <= 12), rel as (select distinct t.doc_id, t.key, n.kind, n.number from top t join named n on n.doc_id = t.doc_id and n.sentence = t.sentence where n.kind || n.number <> t.key),
+best as (select *, row_number() over (partition by doc_id, key order by kind, number::bigint, number) as nth from rel), rr as (select doc_id, key, string_agg(kind || number, ' ' order by kind, number::bigint, number) as related from best where nth <= 10 group by all),
+mm as (select doc_id, key, count(*) as n, md5(string_agg(sentence, chr(10) order by pos)) as digest from top group by all)"""
+
+
+@query("h15_mentions", f"with {SQL_MENTIONS} select doc_id, key, n, digest, coalesce(related, '') as related from mm left join rr using (doc_id, key)")
+def h15_mentions(spark, sf):
+    """The sentences that mention each figure and table of a paper, and what else they name."""
+    p = load(spark, sf, "documents").where("text is not null").select("doc_id", F.expr(PAPER).alias("text"))
+    m = A.mentions(p)
+    return m.select("doc_id", "key", F.size("sentences").cast("bigint").alias("n"), F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"), F.array_join("related", " ").alias("related"))
+
+
+KINDS = ["Fig. ", "Figure ", "Extended Data Fig. ", "Extended Data Table ", "Supplementary Figure ", "Supplementary Table ", "Table "]
+TAILS = ["| Overview. (a) x, (b) y; c, z and d. w", ": a Amyloid burden, b Tau burden", " A Top: traces, B Summary; E None", ". One thing only (a)", " (a)(b) and (d)", " | a, b, c. d) e, f. g, h. i, j, k. l) m", "without any"]
+CAP = "case when p_partkey % 11 = 0 then 'No label ' else element_at(kinds, cast(p_partkey % 7 + 1 as int)) || (1 + p_partkey % 30) end || element_at(tails, cast(p_partkey div 7 % 7 + 1 as int)) || ' of ' || p_name"
+
+
+@query("h15_captions", rf"""with c as (select p_partkey, case when p_partkey % 11 = 0 then 'No label ' else ({KINDS})[p_partkey % 7 + 1] || (1 + p_partkey % 30) end || ({TAILS})[p_partkey // 7 % 7 + 1] || ' of ' || p_name as cap from part),
+x as (select *, regexp_extract(cap, '{A.CAPTION}', 1) as noun, regexp_extract(cap, '{A.CAPTION}', 2) as num, case when instr(cap, '|') between 1 and 120 then substr(cap, instr(cap, '|') + 1) else cap end as body from c),
+y as (select *, regexp_replace(body, '{A.LABEL}', '') as rest from x),
+z as (select *, list_distinct(list_transform(list_concat(regexp_extract_all(rest, '{A.PANEL_MARKED}', 1), regexp_extract_all(rest, '{A.PANEL_SPACED}', 1)), lambda l: lower(l))) as found from y),
+w as (select *, coalesce(list_min(list_filter(range(1, 13), lambda i: not list_contains(found, 'abcdefghijkl'[i]))), 13) - 1 as run from z)
+select p_partkey, case when num <> '' then case when noun ilike 'extended%table' then 'extdatatable' when noun ilike 'extended%' then 'extdatafig' when noun ilike 'supp%table' then 'supptable' when noun ilike 'supp%' then 'suppfig' when noun ilike 'table' then 'table' else 'figure' end || num end as key,
+ case when num <> '' then case when noun ilike 'extended%table' then 'Extended Data Table ' when noun ilike 'extended%' then 'Extended Data Fig. ' when noun ilike 'supp%table' then 'Supplementary Table ' when noun ilike 'supp%' then 'Supplementary Fig. ' when noun ilike 'table' then 'Table ' else 'Figure ' end || num end as label, case when run >= 2 then left('abcdefghijkl', run) else '' end as panels from w""")
+def h15_captions(spark, sf):
+    """The key, label and panels that captions give."""
+    p = load(spark, sf, "part").withColumns({"kinds": F.array(*[F.lit(x) for x in KINDS]), "tails": F.array(*[F.lit(x) for x in TAILS])})
+    c = p.select("p_partkey", F.expr(CAP).alias("cap"))
+    return c.select("p_partkey", A.asset_name(F.col("cap")).alias("n"), F.array_join(A.panels(F.col("cap")), "").alias("panels")).select("p_partkey", "n.key", "n.label", "panels")
+
+
+@query("h15_extended_captions")
+def h15_extended(spark, sf):
+    """Unfinished captions with the blocks that go on with them; turns are a page's blocks.  A fold, beyond SQL, tested against a plain one."""
+    kind = F.when(F.col("turn") % 4 == 0, "cap").when(F.col("turn") % 4 == 3, "fig").otherwise("txt")
+    text = F.when(F.col("turn") % 4 == 0, F.rtrim(F.col("text"), F.lit(".!? \n"))).otherwise(F.col("text"))
+    b = load(spark, sf, "conversations").select("conv_id", F.struct("turn", kind.alias("kind"), text.alias("text")).alias("b"))
+    pages = b.groupBy("conv_id").agg(F.array_sort(F.collect_list("b")).alias("items"))
+    return pages.select("conv_id", A.extended_caption(F.col("items"), F.col("items")[0]["text"]).alias("caption"))
