@@ -152,6 +152,14 @@ def first_sentence(c: Column | str) -> Column:
     return F.regexp_replace(whole, rf"({known})\s+(?=[A-Z])", "$1 ")
 
 
+def model_family(c: Column | str, name: str) -> Column:
+    """(family, version) of a model id ``name-family-major-minor``; another id is its own family."""
+    pattern = f"{name}-([a-z]+)-([0-9]+)(?:-([0-9]+))?"
+    part = lambda k: F.regexp_extract(col(c), pattern, k)
+    version = F.concat(part(2), F.when(part(3) != "", F.concat(F.lit("."), part(3))).otherwise(""))
+    return F.struct(F.when(part(1) != "", part(1)).otherwise(col(c)).alias("family"), version.alias("version"))
+
+
 def present(c: Column | str) -> Column:
     """Neither null nor empty; a stored False is present."""
     return col(c).isNotNull() & (col(c).cast("string") != "")

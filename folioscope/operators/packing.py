@@ -1,13 +1,13 @@
-"""Sequential packing: byte budgets, size-bounded batches, trimming to a limit.
+"""Sequential packing: byte budgets, size-bounded batches and their merges, trimming to a limit.
 
-Each group (a question, a category) is packed in its own order, one group in one task; groups are bounded by
-what a question retrieves or a page lists.
+``allocate`` and ``batches`` are folds over the order of a group (a question, a page), one group in one task; a group
+is what a question retrieves or a page lists.  The rest are windows and sums.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,53 +18,83 @@ def allocate(parts: DataFrame, budget: int, slots: int) -> DataFrame:
     left at all; room that isn't used flows on.
     """
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        left, open_slots, out = budget, slots, []
-        for _, doc in g.sort_values(["rank", "ord"]).groupby("rank", sort=True):
-            share = left // max(1, open_slots)
-            used = 0
-            for k, (_, r) in enumerate(doc.iterrows()):
-                room = left if k == 0 else min(left, share - used)
-                ok = open_slots > 0 and r["size"] <= room
-                reason = None if ok else "no slot" if open_slots <= 0 else "over budget" if r["size"] > left else "over share"
-                if ok:
-                    used, left = used + r["size"], left - r["size"]
-                out.append((r["question"], r["doc_id"], r["ord"], int(r["size"]) if ok else 0, reason))
-            open_slots -= 1
-        return pd.DataFrame(out, columns=["question", "doc_id", "ord", "granted", "reason"])
-
-    return parts.groupBy("question").applyInPandas(pack, "question long, doc_id long, ord int, granted long, reason string")
-
-
-def batches(items: DataFrame, budget: int) -> DataFrame:
-    """grp, item, batch, taken: items in order, a new batch when the next would exceed the budget; one too large is cut and alone."""
-    order = F.array_sort(F.collect_list(F.struct("pos", "item", "size")))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<item:bigint,batch:int,taken:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        size = F.least(x["size"], F.lit(budget)).cast("long")
-        fits = (s["used"] + size <= budget) | (s["used"] == 0)
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, s["used"] + size).otherwise(size).alias("used"), F.concat(s["out"], F.array(F.struct(x["item"].cast("bigint").alias("item"), batch.alias("batch"), size.alias("taken")))).alias("out"))
-
-    g = items.groupBy("grp").agg(F.aggregate(order, start, step)["out"].alias("out"))
-    return g.select("grp", F.explode("out").alias("x")).select("grp", "x.*")
+    def pack(g: pa.Table) -> pa.Table:
+        rows = sorted(zip(*[g.column(c).to_pylist() for c in ("rank", "ord", "doc_id", "size")]))
+        left, open_slots, out = budget, slots + 1, []
+        share = used = 0
+        last = None
+        for rank, ord_, doc_id, size in rows:
+            first = rank != last
+            if first:
+                open_slots -= 1
+                last, used, share = rank, 0, left // max(1, open_slots)
+            ok = open_slots > 0 and size <= (left if first else min(left, share - used))
+            reason = None if ok else "no slot" if open_slots <= 0 else "over budget" if size > left else "over share"
+            if ok:
+                used, left = used + size, left - size
+            out.append((doc_id, ord_, size if ok else 0, reason))
+        question = g.column("question")[0].as_py()
+        cols = list(zip(*out))
+        return pa.table({"question": pa.array([question] * len(out), pa.int64()), "doc_id": pa.array(cols[0], pa.int64()), "ord": pa.array(cols[1], pa.int32()), "granted": pa.array(cols[2], pa.int64()), "reason": pa.array(cols[3], pa.string())})
+
+    slim = parts.select(F.col("question").cast("long").alias("question"), "rank", F.col("ord").cast("int").alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size").cast("long").alias("size"))
+    return slim.groupBy("question").applyInArrow(pack, "question long, doc_id long, ord int, granted long, reason string")
+
+
+def batches(items: DataFrame, budget: int, header: int = 0) -> DataFrame:
+    """grp, item, batch, taken of (grp, item, pos, size): items in order, a new batch when the next would exceed the budget with the header; one larger than the budget is cut and alone."""
+
+    def pack(g: pa.Table) -> pa.Table:
+        rows = sorted(zip(*[g.column(c).to_pylist() for c in ("pos", "item", "size")]))
+        batch, used, count, out = 0, header, 0, []
+        for _, item, size in rows:
+            if size > budget:
+                batch += count > 0
+                out.append((item, batch, budget))
+                batch, used, count = batch + 1, header, 0
+                continue
+            if count and used + size > budget:
+                batch, used, count = batch + 1, header, 0
+            out.append((item, batch, size))
+            used, count = used + size, count + 1
+        cols = list(zip(*out))
+        return pa.table({"grp": pa.array([g.column("grp")[0].as_py()] * len(out), pa.string()), "item": pa.array(cols[0], pa.int64()), "batch": pa.array(cols[1], pa.int32()), "taken": pa.array(cols[2], pa.int64())})
+
+    slim = items.select(F.col("grp").cast("string").alias("grp"), F.col("pos").cast("long").alias("pos"), F.col("item").cast("long").alias("item"), F.col("size").cast("long").alias("size"))
+    return slim.groupBy("grp").applyInArrow(pack, "grp string, item long, batch int, taken long")
+
+
+def merge_tree(batched: DataFrame, fan: int = 15) -> DataFrame:
+    """grp, level, node, first, last: which partials of the level below each page is merged from, ``fan`` at a time, up to one page; level 0 are the batches."""
+    n = batched.groupBy("grp").agg((F.max("batch") + 1).alias("n"))
+    step = lambda s: F.ceil(s / F.lit(fan)).cast("int")
+    # Sizes of the levels: more than eight of them would need fan ** 8 batches.
+    sizes = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.array(F.col("n").cast("int")), lambda a, _: F.when(F.element_at(a, -1) > 1, F.concat(a, F.array(step(F.element_at(a, -1))))).otherwise(a))
+    levels = n.select("grp", sizes.alias("sizes")).select("grp", "sizes", F.posexplode("sizes").alias("level", "size"))
+    below = F.when(F.col("level") > 0, F.col("sizes")[F.col("level") - 1])
+    nodes = levels.select("grp", "level", below.alias("below"), F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("node"))
+    return nodes.select("grp", "level", "node", F.when(F.col("level") > 0, F.col("node") * fan).otherwise(F.col("node")).alias("first"), F.when(F.col("level") > 0, F.least(F.col("node") * fan + fan, F.col("below")) - 1).otherwise(F.col("node")).alias("last"))
 
 
 def trimmed(parts: DataFrame, limit: int) -> DataFrame:
-    """grp, kept, dropped, bytes: passages go first, all of them, then excerpts from the end, until the rest fits; else nothing."""
-
-    def trim(g: pd.DataFrame) -> pd.DataFrame:
-        passages, excerpts = g[g["kind"] == "passage"], g[g["kind"] == "excerpt"].sort_values("pos")
-        base = int(g[g["kind"] == "base"]["size"].sum())
-        total = base + int(passages["size"].sum() + excerpts["size"].sum())
-        kept = len(passages) + len(excerpts)
-        if total > limit:
-            total, kept = total - int(passages["size"].sum()), kept - len(passages)
-        sizes = excerpts["size"].tolist()
-        while total > limit and sizes:
-            total, kept = total - int(sizes.pop()), kept - 1
-        fits = total <= limit
-        return pd.DataFrame({"grp": [g["grp"].iloc[0]], "kept": [kept if fits else None], "dropped": [len(passages) + len(excerpts) - kept], "bytes": [total if fits else None]}).astype({"kept": "Int64", "bytes": "Int64"})
-
-    return parts.groupBy("grp").applyInPandas(trim, "grp long, kept long, dropped long, bytes long")
+    """grp, kept, dropped, bytes of (grp, kind, pos, size): passages go first, all of them, then excerpts from the end, until the rest fits; else nothing."""
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0))
+    n = lambda k: F.count_if(F.col("kind") == k)
+    sums = parts.groupBy("grp").agg(of("base").alias("base"), of("passage").alias("p"), of("excerpt").alias("e"), n("passage").alias("n_p"), n("excerpt").alias("n_e"))
+    upto = F.sum("size").over(Window.partitionBy("grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    runs = parts.where("kind = 'excerpt'").select("grp", upto.alias("upto")).join(sums.select("grp", "base"), "grp").where(F.col("base") + F.col("upto") <= limit)
+    fit = runs.groupBy("grp").agg(F.count(F.lit(1)).alias("fit"), F.max("upto").alias("used"))
+    total = F.col("base") + F.col("p") + F.col("e")
+    whole, fits = total <= limit, (total <= limit) | (F.col("base") <= limit)
+    kept = F.when(whole, F.col("n_p") + F.col("n_e")).otherwise(F.coalesce("fit", F.lit(0)))
+    return sums.join(fit, "grp", "left").select("grp", F.when(fits, kept).alias("kept"), F.when(fits, F.col("n_p") + F.col("n_e") - kept).otherwise(F.col("n_p") + F.col("n_e")).alias("dropped"), F.when(whole, total).when(fits, F.col("base") + F.coalesce("used", F.lit(0))).alias("bytes"))
+
+
+def searched(files: DataFrame, most: int) -> DataFrame:
+    """``files`` (stem, doc_id, n_chars, skipped, hits) with place, state and matches: smallest first, until ``most`` matches of a stem are found."""
+    order = Window.partitionBy("stem").orderBy("n_chars", "doc_id")
+    open_ = F.col("skipped").isNull()
+    before = F.coalesce(F.sum(F.when(open_, F.col("hits"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    f = files.withColumn("before", before).withColumn("place", F.row_number().over(order))
+    reached = F.col("before") < most
+    return f.withColumn("state", F.when(~open_, F.col("skipped")).when(reached, "searched").otherwise("not reached")).withColumn("matches", F.when(open_ & reached, F.least(F.col("hits").cast("long"), most - F.col("before"))).otherwise(0).cast("long"))

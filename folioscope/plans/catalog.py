@@ -57,10 +57,10 @@ def a03(spark, sf):
     return load(spark, sf, "events").where("user_id = 7 and event_type like 'p%' and event_id > 100").orderBy("event_id").limit(25).select("event_id", "ts", "event_type")
 
 
-@query("b01_csv_projection", f"with {SQL_PAPERS} select id, coalesce(nullif(segment, ''), priority) as venue, coalesce(status, '') || '; ' || coalesce(priority, '') as tags, case when total = floor(total) then total::bigint::varchar else round(total, 2)::varchar end as shown from papers where id % 10 = 0".replace("case when total = floor(total) then total::bigint::varchar else round(total, 2)::varchar end", "round(total, 2)"))
+@query("b01_csv_projection", f"with {SQL_PAPERS} select id, coalesce(nullif(segment, ''), priority) as venue, coalesce(status, '') || '; ' || coalesce(priority, '') as tags, case when total = floor(total) then total::bigint::varchar else round(total, 2)::varchar end as shown from papers".replace("case when total = floor(total) then total::bigint::varchar else round(total, 2)::varchar end", "round(total, 2)"))
 def b01(spark, sf):
     """The export's columns, two of them with a fallback, lists joined."""
-    p = papers(spark, sf).where("id % 10 = 0")
+    p = papers(spark, sf)
     return p.select("id", F.coalesce(F.nullif("segment", F.lit("")), "priority").alias("venue"), F.concat(F.coalesce("status", F.lit("")), F.lit("; "), F.coalesce("priority", F.lit(""))).alias("tags"), F.round("total", 2).alias("shown"))
 
 
@@ -122,10 +122,10 @@ def c05(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000) & (p.startswith("1") | p.isin("2-HIGH", "5-LOW"))).alias("eligible"))
 
 
-@query("c06_flat_records", "select o_orderkey as id, count(l_linenumber) as n_authors, coalesce(array_to_string(list_slice(list_sort(list(distinct l_suppkey) filter (l_suppkey is not null)), 1, 3), ';'), '') as authors, count(distinct l_suppkey) > 3 as truncated from orders left join lineitem on l_orderkey = o_orderkey where o_orderkey % 7 = 0 group by 1")
+@query("c06_flat_records", "select o_orderkey as id, count(l_linenumber) as n_authors, coalesce(array_to_string(list_slice(list_sort(list(distinct l_suppkey) filter (l_suppkey is not null)), 1, 3), ';'), '') as authors, count(distinct l_suppkey) > 3 as truncated from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def c06(spark, sf):
     """Nested authorships flattened, capped, and marked when cut."""
-    o = load(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"))
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     l = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_suppkey")  # noqa: E741
     own = F.array_sort(F.collect_set("l_suppkey"))
     return o.join(l, "id", "left").groupBy("id").agg(F.count("l_linenumber").alias("n_authors"), F.array_join(F.transform(F.slice(own, 1, 3), lambda x: x.cast("string")), ";").alias("authors"), (F.size(own) > 3).alias("truncated"))
@@ -177,12 +177,12 @@ def c19(spark, sf):
     return g.select("l_orderkey", F.coalesce("a.l_suppkey", "b.l_suppkey").alias("source"), F.when(F.col("a").isNotNull(), "location").otherwise("repository").alias("basis"))
 
 
-@query("c20_records_of_three_bases", "select 'p' || p_partkey as id, p_name as title, p_size as year, 'authority' as basis from part where p_size < 5 union all select 's' || s_suppkey, s_name, null, 'registry' from supplier union all select 'd' || doc_id, left(text, 20), null, 'document' from documents where doc_id % 9 = 0")
+@query("c20_records_of_three_bases", "select 'p' || p_partkey as id, p_name as title, p_size as year, 'authority' as basis from part union all select 's' || s_suppkey, s_name, null, 'registry' from supplier union all select 'd' || doc_id, left(text, 20), null, 'document' from documents")
 def c20(spark, sf):
-    p = load(spark, sf, "part").where("p_size < 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.lit("authority").alias("basis"))
+    p = load(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.lit("authority").alias("basis"))
     none = F.lit(None).cast("int").alias("year")
     s = load(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), none, F.lit("registry").alias("basis"))
-    d = load(spark, sf, "documents").where("doc_id % 9 = 0").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.left("text", F.lit(20)).alias("title"), none, F.lit("document").alias("basis"))
+    d = load(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.left("text", F.lit(20)).alias("title"), none, F.lit("document").alias("basis"))
     return p.unionByName(s).unionByName(d)
 
 
@@ -193,10 +193,10 @@ def c21(spark, sf):
     return c.join(packet, "cited", "left").select("answer", "cited", F.col("in").isNotNull().alias("verified"))
 
 
-@query("c22_exclusion_reasons", "select l_orderkey, l_linenumber, array_to_string(list_filter([case when l_returnflag = 'R' then 'returned' end, case when l_discount > 0.08 then 'discount' end, case when l_quantity < 3 then 'small' end], lambda x: x is not null), ',') as reasons from lineitem where l_orderkey % 5 = 0")
+@query("c22_exclusion_reasons", "select l_orderkey, l_linenumber, array_to_string(list_filter([case when l_returnflag = 'R' then 'returned' end, case when l_discount > 0.08 then 'discount' end, case when l_quantity < 3 then 'small' end], lambda x: x is not null), ',') as reasons from lineitem")
 def c22(spark, sf):
     why = F.array_compact(F.array(F.when(F.col("l_returnflag") == "R", "returned"), F.when(F.col("l_discount") > 0.08, "discount"), F.when(F.col("l_quantity") < 3, "small")))
-    return load(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", F.array_join(why, ",").alias("reasons"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(why, ",").alias("reasons"))
 
 
 @query("d08_upsert_merge", "with s as (select s_suppkey as k, s_name as name, s_acctbal as bal, 'raw' || s_suppkey as raw from supplier where s_suppkey % 3 > 0), d as (select s_suppkey as k, case when s_suppkey % 4 > 0 then lower(s_name) end as name, null::double as bal, 'rawer' || s_suppkey as raw from supplier where s_suppkey % 5 > 0) select coalesce(d.k, s.k) as k, coalesce(d.name, s.name) as name, coalesce(d.bal, s.bal) as bal, case when length(coalesce(s.raw, '')) > length(coalesce(d.raw, '')) then s.raw else coalesce(d.raw, s.raw) end as raw from d full join s on d.k = s.k")
@@ -329,9 +329,14 @@ def i14(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", T.one_line("text", 40).alias("line"))
 
 
-@query("i15_provenance", r"select p_brand, regexp_extract(p_brand, '^([A-Za-z]+)', 1) as family, regexp_extract(p_brand, '([0-9]+)$', 1) as version, count(*) as n from part group by all")
+MODEL_ID = "'eu.maker.' || case p_partkey % 4 when 0 then 'brand-' || lower(p_type) || '-' || p_size || '-' || (p_partkey % 9) || '-2025' when 1 then 'brand-' || lower(p_type) || '-' || p_size || ':0' when 2 then 'other-' || lower(p_type) || '-3' else p_brand end"
+
+
+@query("i15_provenance", rf"with m as (select p_partkey, {MODEL_ID} as id from part) select p_partkey, case when regexp_matches(id, 'brand-[a-z]+-[0-9]+') then regexp_extract(id, 'brand-([a-z]+)-[0-9]+', 1) else id end as family, regexp_extract(id, 'brand-[a-z]+-([0-9]+)', 1) || case when regexp_matches(id, 'brand-[a-z]+-[0-9]+-[0-9]+') then '.' || regexp_extract(id, 'brand-[a-z]+-[0-9]+-([0-9]+)', 1) else '' end as version from m")
 def i15(spark, sf):
-    return load(spark, sf, "part").groupBy("p_brand", F.regexp_extract("p_brand", "^([A-Za-z]+)", 1).alias("family"), F.regexp_extract("p_brand", "([0-9]+)$", 1).alias("version")).agg(F.count(F.lit(1)).alias("n"))
+    """Family and version of model ids of one maker; other ids are their own family without a version."""
+    m = T.model_family(F.expr(MODEL_ID), "brand")
+    return load(spark, sf, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.family", "m.version")
 
 
 @query("i01_folded_words", f"select doc_id, len({T.SQL_TOKENS.format('text')}) as words, md5(regexp_replace({T.SQL_FOLD.format('text')}, '[^a-z0-9]+', '', 'g')) as squashed from documents")

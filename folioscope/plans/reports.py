@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import packing
 from folioscope.plans.registry import query
 from folioscope.sources.tables import SQL_JOBS, jobs, load
 
@@ -137,9 +138,9 @@ def e25(spark, sf):
     return jobs(spark, sf).groupBy("member_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.count_if(k == "error").alias("fallback"), F.count_if(k == "click").alias("declined"), F.sum(F.when(k == "error", F.col("tokens")).otherwise(0)).alias("fallback_tokens"))
 
 
-@query("e26_capped_per_tag", "with t as (select p_partkey, p_retailprice, unnest(string_split(p_name, ' ')) as tag from part where p_size > 3), r as (select *, row_number() over (partition by tag order by p_retailprice desc, p_partkey) as nth from t) select tag, p_partkey, nth from r where nth <= 20")
+@query("e26_capped_per_tag", "with t as (select p_partkey, p_retailprice, unnest(string_split(p_name, ' ')) as tag from part), r as (select *, row_number() over (partition by tag order by p_retailprice desc, p_partkey) as nth from t) select tag, p_partkey, nth from r where nth <= 20")
 def e26(spark, sf):
-    t = load(spark, sf, "part").where("p_size > 3").select("p_partkey", "p_retailprice", F.explode(F.split("p_name", " ")).alias("tag"))
+    t = load(spark, sf, "part").select("p_partkey", "p_retailprice", F.explode(F.split("p_name", " ")).alias("tag"))
     return t.withColumn("nth", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("nth <= 20").select("tag", "p_partkey", "nth")
 
 
@@ -156,10 +157,15 @@ def f06(spark, sf):
     return top.join(j.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind")
 
 
-@query("f13_smallest_first", "select row_number() over (order by n_chars, doc_id) as place, doc_id, n_chars from documents where source = 'src3' order by n_chars, doc_id limit 30")
+@query("f13_smallest_first", """with f as (select doc_id // 50 as stem, doc_id, n_chars, case when text is null or trim(text) = '' then 'no text' when n_chars > 6000 then 'too large' end as skipped, len(regexp_extract_all(coalesce(text, ''), 'the|der|les|los')) as hits from documents),
+r as (select *, coalesce(sum(hits) filter (skipped is null) over (partition by stem order by n_chars, doc_id rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (partition by stem order by n_chars, doc_id) as place from f)
+select stem, place, doc_id, case when skipped is not null then skipped when before >= 300 then 'not reached' else 'searched' end as state, case when skipped is null and before < 300 then least(hits, 300 - before) else 0 end::bigint as matches from r""")
 def f13(spark, sf):
-    d = load(spark, sf, "documents").where("source = 'src3'").select("doc_id", "n_chars").orderBy("n_chars", "doc_id").limit(30)
-    return d.select(F.row_number().over(Window.orderBy("n_chars", "doc_id")).alias("place"), "doc_id", "n_chars")
+    """The files of each stem, smallest first, until enough matches are found: what was searched, skipped or not reached."""
+    hits = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("the|der|les|los"), F.lit(0)))
+    skipped = F.when(F.col("text").isNull() | (F.trim("text") == ""), "no text").when(F.col("n_chars") > 6000, "too large")
+    f = load(spark, sf, "documents").select(F.expr("doc_id div 50").alias("stem"), "doc_id", "n_chars", skipped.alias("skipped"), hits.alias("hits"))
+    return packing.searched(f, 300).select("stem", "place", "doc_id", "state", "matches")
 
 
 @query("f16_detail_slice", "select doc_id, string_split(text, chr(10))[2] as line, len(string_split(text, chr(10))) as lines from documents where len(string_split(text, chr(10))) >= 2")
