@@ -80,10 +80,23 @@ def membership_change(before: DataFrame, after: DataFrame, by: str) -> DataFrame
     return both.groupBy(by).agg(was.alias("was"), F.count("h1").alias("now"), changed.alias("changed"), mode.alias("mode"))
 
 
-def member_digest(members: DataFrame, by: str) -> DataFrame:
-    """SHA-256 of a group's sorted member:hash lines."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("member").cast("string"), "hash"))), "\n")
-    return members.groupBy(by).agg(F.sha2(lines, 256).alias("digest"))
+def member_digest(members: DataFrame, by: str, buckets: int = 256) -> DataFrame:
+    """A digest of a group's member:hash lines that is the same whatever their order.
+
+    Two levels: the sorted lines of each bucket of members, then the buckets' digests in order, so that no task holds the lines of a large group.
+    """
+    line = F.concat_ws(":", F.col("member").cast("string"), "hash")
+    bucket = F.conv(F.substring(F.md5(F.col("member").cast("string")), 1, 4), 16, 10).cast("int") % buckets
+    parts = members.select(by, bucket.alias("bucket"), line.alias("line")).groupBy(by, "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: F.concat_ws(":", x["bucket"].cast("string"), x["part"])), "\n")
+    return parts.groupBy(by).agg(F.sha2(whole, 256).alias("digest"))
+
+
+def merged_records(records: DataFrame, key: str, links: list[str], sets: list[str]) -> DataFrame:
+    """One row for each group of ``record_groups``: its least key, how many records it has, and the sorted union of each array column."""
+    labelled = records.join(record_groups(records, key, links), key)
+    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]
+    return labelled.groupBy("root").agg(F.count(F.lit(1)).alias("records"), *union)
 
 
 def first_of_union(*parts: DataFrame, key: str) -> DataFrame:

@@ -62,10 +62,25 @@ def g02(spark, sf):
     return G.merge_closure(p.union(cycle))
 
 
-@query("g03_record_groups")
+RECORDS = "c_custkey as id, 'n' || (c_custkey * 7 % 900) as work, case when c_custkey % 4 > 0 then 'd' || (c_custkey * 11 % 1200) end as doi"
+SQL_GROUPS = f"rec as (select {RECORDS}, ['q' || (c_custkey % 13), 'q' || (c_custkey % 5)] as queries, [c_mktsegment] as scopes from customer), val as (select id, work as v from rec union select id, doi from rec where doi is not null), ed as (select distinct a.id as x, b.id as y from val a join val b using (v)), reach(id, other) as (select id, id from rec union select r.id, e.y from reach r join ed e on e.x = r.other), grp as (select id, min(other) as root from reach group by id)"
+
+
+def catalogue_records(spark, sf):
+    return load(spark, sf, "customer").selectExpr(*[x.strip() for x in ("c_custkey as id", "concat('n', c_custkey * 7 % 900) as work", "case when c_custkey % 4 > 0 then concat('d', c_custkey * 11 % 1200) end as doi", "array(concat('q', c_custkey % 13), concat('q', c_custkey % 5)) as queries", "array(c_mktsegment) as scopes")])
+
+
+@query("g03_record_groups", f"with recursive {SQL_GROUPS} select id, root from grp")
 def g03(spark, sf):
-    c = load(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_custkey") * 7 % 900).alias("work"), F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("d"), F.col("c_custkey") * 11 % 1200)).alias("doi"))
-    return G.record_groups(c, "c_custkey", ["work", "doi"])
+    """Records joined over either of two keys, however indirectly."""
+    return G.record_groups(catalogue_records(spark, sf), "id", ["work", "doi"])
+
+
+@query("g03_merged_records", f"with recursive {SQL_GROUPS}, q as (select distinct root, unnest(queries) as q from grp join rec using (id)), s as (select distinct root, unnest(scopes) as s from grp join rec using (id)), n as (select root, count(*) as records from grp group by 1) select n.root, records, (select string_agg(q, ',' order by q) from q where q.root = n.root) as queries, (select string_agg(s, ',' order by s) from s where s.root = n.root) as scopes from n")
+def g03_merged(spark, sf):
+    """Each group as one record, with the queries and scopes of all of its records."""
+    m = G.merged_records(catalogue_records(spark, sf), "id", ["work", "doi"], ["queries", "scopes"])
+    return m.select("root", "records", F.array_join("queries", ",").alias("queries"), F.array_join("scopes", ",").alias("scopes"))
 
 
 SNAP = "b as (select source as grp, doc_id as member, md5(coalesce(text, '')) as hash from documents where doc_id % 11 <> 0), a as (select source as grp, doc_id as member, case when doc_id % 50 = 1 then 'new' else md5(coalesce(text, '')) end as hash from documents where doc_id % 13 <> 0 or source in ('src1', 'src2'))"
@@ -83,7 +98,7 @@ def g01(spark, sf):
     return G.membership_change(*snapshots(spark, sf), "grp")
 
 
-@query("g01_member_digest", f"with {SNAP} select grp, sha256(string_agg(member || ':' || hash, chr(10) order by member || ':' || hash)) as digest from a group by grp")
+@query("g01_member_digest", f"with {SNAP}, l as (select grp, ('0x' || left(md5(member::varchar), 4))::int % 256 as bucket, member || ':' || hash as line from a), p as (select grp, bucket, sha256(string_agg(line, chr(10) order by line)) as part from l group by all) select grp, sha256(string_agg(bucket || ':' || part, chr(10) order by bucket)) as digest from p group by grp")
 def g01b(spark, sf):
     return G.member_digest(snapshots(spark, sf)[1], "grp")
 
@@ -126,19 +141,46 @@ def d13(spark, sf):
     return G.nearest_caption(i, c, F.when(F.col("cy1") < F.col("y0"), 80.0).otherwise(0.0))
 
 
-@query("b05_browse_pages", f"with {SQL_CITES}, {SQL_NOTES}, n as (select category, title, doc_id, '- ' || doc_id || ' ' || title || case when doc_id in (select target from cites where source % 2 = 1) then '' else ' (orphan)' end as line from notes) select category, count(*) as notes, md5(string_agg(line, chr(10) order by title, doc_id)) as page from n group by category")
+SUMMARY = "trim(substr(replace(text, chr(10), ' '), 1, 260))"
+CATALOGUED = f"'- [[sources/s' || doc_id || '|' || title || ']] (' || (1990 + doc_id % 30) || ', ' || journal || ')' || case when doc_id % 4 = 0 then '' else ' 10.5555/d' || doc_id end || ': ' || {SUMMARY}"
+
+
+@query("b05_browse_pages", f"with {SQL_CITES}, {SQL_NOTES}, n as (select category, title, doc_id, {CATALOGUED} || case when doc_id in (select target from cites where source % 2 = 1) then '' else ' (orphan)' end as line from notes where text is not null), c as (select category, count(*) as notes, md5(string_agg(line, chr(10) order by title, doc_id)) as page from n group by category), r as (select '' as category, count(*) as notes, md5(string_agg('| ' || category || ' | ' || notes || ' |', chr(10) order by notes desc, category)) as page from c) select * from c union all select * from r")
 def b05(spark, sf):
-    """A page for each category, one line for each note; the lines of a page are one row, as the page is one file."""
+    """A page for each category, one line for each note, and the table of all categories, largest first; a page is one file, so its lines are one row."""
     cited = cites(spark, sf).where("source % 2 = 1").select(F.col("target").alias("doc_id"), F.lit(1).alias("c")).distinct()
-    n = notes(spark, sf).join(cited, "doc_id", "left").select("category", "title", "doc_id", F.concat(F.lit("- "), "doc_id", F.lit(" "), "title", F.when(F.col("c").isNull(), " (orphan)").otherwise("")).alias("line"))
-    return n.groupBy("category").agg(F.count(F.lit(1)).alias("notes"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "doc_id", "line"))), lambda x: x["line"]), "\n")).alias("page"))
+    n = notes(spark, sf).where("text is not null").join(cited, "doc_id", "left").select("category", "title", "doc_id", F.concat(F.expr(CATALOGUED), F.when(F.col("c").isNull(), " (orphan)").otherwise("")).alias("line"))
+    listed = lambda order: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n").cast("binary")).alias("page")
+    c = n.groupBy("category").agg(F.count(F.lit(1)).alias("notes"), listed(F.struct("title", "doc_id", "line")))
+    row = F.concat(F.lit("| "), "category", F.lit(" | "), "notes", F.lit(" |")).alias("line")
+    root = c.agg(F.count(F.lit(1)).alias("n"), listed(F.struct((-F.col("notes")).alias("size"), "category", row))).select(F.lit("").alias("category"), F.col("n").alias("notes"), "page")
+    return c.unionByName(root)
+
+
+STANDING = "Questions about this page"
 
 
-@query("b09_question_hubs", f"with {SQL_CITES}, h as (select target, source, date '2024-01-01' + (source % 30)::int as day from cites) select target, count(*) as questions, string_agg(source::varchar, ',' order by day desc, source desc) as listing from h group by target")
+@query("b09_question_hubs", f"with {SQL_CITES}, h as (select target, source, date '2024-01-01' + (source % 30)::int as day from cites), g as (select target, count(*) as questions, '# Questions' || chr(10) || string_agg('- ' || day || ' [[questions/q' || source || ']]', chr(10) order by day desc, source desc) as hub from h group by target) select target, questions, md5(hub) as hub, length(case when text like '%## {STANDING}%' then text else rtrim(text) || chr(10) || chr(10) || '## {STANDING}' || chr(10) || '[[hubs/h' || target || ']]' || chr(10) end) as page_chars from g left join documents on doc_id = target")
 def b09(spark, sf):
-    """For each cited page its questions, newest first."""
+    """For each cited page a hub of its questions, newest first, and the page with a standing link to it, added once."""
     h = cites(spark, sf).select("target", "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("source") % 30).cast("int")).alias("day"))
-    return h.groupBy("target").agg(F.count(F.lit(1)).alias("questions"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "source")), asc=False), lambda x: x["source"].cast("string")), ",").alias("listing"))
+    line = F.concat(F.lit("- "), F.col("day").cast("string"), F.lit(" [[questions/q"), "source", F.lit("]]")).alias("line")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("day", "source", line)), asc=False), lambda x: x["line"])
+    g = h.groupBy("target").agg(F.count(F.lit(1)).alias("questions"), F.md5(F.concat(F.lit("# Questions\n"), F.array_join(lines, "\n")).cast("binary")).alias("hub"))
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("target"), "text")
+    linked = F.when(F.contains("text", F.lit(f"## {STANDING}")), F.col("text")).otherwise(F.concat(F.rtrim("text"), F.lit(f"\n\n## {STANDING}\n[[hubs/h"), "target", F.lit("]]\n")))
+    return g.join(d, "target", "left").select("target", "questions", "hub", F.length(linked).alias("page_chars"))
+
+
+@query("b09_answer_pages", "with q as (select conv_id, string_agg(text, chr(10) order by turn) filter (role = 'user') as question, string_agg(text, chr(10) order by turn) filter (role = 'assistant') as answer, max(turn) as last from conversations group by 1), l as (select conv_id, string_agg('- [[sources/s' || k || ']]', chr(10) order by k) as cited from (select conv_id, unnest(range(conv_id, conv_id + conv_id % 4)) as k from q) group by 1) select conv_id, md5('---' || chr(10) || 'question: q' || conv_id || chr(10) || 'period: 2024-' || lpad((1 + conv_id % 12)::varchar, 2, '0') || chr(10) || '---' || chr(10) || '## Question' || chr(10) || coalesce(question, '') || chr(10) || '## Answer' || chr(10) || coalesce(answer, '(none)') || chr(10) || '## Cited' || chr(10) || coalesce(cited, '')) as page from q left join l using (conv_id)")
+def b09_answers(spark, sf):
+    """A page for each answered question: header, question, answer, and what it cites."""
+    of = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    q = load(spark, sf, "conversations").groupBy("conv_id").agg(of("user").alias("question"), of("assistant").alias("answer"), F.count_if(F.col("role") == "assistant").alias("answers"))
+    n = (F.col("conv_id") % 4).cast("int")
+    cited = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.lit("- [[sources/s"), F.col("conv_id") + i, F.lit("]]"))), "\n")).otherwise("")
+    page = F.concat(F.lit("---\nquestion: q"), "conv_id", F.lit("\nperiod: 2024-"), F.lpad((1 + F.col("conv_id") % 12).cast("string"), 2, "0"), F.lit("\n---\n## Question\n"), "question", F.lit("\n## Answer\n"), F.when(F.col("answers") > 0, F.col("answer")).otherwise("(none)"), F.lit("\n## Cited\n"), cited)
+    return q.select("conv_id", F.md5(page.cast("binary")).alias("page"))
 
 
 @query("b11_block_merge", "with o as (select user_id as page, event_type as entry, min(event_id) as v from events where ts < timestamp '2024-01-15' group by all), n as (select user_id as page, event_type as entry, max(event_id) as v from events where ts >= timestamp '2024-01-20' group by all), m as (select coalesce(o.page, n.page) as page, coalesce(o.entry, n.entry) as entry, coalesce(n.v, o.v) as v from o full join n on o.page = n.page and o.entry = n.entry) select page, string_agg(entry || '=' || v, ';' order by entry) as block from m group by page")

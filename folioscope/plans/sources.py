@@ -18,15 +18,20 @@ from folioscope.sources import readers, sinks
 from folioscope.sources.tables import SQL_NOTES, load, notes
 from folioscope.streaming import jobs as stream
 
-PAGE = "'---' || chr(10) || 'title: \"' || left(text, 10) || '\"' || chr(10) || 'category: ' || lang || chr(10) || ' more: x' || chr(10) || 'year: ' || (1990 + doc_id % 30) || chr(10) || '---' || chr(10) || '# T' || chr(10) || substr(text, 1, 200)"
+#: A page with a header that any text can stand in: its first characters without quotes and breaks are the title.
+TITLE = "translate(left(text, 10), '\"' || chr(10), '  ')"
+PAGE = f"'---' || chr(10) || 'title: \"' || {TITLE} || '\"' || chr(10) || 'category: ' || lang || chr(10) || ' more: x' || chr(10) || case when doc_id % 3 = 0 then 'no field' || chr(10) else '' end || 'year: ' || (1990 + doc_id % 30) || chr(10) || '---' || chr(10) || '# T' || chr(10) || text"
+DIALECTS = {"quoted": {}, "json": {"values": "json"}, "raw": {"values": "raw"}, "known": {"known": ["category", "year"]}, "strict": {"strict": True}}
 
 
-@query("a05_frontmatter", f"with p as (select doc_id, replace(left(text, 10), chr(10), ' ') as head, lang, 1990 + doc_id % 30 as year, left(text, 200) as body from documents where left(text, 10) not like '%' || chr(10) || '%' and left(text, 10) not like '%\"%') select doc_id, trim(head) as title, lang as category, year::varchar as year, length('# T' || chr(10) || body) as body_chars from p")
+@query("a05_frontmatter", f"with p as (select doc_id, {TITLE} as head, lang, (1990 + doc_id % 30)::varchar as year, length('# T' || chr(10) || text) as body_chars, unnest(['quoted', 'json', 'raw', 'known', 'strict']) as dialect from documents where text is not null) select doc_id, dialect, case dialect when 'raw' then '\"' || head || '\"' when 'known' then null when 'strict' then case when doc_id % 3 > 0 then head end else head end as title, case when dialect <> 'strict' or doc_id % 3 > 0 then lang end as category, case when dialect <> 'strict' or doc_id % 3 > 0 then year end as year, body_chars from p")
 def a05(spark, sf):
-    d = load(spark, sf, "documents").where(r"not left(text, 10) rlike '[\n\"]'").select("doc_id", F.expr(PAGE).alias("page"))
-    fields, body = readers.frontmatter("page")
-    d = d.select("doc_id", fields.alias("f"), F.length(body).alias("body_chars"))
-    return d.select("doc_id", F.trim(F.col("f")["title"]).alias("title"), F.col("f")["category"].alias("category"), F.col("f")["year"].alias("year"), "body_chars")
+    """Headers of pages in five dialects."""
+    d = load(spark, sf, "documents").where("text is not null").select("doc_id", F.expr(PAGE).alias("page"))
+    read = [(k, *readers.frontmatter("page", **a)) for k, a in DIALECTS.items()]
+    each = F.array(*[F.struct(F.lit(k).alias("dialect"), f.alias("f"), F.length(body).alias("body_chars")) for k, f, body in read])
+    d = d.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
+    return d.select("doc_id", "dialect", F.try_element_at("f", F.lit("title")).alias("title"), F.try_element_at("f", F.lit("category")).alias("category"), F.try_element_at("f", F.lit("year")).alias("year"), "body_chars")
 
 
 @query("a04_listing", "select '/' || lang || '/' || source || '/' || doc_id || '.md' as key from documents where doc_id % 11 <> 0 and source <> 'src4' and n_chars >= 50")
@@ -36,10 +41,12 @@ def a04(spark, sf):
     return d.where(~F.col("key").rlike("/drafts/|/src4/") & (F.col("n_chars") >= 50)).select("key")
 
 
-@query("a06_json_slices", "select event_id, (props::json->>'$.k')::int as k, substr(props, 2, 4) as part from events where event_id < 3000")
+@query("a06_json_slices", "select event_id, (props::json->>'$.k')::int as k, substr('{' || chr(10) || '  \"event\": ' || event_id || ',' || chr(10) || '  \"k\": ' || (props::json->>'$.k') || chr(10) || '}', 3, 12) as part, coalesce(props::json->>'$.missing', 'none') as missing from events")
 def a06(spark, sf):
-    e = load(spark, sf, "events").where("event_id < 3000").select("event_id", F.from_json("props", "k int").alias("p"), "props")
-    return e.select("event_id", "p.k", F.substring("props", 2, 4).alias("part"))
+    """A value of an object, a default for one that isn't there, and a window of the object's text laid out in lines."""
+    e = load(spark, sf, "events").select("event_id", F.from_json("props", "k int, missing string").alias("p"))
+    laid = F.concat(F.lit('{\n  "event": '), "event_id", F.lit(',\n  "k": '), "p.k", F.lit("\n}"))
+    return e.select("event_id", "p.k", F.substring(laid, 3, 12).alias("part"), F.coalesce("p.missing", F.lit("none")).alias("missing"))
 
 
 @query("a07_ledger_lines", "select event_type as step, count(*) as lines, sum(case when event_id % 4 = 0 then 0 else (props::json->>'$.k')::int end)::bigint as tokens from events group by 1")
@@ -87,10 +94,10 @@ def a22(spark, sf):
     return load(spark, sf, "documents").select("doc_id", k.alias("k")).select("doc_id", F.when(F.col("k").rlike(one), F.concat(F.regexp_extract("k", one, 1), F.lit("/assets.md"))).when(F.col("k").rlike(two), F.concat(F.regexp_extract("k", two, 1), F.lit(".assets.md"))).alias("assets"))
 
 
-@query("a23_kept_files", "select l_orderkey as stem, l_linenumber || '-' || l_partkey as file, l_shipdate < timestamp '1997-01-01' as readable from lineitem where l_returnflag <> 'R' and l_orderkey % 6 = 0")
+@query("a23_kept_files", "select l_orderkey as stem, l_linenumber || '-' || l_partkey as file, l_shipdate < timestamp '1997-01-01' as readable from lineitem where l_returnflag <> 'R'")
 def a23(spark, sf):
     """Files a manifest kept, exploded, each with whether it can be read."""
-    m = load(spark, sf, "lineitem").where("l_orderkey % 6 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_shipdate")).alias("files"))
+    m = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_shipdate")).alias("files"))
     return m.select(F.col("l_orderkey").alias("stem"), F.explode("files").alias("f")).where("f.l_returnflag <> 'R'").select("stem", F.concat_ws("-", "f.l_linenumber", "f.l_partkey").alias("file"), F.expr("f.l_shipdate < timestamp_ntz '1997-01-01'").alias("readable"))
 
 
@@ -128,38 +135,66 @@ def b13(spark, sf):
     return d.select("doc_id", had.alias("had"), F.length(F.when(had, F.col("text")).otherwise(sinks.with_section(once, "Licensed under", "x"))).alias("chars"))
 
 
-@query("f04_budget_allocation")
+SIZED = "(l_quantity * 40)::bigint"
+SQL_PARTS = f"l as (select l_orderkey // 100 as question, l_orderkey as doc_id, l_linenumber::int as ord, {SIZED} as size, dense_rank() over (partition by l_orderkey // 100 order by l_orderkey) as rank from lineitem), o as (select *, row_number() over (partition by question order by rank, ord, size) as n, row_number() over (partition by question, rank order by ord, size) = 1 as fresh from l)"
+
+
+@query("f04_budget_allocation", f"""with recursive {SQL_PARTS},
+r as (select question, 0::bigint as n, 24000::bigint as room, 9 as slots, 0::bigint as used, 0::bigint as share, null::bigint as doc_id, null::int as ord, 0::bigint as granted, null::varchar as reason from (select distinct question from o)
+ union all select question, n, room - granted, slots, used + granted, share, doc_id, ord, granted, case when granted > 0 or ok then null when slots <= 0 then 'no slot' when size > room then 'over budget' else 'over share' end from (
+  select *, case when ok then size else 0 end as granted from (select *, slots > 0 and size <= case when fresh then room else least(room, share - used) end as ok from (
+   select o.question, o.n, o.doc_id, o.ord, o.size, o.fresh, r.room, r.slots - o.fresh::int as slots, case when o.fresh then 0 else r.used end as used, case when o.fresh then r.room // greatest(1, r.slots - 1) else r.share end as share from r join o on o.question = r.question and o.n = r.n + 1))))
+select question, doc_id, ord, granted, reason from r where n > 0""")
 def f04(spark, sf):
     """A byte budget over the documents of each question, in the order of their rank."""
-    l = load(spark, sf, "lineitem")  # noqa: E741
-    parts = l.select((F.col("l_orderkey") % 200).alias("question"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.dense_rank().over(Window.partitionBy((F.col("l_orderkey") % 200)).orderBy("l_orderkey")).alias("rank"), (F.col("l_quantity") * 40).cast("long").alias("size"))
-    return packing.allocate(parts, 24_000, 8)
+    l = load(spark, sf, "lineitem").selectExpr("l_orderkey div 100 as question", "l_orderkey as doc_id", "l_linenumber as ord", "cast(l_quantity * 40 as bigint) as size")  # noqa: E741
+    return packing.allocate(l.withColumn("rank", F.dense_rank().over(Window.partitionBy("question").orderBy("doc_id"))), 24_000, 8)
+
+
+SQL_BATCHED = """i as (select source || '/' || (doc_id // 200) as grp, doc_id as item, n_chars as size, row_number() over (partition by source, doc_id // 200 order by doc_id, n_chars) as n from documents),
+r as (select grp, 0::bigint as n, 0 as batch, 500::bigint as used, 0 as held, null::bigint as item, 0 as placed, 0::bigint as taken from (select distinct grp from i)
+ union all select i.grp, i.n, case when size > 6000 then batch + (held > 0)::int + 1 when held > 0 and used + size > 6000 then batch + 1 else batch end, case when size > 6000 then 500 when held > 0 and used + size > 6000 then 500 + size else used + size end, case when size > 6000 then 0 when held > 0 and used + size > 6000 then 1 else held + 1 end,
+  i.item, case when size > 6000 then batch + (held > 0)::int when held > 0 and used + size > 6000 then batch + 1 else batch end, least(size, 6000) from r join i on i.grp = r.grp and i.n = r.n + 1),
+b as (select grp, item, placed as batch, taken from r where n > 0)"""
+
 
+def batched(spark, sf):
+    d = load(spark, sf, "documents").select(F.concat_ws("/", "source", F.expr("doc_id div 200")).alias("grp"), F.col("doc_id").alias("item"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
+    return packing.batches(d, 6000, 500)
 
-@query("f10_batches")
+
+@query("f10_batches", f"with recursive {SQL_BATCHED} select * from b")
 def f10(spark, sf):
-    d = load(spark, sf, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("item"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
-    return packing.batches(d, 12_000)
+    """The notes of each page in batches that fit a call with its header."""
+    return batched(spark, sf)
+
 
+@query("f10_merge_tree", f"with recursive {SQL_BATCHED}, n as (select grp, max(batch) + 1 as size from b group by 1), v as (select grp, 0 as level, size, null::int as below from n union all select grp, level + 1, ceil(size / 4.0)::int, size from v where size > 1) select grp, level, node, case when level > 0 then node * 4 else node end as first, case when level > 0 then least(node * 4 + 4, below) - 1 else node end as last from (select *, unnest(range(size))::int as node from v)")
+def f10_tree(spark, sf):
+    """Which partials each page is merged from, four at a time, until one is left."""
+    return packing.merge_tree(batched(spark, sf), 4)
 
-@query("f15_trimmed_payloads")
+
+@query("f15_trimmed_payloads", """with p as (select conv_id as grp, case role when 'system' then 'base' when 'user' then 'passage' else 'excerpt' end as kind, turn as pos, length(text)::bigint as size from conversations), e as (select *, sum(size) over (partition by grp order by pos) as upto from p where kind = 'excerpt'),
+s as (select grp, coalesce(sum(size) filter (kind = 'base'), 0) as base, coalesce(sum(size), 0) as total, count(*) filter (kind = 'passage') as n_p, count(*) filter (kind = 'excerpt') as n_e from p group by 1),
+k as (select s.*, (select count(*) from e where e.grp = s.grp and s.base + e.upto <= 900) as fit, (select max(upto) from e where e.grp = s.grp and s.base + e.upto <= 900) as used from s)
+select grp, case when total <= 900 then n_p + n_e when base <= 900 then fit end as kept, case when total <= 900 then 0 when base <= 900 then n_p + n_e - fit else n_p + n_e end as dropped, case when total <= 900 then total when base <= 900 then base + coalesce(used, 0) end::bigint as bytes from k""")
 def f15(spark, sf):
     c = load(spark, sf, "conversations")
     kind = F.when(F.col("role") == "system", "base").when(F.col("role") == "user", "passage").otherwise("excerpt")
-    return packing.trimmed(c.select(F.col("conv_id").alias("grp"), kind.alias("kind"), F.col("turn").alias("pos"), F.length("text").alias("size")), 600)
+    return packing.trimmed(c.select(F.col("conv_id").alias("grp"), kind.alias("kind"), F.col("turn").alias("pos"), F.length("text").cast("long").alias("size")), 900)
 
 
-@query("f12_bounded_rows", "with r as (select lang, doc_id, sum(length(left(text, 100))) over (partition by lang order by doc_id rows unbounded preceding) as used from documents) select lang, count(*) filter (used <= 4000) as kept, count(*) filter (used > 4000) as dropped from r group by lang")
+@query("f12_bounded_rows", "with r as (select lang, doc_id, sum(length(left(coalesce(text, ''), 100))) over (partition by lang order by doc_id rows unbounded preceding) as used from documents) select lang, count(*) filter (used <= 4000) as kept, count(*) filter (used > 4000) as dropped from r group by lang")
 def f12(spark, sf):
     """Rows kept until the response is full: the running size is taken from bounded previews."""
-    from pyspark.sql import Window
-
-    # Counts need no running sum over the hot language: rows beyond the budget are known from the first ones.
-    d = load(spark, sf, "documents").select("lang", "doc_id", F.length(F.left("text", F.lit(100))).alias("n"))
-    top = d.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("nth <= 4001")
-    used = F.sum("n").over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    kept = top.withColumn("used", used).where("used <= 4000").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("all")).join(kept, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("all") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    # Empty previews take no room: the row that fills the response is among the first 4,001 that take some.
+    d = load(spark, sf, "documents").select("lang", "doc_id", F.length(F.left(F.coalesce("text", F.lit("")), F.lit(100))).alias("n"))
+    order = Window.partitionBy("lang").orderBy("doc_id")
+    top = d.where("n > 0").withColumn("nth", F.row_number().over(order)).where("nth <= 4001")
+    full = top.withColumn("used", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("used > 4000").groupBy("lang").agg(F.min("doc_id").alias("full"))
+    kept = F.count_if(F.col("full").isNull() | (F.col("doc_id") < F.col("full")))
+    return d.join(full.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").groupBy("lang").agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("dropped"))
 
 
 def _made(spark, sf, make):
@@ -220,19 +255,28 @@ def i10(spark, sf):
     return load(spark, sf, "events").select("event_id", F.try_variant_get(robust(t), "$.k", "int").alias("k"))
 
 
-@query("b02_create_only", "select 1 as attempt, true as created, 5::bigint as rows union all select 2, false, 5")
+@query("b02_create_only", "select 1 as attempt, true as created, (select count(*) from nation) as rows union all select 2, false, (select count(*) from nation)")
 def b02(spark, sf):
     """The second writer finds the first one's table."""
     path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
-    r = load(spark, sf, "region")
-    found = [(k, sinks.create_only(df, path), spark.read.parquet(path).count()) for k, df in ((1, r), (2, r.limit(1)))]
+    n = load(spark, sf, "nation")
+    found = [(k, sinks.create_only(df, path), spark.read.parquet(path).count()) for k, df in ((1, n), (2, n.limit(1)))]
     return spark.createDataFrame(found, "attempt int, created boolean, rows long")
 
 
-@query("b07_html_report", "select 25 as rows, true as safe")
+@query("b07_html_report", "select s_suppkey as key, s_name || ' </script><b>\"&' as name, '2024-01-01'::date + (s_suppkey % 50)::int as day, (select '2024-01-01'::date + min(s_suppkey % 50)::int from supplier) as first, (select '2024-01-01'::date + max(s_suppkey % 50)::int from supplier) as last, true as alone, true as refused from supplier")
 def b07(spark, sf):
-    page = sinks.html_report(load(spark, sf, "nation").withColumn("x", F.lit("</script>")), "Nations")
-    return spark.createDataFrame([(page.count("n_name"), page.count("</script>") == 1)], "rows int, safe boolean")
+    """The rows that a report holds, read back out of its page, with its dates; ``refused``: a report of more rows isn't made."""
+    rows = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.concat("s_name", F.lit(' </script><b>"&')).alias("name"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 50).cast("int")).alias("day"))
+    page = sinks.html_report(rows, "Suppliers", date="day")
+    try:
+        sinks.html_report(load(spark, sf, "supplier"), "Too many", most=5)
+        refused = False
+    except ValueError:
+        refused = True
+    first, last, data = sinks.report_parts(page)
+    read = spark.createDataFrame([(d,) for d in data], "row string").select(F.from_json("row", "key long, name string, day date").alias("r")).select("r.*")
+    return read.select("*", F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last"), F.lit(page.count("</script>") == 1).alias("alone"), F.lit(refused).alias("refused"))
 
 
 @query("j01_new_objects", "select event_id, event_type from events where event_id % 3 > 0")

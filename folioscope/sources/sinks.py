@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,16 +53,23 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{run}/{name}")
 
 
-def html_report(df: DataFrame, title: str, most: int = 10_000) -> str:
-    """A page with the rows as escaped JSON; refuses more rows than a page should hold."""
-    import html
-    import json
-
+def html_report(df: DataFrame, title: str, most: int = 10_000, date: str | None = None) -> str:
+    """A page with the rows as escaped JSON and the range of a date; refuses more rows than a page should hold."""
     rows = df.limit(most + 1).toJSON().collect()
     if len(rows) > most:
         raise ValueError(f"a report holds at most {most} rows")
-    data = json.dumps([json.loads(r) for r in rows]).replace("<", "\\u003c")
-    return f"<!doctype html><title>{html.escape(title)}</title><script type='application/json' id='rows'>{data}</script>"
+    read = [json.loads(r) for r in rows]
+    days = sorted(r[date] for r in read if r.get(date)) if date else []
+    data = json.dumps(read).replace("<", "\\u003c")
+    shown = f"{days[0]} to {days[-1]}" if days else ""
+    return f"<!doctype html><title>{html.escape(title)}</title><p id='range'>{shown}</p><script type='application/json' id='rows'>{data}</script>"
+
+
+def report_parts(page: str) -> tuple[str | None, str | None, list[str]]:
+    """First and last date of a report, and its rows as JSON."""
+    shown = re.search("id='range'>([^<]*)<", page)[1]
+    first, _, last = shown.partition(" to ")
+    return first or None, last or None, [json.dumps(r) for r in json.loads(re.search("id='rows'>(.*)</script>", page, re.S)[1])]
 
 
 def with_section(text: Column | str, heading: str, body: str) -> Column:
