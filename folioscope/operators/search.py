@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.lineage import cut
 
 #: Weights of title, heading and content, and the two constants of BM25.
 WEIGHTS, K1, B = (5, 2, 1), 1.2, 0.75
@@ -75,32 +76,35 @@ def outline(pages: DataFrame, key: str, body: str) -> DataFrame:
     return own.select(key, "ord", "heading", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("content")).cast("long").alias("end"), section_kind(F.col("heading"), F.col("content")).alias("kind"), "content")
 
 
-def indexed(secs: DataFrame) -> DataFrame:
-    """Sections with the tokens of each field and their number."""
-    t = secs.select("*", T.tokens("title").alias("t0"), T.tokens("heading").alias("t1"), T.tokens("content").alias("t2"))
-    return t.withColumn("len", F.size("t0") + F.size("t1") + F.size("t2"))
+def indexed(notes: DataFrame) -> DataFrame:
+    """doc_id, ord, len, t0, t1, t2: the sections of notes with the tokens of their title, heading and content, and how many they are.
+
+    Written once: searches read the columns they need of it and never split a text again.  A title is split once for its note.
+    """
+    lines = notes.select("doc_id", T.tokens("title").alias("t0"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    t = lines.where("trim(line) <> ''").select("doc_id", "ord", "t0", T.tokens(F.regexp_extract("line", "^[^ ]*", 0)).alias("t1"), T.tokens("line").alias("t2"))
+    return cut(t.select("doc_id", "ord", (F.size("t0") + F.size("t1") + F.size("t2")).alias("len"), "t0", "t1", "t2"))
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """doc_id, ord, term, tf (weighted over the fields)."""
+    """doc_id, ord, len, term, w: the weight of each token of each field."""
     field = lambda i, k: F.transform(f"t{i}", lambda w: F.struct(w.alias("term"), F.lit(k).alias("w")))
     weighed = F.concat(*[field(i, k) for i, k in enumerate(WEIGHTS)])
-    return index.select("doc_id", "ord", F.explode(weighed).alias("p")).select("doc_id", "ord", "p.term", "p.w")
+    return index.select("doc_id", "ord", "len", F.explode(weighed).alias("p")).select("doc_id", "ord", "len", "p.term", "p.w")
 
 
 def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, ord, score: every section that holds a term of a query.
 
-    Postings meet the queries' terms before they are aggregated, so what shuffles is what some query asks for;
-    the corpus totals are one row.
+    Postings meet the queries' terms before they are aggregated, so what shuffles is what some query asks for; the
+    length of a section travels with its postings, and the corpus totals are one row.
     """
     terms = queries.select("query_id", F.explode("terms").alias("term"))
     wanted = terms.select("term").distinct()
-    tf = postings(index).join(wanted, "term").groupBy("term", "doc_id", "ord").agg(F.sum("w").alias("tf"))
+    tf = postings(index).join(wanted, "term").groupBy("term", "doc_id", "ord", "len").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     totals = index.agg(F.struct(F.count(F.lit(1)).alias("total"), F.avg("len").alias("avglen")).alias("t")).scalar()
-    joined = tf.join(df, "term").join(terms, "term").join(index.select("doc_id", "ord", "len"), ["doc_id", "ord"])
-    hit = joined.select("query_id", "doc_id", "ord", "tf", "n", "len", totals["total"].alias("total"), totals["avglen"].alias("avglen"))
+    hit = tf.join(df, "term").join(terms, "term").select("query_id", "doc_id", "ord", "tf", "n", "len", totals["total"].alias("total"), totals["avglen"].alias("avglen"))
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(FLOOR)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
@@ -166,14 +170,19 @@ def select_sections(sections: DataFrame, key: str, most: int, everything: bool =
     return s.where(F.col("pick") <= most).select(key, "pick", "ord", "kind", "overlap")
 
 
-def merged_candidates(requested: DataFrame, hits: DataFrame) -> DataFrame:
-    """Requested documents in their order, then hits by their best score; each document once."""
-    best = hits.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
-    asked = requested.groupBy("doc_id").agg(F.min("pos").alias("pos")).select("doc_id", F.lit("requested").alias("source"), "pos", F.lit(None).cast("double").alias("score"))
-    found = best.join(asked, "doc_id", "left_anti").select("doc_id", F.lit("search").alias("source"), F.lit(None).cast("int").alias("pos"), "score")
-    both = asked.unionByName(found)
-    # A merged list is for one question: its size is the number of hits.
-    return both.withColumn("place", F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_last(), F.desc("score"), "doc_id")))
+def merged_candidates(requested: DataFrame, hits: DataFrame, most: int) -> DataFrame:
+    """query_id, doc_id, source, pos, score, place: requested documents (query_id, doc_id, pos) in their order, then the ``most`` best hits by score; each document once.
+
+    Only the best hits of a question are ordered with what it requested, so a list is as long as the two bounds, not as its hits.
+    """
+    best = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    asked = requested.groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos"))
+    found = best.join(asked, ["query_id", "doc_id"], "left_anti")
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("nth") <= most).drop("nth")
+    one = asked.select("query_id", "doc_id", F.lit("requested").alias("source"), "pos", F.lit(None).cast("double").alias("score"))
+    both = one.unionByName(found.select("query_id", "doc_id", F.lit("search").alias("source"), F.lit(None).cast("int").alias("pos"), "score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("pos").asc_nulls_last(), F.desc("score"), "doc_id")
+    return both.withColumn("place", F.row_number().over(order))
 
 
 #: What a folder of pages holds, by its name, and what a link names.
