@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of a table of a few numbers each that may be broadcast; larger ones are joined in a shuffle.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 500_000
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -59,6 +61,17 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def slices(values: pa.Array, rows: int, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of values with at most ``rows`` of them and, but for single ones, ``size`` bytes: what Python works on at once is bounded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield at, stop - at
+        at = stop
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -81,8 +94,8 @@ def beside(df: DataFrame, read: str, fields: list[pa.Field], start: Callable[[],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for at, n in slices(batch.columns[-1], rows):
+                part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.columns[-1])], names=[*slots, *added])
 
     source = df.select(*[quoted(c).alias(s) for c, s in zip(kept, slots)], quoted(read).alias("__read"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ROW, bounded_batches, carried, cut, discard, small
+from folioscope.llm.common import ROW, bounded_batches, carried, cut, discard, slices, small
 from folioscope.llm.wordhash import mixed, words
 
 BANDS, ROWS = 48, 6
@@ -126,8 +126,8 @@ def signed_sets(df: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a, n in slices(batch.column(3), 512):
+                part = batch.slice(a, n)
                 e, at = sets(part.column(3).to_pylist(), width)
                 keys = band_keys(sketches(e, at))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.num_rows + 1) * BANDS, BANDS), pa.int32()), _signed(keys.ravel()))
@@ -147,8 +147,8 @@ def full_sets(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, n in slices(batch.column(1), 256):
+                part = batch.slice(a, n)
                 e, at = sets(part.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(e))], names=["id", "elements"])
 

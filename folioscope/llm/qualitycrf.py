@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from folioscope.llm.common import beside
+from folioscope.llm.common import beside, slices
 from folioscope.llm.wordhash import words
 
 LOWER, UPPER, DIGIT, WHITE, SYMBOL, SHOUT, BAR, STOP, WIDE = range(9)
@@ -254,8 +254,8 @@ def score_column(text: str, model: Model, spark: SparkSession) -> Column:
     @arrow_udf(T.DoubleType())
     def scored(t: pa.Array) -> pa.Array:
         out: list[float] = []
-        for at in range(0, len(t), 128):
-            out += scores(sent.value, t.slice(at, 128).to_pylist())
+        for at, n in slices(t, 128):
+            out += scores(sent.value, t.slice(at, n).to_pylist())
         return pa.array(out, pa.float64())
 
     return scored(F.col(text))

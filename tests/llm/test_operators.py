@@ -174,6 +174,15 @@ def test_media_form_and_feature(spark, folder, rows):
     assert Counter((r.doc_id, hashlib.sha256(r.media).hexdigest()) for r in stored) == by_text(found, rows, "doc_id", "media_sha256")
 
 
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from folioscope.llm.common import slices
+
+    values = pa.array(["a" * n if n >= 0 else None for n in (5, 5, 5, 100, 0, -1, 3, 3, 3, 3, 3)])
+    assert list(slices(values, 3, 10)) == [(0, 2), (2, 1), (3, 1), (4, 3), (7, 3), (10, 1)] and list(slices(values[:0], 3)) == [] and list(slices(pa.array([b"xx", b"y"]), 9)) == [(0, 2)]
+
+
 def test_names_that_clash(spark):
     names = ["doc_id", "text", "ids", "ids_in", "n_tokens", "decoded", "decoded_sha256", "score", "lang_pred", "media", "__row", "lines", "__id", "__text", "__h", "c0", "__read", "n_bytes"]
     docs = spark.createDataFrame([tuple([1, "one two three"] + [f"v{i}" for i in range(len(names) - 2)])], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
