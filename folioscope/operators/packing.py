@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.lineage import cut
+
 
 def allocate(parts: DataFrame, budget: int, slots: int) -> DataFrame:
     """question, doc_id, ord, granted, reason: a shared budget over documents in rank order.
@@ -41,6 +43,22 @@ def allocate(parts: DataFrame, budget: int, slots: int) -> DataFrame:
     return slim.groupBy("question").applyInArrow(pack, "question long, doc_id long, ord int, granted long, reason string")
 
 
+def positions(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """``df`` with ``at``, each row's place (from 0) in its group by the order, which must be total.
+
+    Rows are dealt out by ranges of (group, order), each range counts its rows of a group, and the counts' prefix sums (a row for each group and range)
+    give every range its offset: a group of any size is spread over many tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once: the bounds of the ranges are sampled, so a second evaluation could cut elsewhere.
+    ranged = cut(df.repartitionByRange(parts, by, *order).withColumn("__part", F.spark_partition_id()))
+    n = ranged.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__by").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = n.select("__by", "__p", before.alias("__before"))
+    own = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order)) - 1)
+    return own.join(offsets, own[by].eqNullSafe(offsets["__by"]) & (own["__part"] == offsets["__p"])).select(*df.columns, (F.col("__before") + F.col("__nth")).alias("at"))
+
+
 def batches(items: DataFrame, budget: int, header: int = 0) -> DataFrame:
     """grp, item, batch, taken of (grp, item, pos, size): items in order, a new batch when the next would exceed the budget with the header; one larger than the budget is cut and alone."""
 

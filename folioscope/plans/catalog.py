@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import packing
 from folioscope.plans.registry import query
 from folioscope.sources.tables import load
 
@@ -289,8 +290,8 @@ def f07(spark, sf):
 
 @query("f11_stride_shards", "select c_custkey, (row_number() over (partition by c_nationkey order by c_custkey) - 1) % 4 as shard, (row_number() over (partition by c_nationkey order by c_custkey) - 1) // 10 as chunk from customer")
 def f11(spark, sf):
-    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    return load(spark, sf, "customer").select("c_custkey", (n % 4).alias("shard"), F.floor(n / 10).alias("chunk"))
+    placed = packing.positions(load(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey")
+    return placed.select("c_custkey", (F.col("at") % 4).alias("shard"), F.expr("at div 10").alias("chunk"))
 
 
 @query("i09_inverted_to_text", "with t as (select conv_id, turn, unnest(string_split(text, ' ')) as token, generate_subscripts(string_split(text, ' '), 1) as pos from conversations where role = 'user') select conv_id, turn, string_agg(token, ' ' order by pos, token) as text from t group by all")
