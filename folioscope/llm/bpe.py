@@ -7,9 +7,10 @@ around the border never meets a pair that would have been merged earlier.  Follo
 tokens back from the end gives the encoding; an append adds states at the end, and an edit
 recomputes states only until they agree with the old ones for as long as the longest token.
 
+The tokens that end at each byte come from an automaton over the vocabulary, so a piece costs a step for each of them.
+
 Defined results: null text encodes as the empty text (no tokens, no bytes); repeated rows repeat;
-pieces of any length are encoded whole (the shared prefix store is used for short pieces only, a
-private array for long ones); bytes that are in no token cannot occur, as every byte is a token; there are no ties, as
+pieces of any length are encoded whole (short ones are kept with their ids, long ones are not); bytes that are in no token cannot occur, as every byte is a token; there are no ties, as
 every prefix has one last token; an empty table gives an empty result; clashing names: see ``common.beside``.
 """
 
@@ -17,6 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
+from struct import pack
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -24,26 +29,31 @@ from pyspark.sql import DataFrame
 
 from folioscope.llm.common import beside, bounded_batches
 
-#: Pieces up to this many bytes share one store of prefixes; longer ones have an array of their own.
+#: Pieces up to this many bytes are kept with their ids.
 SHARED_BYTES = 48
-#: Entries of a worker's stores of pieces, prefixes and pairs (some 150 MB in all); a full store is emptied, which only costs time.
-PIECES, PREFIXES, PAIRS = 300_000, 400_000, 300_000
+#: Entries of a generation of a worker's pieces, of which two are kept, and of its pairs (some 140 MB in all); what is dropped is only found again.
+PIECES, PAIRS = 300_000, 400_000
 
 
 class _Pieces(dict):
-    """piece (str) -> its ids as little-endian 32-bit integers."""
+    """piece (str) -> its ids as little-endian 32-bit integers; pieces that a whole generation hasn't met go."""
 
     def __init__(self, encoder: "PrefixEncoder"):
         self.encoder = encoder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        b = piece.encode("utf-8")
-        ids = self.encoder.encode_piece(b)
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
+        out = self.before.get(piece)
+        if out is None:
+            b = piece.encode("utf-8")
+            ids = self.encoder.encode_piece(b)
+            out = pack(f"<{len(ids)}I", *ids)
+            if len(b) > SHARED_BYTES:
+                return out
         if len(self) >= PIECES:
+            self.before = dict(self)
             self.clear()
-        if len(b) <= SHARED_BYTES:
-            self[piece] = out
+        self[piece] = out
         return out
 
 
@@ -51,11 +61,15 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks))
+        self.length = {t: len(b) for b, t in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.suffixes = {t[i:] for t in ranks for i in range(len(t))}
+        # Finds the tokens that end at each byte; bytes are looked at as characters of Latin-1.
+        self.ends = ahocorasick.Automaton()
+        for b, t in ranks.items():
+            self.ends.add_word(b.decode("latin-1"), (t, len(b)))
+        self.ends.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.last: dict[bytes, int] = {}
+        self.pairs: dict[int, bool] = {}
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self)
 
@@ -78,11 +92,11 @@ class PrefixEncoder:
         return out
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether encoding the bytes of a and b together leaves these two tokens."""
-        key = (a, b)
+        """Whether encoding the bytes of a and b together leaves these two tokens; never for a token that no merges give."""
+        key = a << 32 | b
         if (known := self.pairs.get(key)) is not None:
             return known
-        bound, left, right, ok = 1 << 31, a, b, None
+        bound, left, right, ok = 1 << 31, a, b, None if self.half(b) is not None else False
         while ok is None:
             joined = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
             if joined is not None and joined < bound:
@@ -102,19 +116,40 @@ class PrefixEncoder:
         self.pairs[key] = ok
         return ok
 
-    def ending(self, b: bytes, end: int, before) -> int:
-        """The one token that ends the prefix b[:end]; before(k): the token that ends b[:k]."""
-        ranks, suffixes = self.ranks, self.suffixes
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            s = b[start:end]
-            if s not in suffixes:
+    def states(self, data: bytes, last: list[int], begin: int) -> Iterator[int]:
+        """Adds the one last token of each prefix of ``data`` longer than ``begin`` to ``last`` and gives the prefix's length.
+
+        ``last`` holds those of the prefixes up to ``begin`` (the first is the empty one's).
+        """
+        offset = max(0, begin - self.longest)
+        known = self.pairs.get
+        for end, (t, n) in self.ends.iter(data[offset:].decode("latin-1")):
+            end += offset + 1
+            if end < len(last):
+                continue  # found, or before the beginning
+            if end > len(last):
                 break
-            t = ranks.get(s)
-            if t is None or self.half(t) is None:
-                continue
-            if start == 0 or self.compatible(before(start), t):
-                return t
-        raise ValueError(f"no token ends {b[:end]!r}: the vocabulary isn't a byte-level BPE")
+            start = end - n
+            if start:
+                ok = known(last[start] << 32 | t)
+                if ok is None:
+                    ok = self.compatible(last[start], t)
+            else:
+                ok = self.half(t) is not None
+            if ok:
+                last.append(t)
+                yield end
+        if len(last) <= len(data):
+            raise ValueError(f"no token ends {data[: len(last)]!r}: the vocabulary isn't a byte-level BPE")
+
+    def followed(self, last: list[int]) -> list[int]:
+        """The ids that the stored tokens give, from the end back."""
+        out, end = [], len(last) - 1
+        while end:
+            t = last[end]
+            out.append(t)
+            end -= self.length[t]
+        return out[::-1]
 
     def encode_piece(self, b: bytes) -> list[int]:
         """Ids of one piece, as merging the pair of lowest rank again and again would give."""
@@ -122,24 +157,24 @@ class PrefixEncoder:
             return []
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        if len(b) > SHARED_BYTES:
-            return PrefixTable(self, b).ids()
-        last = self.last
-        if len(last) >= PREFIXES:
-            last.clear()
-        known = len(b)
-        while known and b[:known] not in last:
-            known -= 1
-        for end in range(known + 1, len(b) + 1):
-            p = b[:end]
-            if p not in last:
-                last[p] = self.ending(b, end, lambda k: last[b[:k]])
-        out, end = [], len(b)
-        while end:
-            t = last[b[:end]]
-            out.append(t)
-            end -= len(self.bytes_of[t])
-        return out[::-1]
+        # As ``states`` does from the empty prefix on, without handing each one out.
+        last, size, known, compatible = [-1], 1, self.pairs.get, self.compatible
+        for end, (t, n) in self.ends.iter(b.decode("latin-1")):
+            if end + 1 < size:
+                continue
+            start = end + 1 - n
+            if start:
+                ok = known(last[start] << 32 | t)
+                if ok is None:
+                    ok = compatible(last[start], t)
+            else:
+                ok = self.half(t) is not None
+            if ok:
+                last.append(t)
+                size += 1
+        if size <= len(b):
+            raise ValueError(f"no token ends {b[:size]!r}: the vocabulary isn't a byte-level BPE")
+        return self.followed(last)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -161,8 +196,8 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         start = len(self.data)
         self.data += more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self.encoder.ending(self.data, end, self.last.__getitem__))
+        for _ in self.encoder.states(self.data, self.last, start):
+            pass
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts ``new`` for the bytes from start to stop; returns how many states were found anew."""
@@ -170,22 +205,16 @@ class PrefixTable:
         self.data = self.data[:start] + new + self.data[stop:]
         self.last = old[: start + 1]
         same = done = 0
-        for end in range(start + 1, len(self.data) + 1):
+        for end in self.encoder.states(self.data, self.last, start):
+            done += 1
+            same = same + 1 if end > start + len(new) and old[end - shift] == self.last[end] else 0
             if same >= self.encoder.longest:
-                self.last.extend(old[end - shift :])
+                self.last.extend(old[end - shift + 1 :])
                 break
-            t = self.encoder.ending(self.data, end, self.last.__getitem__)
-            done += 1
-            same = same + 1 if end > start + len(new) and old[end - shift] == t else 0
-            self.last.append(t)
         return done
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end])
-            end -= len(self.encoder.bytes_of[out[-1]])
-        return out[::-1]
+        return self.encoder.followed(self.last)
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:

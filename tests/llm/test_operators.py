@@ -380,8 +380,9 @@ def test_bpe_appends_and_edits(ranks, monkeypatch):
 
     e = bpe.PrefixEncoder(ranks, P.PATTERN)
     rng = random.Random(2)
-    for store in (bpe.PREFIXES, 50):
-        monkeypatch.setattr(bpe, "PREFIXES", store)
+    for store in (bpe.PAIRS, 50):
+        monkeypatch.setattr(bpe, "PAIRS", store)
+        monkeypatch.setattr(bpe, "PIECES", store)
         for _ in range(60):
             b = bytes(rng.choice(b"theraniouxyz") for _ in range(rng.randint(1, 150)))
             table = bpe.PrefixTable(e, b[:40])
