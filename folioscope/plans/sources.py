@@ -136,7 +136,7 @@ def b13(spark, sf):
 
 
 SIZED = "(l_quantity * 40)::bigint"
-SQL_PARTS = f"l as (select l_orderkey // 100 as question, l_orderkey as doc_id, l_linenumber::int as ord, {SIZED} as size, dense_rank() over (partition by l_orderkey // 100 order by l_orderkey) as rank from lineitem), o as (select *, row_number() over (partition by question order by rank, ord, size) as n, row_number() over (partition by question, rank order by ord, size) = 1 as fresh from l)"
+SQL_PARTS = f"l as (select l_orderkey // 100 as question, l_orderkey as doc_id, l_linenumber::int as ord, {SIZED} as size, dense_rank() over (partition by l_orderkey // 100 order by l_orderkey) as rank from lineitem), m as (select *, row_number() over (partition by question order by rank, ord, size) as n from l), o as (select *, n = min(n) over (partition by question, rank) as fresh from m)"
 
 
 @query("f04_budget_allocation", f"""with recursive {SQL_PARTS},
