@@ -56,6 +56,23 @@ def squash(c: Column | str) -> Column:
     return F.regexp_replace(fold(c), "[^a-z0-9]+", "")
 
 
+#: Greek letters and the letters that catalogues write for them.
+WRITTEN = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "u", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f",
+    "χ": "x", "ψ": "ps", "ω": "w", "µ": "u",
+}
+
+
+def content(c: Column | str) -> Column:
+    """As ``squash``, with Greek letters as catalogues write them: what of a value is compared."""
+    one = {k: v for k, v in WRITTEN.items() if len(v) == 1}
+    low = F.translate(F.lower(col(c)), "".join(one), "".join(one.values()))
+    for letter, two in WRITTEN.items():
+        if letter not in one:
+            low = F.replace(low, F.lit(letter), F.lit(two))
+    return squash(low)
+
+
 def slug(c: Column | str, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 

@@ -261,9 +261,9 @@ def review_decisions(items: DataFrame) -> DataFrame:
     printed = F.when(candidate, "pdf_doi_candidate").otherwise("review_required")
     variant = lambda same: F.when(F.coalesce(same, F.lit(False)), "format_variant").otherwise("review_required")
     numbers = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
-    plain_title = lambda x: T.squash(reduce(lambda t, k: F.regexp_replace(t, rf"\b{numbers[k]}\b", str(k + 1)), range(10), F.lower(F.coalesce(F.col(x), F.lit("")))))
-    plain_author = lambda x: T.squash(F.regexp_replace(F.split(F.coalesce(F.col(x), F.lit("")), r",|;|\bet al\b", 2)[0], "[0-9*†‡]+", ""))
-    plain_journal = lambda x: T.squash(F.regexp_replace(F.coalesce(F.col(x), F.lit("")), r"(?i)^the\s+", ""))
+    plain_title = lambda x: T.content(reduce(lambda t, k: F.regexp_replace(t, rf"\b{numbers[k]}\b", str(k + 1)), range(10), F.lower(F.coalesce(F.col(x), F.lit("")))))
+    plain_author = lambda x: T.content(F.regexp_replace(F.split(F.coalesce(F.col(x), F.lit("")), r",|;|\bet al\b", 2)[0], "[0-9*†‡]+", ""))
+    plain_journal = lambda x: T.content(F.regexp_replace(F.coalesce(F.col(x), F.lit("")), r"(?i)^the\s+", ""))
     same_work = F.coalesce(~w["ambiguous"] & (T.doi(w["doi"]) == doi) & (w["id"] == F.col("work_id")), F.lit(False))
     work = lambda d: F.when(w.isNull(), "lookup_unavailable").when(~same_work, "identity_conflict").otherwise(d)
     refs = F.when((F.size(w["refs"]) > 0) & F.forall(w["refs"], lambda x: F.coalesce(x.rlike("^W[0-9]+$"), F.lit(False))), "supplement_available").otherwise("still_missing")

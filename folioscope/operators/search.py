@@ -93,6 +93,18 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("doc_id", "ord", "len", F.explode(weighed).alias("p")).select("doc_id", "ord", "len", "p.term", "p.w")
 
 
+def term_totals(index: DataFrame) -> DataFrame:
+    """term, sections (that hold it), weight (over all fields): the inverted index in numbers.
+
+    A section's different terms and all its tokens are summed as they are met, so what shuffles is a row for each term and task.
+    """
+    zero = F.lit(0)
+    held = F.transform(F.array_distinct(F.concat("t0", "t1", "t2")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("s"), zero.alias("w")))
+    field = lambda i, k: F.transform(f"t{i}", lambda t: F.struct(t.alias("term"), zero.alias("s"), F.lit(k).alias("w")))
+    each = index.select(F.explode(F.concat(held, *[field(i, k) for i, k in enumerate(WEIGHTS)])).alias("x"))
+    return each.groupBy("x.term").agg(F.sum("x.s").alias("sections"), F.sum("x.w").alias("weight"))
+
+
 def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, ord, score: every section that holds a term of a query.
 
@@ -244,7 +256,7 @@ def text_facts(docs: DataFrame, *more: str) -> DataFrame:
     d = d.select("doc_id", *more, "content", "found", F.array_distinct(F.array_compact("found")).alias("dois"))
     years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(r"\b(?:18|19|20)[0-9]{2}\b"), F.lit(0)), lambda y: y.cast("int"))))
     errors = F.array_compact(F.array(F.when(F.exists("found", lambda x: x.isNull()), "invalid_explicit_doi"), F.when(F.size("dois") > 20, "doi_candidate_limit_reached")))
-    return d.select("doc_id", *more, T.squash("content").alias("squashed"), F.slice("dois", 1, 20).alias("dois"), F.slice(years, 1, 20).alias("years"), F.substring("content", 1, 1500).alias("excerpt"), errors.alias("errors"))
+    return d.select("doc_id", *more, T.content("content").alias("squashed"), F.slice("dois", 1, 20).alias("dois"), F.slice(years, 1, 20).alias("years"), F.substring("content", 1, 1500).alias("excerpt"), errors.alias("errors"))
 
 
 def classified(docs: DataFrame) -> DataFrame:
@@ -253,13 +265,13 @@ def classified(docs: DataFrame) -> DataFrame:
     A title is present if all of it, letters and digits only, stands in the text before the reference list.
     """
     f = text_facts(docs, "doi", "title", "candidate_title")
-    has = lambda c: F.coalesce((T.squash(c) != "") & F.contains("squashed", T.squash(c)), F.lit(False))
+    has = lambda c: F.coalesce((T.content(c) != "") & F.contains("squashed", T.content(c)), F.lit(False))
     return f.select("doc_id", F.coalesce(F.array_contains("dois", T.doi("doi")), F.lit(False)).alias("doi_present"), has("title").alias("title_present"), has("candidate_title").alias("candidate_present"), "dois", "years", "excerpt", "errors")
 
 
 def text_evidence(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """Which documents hold the whole title of a claim (item_id, title, doi) or its DOI before their reference list; every pair is compared."""
-    c = claims.select("item_id", F.coalesce(T.squash("title"), F.lit("")).alias("needle"), T.doi("doi").alias("doi"))
+    c = claims.select("item_id", F.coalesce(T.content("title"), F.lit("")).alias("needle"), T.doi("doi").alias("doi"))
     title = (F.col("needle") != "") & F.contains("squashed", "needle")
     doi = F.coalesce(F.array_contains("dois", F.col("doi")), F.lit(False))
     return text_facts(docs).join(c, title | doi).select("item_id", "doc_id", title.alias("title_present"), doi.alias("doi_present"), "dois", "years", "errors")

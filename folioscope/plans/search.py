@@ -85,8 +85,7 @@ def h01(spark, sf):
 @query("h03_postings", f"with {INDEX} select term, count(distinct (doc_id, ord)) as sections, sum(w)::bigint as weight from posts group by term")
 def h03(spark, sf):
     """The inverted index by term: sections that hold it and its weight."""
-    p = S.postings(index_of(spark, sf)).groupBy("term", "doc_id", "ord").agg(F.sum("w").alias("w"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("sections"), F.sum("w").alias("weight"))
+    return S.term_totals(index_of(spark, sf))
 
 
 @query("d15_candidates", f"""with {INDEX}, {terms_sql('benchmark', 'item_id')}, {SCORED},

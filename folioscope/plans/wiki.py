@@ -137,15 +137,15 @@ def h16(spark, sf):
 
 
 #: Papers with DOIs and years in their text, a reference list, and the titles that are looked for.
-EVIDENCE = "case doc_id % 4 when 0 then 'doi: 10.5555/D' || doc_id || '). Since 1998 and 2003. ' when 1 then 'https://doi.org/10.5555/(x)' || doc_id || ', doi:10.5555/d' || (doc_id + 1) || ' ' when 2 then 'DOI: 10.1/short and 17990 x1850 ' else '' end || text || case when doc_id % 3 = 0 then chr(10) || 'References:' || chr(10) || 'doi: 10.5555/late 1899' || chr(10) || text else '' end"
+EVIDENCE = "case doc_id % 4 when 0 then 'doi: 10.5555/D' || doc_id || '). Since 1998 and 2003. ' when 1 then 'https://doi.org/10.5555/(x)' || doc_id || ', doi:10.5555/d' || (doc_id + 1) || ' ' when 2 then 'DOI: 10.1/short and 17990 x1850 ' else '' end || text || case when doc_id % 5 = 0 then ' The Nrxn2α-STUDY ' else '' end || case when doc_id % 3 = 0 then chr(10) || 'References:' || chr(10) || 'doi: 10.5555/late 1899' || chr(10) || text else '' end"
 SQL_STRIP = "regexp_replace({0}, '[.,;:]+$', '')"
 
 
 @query("h17_text_evidence", rf"""with b as (select item_id, text as candidate, (select count(*) from benchmark) as items from benchmark),
-d as (select doc_id, {EVIDENCE} as text, '10.5555/d' || doc_id as doi, regexp_extract(text, '^[^\n]*') as title from documents where text is not null),
+d as (select doc_id, {EVIDENCE} as text, '10.5555/d' || doc_id as doi, case doc_id % 10 when 0 then 'nrxn2a study' when 5 then 'nrxn2 study' else regexp_extract(text, '^[^\n]*') end as title from documents where text is not null),
 c as (select d.*, b.candidate, regexp_split_to_array(d.text, '(?im)^[ \t]*(?:references(?:[ \t]+and[ \t]+notes)?|bibliography|literature[ \t]+cited|reference[ \t]+list)[ \t]*:?[ \t]*$')[1] as content from d left join b on b.item_id = d.doc_id % b.items),
 f as (select *, list_transform(regexp_extract_all(content, '(?i)(?:\bdoi[ \t]*:\s*|https?://(?:dx\.)?doi\.org/)(10\.[0-9]{{4,9}}/[^\s<>"'']+)', 1), lambda x: lower({SQL_STRIP.format('x')})) as raw from c),
-g as (select *, list_transform(raw, lambda x: case when right(x, 1) = ')' and length(replace(x, '(', '')) > length(replace(x, ')', '')) then left(x, -1) else x end) as dois, regexp_replace({T.SQL_FOLD.format('content')}, '[^a-z0-9]+', '', 'g') as sq from f),
+g as (select *, list_transform(raw, lambda x: case when right(x, 1) = ')' and length(replace(x, '(', '')) > length(replace(x, ')', '')) then left(x, -1) else x end) as dois, regexp_replace({T.SQL_FOLD.format("replace(content, 'α', 'a')")}, '[^a-z0-9]+', '', 'g') as sq from f),
 s as (select *, regexp_replace({T.SQL_FOLD.format('title')}, '[^a-z0-9]+', '', 'g') as st, regexp_replace({T.SQL_FOLD.format("coalesce(candidate, '')")}, '[^a-z0-9]+', '', 'g') as sc from g)
 select doc_id, list_contains(dois, doi) as doi_present, st <> '' and contains(sq, st) as title_present, sc <> '' and contains(sq, sc) as candidate_present, array_to_string(list_distinct(dois).list_sort(), ' ') as dois,
  array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\b(?:18|19|20)[0-9]{{2}}\b'))), ' ') as years, length(substr(content, 1, 1500)) as excerpt_chars from s""")
@@ -153,6 +153,6 @@ def h17(spark, sf):
     """What each paper's text before its references says of its own DOI and title, and of a title found elsewhere."""
     b = load(spark, sf, "benchmark")
     n = b.agg(F.count(F.lit(1)).alias("n")).scalar()
-    d = load(spark, sf, "documents").where("text is not null").select("doc_id", F.expr(EVIDENCE).alias("text"), F.expr("'10.5555/d' || doc_id").alias("doi"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), (F.col("doc_id") % n).alias("item_id"))
+    d = load(spark, sf, "documents").where("text is not null").select("doc_id", F.expr(EVIDENCE).alias("text"), F.expr("'10.5555/d' || doc_id").alias("doi"), F.when(F.col("doc_id") % 10 == 0, "nrxn2a study").when(F.col("doc_id") % 10 == 5, "nrxn2 study").otherwise(F.regexp_extract("text", r"^[^\n]*", 0)).alias("title"), (F.col("doc_id") % n).alias("item_id"))
     found = S.classified(d.join(b.select("item_id", F.col("text").alias("candidate_title")), "item_id", "left"))
     return found.select("doc_id", "doi_present", "title_present", "candidate_present", F.array_join(F.array_sort("dois"), " ").alias("dois"), F.array_join(F.transform("years", lambda y: y.cast("string")), " ").alias("years"), F.length("excerpt").alias("excerpt_chars"))
