@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import beside
+from folioscope.llm.common import beside, cut
 
 WORD = re.compile(r"[^\W_]+")
 #: Words with one to three symbols at a time between letters.
@@ -250,7 +250,8 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     """``labels``: the rows to learn from only.  Every term that the sample supports is in the lexicon."""
     from folioscope.llm.qualitycrf import curve
 
-    some = _sample(df, labels, doc_id, text, label, toxic, clean)
+    # Written once: the sample is read again and again, the documents are not.
+    some = cut(_sample(df, labels, doc_id, text, label, toxic, clean))
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
