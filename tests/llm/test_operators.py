@@ -615,6 +615,15 @@ def test_representatives_keep_one_row_of_each_group(spark, seed):
         assert tuple(r) == rows[r.id] and (r.doc_id in (None, min((i for i in ids if i >= 0), default=None)))
 
 
+def test_near_duplicates_without_broadcasts(spark, folder, monkeypatch):
+    from folioscope.llm import common
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    right = by_text(minhash.components(docs, "doc_id", "text", 2, 80), None, "doc_id", "n_shingles", "component_id"), Counter(map(tuple, minhash.representatives(docs, "doc_id", "text").collect()))
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    assert (by_text(minhash.components(docs, "doc_id", "text", 2, 80), None, "doc_id", "n_shingles", "component_id"), Counter(map(tuple, minhash.representatives(docs, "doc_id", "text").collect()))) == right
+
+
 @pytest.mark.parametrize("block,small", [(800, 64), (5, 1), (5, 64)])
 def test_buckets_with_many_components(spark, monkeypatch, block, small):
     """All documents in one bucket, in one block or many: every link must still be found."""
