@@ -15,7 +15,8 @@ joined on (source, salt) so that a hot source is spread.
 
 Defined results: a null source is a source of its own; a source missing from the weights has weight
 0 and no copies; null text has size 1; null doc_id hashes as the empty string; repeated rows of a
-doc_id get the same count, and their copies the same key; an empty table gives an empty result.
+doc_id get the same count, and their copies the same key; there are no other ties; texts of any length are only measured; an empty
+table gives an empty result; rows travel in a struct, so the names of other columns don't matter.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ doc_id order and differ from the target by about one document.
 
 Defined results: size is the UTF-8 bytes of the text plus 1, so empty and null texts count and no
 total is zero; null doc_ids come first; repeated rows get neighbouring slots; an empty table gives
-an empty result; one document larger than a target may leave a shard empty, never a gap in slots.
+an empty result; texts of any length are only measured; one document larger than a target may leave a shard empty, never a gap in slots;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
