@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from folioscope.plans import audit, catalog, graph, identity, ledger, reports, review, search, sources, terms, wiki  # noqa: F401
+    from folioscope.plans import audit, catalog, graph, identity, ledger, reports, review, search, services, sources, terms, wiki  # noqa: F401
 
 
 _load()
