@@ -144,6 +144,21 @@ def filters(df: DataFrame, column: str, hashes, bits: int) -> tuple[np.ndarray,
     return pair
 
 
+def among(values: DataFrame):
+    """A function of a long column that is false only for numbers that are not among the values (x); a filter of at most MOST_BITS."""
+    bits = filter_bits(values.count())
+    once = values.sparkSession.sparkContext.broadcast(zlib.compress(filters(values, "x", lambda x: [x % (1 << 64)], bits)[0].tobytes(), 1))
+    opened: list[np.ndarray] = []
+
+    @arrow_udf(T.BooleanType())
+    def maybe(x: pa.Array) -> pa.Array:
+        if not opened:
+            opened.append(_unpacked(once.value))
+        return pa.array(holds(opened[0], probes(x.to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+
+    return maybe
+
+
 def seen_again(df: DataFrame, text: str, min_chars: int) -> tuple[np.ndarray, int]:
     """The merged filter of keys that may be in two documents or more, and its bits."""
     lines = df.agg(F.sum(F.least(F.size(F.split(text, "\n")), F.floor(F.length(text) / F.lit(min_chars)).cast("int")))).first()[0] or 0
@@ -216,17 +231,7 @@ def dedup_lines(df: DataFrame, doc_id: str, text: str, min_chars: int = 40, min_
     # Both sides are tables of their own here, so that a hot key's join can be split; repeated texts of a document need its keys once.
     pairs = found.distinct().join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = cut(pairs.groupBy(F.col("doc_id").alias("__of"), F.col("h").alias("__oh")).agg(F.collect_set("key").alias("__drops")))
-    bits = filter_bits(drops.count())
-    once = df.sparkSession.sparkContext.broadcast(zlib.compress(filters(drops.select(F.xxhash64("__of", "__oh").alias("x")), "x", lambda x: [x % (1 << 64)], bits)[0].tobytes(), 1))
-
-    opened: list[np.ndarray] = []
-
-    @arrow_udf(T.BooleanType())
-    def has_drops(x: pa.Array) -> pa.Array:
-        if not opened:
-            opened.append(_unpacked(once.value))
-        return pa.array(holds(opened[0], probes(x.to_numpy(zero_copy_only=False).view(np.uint64), bits)))
-
+    has_drops = among(drops.select(F.xxhash64("__of", "__oh").alias("x")))
     marked = rows.withColumn("__hit", has_drops(F.xxhash64("__id", "__h")))
     hit = marked.where("__hit").join(drops, marked["__id"].eqNullSafe(drops["__of"]) & (marked["__h"] == drops["__oh"]), "left")
     hit = hit.select(ROW, _rewritten("__text", F.coalesce("__drops", F.array().cast("array<binary>")), F.lit(min_chars)).alias("lines"))

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import ROW, bounded_batches, carried, cut, discard, slices, small
+from folioscope.llm.linededup import among
 from folioscope.llm.wordhash import mixed, words
 
 BANDS, ROWS = 48, 6
@@ -345,12 +346,19 @@ def representatives(df: DataFrame, doc_id: str, text: str, width: int = 5, perce
     linked with nothing, so all of them stay.
     """
     rows = carried(df, __id=F.col(doc_id).cast("long"), __text=text).withColumn("__h", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
-    _, named, _ = grouped(keyed(df, doc_id, text), width, percent, False)
-    kept = small(cut(named.groupBy("component").agg(F.any_value("first").alias("first")).select(F.col("first.key").alias("k_key"), F.col("first.h").alias("k_h"), F.col("first.none").alias("k_none"))))
+    rows = rows.withColumn("__key", F.coalesce("__id", "__h"))
+    signed, named, _ = grouped(keyed(df, doc_id, text), width, percent, False)
+    told = signed.where("n > 0").select("key", "doc_id", "h", *CLASS).join(named.select(*CLASS, "first"), CLASS)
+    other = F.struct(F.col("doc_id").isNull().alias("none"), "key", "h") != F.col("first")
+    # What isn't the only row of its group's first document: of all rows with words these alone, and what a filter takes for them, are shuffled with their texts.
+    counted = told.select("key", "h", other.alias("other")).groupBy("key", "h").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("other").alias("other"))
+    doubtful = cut(counted.where("other or rows > 1").select(F.xxhash64("key", "h").alias("x")))
     has_words = F.coalesce(F.col("__text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    found = rows.where(has_words).withColumn("__key", F.coalesce("__id", "__h"))
-    found = found.join(kept, (found["__key"] == kept["k_key"]) & (found["__h"] == kept["k_h"]) & (found["__id"].isNull() == kept["k_none"]), "left_semi")
+    marked = rows.withColumn("__odd", has_words & among(doubtful)(F.xxhash64("__key", "__h")))
+    firsts = cut(named.groupBy("component").agg(F.any_value("first").alias("first")).select("first.*"))
+    odd = marked.where("__odd")
+    found = odd.join(firsts, (odd["__key"] == firsts["key"]) & (odd["__h"] == firsts["h"]) & (odd["__id"].isNull() == firsts["none"]), "left_semi")
     # Repeated rows of a document: one of them.
     once = Window.partitionBy("__key", "__h").orderBy(F.xxhash64(ROW))
     one = found.select(ROW, "__key", "__h").withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
-    return one.select(ROW).unionByName(rows.where(~has_words).select(ROW)).select(f"{ROW}.*")
+    return marked.where("not __odd").select(ROW).unionByName(one.select(ROW)).select(f"{ROW}.*")
