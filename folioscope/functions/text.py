@@ -41,10 +41,13 @@ def col(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
+    """Lower case without marks; what has nothing to fold, as most English texts, is only looked through."""
     low = F.lower(col(c))
-    for letter, two in PAIRS.items():
-        low = F.replace(low, F.lit(letter), F.lit(two))
-    return F.translate(low, ACCENTED, PLAIN)
+    two = low
+    for letter, plain in PAIRS.items():
+        two = F.replace(two, F.lit(letter), F.lit(plain))
+    two = F.when(low.rlike(f"[{''.join(PAIRS)}]"), two).otherwise(low)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(two, ACCENTED, PLAIN)).otherwise(low)
 
 
 def tokens(c: Column | str) -> Column:

@@ -76,14 +76,16 @@ def outline(pages: DataFrame, key: str, body: str) -> DataFrame:
     return own.select(key, "ord", "heading", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("content")).cast("long").alias("end"), section_kind(F.col("heading"), F.col("content")).alias("kind"), "content")
 
 
-def indexed(notes: DataFrame) -> DataFrame:
-    """doc_id, ord, len, t0, t1, t2: the sections of notes with the tokens of their title, heading and content, and how many they are.
-
-    Written once: searches read the columns they need of it and never split a text again.  A title is split once for its note.
-    """
+def tokenised(notes: DataFrame) -> DataFrame:
+    """doc_id, ord, len, t0, t1, t2: the sections of notes with the tokens of their title (split once for its note), heading and content, and how many they are."""
     lines = notes.select("doc_id", T.tokens("title").alias("t0"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     t = lines.where("trim(line) <> ''").select("doc_id", "ord", "t0", T.tokens(F.regexp_extract("line", "^[^ ]*", 0)).alias("t1"), T.tokens("line").alias("t2"))
-    return cut(t.select("doc_id", "ord", (F.size("t0") + F.size("t1") + F.size("t2")).alias("len"), "t0", "t1", "t2"))
+    return t.select("doc_id", "ord", (F.size("t0") + F.size("t1") + F.size("t2")).alias("len"), "t0", "t1", "t2")
+
+
+def indexed(notes: DataFrame) -> DataFrame:
+    """``tokenised`` notes, written once: searches read the columns they need of it and never split a text again."""
+    return cut(tokenised(notes))
 
 
 def postings(index: DataFrame) -> DataFrame:

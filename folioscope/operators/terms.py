@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.lineage import cut
+
 #: The heading and the lines of a glossary, the dashes and Greek letters of terms, and what they are written as.
 HEADING = r"(?:^|\n)## (?:7\. )?Glossary[ \t]*\n"
 LINE = r"(?m)^[ \t]*[-*][ \t]+\*\*(.+?)\*\*[ \t]*[:：][ \t]*(.*)$"
@@ -61,6 +63,8 @@ def candidates(terms: DataFrame, threshold: int) -> DataFrame:
     ``terms``: slug, stem, scope (boolean), form, definition.  The title is the commonest form, ties to the
     longer and then to the first; definitions are those of the first two stems.
     """
+    # Written once: three sums read them.
+    terms = cut(terms.select("slug", "stem", "scope", "form", "definition"))
     n = terms.groupBy("slug").agg(F.count_distinct("stem").alias("notes"), F.count_distinct(F.when(F.col("scope"), F.col("stem"))).alias("in_scope")).where(F.col("in_scope") >= threshold)
     forms = terms.groupBy("slug", "form").agg(F.count(F.lit(1)).alias("n"))
     title = forms.withColumn("nth", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("n"), F.desc(F.length("form")), "form"))).where("nth = 1").select("slug", F.col("form").alias("title"))

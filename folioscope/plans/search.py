@@ -85,7 +85,7 @@ def h01(spark, sf):
 @query("h03_postings", f"with {INDEX} select term, count(distinct (doc_id, ord)) as sections, sum(w)::bigint as weight from posts group by term")
 def h03(spark, sf):
     """The inverted index by term: sections that hold it and its weight."""
-    return S.term_totals(index_of(spark, sf))
+    return S.term_totals(S.tokenised(notes(spark, sf)))
 
 
 @query("d15_candidates", f"""with {INDEX}, {terms_sql('benchmark', 'item_id')}, {SCORED},
