@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, sharding, toxicity
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, runs, sharding, toxicity
 from folioscope.llm.common import crc_mod, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -134,6 +134,30 @@ def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def replanted(doc_id: str, text: str) -> Column:
+    """The text with its tail replaced by a repetition of words where the id's crc32 ends in 0; a null id changes nothing."""
+    code = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    words = F.split(qualityrules.squeezed(F.coalesce(F.col(text), F.lit(""))), " ")
+    g, n = F.floor(code / 10), F.size(words).cast("long")
+    start = g % n
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    # Three parts of the words: as they were, whole periods, and what is left of one; concatenation looks no word up by number.
+    head, body = F.slice(words, F.lit(1), start.cast("int")), F.slice(words, (start + 1).cast("int"), period.cast("int"))
+    whole = F.flatten(F.array_repeat(body, F.floor((n - start) / period).cast("int")))
+    new = F.array_join(F.concat(head, whole, F.slice(body, F.lit(1), ((n - start) % period).cast("int"))), " ")
+    return F.when(code % 10 == 0, new).otherwise(F.col(text))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", replanted("doc_id", "text").alias("text"))
+    found = runs.collapsed(docs, "text")
+    longest = F.expr("reduce(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (a, b) -> if(a is null or b.length * a.period > a.length * b.period, b, a))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    exponent = F.expr("(1000 * r.length) div r.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "r.start", "r.length", "r.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op10_line_dedup": op10_line_dedup,
@@ -145,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_crf": op9_quality_crf,
     "op6_byte_shards": op6_byte_shards,
+    "op13_word_runs": op13_word_runs,
 }
 
 SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL}

@@ -8,12 +8,13 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualityrules, sharding, toxicity
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualityrules, runs, sharding, toxicity
 from folioscope.llm.queries import QUERIES
 
 WHITE = re.compile("[^\x20\x09-\x0d]+")
@@ -802,3 +803,69 @@ def test_line_dedup_with_a_full_filter(spark, folder, monkeypatch):
     right = by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "kept_sha256")
     monkeypatch.setattr(linededup, "filter_bits", lambda lines: 64)
     assert by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "kept_sha256") == right
+
+
+def plain_runs(words, least=24, times=3):
+    """Every period on its own: stretches of matching pairs, the smallest period of a stretch."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, times * q):
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((a, b - a, q) for (a, b), q in found.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_runs_are_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        texts = []
+        for _ in range(rng.randint(1, 4)):
+            w, letters = [], rng.choice([1, 2, 2, 3, 5, 50])
+            while rng.random() < 0.9 and len(w) < 250:
+                how = rng.random()
+                if how < 0.4 and w:
+                    p = rng.randint(1, min(len(w), 40))
+                    for _ in range(rng.randint(1, 100)):
+                        w.append(w[-p])
+                elif how < 0.6 and w:
+                    a = rng.randrange(len(w))
+                    w += w[a : a + rng.randint(1, 120)]
+                else:
+                    w += [b"%d" % rng.randrange(letters) for _ in range(rng.randint(1, 20))]
+            texts.append(w)
+        assert runs.runs_of_texts(texts) == [plain_runs(w) for w in texts]
+
+
+def test_word_runs_of_long_periodic_and_fibonacci_texts():
+    a, b = [b"a"], [b"a", b"b"]
+    while len(b) < 3000:
+        a, b = b, b + a
+    assert runs.runs_of_texts([b]) == [plain_runs(b)]
+    assert runs.runs_of_texts([[b"a"] * 100_000, [b"%d" % (i % 7) for i in range(100_000)], []]) == [[(0, 100_000, 1)], [(0, 100_000, 7)], []]
+
+
+def test_word_runs_query(spark, folder, rows):
+    want = Counter()
+    for r in rows:
+        words = [w.encode() for w in WHITE.findall(r[1] or "")]
+        h, n = zlib.crc32(str(r[0]).encode()), len(words)
+        if r[0] is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+        found = plain_runs(words) if n < 2000 else runs.runs_of_texts([words])[0]
+        best = max(found, key=lambda x: (Fraction(x[1], x[2]), -x[0], -x[2]), default=None)
+        gone = {i for s, m, q in found for i in range(s + q, s + m)}
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        rest = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        top = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        want[r[0], len(found), *top, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(rest).hexdigest()] += 1
+    assert any(k[1] for k in want)
+    assert by_text(QUERIES["op13_word_runs"](spark, folder), rows, "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256") == want
