@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, runs, sharding, toxicity
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, runs, sharding, toxicity, vectorcodes
 from folioscope.llm.common import crc_mod, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -134,6 +134,30 @@ def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.with_label_errors(vectorcodes.encode(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"))
+
+
+def _op11_sql() -> str:
+    """Vectors of 64 components in 16 parts of 4, two rounds and a last assignment."""
+    apart = " + ".join(f"(p.{c} - b.{c}) * (p.{c} - b.{c})" for c in "wxyz")
+    steps = [
+        "kept as (select row_number() over (order by vec_id, embedding) - 1 as r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings"
+        " where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        "p as (select r, vec_id, label, part, v[4 * part + 1] as w, v[4 * part + 2] as x, v[4 * part + 3] as y, v[4 * part + 4] as z from kept, range(16) as parts(part))",
+        "b0 as (select part, r as entry, w, x, y, z from p where r < 64)",
+    ]
+    for k in range(3):
+        steps.append(f"a{k} as (select p.r, p.part, min(({apart}) * 64 + b.entry) as best from p join b{k} b on p.part = b.part group by p.r, p.part)")
+        if k < 2:
+            means = ", ".join(f"coalesce(floor(m.{c})::bigint, b.{c}) as {c}" for c in "wxyz")
+            steps.append(f"m{k} as (select a.part, a.best % 64 as entry, {', '.join(f'sum({c}) / count(*) as {c}' for c in 'wxyz')} from a{k} a join p using (r, part) group by a.part, a.best % 64)")
+            steps.append(f"b{k + 1} as (select b.part, b.entry, {means} from b{k} b left join m{k} m on b.part = m.part and b.entry = m.entry)")
+    steps.append("c as (select r, string_agg(lpad(printf('%x', best % 64), 2, '0'), '' order by part) as code, sum(best // 64)::bigint as error from a2 group by r)")
+    steps.append("g as (select sha256(string_agg(concat_ws(',', w, x, y, z), ',' order by part, entry)) as codebooks_sha256 from b2)")
+    return f"with {', '.join(steps)} select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join c using (r), g"
+
+
 def replanted(doc_id: str, text: str) -> Column:
     """The text with its tail replaced by a repetition of words where the id's crc32 ends in 0; a null id changes nothing."""
     code = F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -169,7 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_crf": op9_quality_crf,
     "op6_byte_shards": op6_byte_shards,
+    "op11_vector_codes": op11_vector_codes,
     "op13_word_runs": op13_word_runs,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_vector_codes": _op11_sql()}

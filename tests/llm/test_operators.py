@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualityrules, runs, sharding, toxicity
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualityrules, runs, sharding, toxicity, vectorcodes
 from folioscope.llm.queries import QUERIES
 
 WHITE = re.compile("[^\x20\x09-\x0d]+")
@@ -22,6 +23,19 @@ SCHEMA = T.StructType([T.StructField(*x) for x in (("doc_id", T.LongType()), ("t
 LABELS = "doc_id long, quality int, toxic int, text string, id string"
 
 
+VECTORS = "vec_id long, embedding array<float>, label int, code string, error long, ids int, x string"
+
+
+def vectors():
+    """Ties, repeated rows, nulls, infinities, other lengths, missing ids and labels."""
+    rng = random.Random(8)
+    some = [[rng.choice([-0.5, -0.01, 0.0, 0.004, 0.25, 1.0]) if rng.random() < 0.5 else rng.gauss(0, 0.3) for _ in range(32)] for _ in range(160)]
+    rows = [(i, v, rng.choice([0, 1, None]), "c", 1, 2, "x") for i, v in enumerate(some)]
+    bad = [None, [], [None] * 32, [float("nan")] + [0.0] * 31, [float("inf")] * 32, [0.0] * 31, [0.0] * 48, some[0][:31] + [None]]
+    rows += [(-1 - i, v, 1, None, None, None, None) for i, v in enumerate(bad)]
+    return rows + [rows[5], rows[5], (None, some[7], None, None, None, None, None), (3, some[9], 0, None, None, None, None), (500, [1e5, -1e5] * 16, 0, None, None, None, None)]
+
+
 def corpus():
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 8))) for _ in range(400)]
@@ -51,6 +65,7 @@ def folder(spark, rows, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("docs"))
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0), "t", "i") for i in range(60)] + [(None, 1, 0, None, None), (1, None, None, None, None)], LABELS).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(vectors(), VECTORS).repartition(3).write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -59,6 +74,7 @@ def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -72,7 +88,7 @@ def test_empty_tables_give_empty_results(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not n.startswith("op2_")])
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not n.startswith(("op2_", "op11_"))])
 def test_one_row_for_each_row(spark, folder, rows, name):
     assert Counter(r.doc_id for r in QUERIES[name](spark, folder).collect()) == Counter(r[0] for r in rows)
 
@@ -869,3 +885,66 @@ def test_word_runs_query(spark, folder, rows):
         want[r[0], len(found), *top, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(rest).hexdigest()] += 1
     assert any(k[1] for k in want)
     assert by_text(QUERIES["op13_word_runs"](spark, folder), rows, "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256") == want
+
+
+def plain_codes(rows, parts, entries, rounds):
+    kept = [r for r in rows if r[1] is not None and len(r[1]) == 32 and all(x is not None and math.isfinite(x) for x in r[1])]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    floors = [[math.floor(256 * x) for x in struct.unpack("32f", struct.pack("32f", *r[1]))] for r in kept]
+    d = 32 // parts
+    cut = [[tuple(v[p * d : p * d + d]) for p in range(parts)] for v in floors]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assign = lambda: [[min(range(len(books[p])), key=lambda e: (far(c[p], books[p][e]), e)) for p in range(parts)] for c in cut]
+    for _ in range(rounds):
+        of = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [c[p] for c, o in zip(cut, of) if o[p] == e]
+                if own:
+                    books[p][e] = tuple(sum(x) // len(own) for x in zip(*own))
+    of = assign()
+    return Counter((r[0], r[2], "".join(f"{e:02x}" for e in o), sum(far(c[p], books[p][o[p]]) for p in range(parts))) for r, c, o in zip(kept, cut, of)), books
+
+
+@pytest.mark.parametrize("parts,entries,rounds,block", [(16, 64, 2, 4096), (16, 64, 2, 20), (8, 5, 4, 33), (4, 1, 2, 50), (16, 256, 1, 4096), (2, 9, 0, 7)])
+def test_vector_codes_are_brute_force(spark, monkeypatch, parts, entries, rounds, block):
+    monkeypatch.setattr(vectorcodes, "BLOCK", block)
+    found = vectorcodes.encode(spark.createDataFrame(vectors(), VECTORS).repartition(3), "vec_id", "embedding", "label", parts, entries, rounds)
+    want, books = plain_codes(vectors(), parts, entries, rounds)
+    assert found.books.tolist() == [[list(e) for e in b] for b in books]
+    assert by_text(found.rows, None, "vec_id", "label", "code", "error") == want
+
+
+def test_vector_label_errors(spark, folder):
+    got = QUERIES["op11_vector_codes"](spark, folder).collect()
+    want, books = plain_codes(vectors(), 16, 64, 2)
+    sums = defaultdict(int)
+    for (_, label, _, error), n in want.items():
+        sums[label] += n * error
+    flat = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    full = Counter()
+    for (i, label, code, error), n in want.items():
+        full[i, code, error, sums[label], flat] += n
+    assert Counter((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got) == full
+
+
+def test_heaps_pop_what_a_scan_would_and_few_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-200, 200, (3000, 64))
+    block, books = vectorcodes.Block(x, 16, 64), x[:64].reshape(64, 16, 4).transpose(1, 0, 2).copy()
+    sums = block.rescan(np.arange(len(block.x)), books)
+    for _ in range(30):
+        new = vectorcodes.updated(books, sums)
+        before = block.scanned
+        sums = sums + block.move(books, new)
+        books = new
+        plain = np.stack([((block.x[p::16, None] - books[p]) ** 2).sum(2).argmin(1) + 64 * p for p in range(16)], 1).ravel()
+        assert (block.of == plain).all()
+    assert block.scanned - before < len(block.x) / 2  # drift has calmed down
+
+
+def test_nearest_parts_tie_to_the_lower_entry():
+    x, book = np.array([[0, 0], [1 << 26, -(1 << 26)]]), np.array([[1, 0], [0, 1], [-1, 0], [1 << 26, -(1 << 26)]])
+    at, best, second = vectorcodes.nearest(x, book)
+    assert at.tolist() == [0, 3] and best.tolist() == [1, 0] and second[0] == 1.0

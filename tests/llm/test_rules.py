@@ -32,7 +32,8 @@ def test_results_with_duckdb(spark, sf):
     import duckdb
 
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        c.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in SQL.items():
         want = c.sql(sql)
         df = QUERIES[name](spark, sf)
