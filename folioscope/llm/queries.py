@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, runs, sharding, toxicity, vectorcodes
+from folioscope.llm import bpe, langid, linededup, media, minhash, mixing, qualitycrf, qualityrules, runs, secretscan, sharding, toxicity, vectorcodes
 from folioscope.llm.common import crc_mod, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -158,6 +158,61 @@ def _op11_sql() -> str:
     return f"with {', '.join(steps)} select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join c using (r), g"
 
 
+def op12_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.scan(docs, "text", secretscan.train(secretscan.labelled(docs, "text")))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "__row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secretscan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secretscan.written(F.col("spans")).alias("spans"),
+    )
+
+
+def _op12_sql() -> str:
+    """The same rules, samples, counts and weights over rows of matches."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    pairs = "".join(secretscan.ALPHABET)
+    steps = ["d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents)"]
+
+    def matched(name: str, source: str, text: str, pattern: str) -> None:
+        """Matches m after pieces p, with their starts, and the last piece of each row."""
+        p = quote(pattern)
+        steps.append(f"{name}l as (select r, {text} as t, regexp_extract_all({text}, {p}) as ms, string_split_regex({text}, {p}) as ps from {source})")
+        steps.append(f"{name}u as (select r, unnest(ms) as m, unnest(ps[1:len(ms)]) as p, generate_subscripts(ms, 1) as i from {name}l where len(ms) > 0)")
+        steps.append(f"{name} as (select *, (sum(length(p)) over w + coalesce(sum(length(m)) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0))::bigint as start from {name}u window w as (partition by r order by i))")
+
+    def blanked(name: str, before: str, taken: str) -> None:
+        steps.append(f"{name} as (select l.r, case when len(l.ms) = 0 then l.t else (select string_agg(u.p || case when {taken} then repeat(' ', length(u.m)) else u.m end, '' order by u.i) from {before} u where u.r = l.r) || l.ps[-1] end as t from {before}l l)")
+
+    valued = f"length(regexp_extract(m, {quote(secretscan.ASSIGN)}, 2)) >= 6"
+    matched("a", "d", "t", secretscan.ASSIGN)
+    matched("k", "d", "t", secretscan.ACCESS)
+    matched("h", "d", "t", secretscan.HEX)
+    blanked("r1", "a", valued)
+    matched("b", "r1", "t", f"{secretscan.ACCESS}|{secretscan.HEX}")
+    blanked("r2", "b", "true")
+    matched("c", "r2", "t", secretscan.TOKEN)
+    steps += [
+        f"base as (select r, start, 0 as kind, start + length(m) as stop, regexp_extract(m, {quote(secretscan.ASSIGN)}, 2) as v from a where {valued} union all select r, start, 1, start + length(m), m from k union all select r, start, 2, start + length(m), m from h)",
+        f"chosen as (select min(r) as r, any_value(t) as t, md5(t) as m from d where length(t) between 1 and {secretscan.LONGEST} group by md5(t) order by m limit {secretscan.SAMPLED})",
+        "drawn as (select v as token from base join chosen using (r) union select sha256(t) from chosen union select base64(unhex(sha256(t))) from chosen)",
+        f"words as (select distinct w as token from (select unnest(regexp_extract_all(r2.t, {quote(secretscan.WORD)})) as w from r2 join chosen using (r)) where regexp_matches(w, '[A-Za-z]'))",
+        "samples as (select token, true as random from drawn union all select token, false from words)",
+        "pairs as (select random, case when i = 1 then '' else token[i - 1] end as a, token[i] as b from (select random, token, unnest(generate_series(1, length(token))) as i from samples))",
+        f"letters as (select unnest(string_split('{pairs}', '')) as x)",
+        f"counts as (select random, a, b, count(*) as n from pairs where (a = '' or strpos('{pairs}', a) > 0) and strpos('{pairs}', b) > 0 group by all)",
+        "grid as (select f.random, a.x as a, b.x as b from (values (true), (false)) f(random), (select x from letters union all select '') a, letters b)",
+        f"smooth as (select g.random, g.a, g.b, ln((coalesce(n, 0) + 0.5::double) / (sum(coalesce(n, 0)) over (partition by g.random, g.a) + {0.5 * len(pairs)}::double)) as s from grid g left join counts c on g.random = c.random and g.a = c.a and g.b = c.b)",
+        "weights as (select a, b, floor(1000 * (max(s) filter (random) - max(s) filter (not random)) + 0.5)::bigint as w from smooth group by a, b)",
+        "tokens as (select distinct m as token from c where regexp_matches(m, '[A-Za-z]'))",
+        "weighed as (select token, sum(w) as ratio from (select token, case when i = 1 then '' else token[i - 1] end as a, token[i] as b from (select token, unnest(generate_series(1, length(token))) as i from tokens)) join weights using (a, b) group by token)",
+        "spans as (select r, start, kind, stop from base union all select r, start, 3, start + length(m) from c join weighed on m = token where ratio >= greatest(10000, 500 * length(m)))",
+        "o as (select r, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,"
+        " string_agg(concat_ws(':', (['assign', 'access', 'hex'])[kind + 1], start, stop), ',' order by start, kind) filter (kind < 3) as base, string_agg(concat_ws(':', (['assign', 'access', 'hex', 'markov'])[kind + 1], start, stop), ',' order by start, kind) as spans from spans group by r)",
+    ]
+    return f"with {', '.join(steps)} select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join o using (r)"
+
+
 def replanted(doc_id: str, text: str) -> Column:
     """The text with its tail replaced by a repetition of words where the id's crc32 ends in 0; a null id changes nothing."""
     code = F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -194,7 +249,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_crf": op9_quality_crf,
     "op6_byte_shards": op6_byte_shards,
     "op11_vector_codes": op11_vector_codes,
+    "op12_secret_spans": op12_secret_spans,
     "op13_word_runs": op13_word_runs,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_vector_codes": _op11_sql()}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL, "op2_source_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_vector_codes": _op11_sql(), "op12_secret_spans": _op12_sql()}
