@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from folioscope.llm.common import ROW, bounded_batches, carried, cut
+from folioscope.llm.common import ROW, bounded_batches, carried, cut, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -45,16 +45,36 @@ CHUNK, GROUPS = 1 << 19, 32
 SENT_KEYS = 200_000
 
 
-def keys_of(text: str | None, min_chars: int) -> list[bytes | None]:
+#: Bytes of whole lines that are worked on at once.
+PIECE = 1 << 18
+
+
+def pieces(text: str | None) -> Iterator[bytes]:
+    """A text in runs of whole lines of about PIECE bytes; a longer line is a run of its own."""
+    data = (text or "").encode("utf-8")
+    at = 0
+    while (end := data.find(b"\n", at + PIECE)) >= 0:
+        yield data[at:end]
+        at = end + 1
+    yield data[at:]
+
+
+def keys_of(piece: bytes, min_chars: int) -> list[bytes | None]:
     """The key of each line; None for those too short to count."""
     out: list[bytes | None] = []
-    for line in (text or "").encode("utf-8").translate(LOWER).split(b"\n"):
+    for line in piece.translate(LOWER).split(b"\n"):
         key = line.strip(WHITE)
         n = len(key)
         out.append(key if n >= min_chars and (n >= 4 * min_chars or len(key.decode("utf-8")) >= min_chars) else None)
     return out
 
 
+def hashes_of(text: str | None, min_chars: int) -> np.ndarray:
+    """The hashes of a text's keys, each once."""
+    found = [np.fromiter((xxhash.xxh3_64_intdigest(k) for k in {*keys_of(p, min_chars)} if k is not None), np.uint64) for p in pieces(text)]
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+
+
 def digest(key: bytes) -> bytes:
     return hashlib.sha256(key).digest()[:16]
 
@@ -119,15 +139,17 @@ def filters(df: DataFrame, column: str, hashes, bits: int) -> tuple[np.ndarray,
         from pyspark import TaskContext
 
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        waiting: list[int] = []
+        waiting: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for t in batch.column(0):
-                waiting.extend(hashes(t.as_py()))
-                if len(waiting) >= 50_000:
-                    see(once, twice, np.array(waiting, np.uint64), bits)
-                    waiting = []
+                waiting.append(hashes(t.as_py()))
+                held += len(waiting[-1])
+                if held >= 50_000 or len(waiting) >= 5_000:
+                    see(once, twice, np.concatenate(waiting), bits)
+                    waiting, held = [], 0
         if waiting:
-            see(once, twice, np.array(waiting, np.uint64), bits)
+            see(once, twice, np.concatenate(waiting), bits)
         part = TaskContext.get().partitionId() % GROUPS
         for c in range(bits // 8 // step):
             o, t = once[c * step : (c + 1) * step], twice[c * step : (c + 1) * step]
@@ -147,7 +169,7 @@ def filters(df: DataFrame, column: str, hashes, bits: int) -> tuple[np.ndarray,
 def among(values: DataFrame):
     """A function of a long column that is false only for numbers that are not among the values (x); a filter of at most MOST_BITS."""
     bits = filter_bits(values.count())
-    once = values.sparkSession.sparkContext.broadcast(zlib.compress(filters(values, "x", lambda x: [x % (1 << 64)], bits)[0].tobytes(), 1))
+    once = values.sparkSession.sparkContext.broadcast(zlib.compress(filters(values, "x", lambda x: np.array([x % (1 << 64)], np.uint64), bits)[0].tobytes(), 1))
     opened: list[np.ndarray] = []
 
     @arrow_udf(T.BooleanType())
@@ -163,8 +185,7 @@ def seen_again(df: DataFrame, text: str, min_chars: int) -> tuple[np.ndarray, in
     """The merged filter of keys that may be in two documents or more, and its bits."""
     lines = df.agg(F.sum(F.least(F.size(F.split(text, "\n")), F.floor(F.length(text) / F.lit(min_chars)).cast("int")))).first()[0] or 0
     bits = filter_bits(lines)
-    of = lambda t: [xxhash.xxh3_64_intdigest(k) for k in {*keys_of(t, min_chars)} if k is not None]
-    return filters(df, text, of, bits)[1], bits
+    return filters(df, text, lambda t: hashes_of(t, min_chars), bits)[1], bits
 
 
 def suspects(df: DataFrame, min_chars: int) -> DataFrame:
@@ -175,18 +196,25 @@ def suspects(df: DataFrame, min_chars: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = _unpacked(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, of = [], []
-                for j, t in enumerate(part.column(2)):
-                    own = {*keys_of(t.as_py(), min_chars)} - {None}
+            keys, of, held = [], [], 0
+
+            def passed() -> pa.RecordBatch:
+                hit = np.flatnonzero(holds(twice, probes(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)))
+                rows = pa.array([of[k] for k in hit], pa.int32())
+                return pa.RecordBatch.from_arrays([pa.array([digest(keys[k]) for k in hit], pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["key", "doc_id", "h"])
+
+            for j, t in enumerate(batch.column(2)):
+                # A key of two pieces of a text comes twice; it counts once where documents are counted.
+                for piece in pieces(t.as_py()):
+                    own = {*keys_of(piece, min_chars)} - {None}
                     keys.extend(own)
                     of.extend([j] * len(own))
-                if not keys:
-                    continue
-                passed = np.flatnonzero(holds(twice, probes(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)))
-                rows = pa.array([of[j] for j in passed], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([digest(keys[j]) for j in passed], pa.binary()), part.column(0).take(rows), part.column(1).take(rows)], names=["key", "doc_id", "h"])
+                    held += len(piece)
+                    if held >= 4 * PIECE and keys:
+                        yield passed()
+                        keys, of, held = [], [], 0
+            if keys:
+                yield passed()
 
     return df.select("doc_id", "h", "text").mapInArrow(find, f"key binary, doc_id {df.schema['doc_id'].dataType.simpleString()}, h long")
 
@@ -196,18 +224,27 @@ _LINES = T.StructType().add("text", T.StringType()).add("n_lines", T.LongType())
 
 def _without(text: str | None, least: int, gone) -> dict:
     """A text without the lines whose keys' digests are ``gone``."""
-    t = text or ""
-    lines = t.split("\n")
-    kept = [x for x, k in zip(lines, keys_of(t, least)) if k is None or not gone(digest(k))]
-    return {"text": "\n".join(kept), "n_lines": len(lines), "n_dropped": len(lines) - len(kept)}
+    parts, n, left = [], 0, 0
+    for piece in pieces(text):
+        lines = piece.split(b"\n")
+        kept = [x for x, k in zip(lines, keys_of(piece, least)) if k is None or not gone(digest(k))]
+        n, left = n + len(lines), left + len(kept)
+        if kept:
+            parts.append(piece if len(kept) == len(lines) else b"\n".join(kept))
+    return {"text": b"\n".join(parts).decode("utf-8"), "n_lines": n, "n_dropped": n - left}
 
 
 _ARROW_LINES = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
+def _rows_of(make, values: pa.Array) -> pa.Array:
+    """make(i) for each value, in slices, so that what Python holds at once is bounded by its bytes."""
+    return pa.chunked_array([pa.array([make(i) for i in range(at, at + n)], _ARROW_LINES) for at, n in slices(values, 256)], _ARROW_LINES).combine_chunks()
+
+
 @arrow_udf(_LINES)
 def _rewritten(text: pa.Array, drops: pa.Array, least: pa.Array) -> pa.Array:
-    return pa.array([_without(t.as_py(), m.as_py(), {*d.as_py()}.__contains__) for t, d, m in zip(text, drops, least)], _ARROW_LINES)
+    return _rows_of(lambda i: _without(text[i].as_py(), least[i].as_py(), {*drops[i].as_py()}.__contains__), text)
 
 
 def dedup_lines(df: DataFrame, doc_id: str, text: str, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -225,7 +262,12 @@ def dedup_lines(df: DataFrame, doc_id: str, text: str, min_chars: int = 40, min_
         @arrow_udf(_LINES)
         def kept(text: pa.Array, ids: pa.Array) -> pa.Array:
             keeper = sent.value
-            return pa.array([_without(t.as_py(), min_chars, lambda d, i=i.as_py(): d in keeper and keeper[d] != i) for t, i in zip(text, ids)], _ARROW_LINES)
+
+            def one(j: int) -> dict:
+                own = ids[j].as_py()
+                return _without(text[j].as_py(), min_chars, lambda d: d in keeper and keeper[d] != own)
+
+            return _rows_of(one, text)
 
         return rows.select(ROW, kept("__text", "__id").alias("lines"))
     # Both sides are tables of their own here, so that a hot key's join can be split; repeated texts of a document need its keys once.

@@ -6,7 +6,7 @@ never decoded: an ``mdat`` box is stepped over by its size.  ``text_to_media`` s
 track of fixed-size 8-bit frames, so that every text has a file whose tables can be held against it.
 
 Defined results: a null or empty file has no tracks and the error ``empty``; a box that runs past its
-parent, a table that runs past its box, boxes nested too deep, a count of more samples than the file has
+parent, a table that runs past its box, boxes nested too deep, a count of more equal samples than the file has
 bytes for, or an offset or duration beyond 2**62 gives the error that names it and no tracks, never a failed task;
 a duration of all ones is unknown, so that of the sample table counts; a file
 without ``moov`` has no tracks and no error; null text counts as empty and becomes one frame of
@@ -35,8 +35,8 @@ WIDTH, HEIGHT, GROUP, RATE = 16, 12, 12, 25
 FRAME = WIDTH * HEIGHT
 #: Containers inside containers (real files have 6 levels), the largest offset, and the durations that mean "unknown".
 DEEPEST, FARTHEST, UNKNOWN = 24, 1 << 62, ((1 << 32) - 1, (1 << 64) - 1)
-#: How often the bytes of a file may be samples of tables that give one size for all.
-SHARED = 4
+#: How many equal samples of a track or a run are listed one by one where all of them are keyframes.
+LISTED = 1 << 16
 
 
 class MediaError(ValueError):
@@ -50,43 +50,75 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    stts: list[tuple[int, int]] = field(default_factory=list)
+    stts: np.ndarray | None = None
     sync: np.ndarray | None = None
     stsc: np.ndarray | None = None
-    sizes: np.ndarray | None = None
+    sizes: np.ndarray | None = None  # one for each sample, or ``size`` for all ``count``
+    size: int = 0
+    count: int = 0
     chunks: np.ndarray | None = None
     fragments: list[np.ndarray] = field(default_factory=list)  # rows of offset, size, sync
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offset, size and whether it is a keyframe, for each sample in decoding order."""
-        n = 0 if self.sizes is None else len(self.sizes)
-        offsets = np.zeros(n, np.int64)
-        if n:
-            if self.stsc is None or self.chunks is None or not len(self.stsc) or not len(self.chunks):
-                raise MediaError("samples without chunks")
-            if self.chunks.max() > FARTHEST:
-                raise MediaError("chunk offset out of range")
-            first = self.stsc[:, 0].astype(np.int64) - 1
-            runs = np.diff(np.append(first, len(self.chunks)))
-            if (runs < 0).any() or first[0] != 0:
-                raise MediaError("stsc out of order")
-            # Counts are summed, never laid out: a chunk may claim more samples than there are.
-            upto = np.cumsum(np.repeat(self.stsc[:, 1].astype(np.int64), runs))
-            if upto[-1] < n:
-                raise MediaError("chunks hold fewer samples than stsz")
-            chunk = np.searchsorted(upto, np.arange(n), side="right")
-            before = np.cumsum(self.sizes) - self.sizes
-            start = np.concatenate(([0], upto))[chunk]
-            offsets = self.chunks[chunk].astype(np.int64) + before - before[start]
-        key = np.ones(n, bool) if self.sync is None else np.zeros(n, bool)
-        if self.sync is not None:
-            at = self.sync.astype(np.int64) - 1
-            key[at[(at >= 0) & (at < n)]] = True
-        sizes = np.zeros(0, np.int64) if self.sizes is None else self.sizes
-        if self.fragments:
-            more = np.concatenate(self.fragments)
-            return np.append(offsets, more[:, 0]), np.append(sizes, more[:, 1]), np.append(key, more[:, 2] > 0)
-        return offsets, sizes, key
+    in_fragments: int = 0
+
+    @property
+    def n_samples(self) -> int:
+        return self.count + self.in_fragments
+
+    def listed_duration(self) -> int:
+        if self.stts is None or not len(self.stts):
+            return 0
+        rows = self.stts.astype(np.float64)
+        if rows[:, 0] @ rows[:, 1] >= FARTHEST:
+            raise MediaError("duration out of range")
+        return int((self.stts[:, 0].astype(np.int64) * self.stts[:, 1].astype(np.int64)).sum())
+
+    def _chunked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The offset of each chunk that holds samples, and how many samples come before its end."""
+        if not self.count:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.stsc is None or self.chunks is None or not len(self.stsc) or not len(self.chunks):
+            raise MediaError("samples without chunks")
+        if self.chunks.max() > FARTHEST:
+            raise MediaError("chunk offset out of range")
+        first = self.stsc[:, 0].astype(np.int64) - 1
+        runs = np.diff(np.append(first, len(self.chunks)))
+        if (runs < 0).any() or first[0] != 0:
+            raise MediaError("stsc out of order")
+        # Counts are summed, never laid out: a chunk may claim more samples than there are.
+        upto = np.cumsum(np.repeat(self.stsc[:, 1].astype(np.int64), runs))
+        if upto[-1] < self.count:
+            raise MediaError("chunks hold fewer samples than stsz")
+        used = int(np.searchsorted(upto, self.count)) + 1
+        return self.chunks[:used].astype(np.int64), np.minimum(upto[:used], self.count)
+
+    def _bytes_before(self, samples: np.ndarray) -> np.ndarray:
+        if self.sizes is None:
+            return samples * self.size
+        return np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))[samples]
+
+    def byte_ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and size of what the samples hold, in decoding order: a range for each chunk and each listed sample or run of a fragment."""
+        offsets, upto = self._chunked()
+        sizes = np.diff(self._bytes_before(np.concatenate(([0], upto))))
+        more = np.concatenate([np.zeros((0, 3), np.int64), *self.fragments])
+        return np.append(offsets, more[:, 0]), np.append(sizes, more[:, 1])
+
+    def keyframes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and size of each keyframe; more than LISTED equal samples that are keyframes all have a range for each chunk."""
+        offsets, upto = self._chunked()
+        start = np.concatenate(([0], upto))[:-1]
+        if self.sync is None and self.sizes is None and self.count > LISTED:
+            found = offsets, (upto - start) * self.size
+        else:
+            key = np.arange(self.count)
+            if self.sync is not None:
+                key = np.unique(self.sync.astype(np.int64) - 1)
+                key = key[(key >= 0) & (key < self.count)]
+            chunk = np.searchsorted(upto, key, side="right")
+            found = offsets[chunk] + self._bytes_before(key) - self._bytes_before(start)[chunk], np.full(len(key), self.size, np.int64) if self.sizes is None else self.sizes[key].astype(np.int64)
+        more = np.concatenate([np.zeros((0, 3), np.int64), *self.fragments])
+        more = more[more[:, 2] > 0]
+        return np.append(found[0], more[:, 0]), np.append(found[1], more[:, 1])
 
 
 def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
@@ -152,9 +184,9 @@ def parse(data: bytes) -> list[Track]:
                 _leaf(kind, at, stop, track)
 
     def _claim(size: int, kind: bytes) -> None:
-        # Samples that no table lists one by one; tracks may share bytes, but not without end.
+        # Samples that no table lists one by one have bytes of their own.
         state["claimed"] = state.get("claimed", 0) + size
-        if state["claimed"] > SHARED * len(data):
+        if state["claimed"] > len(data):
             raise MediaError(f"{kind.decode()} counts more samples than the file has bytes for")
 
     def _leaf(kind: bytes, at: int, stop: int, track: Track) -> None:
@@ -173,7 +205,7 @@ def parse(data: bytes) -> list[Track]:
         elif kind == b"stsd":
             track.codec = next((k.decode("latin-1") for k, *_ in boxes(data, at + 8, stop)), "")
         elif kind == b"stts":
-            track.stts = [tuple(x) for x in _table(data, at, stop, kind, 2).tolist()]
+            track.stts = _table(data, at, stop, kind, 2)
         elif kind == b"stss":
             track.sync = _table(data, at, stop, kind, 1)
         elif kind == b"stsc":
@@ -183,7 +215,10 @@ def parse(data: bytes) -> list[Track]:
             size, count = struct.unpack_from(">II", data, at + 4)
             if size:
                 _claim(count * size, kind)
-            track.sizes = np.full(count, size, np.int64) if size else _table(data, at, stop, kind, 1, skip=8).astype(np.int64)
+                track.sizes, track.size, track.count = None, size, count
+            else:
+                track.sizes = _table(data, at, stop, kind, 1, skip=8)
+                track.count = len(track.sizes)
         elif kind == b"stco":
             track.chunks = _table(data, at, stop, kind, 1)
         elif kind == b"co64":
@@ -226,6 +261,16 @@ def parse(data: bytes) -> list[Track]:
         first = None
         if flags & 0x4:
             first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        track.in_fragments += count
+        if not any(each) and count > LISTED:
+            # Equal samples with equal flags are one range each for the first and the others.
+            size, others = state["size"], int((state["flags"] & 0x10000) == 0)
+            if not 0 <= where <= FARTHEST:
+                raise MediaError("trun offset out of range")
+            one = others if first is None else int((first & 0x10000) == 0)
+            track.fragments.append(np.array([(where, size, one), (where + size, (count - 1) * size, others)], np.int64))
+            state["next"] = where + count * size
+            return
         rows = np.frombuffer(data, ">u4", count * sum(each), at).reshape(count, sum(each)).astype(np.int64)
         sizes = rows[:, sum(each[:1])] if each[1] else np.full(count, state["size"], np.int64)
         how = rows[:, sum(each[:2])] if each[2] else np.full(count, state["flags"], np.int64)
@@ -292,13 +337,8 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return b.ljust(max(1, -(-len(b) // FRAME)) * FRAME, b" "), len(b)
 
 
-def ranges(track: Track) -> list[tuple[int, int]]:
-    offsets, sizes, key = track.samples()
-    return list(zip(offsets[key].tolist(), sizes[key].tolist()))
-
-
 def read_back(data: bytes, track: Track) -> bytes:
-    offsets, sizes, _ = track.samples()
+    offsets, sizes = track.byte_ranges()
     if not len(offsets):
         return b""
     breaks = np.flatnonzero(offsets[1:] != offsets[:-1] + sizes[:-1]) + 1
@@ -307,36 +347,50 @@ def read_back(data: bytes, track: Track) -> bytes:
 
 
 def feature(track: Track) -> str:
-    keys = ",".join(f"{a}+{n}" for a, n in ranges(track))
-    return f"codec={track.codec};handler={track.handler};timescale={track.timescale};duration={track.duration};samples={len(track.samples()[0])};keyframes={keys}"
+    keys = ",".join(f"{a}+{n}" for a, n in zip(*(x.tolist() for x in track.keyframes())))
+    return f"codec={track.codec};handler={track.handler};timescale={track.timescale};duration={track.duration};samples={track.n_samples};keyframes={keys}"
 
 
-_TRACK = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))])
+_KEYFRAME = pa.struct([("offset", pa.int64()), ("size", pa.int64())])
+_PLAIN = [("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64())]
+_TRACK = pa.struct([*_PLAIN, ("keyframes", pa.list_(_KEYFRAME))])
 
 
-def describe(data: bytes | None) -> tuple[list[dict], str | None]:
+def describe(data: bytes | None) -> tuple[list[tuple], str | None]:
+    """The values of _PLAIN and the keyframes' offsets and sizes for each track, or an error."""
     if not data:
         return [], "empty"
     try:
         out = []
         for t in parse(data):
-            n = len(t.samples()[0])
-            length = t.duration or sum(c * d for c, d in t.stts)
+            length = t.duration or t.listed_duration()
             if length > FARTHEST:
                 raise MediaError("duration out of range")
-            out.append({"track_id": t.track_id, "handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": length, "seconds": length / t.timescale if t.timescale else None, "n_samples": n, "keyframes": [{"offset": a, "size": s} for a, s in ranges(t)]})
+            out.append((t.track_id, t.handler, t.codec, t.timescale, length, length / t.timescale if t.timescale else None, t.n_samples, t.keyframes()))
         return out, None
-    except (MediaError, IndexError, OverflowError, UnicodeDecodeError) as e:
+    except (MediaError, IndexError, OverflowError, UnicodeDecodeError, MemoryError) as e:
         return [], str(e) or type(e).__name__
 
 
+def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values)
+
+
+def _tracks(found: list[list[tuple]]) -> pa.Array:
+    tracks = [t for f in found for t in f]
+    key = [np.concatenate([np.zeros(0, np.int64), *[t[-1][i] for t in tracks]]) for i in (0, 1)]
+    keyframes = _lists([len(t[-1][0]) for t in tracks], pa.StructArray.from_arrays([pa.array(k, pa.int64()) for k in key], fields=list(_KEYFRAME)))
+    plain = [pa.array([t[i] for t in tracks], kind) for i, (_, kind) in enumerate(_PLAIN)]
+    return _lists([len(f) for f in found], pa.StructArray.from_arrays([*plain, keyframes], fields=list(_TRACK)))
+
+
 def probe(df: DataFrame, content: str) -> DataFrame:
     """``df`` without the binary column ``content``, with media_tracks and media_error."""
 
     def start():
         def make(values: pa.Array) -> list[pa.Array]:
             found = [describe(x.as_py()) for x in values]
-            return [pa.array([t for t, _ in found], pa.list_(_TRACK)), pa.array([e for _, e in found], pa.string())]
+            return [_tracks([t for t, _ in found]), pa.array([e for _, e in found], pa.string())]
 
         return make
 

@@ -170,6 +170,26 @@ def test_media_probe_of_hostile_files(spark):
     assert by["unknown duration"].media_tracks[0].duration == by["unknown duration 64"].media_tracks[0].duration == 0
 
 
+def test_media_probe_of_small_files_that_count_much():
+    """Memory follows the file: equal samples are never laid out, and more of them than bytes are an error."""
+    import tracemalloc
+
+    f = media._full
+    for size in (2 << 20, 16 << 20):
+        for count, ok in ((4 * size, False), (size, True)):
+            head = moov(f(b"stts", struct.pack(">III", 1, count, 1)), f(b"stsz", struct.pack(">II", 1, count)), f(b"stsc", struct.pack(">IIII", 1, 1, count, 1)), f(b"stco", struct.pack(">II", 1, 400)))
+            data = head + media._box(b"mdat", bytes(size))
+            tracemalloc.start()
+            tracks, error = media.describe(data)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 20 << 20 and (error is None) == ok
+            assert not ok or (tracks[0][6] == count and [x.tolist() for x in tracks[0][7]] == [[400], [count]])
+    run = media._box(b"moof", media._box(b"traf", f(b"tfhd", struct.pack(">I", 1)), f(b"trun", struct.pack(">I", 100_000))))
+    tracks, error = media.describe(moov() + run + media._box(b"mdat", bytes(200_000)))
+    assert error is None and tracks[0][6] == 100_000
+
+
 def test_media_form_and_feature(spark, folder, rows):
     """The stored form, byte by byte: the payload stands at the file's end and the keyframes are each twelfth frame of it."""
     want = Counter()
@@ -809,6 +829,26 @@ def test_line_dedup(spark, folder, rows):
     assert sum(k[2] for k in want) > 0
 
 
+def test_line_dedup_of_one_huge_text_is_bounded(monkeypatch):
+    import tracemalloc
+
+    line = "a line of more than forty characters, number %d of this text"
+    text = "\n".join(line % (i % 150_000) for i in range(300_000))
+    keys = {linededup.digest((line % i).encode()) for i in range(0, 150_000, 3)}
+    for work, most in ((lambda: linededup.hashes_of(text, 40), 3 * len(text)), (lambda: linededup._without(text, 40, keys.__contains__), 5 * len(text))):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most  # the text's bytes, what stays of it, and a piece's lines
+    out = linededup._without(text, 40, keys.__contains__)
+    assert (out["n_lines"], out["n_dropped"]) == (300_000, 100_000) and len(linededup.hashes_of(text, 40)) == 150_000
+    for cut in (1, 7, 64):
+        monkeypatch.setattr(linededup, "PIECE", cut)
+        for t in ("", "\n", "a\n\nb", "x" * 100 + "\n" + "y" * 3 + "\n\n", None):
+            assert b"\n".join(linededup.pieces(t)).decode() == (t or "")
+
+
 def test_line_dedup_without_sent_keys(spark, folder, monkeypatch):
     right = by_text(QUERIES["op10_line_dedup"](spark, folder), None, "doc_id", "n_lines", "n_dropped", "kept_sha256")
     monkeypatch.setattr(linededup, "SENT_KEYS", 0)
