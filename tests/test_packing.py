@@ -1,0 +1,90 @@
+"""Packing of large groups against plain folds."""
+
+import random
+
+import numpy as np
+import pytest
+
+from folioscope.operators import packing
+
+
+def plain_batches(sizes, budget, header):
+    batch, used, count, out = 0, header, 0, []
+    for s in sizes:
+        if s > budget:
+            batch += count > 0
+            out.append(batch)
+            batch, used, count = batch + 1, header, 0
+            continue
+        if count and used + s > budget:
+            batch, used, count = batch + 1, header, 0
+        out.append(batch)
+        used, count = used + s, count + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chunks_compose_to_the_fold(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        budget, header = rng.choice([5, 10, 30, 100]), rng.choice([0, 1, 3])
+        sizes = [rng.choice([0, 0, 1, 2, 3, rng.randint(0, budget + 5)]) for _ in range(rng.randint(1, 60))]
+        left, batch, got, i = -1, -1, [], 0
+        while i < len(sizes):
+            k = rng.randint(1, 12)
+            chunk = np.array(sizes[i : i + k], np.int64)
+            i += k
+            got += packing.numbered(chunk, budget - header, left, batch).tolist()
+            *function, total = packing.steps(chunk, budget - header)
+            left, opened = packing.after(*function, total, left)
+            batch += opened
+        assert got == plain_batches(sizes, budget, header)
+
+
+def test_batches_of_one_large_group_come_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 37)
+    rng = random.Random(9)
+    items = [("hot", i, rng.choice([0, 3, 17, 60, 130])) for i in range(5000)] + [(g, i, rng.randint(0, 120)) for g in ("a", "b", None) for i in range(70)] + [("one", 0, 5)]
+    got = {(r.grp, r.item): (r.batch, r.taken) for r in packing.batches(spark.createDataFrame(items, "grp string, pos long, size long").selectExpr("grp", "pos", "pos as item", "size").repartition(3), 100, 7).collect()}
+    for g in ("hot", "a", "b", None, "one"):
+        sizes = [s for x, _, s in items if x == g]
+        assert [got[g, i] for i in range(len(sizes))] == [(b, min(s, 100)) for b, s in zip(plain_batches(sizes, 100, 7), sizes)]
+
+
+def plain_allocation(rows, budget, slots):
+    left, open_slots, last, used, share, out = budget, slots + 1, object(), 0, 0, []
+    for rank, ord_, doc, size in sorted(rows):
+        first = rank != last
+        if first:
+            open_slots, last, used = open_slots - 1, rank, 0
+            share = left // max(1, open_slots)
+        ok = open_slots > 0 and size <= (left if first else min(left, share - used))
+        out.append((doc, ord_, size if ok else 0, None if ok else "no slot" if open_slots <= 0 else "over budget" if size > left else "over share"))
+        if ok:
+            used, left = used + size, left - size
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_allocation_folds_only_candidates(spark, monkeypatch, seed):
+    rng, folded = random.Random(seed), []
+    rows = []
+    for q in range(12):
+        n = 2000 if q == 0 else rng.randint(1, 40)
+        for i in range(n):
+            rank = rng.randint(0, 2 if q == 0 else 5)
+            rows.append((q, rank, i, 100 + rank, rng.choice([0, 0, 5, 7, 50, 120, 400, 1000, 1500])))
+    schema = "question long, rank int, ord int, doc_id long, size long"
+    got = packing.allocate(spark.createDataFrame(rows, schema).repartition(3), 1000, 3).collect()
+    for q in range(12):
+        assert sorted(((r.doc_id, r.ord, r.granted, r.reason) for r in got if r.question == q), key=repr) == plain_allocation([r[1:] for r in rows if r[0] == q], 1000, 3)
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(g, i, (i * 7) % 5) for g, n in (("hot", 3000), ("b", 3), (None, 4)) for i in range(n)]
+    got = {(r.g, r.i): (r.at, r.before) for r in packing.running(spark.createDataFrame(rows, "g string, i long, v long").repartition(3), "g", "i", value="v").collect()}
+    for g in ("hot", "b", None):
+        total = 0
+        for k, (_, i, v) in enumerate([r for r in rows if r[0] == g]):
+            assert got[g, i] == (k, total)
+            total += v
