@@ -61,12 +61,11 @@ def sentences(text: Column) -> Column:
 def mentions(papers: DataFrame) -> DataFrame:
     """doc_id, key, sentences (the first twelve different ones that mention it, in order), related (keys named in the same ones).
 
-    ``papers``: doc_id, text.  In a sentence only the first reference of each kind counts as a mention; related keys come from all.
+    ``papers``: doc_id, text.  Every reference of a sentence is a mention of what it names.
     """
     s = papers.select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("at", "sentence")).withColumn("refs", references(F.col("sentence"))).where("size(refs) > 0")
     every = F.array_sort(F.array_distinct(F.flatten(F.transform("refs", lambda r: F.transform(r["numbers"], lambda n: F.struct(r["kind"].alias("kind"), n.cast("bigint").alias("number"), n.alias("text")))))))
-    first = F.filter("refs", lambda r, i: F.array_position(F.transform("refs", lambda q: q["kind"]), r["kind"]) == i + 1)
-    keys = F.array_distinct(F.flatten(F.transform(first, lambda r: F.transform(r["numbers"], lambda n: F.concat(r["kind"], n)))))
+    keys = F.array_distinct(F.flatten(F.transform("refs", lambda r: F.transform(r["numbers"], lambda n: F.concat(r["kind"], n)))))
     m = s.select("doc_id", "at", "sentence", every.alias("every"), F.explode(keys).alias("key"))
     m = m.groupBy("doc_id", "key", "sentence").agg(F.min("at").alias("at"), F.first("every").alias("every"))
     m = m.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("at"))).where(F.col("nth") <= MOST_MENTIONS)

@@ -1,4 +1,4 @@
-"""Glossary terms: extraction, aliases, normal forms, symbols, document frequency, merges, mentions."""
+"""Glossary terms: extraction, aliases, normal forms, symbols, document frequency, merges."""
 
 from __future__ import annotations
 
@@ -77,20 +77,3 @@ def folded(members: DataFrame, merges: DataFrame) -> DataFrame:
     """Members recounted under the targets of a closed merge map."""
     to = merges.select("slug", "target")
     return members.join(to, "slug", "left").groupBy(F.coalesce("target", "slug").alias("slug")).agg(F.count_distinct("stem").alias("notes"), F.count_distinct("form").alias("forms"))
-
-
-def mentions(notes: DataFrame, forms: DataFrame, most: int) -> DataFrame:
-    """slug, doc_id of whole-word mentions.
-
-    Each form's longest token is looked up in the notes' tokens first; tokens in more than ``most`` notes are
-    too common to look up; what is left is confirmed on the text.
-    """
-    toks = notes.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    words = lambda f: F.regexp_extract_all(F.lower(f), F.lit("[a-z0-9]+"), F.lit(0))
-    key = F.array_max(F.transform(words("form"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = forms.withColumn("token", key)
-    wanted = toks.join(keyed.select("token").distinct(), "token", "left_semi")
-    rare = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("token")
-    near = keyed.join(rare, "token").join(wanted, "token").join(notes, "doc_id")
-    pattern = F.concat(F.lit("(^|[^a-z0-9])"), F.lower("form"), F.lit("s?([^a-z0-9]|$)"))
-    return near.where(F.regexp(F.lower("text"), pattern)).select("slug", "doc_id").distinct()

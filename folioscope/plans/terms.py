@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import assets as A
+from folioscope.operators import mentions as M
 from folioscope.operators import terms as G
 from folioscope.plans.registry import query
 from folioscope.sources.tables import load
@@ -98,10 +99,24 @@ def g04(spark, sf):
     return j.select("a", "b", F.when(F.col("nb").isNull(), "missing").when((F.col("ta") == "SMALL") | (F.col("tb") == "SMALL"), "gene").when(~F.arrays_overlap("na", "nb"), "no shared name").otherwise("accepted").alias("outcome"))
 
 
-@query("h12_mentions", "with f as (select distinct regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1) as form, item_id as slug from benchmark where regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1) <> ''), k as (select slug, form, list_max(list_transform(regexp_extract_all(lower(form), '[a-z0-9]+'), lambda w: {'n': length(w), 'w': w})).w as token from f), t as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as token from documents), r as (select token from t where token in (select token from k) group by 1 having count(*) <= 400) select distinct k.slug, d.doc_id from k join r using (token) join t using (token) join documents d on d.doc_id = t.doc_id where regexp_matches(lower(d.text), '(^|[^a-z0-9])' || lower(k.form) || 's?([^a-z0-9]|$)')")
+#: Each item is a term of two words with a plural and an alias of three capitals, every third one a gene that is written as its forms are.
+FORMS = """select item_id as slug, case when item_id % 3 = 0 then 'gene' else 'term' end as kind, {0} as form from w where len(w) >= 2"""
+SHAPES = ["w[1] || ' ' || w[2]", "w[1]", "upper(left(w[2], 3))", "w[2]"]
+
+
+@query("h12_mentions", rf"""with w as (select item_id, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark), f as ({" union ".join(FORMS.format(x) for x in SHAPES)}),
+k as (select slug, lower(list_reduce(regexp_extract_all(form, '[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*'), lambda a, b: case when length(b) > length(a) then b else a end)) as token from f),
+t as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*'), lambda x: lower(x)))) as token from documents), p as (select distinct slug, doc_id from k join t using (token)),
+r as (select slug from p group by 1 having count(*) <= 400), c as (select slug, doc_id, text from p join r using (slug) join documents using (doc_id))
+select distinct c.slug, c.doc_id from c join f using (slug) where case when kind = 'gene' or regexp_full_match(form, '[A-Z0-9]{{1,3}}') then regexp_matches(text, '(^|[^A-Za-z0-9])' || regexp_escape(form) || '([^A-Za-z0-9]|$)')
+ else regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(lower(form)) || '(s|es)?([^a-z0-9]|$)') end""")
 def h12(spark, sf):
-    f = load(spark, sf, "benchmark").select(F.regexp_extract("text", "^([A-Za-z]+ [a-z]+)", 1).alias("form"), F.col("item_id").alias("slug")).where("form <> ''").distinct()
-    return G.mentions(load(spark, sf, "documents").select("doc_id", "text"), f, 400)
+    """The documents that mention terms, by the terms' own case rules; terms in question for over 400 documents are left out."""
+    w = load(spark, sf, "benchmark").select(F.col("item_id").alias("slug"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where("size(w) >= 2")
+    one, two = F.col("w")[0], F.col("w")[1]
+    shapes = F.array(F.concat_ws(" ", one, two), one, F.upper(F.left(two, F.lit(3))), two)
+    f = w.select("slug", F.explode(shapes).alias("form"), F.when(F.col("slug") % 3 == 0, "gene").otherwise("term").alias("kind"))
+    return M.mentions(load(spark, sf, "documents").select("doc_id", "text"), f, 400)
 
 
 #: Papers: documents with sentences that refer to figures and tables.
@@ -112,8 +127,8 @@ SQL_MENTIONS = rf"""p as (select doc_id, {PAPER} as text from documents where te
 s as (select doc_id, unnest(s) as raw, generate_subscripts(s, 1) as pos from c), t as (select doc_id, pos, trim(raw, ' ' || chr(9) || chr(10) || chr(13) || chr(12)) as sentence from s), u as (select * from t where length(sentence) >= 25),
 m as (select doc_id, pos, sentence, unnest(regexp_extract_all(sentence, '{REF}', 1)) as pre, unnest(regexp_extract_all(sentence, '{REF}', 2)) as noun, unnest(regexp_extract_all(sentence, '{REF}', 3)) as chunk, generate_subscripts(regexp_extract_all(sentence, '{REF}'), 1) as nth from u),
 k as (select *, case when lower(pre) like 'extended%' then 'extdata' when lower(pre) like 'suppl%' then 'supp' else '' end || case when lower(noun) like 'table%' then 'table' when lower(pre) like 'extended%' or lower(pre) like 'suppl%' then 'fig' else 'figure' end as kind, {SQL_NUMBERS.format('chunk')} as numbers from m),
-named as (select doc_id, pos, sentence, kind, unnest(numbers) as number from k), firsts as (select doc_id, pos, sentence, kind, unnest(numbers) as number from (select *, row_number() over (partition by doc_id, pos, kind order by nth) as f from k) where f = 1),
-keys as (select doc_id, kind || number as key, sentence, min(pos) as pos from firsts group by all), kept as (select *, row_number() over (partition by doc_id, key order by pos) as nth from keys),
+named as (select doc_id, pos, sentence, kind, unnest(numbers) as number from k),
+keys as (select doc_id, kind || number as key, sentence, min(pos) as pos from named group by all), kept as (select *, row_number() over (partition by doc_id, key order by pos) as nth from keys),
 top as (select * from kept where nth <= 12), rel as (select distinct t.doc_id, t.key, n.kind, n.number from top t join named n on n.doc_id = t.doc_id and n.sentence = t.sentence where n.kind || n.number <> t.key),
 best as (select *, row_number() over (partition by doc_id, key order by kind, number::bigint, number) as nth from rel), rr as (select doc_id, key, string_agg(kind || number, ' ' order by kind, number::bigint, number) as related from best where nth <= 10 group by all),
 mm as (select doc_id, key, count(*) as n, md5(string_agg(sentence, chr(10) order by pos)) as digest from top group by all)"""

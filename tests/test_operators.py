@@ -320,25 +320,18 @@ def plain_judge(f, r):
     first = bool({*words(f["surnames"][0])} & known) if f["surnames"] and r["authors"] else None
     paper = not re.search(identity.NOT_A_PAPER, r["title"] or "")
     untitled = f["header"] is None or banner
-    return round(best, 3), (agrees or in_text or (by_name and untitled)) and (f["from_doi"] or by_name or first is not False) and paper
+    return round(best, 3), (agrees or in_text or (by_name and untitled)) and (f["from_doi"] or by_name or first is not False) and paper, agrees or in_text or by_name
 
 
 def test_linkage_is_brute_force(spark, sf):
     from folioscope.plans import identity as P
 
     files, records = [r.asDict() for r in P.files(spark, sf).collect()], [r.asDict() for r in P.records(spark, sf).collect()]
-    df = {}
-    for r in records:
-        for w in {*plain_words(r["title"])}:
-            df[w] = df.get(w, 0) + 1
     want = {}
     for f in files:
         found = [(r, True) for r in records if f["doi"] and r["doi"] == f["doi"]]
-        head, _, rest = (identity_parts(f["stem"]))
-        asked = [w for w in {*plain_words(f["header"] if f["header"] is not None else rest)} if w in df]
-        if asked:
-            rare = min(asked, key=lambda w: (df[w], w))
-            found += [(r, False) for r in records if rare in plain_words(r["title"]) and abs(r["year"] - head) <= 1]
+        year = identity_parts(f["stem"])[0]
+        found += [(r, False) for r in records if abs(r["year"] - year) <= 1 and plain_judge(f | {"from_doi": False}, r)[2]]
         ranked = sorted(((not (x := plain_judge(f | {"from_doi": d}, r))[1], not d, -x[0], r["rid"], x) for r, d in found), key=lambda x: x[:4])
         if ranked:
             want[f["id"]] = (ranked[0][3], "doi" if not ranked[0][1] else "search", ranked[0][4][0], ranked[0][4][1])
@@ -379,7 +372,7 @@ def test_mentions_by_hand(spark):
     text = "Figure 1 shows what this paper found first. As Figs. 2-4 and Table S1 show, it holds for the cohort! See Fig. 1 (Extended Data Fig. 1) for the same in mice. Short Fig. 1. Figure 1 shows what this paper found first. Fig. 2 differs from Fig. 1 in this one sentence."
     got = {r.key: r for r in assets.mentions(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
     assert set(got) == {"figure1", "figure2", "figure4", "table1", "extdatafig1"}
-    assert len(got["figure1"].sentences) == 2 and got["figure1"].related == ["extdatafig1"]  # of two references of a kind the first counts
+    assert len(got["figure1"].sentences) == 3 and got["figure1"].related == ["extdatafig1", "figure2"]  # every reference counts
     assert len(got["figure2"].sentences) == 2 and got["figure2"].related == ["figure1", "figure4", "table1"]
     many = " ".join(f"Sentence number {i} of many refers to Fig. 1 and Table {i}." for i in range(40))
     (r,) = [r for r in assets.mentions(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect() if r.key == "figure1"]
