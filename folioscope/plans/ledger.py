@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import transitions
+from folioscope.operators import budget, transitions
 from folioscope.plans.registry import query
 from folioscope.sources.tables import SQL_JOBS, jobs, load
 
@@ -48,6 +48,26 @@ def j05(spark, sf):
     return g.withColumn("open", F.greatest(F.lit(0), F.col("held") - F.col("settled") - F.col("released")))
 
 
+#: A member's log: views reserve, and what follows settles, releases or marks the last view before it, which may be over or refused by then.
+LOG = """select member_id, {0} as period, moment as instant, job_id as seq, case kind when 'view' then 'reserve' when 'purchase' then 'settle' when 'signup' then 'settle' when 'error' then 'release' else 'unknown' end as op,
+ {1} as rid, case kind when 'purchase' then {2} else tokens end as micros, case when member_id % 10 > 0 then 150 + member_id % 7 * 20 end as member_cap from jobs"""
+LAST_VIEW = "last_value(case when kind = 'view' then job_id end ignore nulls) over (partition by member_id order by moment, job_id rows between unbounded preceding and current row)"
+
+
+@query("j05_admissions", f"""with recursive {SQL_JOBS}, log as ({LOG.format("strftime(moment, '%Y-%m')", LAST_VIEW, "tokens // 2")}), o as (select *, row_number() over (partition by member_id, period order by instant, seq) as n from log),
+r as (select member_id, period, 0::bigint as n, null::bigint as seq, null::varchar as outcome, null::bigint as available, 0::bigint as reserved, 0::bigint as settled, []::struct(rid bigint, micros bigint, state varchar)[] as held from (select distinct member_id, period from o)
+ union all select member_id, period, n, seq, outcome, case when outcome = 'refused' then greatest(member_cap - reserved - settled, 0) end, reserved + case outcome when 'held' then micros when 'settled' then -amount when 'released' then -amount else 0 end, settled + case when outcome = 'settled' then micros else 0 end,
+  case when outcome = 'held' then list_append(held, {{'rid': rid, 'micros': micros, 'state': 'held'}}) when outcome in ('settled', 'released', 'unknown') then list_transform(held, lambda h: {{'rid': h.rid, 'micros': h.micros, 'state': case when h.rid = rid then outcome else h.state end}}) else held end from (
+  select *, case when op = 'reserve' then case when member_cap is not null and reserved + settled + micros > member_cap then 'refused' else 'held' end when state is null then 'missing' when state = target then 'same' when state = 'held' or (state = 'unknown' and target <> 'unknown') then target else 'invalid' end as outcome from (
+   select o.*, r.reserved, r.settled, r.held, case op when 'settle' then 'settled' when 'release' then 'released' else 'unknown' end as target, list_filter(r.held, lambda h: h.rid = o.rid)[1].state as state, list_filter(r.held, lambda h: h.rid = o.rid)[1].micros as amount from r join o on o.member_id = r.member_id and o.period = r.period and o.n = r.n + 1)))
+select member_id, period, seq, outcome, available, reserved, settled from r where n > 0""")
+def j05_admissions(spark, sf):
+    """Which reservations a member's cap lets through, and what settling, releasing and unknown bills leave of it, entry by entry."""
+    jobs(spark, sf).createOrReplaceTempView("jobs")
+    log = spark.sql(LOG.format("date_format(moment, 'yyyy-MM')", LAST_VIEW.replace(" ignore nulls)", ") ignore nulls"), "tokens div 2")).withColumnRenamed("instant", "at").withColumn("lab_cap", F.lit(None).cast("long"))
+    return budget.ledger(log).select("member_id", "period", "seq", "outcome", "available", "reserved", "settled")
+
+
 @query("e24_balances", f"with {SQL_JOBS}, s as (select member_id, sum(case when kind = 'view' then tokens else 0 end) as r, sum(case when kind = 'purchase' then tokens else 0 end) as s from jobs group by 1) select member_id, case when member_id % 10 = 0 then null else 2000 - r - s end::bigint as balance from s")
 def e24(spark, sf):
     """A null cap is unlimited, and so is its balance."""
