@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import budget, transitions
+from folioscope.operators import budget, jobmachine, transitions
 from folioscope.plans.registry import query
 from folioscope.sources.tables import SQL_JOBS, jobs, load
 
@@ -30,6 +30,30 @@ def j03(spark, sf):
     return l.select("member_id", "kind", F.when(F.col("kind") == "purchase", "done").when(F.col("kind") == "error", "failed").when(until <= F.expr(f"timestamp_ntz '{NOW}'"), "expired").otherwise("running").alias("status"))
 
 
+#: A member's events as requests to one job: what is made, queued, claimed for ten hours, paid for and closed, often out of turn.
+REQUESTS = """select member_id as job, job_id as seq, moment, case kind when 'signup' then 'create' when 'view' then case when tokens % 2 = 0 then 'queue' else 'resume' end when 'click' then case when tokens % 4 > 0 then 'claim' else 'hold' end
+ when 'purchase' then case when tokens % 2 = 0 then 'complete' else 'partial' end else case when tokens % 3 = 0 then 'fail' when tokens % 3 = 1 then 'pause' else 'reject' end end as op, 36000000 as lease_ms, case when tokens % 5 = 0 then 1 end as attempt, 5 as held from jobs"""
+ALLOWED = " or ".join(f"(op = '{op}' and status in ({', '.join(repr(x) for x in sorted(states))}))" for op, (states, _) in jobmachine.MOVES.items())
+TARGETS = " ".join(f"when '{op}' then '{to}'" for op, (_, to) in jobmachine.MOVES.items())
+
+
+@query("j03_job_states", f"""with recursive {SQL_JOBS}, q as ({REQUESTS}), o as (select *, epoch_ns(moment) // 1000000 as ms, row_number() over (partition by job order by moment, seq) as n from q),
+r as (select job, 0::bigint as n, null::bigint as seq, null::varchar as status, 0 as tries, null::bigint as until, 0 as holds, null::varchar as reason from (select distinct job from o)
+ union all select job, n, seq, case when reason = 'orphaned' then 'outcome_unknown' when reason is not null then status else case op when 'create' then 'received' when 'hold' then status when 'claim' then 'running' {TARGETS} end end,
+  tries + (op = 'claim' and reason is null)::int, case when reason = 'orphaned' then null when reason is not null or op = 'hold' then until when op = 'claim' then ms + lease_ms end,
+  case when reason is not null then holds when op = 'hold' then holds + held when op = 'claim' and status <> 'running' then 0 else holds end, reason from (
+  select *, case when op = 'create' then case when status is not null then 'invalid_transition' end when status is null then 'missing' when op = 'hold' then case when status <> 'running' then 'invalid_transition' end
+    when op = 'claim' then case when status = 'running' and until > ms then 'lease_held' when status = 'running' and holds > 0 then 'orphaned' when status not in ('running', 'queued', 'paused_resume') then 'invalid_transition' end
+    when not ({ALLOWED}) then 'invalid_transition' when op in ('complete', 'partial', 'fail', 'unknown', 'pause') and status = 'running' and attempt <> tries then 'stale_attempt' end as reason
+   from (select o.*, r.status, r.tries, r.until, r.holds from r join o on o.job = r.job and o.n = r.n + 1)))
+select job, seq, status, tries, until as lease_until, reason from r where n > 0""")
+def j03_states(spark, sf):
+    """The state of every job after each request to it: ten states, leases, attempts and what holds money."""
+    jobs(spark, sf).createOrReplaceTempView("jobs")
+    log = spark.sql(REQUESTS).withColumn("at", F.unix_millis(F.col("moment").cast("timestamp")))
+    return jobmachine.histories(log).select("job", "seq", "status", "tries", "lease_until", "reason")
+
+
 OUTBOX = {"status": "case when tokens % 3 = 0 then 'pending' else 'sent' end", "attempts": "case when tokens % 3 = 0 then 0 else 1 + tokens % 2 end"}
 
 
