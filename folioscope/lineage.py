@@ -33,6 +33,17 @@ def _path(spark: SparkSession, name: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def new_table(spark: SparkSession) -> str:
+    """A name for a table among the application's own, which go when the driver ends."""
+    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if home not in _MARKED:
+        files, path = _path(spark, home)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(home)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read from there: nothing is lost with an executor.
 
@@ -41,13 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     one earlier.
     """
     spark = df.sparkSession
-    home = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
-    if home not in _MARKED:
-        files, path = _path(spark, home)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _MARKED.add(home)
-    where = f"{home}/{uuid.uuid4().hex}"
+    where = new_table(spark)
     df.write.parquet(where)
     out = spark.read.schema(df.schema).parquet(where)
     out._table = where

@@ -107,6 +107,10 @@ def term_totals(index: DataFrame) -> DataFrame:
     return each.groupBy("x.term").agg(F.sum("x.s").alias("sections"), F.sum("x.w").alias("weight"))
 
 
+#: Different terms of all queries that may stand in a plan as a list; more of them are joined.
+LISTED = 5_000
+
+
 def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, ord, score: every section that holds a term of a query.
 
@@ -115,9 +119,16 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode("terms").alias("term"))
     wanted = terms.select("term").distinct()
-    tf = postings(index).join(wanted, "term").groupBy("term", "doc_id", "ord", "len").agg(F.sum("w").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     totals = index.agg(F.struct(F.count(F.lit(1)).alias("total"), F.avg("len").alias("avglen")).alias("t")).scalar()
+    few = [r.term for r in wanted.limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:
+        # Tokens that no query asks for go before rows are made of the others.
+        index = index.select("doc_id", "ord", "len", *[F.filter(f"t{i}", lambda w: w.isin(few)).alias(f"t{i}") for i in range(len(WEIGHTS))])
+        held = postings(index)
+    else:
+        held = postings(index).join(wanted, "term")
+    tf = held.groupBy("term", "doc_id", "ord", "len").agg(F.sum("w").alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     hit = tf.join(df, "term").join(terms, "term").select("query_id", "doc_id", "ord", "tf", "n", "len", totals["total"].alias("total"), totals["avglen"].alias("avglen"))
     raw = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(FLOOR)

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.lineage import new_table
+from folioscope.operators import postings
 from folioscope.operators import search as S
 from folioscope.plans.registry import query
 from folioscope.sources.tables import SQL_NOTES, load, notes
@@ -59,6 +61,25 @@ def h04(spark, sf):
     return S.best_sections(S.bm25(index_of(spark, sf), questions(spark, sf)), 5)
 
 
+def stored(spark, sf, stemmed=False):
+    """The index of the documents by term and block, written under the application's tables."""
+    return postings.build(index_of(spark, sf), new_table(spark), stemmed)
+
+
+@query("h04_pruned_search", f"with {INDEX}, {terms_sql('benchmark', 'item_id')}, {SCORED}, {best_sql(5)}")
+def h04_pruned(spark, sf):
+    """The same answers from a stored index of which only the blocks that can matter are read."""
+    scored, _ = postings.top(stored(spark, sf), questions(spark, sf), 5)
+    return S.best_sections(scored, 5)
+
+
+@query("h04_stemmed_search")
+def h04_stemmed(spark, sf):
+    """Questions and sections by their words' stems; beyond SQL, tested against a plain stemmer and ranking."""
+    scored, _ = postings.top(stored(spark, sf, True), questions(spark, sf), 5)
+    return S.best_sections(scored, 5)
+
+
 @query("f02_section_capped", f"with {INDEX}, {terms_sql('benchmark', 'item_id')}, {SCORED.replace('scored as', 'scored0 as')}, scored as (select query_id, doc_id, ord, score from (select *, row_number() over (partition by query_id order by score desc, doc_id, ord) as nth from scored0) where nth <= 40), {best_sql(5)}")
 def f02(spark, sf):
     return S.best_sections(S.bm25(index_of(spark, sf), questions(spark, sf)), 5, most_sections=40)
