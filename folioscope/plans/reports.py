@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import packing
+from folioscope.lineage import cut
+from folioscope.operators import packing, ranks
 from folioscope.plans.registry import query
 from folioscope.sources.tables import SQL_JOBS, jobs, load
 
@@ -15,11 +16,6 @@ OUTCOMES = ["click", "error", "purchase", "refund", "timeout"]
 PRICES = [("purch", "3.25"), ("p", "1.1"), ("c", "0.37"), ("", "0.05")]
 
 
-def nearest_rank(fraction: float, c: str) -> Column:
-    """The value at rank ceil(n * fraction): exact, unlike an approximate percentile."""
-    return F.expr(f"percentile_disc({fraction}) within group (order by {c})")
-
-
 def with_domain(counts: DataFrame, key: str, domain: list[str]) -> DataFrame:
     """Counts with a row for every value of a fixed domain; values outside it are summed as ``other``."""
     named = counts.groupBy(F.when(F.col(key).isin(domain), F.col(key)).otherwise("other").alias(key)).agg(F.sum("n").alias("n"))
@@ -63,7 +59,11 @@ def e05(spark, sf):
 
 @query("e13_latency", f"with {SQL_JOBS} select kind, count(*) as n, percentile_disc(0.5) within group (order by seconds) as p50, percentile_disc(0.95) within group (order by seconds) as p95, max(seconds) as longest from jobs group by kind")
 def e13(spark, sf):
-    return jobs(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), nearest_rank(0.5, "seconds").alias("p50"), nearest_rank(0.95, "seconds").alias("p95"), F.max("seconds").alias("longest"))
+    j = jobs(spark, sf)
+    ranked = ranks.nearest_ranks(j, ["kind"], "seconds", {"p50": 50, "p95": 95})
+    n = j.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("seconds").alias("longest"))
+    r = ranked.withColumnRenamed("kind", "k")
+    return n.join(r, F.col("kind").eqNullSafe(F.col("k")), "left").select("kind", "n", "p50", "p95", "longest")
 
 
 @query("e23_session_load", f"with {SQL_JOBS}, s as (select *, case when row_number() over (partition by member_id order by moment, job_id) = 1 then 'first' else 'later' end as position from jobs) select position, kind, count(*) as n, percentile_disc(0.95) within group (order by seconds) as p95, count(*) filter (kind = 'error') as errors from s group by all")
@@ -71,7 +71,10 @@ def e23(spark, sf):
     """Latency and errors of first and later calls of a session."""
     first = F.row_number().over(Window.partitionBy("member_id").orderBy("moment", "job_id")) == 1
     s = jobs(spark, sf).withColumn("position", F.when(first, "first").otherwise("later"))
-    return s.groupBy("position", "kind").agg(F.count(F.lit(1)).alias("n"), nearest_rank(0.95, "seconds").alias("p95"), F.count_if(F.col("kind") == "error").alias("errors"))
+    s = cut(s.select("position", "kind", "seconds"))
+    n = s.groupBy("position", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "error").alias("errors"))
+    r = ranks.nearest_ranks(s, ["position", "kind"], "seconds", {"p95": 95}).withColumnsRenamed({"position": "p", "kind": "k"})
+    return n.join(r, F.col("position").eqNullSafe(F.col("p")) & F.col("kind").eqNullSafe(F.col("k")), "left").select("position", "kind", "n", "p95", "errors")
 
 
 @query("e14_outcome_domain", f"with {SQL_JOBS}, c as (select case when kind in {tuple(OUTCOMES)} then kind else 'other' end as kind, count(*) as n from jobs group by 1) select k as kind, coalesce(n, 0) as n from (select unnest({[*OUTCOMES, 'other']}) as k) left join c on c.kind = k")
