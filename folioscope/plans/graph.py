@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import graph as G
 from folioscope.plans.registry import query
+from folioscope.sources import commits
 from folioscope.sources.tables import SQL_LINKS, SQL_NOTES, load, notes, page_links
 
 #: Pages as documents: a page is the last part of its url's path in lower case, as the links name it.
@@ -207,3 +208,24 @@ def b04(spark, sf):
     n = notes(spark, sf)
     one = lambda df, name: df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "category", "n")
     return one(n, "docs").unionByName(one(S.sections(n), "sections")).unionByName(one(load(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("category")), "pages"))
+
+
+@query("b04_published_index", f"""with {SQL_NOTES}, {SQL_LINKS}, n as (select *, row_number() over (partition by doc_id % 700 order by doc_id) as nth from notes), won as (select *, 'n' || (doc_id % 700) as id from n where nth = 1),
+e as (select distinct page_id, 'n' || (length(target) * 37 % 700) as id from links)
+select 'docs' as tab, 'note' as kind, count(*) as n from won union all select 'docs', 'concept', count(*) from pages union all select 'sections', 'note', sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::bigint from won
+union all select 'links', 'concept', count(*) from e union all select 'orphans', 'note', count(*) from won where id not in (select id from e)""")
+def b04_published(spark, sf):
+    """The index tables as one version: the first of two notes under one id, its sections, different links, and notes that nothing links to; read back from the commit."""
+    from folioscope.lineage import new_table
+    from folioscope.operators import search as S
+
+    note = lambda d: d.select(F.lit("note").alias("doc_type"), F.concat(F.lit("n"), F.col("doc_id") % 700).alias("doc_id"), F.col("doc_id").alias("writer"))
+    n = notes(spark, sf)
+    concept = load(spark, sf, "pages").select(F.lit("concept").alias("doc_type"), F.concat(F.lit("p"), "page_id").alias("doc_id"), F.col("page_id").alias("writer"))
+    links = page_links(spark, sf).select(F.lit("concept").alias("doc_type"), F.concat(F.lit("p"), "page_id").alias("doc_id"), F.col("page_id").alias("writer"), F.lit("note").alias("to_type"), F.concat(F.lit("n"), F.length("target") * 37 % 700).alias("to_id"))
+    root = new_table(spark)
+    version = commits.commit(commits.index_tables(note(n).unionByName(concept), note(S.sections(n)), links), root, follows=0)
+    t = commits.snapshot(spark, root, version)
+    count = lambda tab, d, kind: d.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(tab).alias("tab"), "kind", "n")
+    out = count("docs", t["docs"], F.col("doc_type")).unionByName(count("sections", t["sections"], F.col("doc_type"))).unionByName(count("links", t["links"], F.col("from_type")))
+    return out.unionByName(t["orphans"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphans").alias("tab"), F.lit("note").alias("kind"), "n"))
