@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import present
+from folioscope.lineage import new_table
+from folioscope.operators import folds
 from folioscope.plans.registry import query
 from folioscope.sources.tables import load
 
@@ -88,6 +90,37 @@ def e10(spark, sf):
     return issues(review(spark, sf), rules()).groupBy((F.col("id") % 4).alias("batch"), "priority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y1") != F.col("y2")).alias("changes"))
 
 
+#: Orders as results of a review, in four batches.
+RESULTS = """select cast(o_orderkey as {0}) as work_id, o_orderkey as item_index, o_orderkey % 4 as batch, o_orderkey % 5 <> 0 as checked, o_orderkey % 3 = 0 as hashed, o_orderkey % 2 = 0 as has_doi, o_orderkey % 7 <> 0 as has_title,
+ case when o_orderkey % 11 = 0 then 'timeout' when o_orderkey % 13 = 0 then 'unreadable' end as error, case o_orderkey % 8 when 0 then 'not_returned' when 1 then 'review_required' end as recheck,
+ case when o_orderkey % 9 > 0 then 'd' || (o_orderkey % 6) end as old_doi, 'd' || (o_orderkey % 9) as new_doi, cast(o_custkey % 3 as {0}) as old_year, cast(o_custkey % 2 as {0}) as new_year, o_orderkey % 10 = 0 as supplied, o_orderstatus as decision from orders"""
+
+
+@query("e10_incremental_fold", f"""with r as ({RESULTS.format('varchar')}), c as (select 'papers' as counter, '' as key from r union all select 'pdf_checked', '' from r where checked union all select 'pdf_hash_verified', '' from r where hashed
+ union all select 'pdf_identity_confirmed', '' from r where hashed and has_doi and has_title union all select 'pdf_error', error from r where error is not null union all select 'doi_recheck', recheck from r where recheck is not null
+ union all select 'changed_proposal', 'doi' from r where old_doi is distinct from new_doi union all select 'changed_proposal', 'year' from r where old_year <> new_year union all select 'supplement', 'pmid' from r where supplied union all select 'decision', 'title:' || decision from r),
+s as (select 'changed_proposal' as counter, 'doi' as key, item_index from r where old_doi is distinct from new_doi union all select 'changed_proposal', 'year', item_index from r where old_year <> new_year union all select 'decision', 'title:' || decision, item_index from r),
+f as (select *, row_number() over (partition by counter, key order by item_index) as nth from s), t as (select counter, key, string_agg(item_index::varchar, ',' order by item_index) as samples from f where nth <= 3 group by all)
+select counter, key, n, coalesce(samples, '') as samples from (select counter, key, count(*) as n from c group by all) left join t using (counter, key)""")
+def e10_folded(spark, sf):
+    """Counters and first samples of four batches that come one after another, in no order, one of them twice."""
+    r = _results(spark, sf)
+    root = new_table(spark)
+    for batch in (2, 0, 3, 0, 1):
+        folds.fold(r.where(F.col("batch") == batch), root, f"batch-{batch}")
+    s = folds.state(spark, root)
+    three = s["samples"].groupBy(F.col("kind").alias("c"), F.col("key").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_index")), lambda i: i.cast("string")), ",").alias("samples"))
+    return s["counters"].join(three, (F.col("counter") == F.col("c")) & (F.col("key") == F.col("k")), "left").select("counter", "key", "n", F.coalesce("samples", F.lit("")).alias("samples"))
+
+
+def _results(spark, sf):
+    load(spark, sf, "orders").createOrReplaceTempView("orders")
+    x = spark.sql(RESULTS.format("string"))
+    pair = lambda doi, year: F.create_map(F.lit("doi"), F.col(doi), F.lit("year"), F.col(year))
+    pdf = F.struct(F.col("checked"), F.col("hashed").alias("sha256_matches"), F.col("has_doi").alias("doi_present"), F.col("has_title").alias("title_present"), F.array_compact(F.array("error")).alias("errors"))
+    return x.select("work_id", "item_index", "batch", pdf.alias("pdf"), "recheck", pair("old_doi", "old_year").alias("original"), pair("new_doi", "new_year").alias("proposals"), F.when(F.col("supplied"), F.array(F.lit("pmid"))).alias("supplements"), F.create_map(F.lit("title"), F.col("decision")).alias("decisions"))
+
+
 @query("d05_reconciliation", "with c as (select o_orderkey as id, o_orderstatus as status, o_orderdate as updated from orders where o_orderkey % 8 > 0), i as (select l_orderkey as id, max(l_shipdate) as indexed from lineitem where l_orderkey % 5 > 0 group by 1), j as (select coalesce(c.id, i.id) as id, status, case when c.id is null then 'not_catalogued' when i.id is null and status = 'F' then 'missing' when i.id is null then 'waiting' when status <> 'F' then 'not_ready' when updated > indexed - interval 30 day then 'newer' else 'ok' end as state from c full join i on i.id = c.id) select state, count(*) as n, min(id) as first from j group by 1")
 def d05(spark, sf):
     """Catalogue against index in one full join, each row in one state."""
