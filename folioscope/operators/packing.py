@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.lineage import cut
@@ -245,3 +245,56 @@ def searched(files: DataFrame, most: int) -> DataFrame:
     f = files.withColumn("before", before).withColumn("place", F.row_number().over(order))
     reached = F.col("before") < most
     return f.withColumn("state", F.when(~open_, F.col("skipped")).when(reached, "searched").otherwise("not reached")).withColumn("matches", F.when(open_ & reached, F.least(F.col("hits").cast("long"), most - F.col("before"))).otherwise(0).cast("long"))
+
+
+#: The marks of parts that lost rows or cells, and the stages of narrowing: characters of a cell and cells of a row.
+ROWS_CUT, CELLS_CUT = ', "rows_cut_to_fit": true', ', "cells_cut_to_fit": {{"chars": {}, "columns": {}}}'
+STAGES = [(80, 60), (40, 30), (20, 15)]
+
+
+def written_size(no: Column, cells: Column) -> Column:
+    """Characters of a row as JSON: its number and a list of its cells."""
+    each = F.aggregate(cells, F.lit(0), lambda n, c: n + F.length(F.to_json(F.array(c))) - 2)
+    return (6 + F.length(no.cast("string")) + each + 2 * F.greatest(F.size(cells) - 1, F.lit(0))).cast("long")
+
+
+def narrowed(cells: Column, chars: int, width: int) -> Column:
+    return F.transform(F.slice(cells, 1, width), lambda c: F.when(F.length(c) <= chars, c).otherwise(F.concat(F.left(c, F.lit(chars)), F.lit("…"))))
+
+
+def fitted(rows: DataFrame, frames: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (resp, part, no, cells) that a response of at most ``limit`` characters keeps, and (resp, size, stage, cut): its size, how far cells were narrowed (0: not), and whether even that is too long.
+
+    ``rows``: resp, part, header (boolean), nth (its place in the part, from 1), no, cells; ``frames``: resp and the characters around the rows.  While a response is too long its longest part loses the last row (of
+    equally long ones the first part), but each keeps one; then cells are narrowed in three stages.  Popping from the longest takes rows by their place from the end, level by level, so what goes is a
+    beginning of that order, and running sums of what it saves, made range by range, show how far it goes.
+    """
+    r = rows.withColumn("len", written_size(F.col("no"), F.col("cells")))
+    for k, (chars, width) in enumerate(STAGES, 1):
+        r = r.withColumn(f"len{k}", written_size(F.col("no"), narrowed(F.col("cells"), chars, width)))
+    r = cut(r)
+    n = r.where("not header").groupBy("resp", "part").agg(F.max("nth").alias("n"))
+    parts = r.groupBy("resp", "part").agg(F.sum("len").alias("s"), F.greatest(F.count_if("header") - 1, F.lit(0)).alias("h"), F.greatest(F.count_if(~F.col("header")) - 1, F.lit(0)).alias("b"), F.count(F.lit(1)).alias("m"))
+    full = parts.groupBy("resp").agg(F.sum(F.col("s") + 2 * (F.col("h") + F.col("b"))).alias("held"), F.count(F.lit(1)).alias("parts"))
+    sizes = cut(frames.join(full, "resp", "left").select("resp", (F.col("frame") + F.coalesce("held", F.lit(0))).alias("whole"), F.coalesce("parts", F.lit(0)).alias("parts"), "frame"))
+    can = r.where("not header and nth > 1").join(small(cut(n)), ["resp", "part"])
+    can = can.select("resp", "part", "nth", (-F.col("nth")).alias("level"), (F.col("len") + 2 - F.when(F.col("nth") == F.col("n"), len(ROWS_CUT)).otherwise(0)).alias("saves"))
+    order = running(can, "resp", "level", "part", value="saves").join(small(sizes), "resp")
+    gone = cut(order.where(F.col("whole") - F.col("before") > limit).select("resp", "part", "nth", "saves"))
+    left = gone.groupBy("resp", "part").agg((F.min("nth") - 1).alias("kept"), F.sum("saves").alias("saved"))
+    left = small(cut(left))
+    saved = left.groupBy("resp").agg(F.sum("saved").alias("saved"))
+    kept = r.join(left.select(F.col("resp").alias("g"), F.col("part").alias("p"), "kept"), F.col("resp").eqNullSafe(F.col("g")) & F.col("part").eqNullSafe(F.col("p")), "left").where(F.col("header") | F.col("kept").isNull() | (F.col("nth") <= F.col("kept")))
+    marks = [len(CELLS_CUT.format(c, w)) for c, w in STAGES]
+    narrow = kept.groupBy("resp").agg(*[F.sum(F.col("len") - F.col(f"len{k}")).alias(f"less{k}") for k in (1, 2, 3)])
+    now = sizes.join(saved, "resp", "left").join(narrow, "resp", "left").withColumn("size0", F.col("whole") - F.coalesce("saved", F.lit(0)))
+    for k, mark in enumerate(marks, 1):
+        now = now.withColumn(f"size{k}", F.col("size0") - F.coalesce(f"less{k}", F.lit(0)) + mark * F.col("parts"))
+    stage = F.when(F.col("size0") <= limit, 0).when(F.col("size1") <= limit, 1).when(F.col("size2") <= limit, 2).otherwise(3)
+    of = F.when(F.col("stage") == 0, F.col("size0")).when(F.col("stage") == 1, F.col("size1")).when(F.col("stage") == 2, F.col("size2")).otherwise(F.col("size3"))
+    now = cut(now.withColumn("stage", stage).withColumn("size", of).select("resp", F.least("size", F.lit(limit)).alias("size"), "stage", (F.col("size") > limit).alias("cut")))
+    cells = F.col("cells")
+    for k, (chars, width) in enumerate(STAGES, 1):
+        cells = F.when(F.col("stage") == k, narrowed(F.col("cells"), chars, width)).otherwise(cells)
+    out = kept.select("resp", "part", "header", "nth", "no", "cells").join(small(now.select("resp", "stage")), "resp").select("resp", "part", "header", "nth", "no", cells.alias("cells"))
+    return out, now

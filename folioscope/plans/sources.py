@@ -197,6 +197,38 @@ def f12(spark, sf):
     return d.join(full.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").groupBy("lang").agg(kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("dropped"))
 
 
+def _size_sql(cells: str) -> str:
+    return f"(6 + length(no::varchar) + coalesce(list_sum(list_transform({cells}, lambda c: length(to_json(c)::varchar))), 0) + 2 * greatest(len({cells}) - 1, 0))::bigint"
+
+
+def _narrow_sql(chars: int, width: int) -> str:
+    return f"list_transform(cells[1:{width}], lambda c: case when length(c) <= {chars} then c else left(c, {chars}) || '…' end)"
+
+
+LENS = ", ".join(f"{_size_sql(_narrow_sql(*x))} as len{k}" for k, x in enumerate(packing.STAGES, 1))
+MARKED = ", ".join(f"size0 - less{k} + {len(packing.CELLS_CUT.format(*x))} * parts as size{k}" for k, x in enumerate(packing.STAGES, 1))
+
+
+@query("f12_fitted_responses", f"""with w as (select coalesce(lang, '') as resp, coalesce(source, '') as part, doc_id as no, string_split(string_split(coalesce(text, ''), chr(10))[1], ' ') as cells from documents),
+n as (select *, row_number() over (partition by resp, part order by no) as nth from w), r0 as (select resp, part, false as header, nth, no, cells from n union all select distinct resp, part, true, 1, 0, ['doc', 'words'] from w),
+r as (select *, {_size_sql('cells')} as len, {LENS}, count(*) filter (not header) over (partition by resp, part) as last from r0), s as (select resp, 13 + 30 * count(distinct part) + sum(len)::bigint + 2 * (count(*) filter (not header) - count(distinct part)) as whole, count(distinct part) as parts from r group by resp),
+c as (select resp, part, nth, len + 2 - case when nth = last then {len(packing.ROWS_CUT)} else 0 end as saves from r where not header and nth > 1), o as (select *, coalesce(sum(saves) over (partition by resp order by nth desc, part rows between unbounded preceding and 1 preceding), 0) as before from c),
+g as (select o.resp, o.part, min(nth) - 1 as kept, sum(saves) as saved from o join s using (resp) where whole - before > 6000 group by all), k as (select r.* from r left join g using (resp, part) where header or g.kept is null or nth <= g.kept),
+t as (select resp, whole - coalesce((select sum(saved) from g where g.resp = s.resp), 0) as size0, parts, {', '.join(f'(select sum(len - len{k}) from k where k.resp = s.resp) as less{k}' for k in (1, 2, 3))} from s), u as (select *, {MARKED} from t),
+v as (select resp, case when size0 <= 6000 then 0 when size1 <= 6000 then 1 when size2 <= 6000 then 2 else 3 end as stage, size0, size1, size2, size3 from u), x as (select resp, stage, case stage when 0 then size0 when 1 then size1 when 2 then size2 else size3 end as size from v)
+select resp, part, count(*) filter (not header) as kept, max(stage) as stage, least(max(size), 6000)::bigint as size, max(size) > 6000 as cut from k join x using (resp) group by resp, part""")
+def f12_fitted(spark, sf):
+    """Responses with a part for each source: the longest parts lose rows, then cells are narrowed, until 6,000 characters hold them."""
+    d = load(spark, sf, "documents")
+    w = d.select(F.coalesce("lang", F.lit("")).alias("resp"), F.coalesce("source", F.lit("")).alias("part"), F.col("doc_id").alias("no"), F.split(F.split(F.coalesce("text", F.lit("")), "\n")[0], " ").alias("cells"))
+    placed = packing.positions(w.withColumn("list", F.struct("resp", "part")), "list", "no").select("resp", "part", F.lit(False).alias("header"), (F.col("at") + 1).cast("long").alias("nth"), "no", "cells")
+    heads = w.select("resp", "part").distinct()
+    rows = placed.unionByName(heads.select("resp", "part", F.lit(True).alias("header"), F.lit(1).cast("long").alias("nth"), F.lit(0).cast("long").alias("no"), F.array(F.lit("doc"), F.lit("words")).alias("cells")))
+    kept, sizes = packing.fitted(rows, heads.groupBy("resp").agg((13 + 30 * F.count(F.lit(1))).alias("frame")), 6000)
+    n = kept.groupBy("resp", "part").agg(F.count_if(~F.col("header")).alias("kept"))
+    return n.join(sizes, "resp").select("resp", "part", "kept", "stage", "size", "cut")
+
+
 def _made(spark, sf, make):
     """(path, content) of a small file for each nation, made by make(name, key)."""
     def run(frames):
