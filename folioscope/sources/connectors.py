@@ -105,6 +105,8 @@ class Ranged(io.RawIOBase):
 
 #: Bytes of the largest file that is looked into.
 MOST_BYTES = 200 << 20
+#: Bytes of the largest content stream of a page; a page of text has some thousands.
+MOST_SHOWN = 4 << 20
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)endobj", re.S)
 _SHOWN = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|'|\")|(T\*|T[dD]\b|\bET\b)", re.S)
 _STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
@@ -140,9 +142,11 @@ def first_page(content: bytes) -> str:
         data = rest.lstrip(b"\r").removeprefix(b"\n").rpartition(b"endstream")[0]
         if b"FlateDecode" in head:
             try:
-                data = zlib.decompressobj().decompress(data)
+                data = zlib.decompressobj().decompress(data, MOST_SHOWN + 1)
             except zlib.error as e:
                 raise ValueError(f"broken stream: {e}") from e
+        if len(data) > MOST_SHOWN:
+            raise ValueError(f"a content stream of more than {MOST_SHOWN} bytes")
         for many, single, line in _SHOWN.findall(data):
             out.append("\n" if line else "".join(map(_plain, _STRING.findall(many or single))))
     return re.sub(r"[ \t]*\n\s*", "\n", "".join(out)).strip()

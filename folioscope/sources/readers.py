@@ -10,6 +10,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,6 +63,38 @@ def delimited(spark: SparkSession, path: str, delimiter: str, needle: str | None
     return marked if needle is None else marked.where(F.col("is_header") | F.exists("cells", lambda c: F.lower(F.trim(c)) == needle.lower().strip()))
 
 
+#: What a damaged, encrypted or hostile file raises while it is read.
+BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, RuntimeError, NotImplementedError, zlib.error, EOFError, OverflowError)
+#: Bytes that one member of an archive may inflate to.
+MOST_INFLATED = 200_000_000
+
+
+def _member(z: zipfile.ZipFile, name: str) -> bytes:
+    """A member's bytes; one that inflates beyond MOST_INFLATED is an error, whatever its header says."""
+    with z.open(name) as f:
+        data = f.read(MOST_INFLATED + 1)
+    if len(data) > MOST_INFLATED:
+        raise ValueError(f"{name} inflates beyond {MOST_INFLATED} bytes")
+    return data
+
+
+class _Bounded(io.RawIOBase):
+    """A member as it is inflated, up to MOST_INFLATED."""
+
+    def __init__(self, source, name: str) -> None:
+        self.source, self.name, self.left = source, name, MOST_INFLATED
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.source.read(1 << 16 if n is None or n < 0 else n)
+        self.left -= len(data)
+        if self.left < 0:
+            raise ValueError(f"{self.name} inflates beyond {MOST_INFLATED} bytes")
+        return data
+
+
 def _cells(read) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,7 +102,7 @@ def _cells(read) -> object:
                 rows: list[tuple] = []
                 try:
                     rows = [(path, *cell, None) for cell in read(bytes(content))] if content is not None and len(content) else []
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError) as e:
+                except BROKEN as e:
                     rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value", "error"]).astype({"row": "Int64", "col": "Int64"})
 
@@ -91,15 +124,22 @@ def _xlsx(content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, e in ET.iterparse(_Bounded(f, "xl/sharedStrings.xml")):
+                    if _local(e.tag) == "si":
+                        shared.append("".join(t.text or "" for t in e.iter() if _local(t.tag) == "t"))
+                        e.clear()
         for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
             with z.open(name) as f:
-                for _, e in ET.iterparse(f):
+                for _, e in ET.iterparse(_Bounded(f, name)):
                     if _local(e.tag) != "row":
                         continue
                     for c in e:
                         v = next((x.text or "" for x in c.iter() if _local(x.tag) in ("v", "t")), "")
-                        v = shared[int(v)] if c.get("t") == "s" and v else v
+                        if c.get("t") == "s" and v:
+                            if not 0 <= int(v) < len(shared):
+                                raise ValueError(f"shared string {v} of {len(shared)}")
+                            v = shared[int(v)]
                         if v:
                             yield name[14:-4], int(e.get("r") or 0), _column(c.get("r") or ""), v
                     e.clear()
@@ -107,7 +147,7 @@ def _xlsx(content: bytes) -> Iterator[tuple]:
 
 def _docx(content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ET.fromstring(z.read("word/document.xml"))
+        root = ET.fromstring(_member(z, "word/document.xml"))
     for k, table in enumerate(x for x in root.iter() if _local(x.tag) == "tbl"):
         for i, row in enumerate(x for x in table if _local(x.tag) == "tr"):
             for j, cell in enumerate(x for x in row if _local(x.tag) == "tc"):
@@ -136,7 +176,7 @@ def archive_members(files: DataFrame, most_bytes: int = 200_000_000) -> DataFram
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(content or b""))) as z:
                         rows += [(path, f"{path}::{i.filename}", i.file_size) for i in z.infolist() if not i.is_dir() and i.file_size <= most_bytes and not re.search(r"__MACOSX|\.DS_Store|Thumbs\.db", i.filename)]
-                except zipfile.BadZipFile:
+                except BROKEN:
                     continue
             yield pd.DataFrame(rows, columns=["path", "member", "size"])
 
