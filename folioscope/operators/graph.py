@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.lineage import cut, discard
+from folioscope.operators.packing import positions
+from folioscope.sizes import small
 
 
 def backlinks(links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,13 +118,47 @@ def partition_defects(assigned: DataFrame, expected: DataFrame) -> DataFrame:
     return both.select("member", defect.alias("defect")).where("defect is not null")
 
 
+#: Slugs of a member from which on it is heavy, and members of a bitmap.
+HEAVY, BITS = 64, 1 << 13
+
+
+def _bitmaps(rows: DataFrame, key: str) -> DataFrame:
+    """key, chunk, bits, n: the heavy members of a slug as bitmaps of BITS members each; ``rows``: key, place."""
+    word = F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))"))
+    words = rows.groupBy(key, F.floor(F.col("place") / BITS).alias("chunk"), F.floor(F.col("place") % BITS / 64).cast("int").alias("w")).agg(word.alias("b"))
+    # At most BITS / 64 words of a chunk are gathered.
+    packed = words.groupBy(key, "chunk").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+    count = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
+    return packed.select(key, "chunk", bits.alias("bits")).withColumn("n", count(F.col("bits")))
+
+
 def co_occurrence(members: DataFrame, top: int) -> DataFrame:
     """slug, other, shared, rank: the slugs that share most members with each.
 
-    The join is on the member, so it grows with the slugs of a member, not with all pairs of slugs.
+    Members of fewer than HEAVY slugs meet in a join on the member, which grows with the sum of their slugs' squares, each less than HEAVY.  The others, which would
+    make most of its pairs, are numbered and every slug's become bitmaps.  A slug pair is counted by them chunk by chunk, but only if what they may share (the smaller of both in each chunk, with
+    what they share of light members) reaches the ``top``-th best count that light members alone already give the slug.
     """
-    a, b = members.select("slug", "member").distinct(), members.select(F.col("slug").alias("other"), "member").distinct()
-    pairs = a.join(b, "member").where("slug <> other").groupBy("slug", "other").agg(F.count(F.lit(1)).alias("shared"))
+    m = cut(members.select("slug", "member").distinct())
+    often = m.groupBy("member").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY).select("member", F.lit(0).alias("all"))
+    often = cut(positions(often, "all", "member").select("member", F.col("at").alias("place")))
+    h = small(often)
+    light = m.join(h.select("member"), "member", "left_anti")
+    a, b = light, light.withColumnRenamed("slug", "other")
+    pairs = cut(a.join(b, "member").where("slug <> other").groupBy("slug", "other").agg(F.count(F.lit(1)).alias("shared")))
+    if often.limit(1).count():
+        x = cut(_bitmaps(m.join(h, "member").select("slug", "place"), "slug"))
+        y = x.select(F.col("slug").alias("other"), "chunk", F.col("bits").alias("theirs"), F.col("n").alias("m"))
+        bound = x.select("slug", "chunk", "n").join(y.select("other", "chunk", "m"), "chunk").where("slug <> other").groupBy("slug", "other").agg(F.sum(F.least("n", "m")).alias("most"))
+        both = bound.join(pairs, ["slug", "other"], "full_outer").select("slug", "other", F.coalesce("most", F.lit(0)).alias("most"), F.coalesce("shared", F.lit(0)).alias("light"))
+        both = cut(both)
+        # What light members give is a count that is reached.
+        kth = both.withColumn("nth", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("light")))).where(F.col("nth") == top).select(F.col("slug").alias("s"), F.col("light").alias("reached"))
+        open_ = cut(both.join(kth, F.col("slug") == F.col("s"), "left").where(F.col("most") + F.col("light") >= F.coalesce("reached", F.lit(0))).select("slug", "other", "light"))
+        common = F.aggregate(F.zip_with("bits", "theirs", lambda p, q: F.bit_count(p.bitwiseAND(q)).cast("long")), F.lit(0).cast("long"), lambda n, c: n + c)
+        met = open_.select("slug", "other").join(x, "slug").join(y, ["other", "chunk"]).groupBy("slug", "other").agg(F.sum(common).alias("heavy"))
+        pairs = open_.join(met, ["slug", "other"], "left").select("slug", "other", (F.col("light") + F.coalesce("heavy", F.lit(0))).alias("shared")).where("shared > 0")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("shared"), "other"))).where(F.col("rank") <= top)
 
 
