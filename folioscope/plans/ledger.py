@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import budget, jobmachine, transitions
+from folioscope.operators import budget, jobmachine, offers, transitions
 from folioscope.plans.registry import query
 from folioscope.sources.tables import SQL_JOBS, jobs, load
 
@@ -108,6 +108,32 @@ def j06(spark, sf):
     return o.select("job_id", F.when(F.expr(f"moment + interval 7 day <= timestamp_ntz '{NOW}'"), "expired").when(F.expr("before > moment - interval 1 day"), "suppressed").otherwise("open").alias("state"))
 
 
+#: A member's events as a session: views and visits make offers that last two days, and all else answers the last one before it, at times twice, late, or for something else.
+OFFERED = """select member_id as session, job_id as seq, moment, case when kind in ('view', 'signup') then 'issue' else 'respond' end as op, member_id % 9 + case when tokens % 19 = 0 then 1 else 0 end as member, case when tokens % 2 = 0 then 'deep' else 'wide' end as kind,
+ cast(tokens % 4 as {0}) as targets, case when tokens % 3 = 0 then 'h' || (tokens % 6) end as input_hash, case when tokens % 13 = 0 then 'p2' else 'p1' end as policy, {1} as offer, cast(tokens % 30 as {0}) as request,
+ case when kind = 'purchase' then 'accept' else 'decline' end as decision, case when tokens % 11 = 0 then 2 else 1 end as revision, case when tokens % 17 = 0 then 'other' else 'same' end as hash from jobs"""
+LAST_OFFER = "last_value(case when kind in ('view', 'signup') then job_id end ignore nulls) over (partition by member_id order by moment, job_id rows between unbounded preceding and current row)"
+
+
+@query("j06_offer_answers", f"""with recursive {SQL_JOBS}, l as ({OFFERED.format('varchar', LAST_OFFER)}), o as (select *, epoch_ns(moment) // 1000000 as ms, row_number() over (partition by session order by moment, seq) as n from l),
+r as (select session, 0::bigint as n, null::bigint as seq, null::varchar as op, null::varchar as outcome, null::bigint as about, []::struct(id bigint, member bigint, kind varchar, targets varchar, input varchar, expires bigint, policy varchar, hash varchar, status varchar)[] as offers, []::struct(request varchar, payload varchar)[] as used from (select distinct session from o)
+ union all select session, n, seq, op, outcome, case when outcome in ('offered') then seq when outcome = 'suppressed' then by_id when outcome = 'not_found' then null else offer end,
+  case when outcome = 'offered' then list_append(offers, {{'id': seq, 'member': member, 'kind': kind, 'targets': targets, 'input': input_hash, 'expires': ms + 172800000, 'policy': policy, 'hash': hash, 'status': 'offered'}})
+   when outcome in ('accepted', 'declined', 'expired', 'stale') then list_transform(offers, lambda x: {{'id': x.id, 'member': x.member, 'kind': x.kind, 'targets': x.targets, 'input': x.input, 'expires': x.expires, 'policy': x.policy, 'hash': x.hash, 'status': case when x.id = offer then outcome else x.status end}}) else offers end,
+  case when outcome in ('accepted', 'declined') then list_append(used, {{'request': request, 'payload': payload}}) else used end from (
+  select *, case when op = 'issue' then case when by_id is not null then 'suppressed' else 'offered' end when own is null or own.member <> member then 'not_found' when before is not null then case when before = payload then 'replayed' else 'idempotency_conflict' end
+    when own.status in ('expired', 'stale') then own.status when own.status in ('accepted', 'declined') then case when own.hash = hash and own.status = case decision when 'accept' then 'accepted' else 'declined' end then 'same' else 'revision_conflict' end
+    when own.expires <= ms then 'expired' when revision <> 1 or own.hash <> hash then 'revision_conflict' when own.policy <> policy then 'stale' when decision = 'accept' then 'accepted' else 'declined' end as outcome from (
+   select o.*, r.offers, r.used, list_filter(r.offers, lambda x: ((x.kind = o.kind and x.targets = o.targets) or coalesce(x.input = o.input_hash, false)) and (x.status = 'declined' or (x.status = 'offered' and x.expires > o.ms)))[-1].id as by_id,
+    list_filter(r.offers, lambda x: x.id = o.offer)[1] as own, list_filter(r.used, lambda x: x.request = o.request)[1].payload as before, concat_ws('/', o.offer, o.decision, o.revision, o.hash) as payload from r join o on o.session = r.session and o.n = r.n + 1)))
+select session, seq, op, outcome, about from r where n > 0""")
+def j06_answers(spark, sf):
+    """Which offers a session gets and which are suppressed, and what each answer does."""
+    jobs(spark, sf).createOrReplaceTempView("jobs")
+    log = spark.sql(OFFERED.format("string", LAST_OFFER.replace(" ignore nulls)", ") ignore nulls"))).withColumn("at", F.unix_millis(F.col("moment").cast("timestamp")))
+    return offers.answered(log.withColumn("expires", F.col("at") + 172_800_000)).select("session", "seq", "op", "outcome", "about")
+
+
 @query("j07_verdict_reuse", f"with {SQL_JOBS}, v as (select kind, tokens, min(job_id) as origin from jobs group by all) select job_id, case when tokens is null then 'no input' when v.origin = job_id then 'judge' else 'reuse' end as action, origin from jobs join v using (kind, tokens)")
 def j07(spark, sf):
     """An input that was judged before takes the verdict of the first time."""
