@@ -77,3 +77,24 @@ def folded(members: DataFrame, merges: DataFrame) -> DataFrame:
     """Members recounted under the targets of a closed merge map."""
     to = merges.select("slug", "target")
     return members.join(to, "slug", "left").groupBy(F.coalesce("target", "slug").alias("slug")).agg(F.count_distinct("stem").alias("notes"), F.count_distinct("form").alias("forms"))
+
+
+#: Why a merge is refused.
+UNKNOWN, GENE, UNSHARED = "unknown candidate", "gene identity", "no shared expanded synonym"
+
+
+def expanded_names(forms: Column) -> Column:
+    """The normal forms of those that have more than one word; abbreviations and single words are no evidence."""
+    return F.array_distinct(F.transform(F.filter(forms, lambda f: F.trim(f).rlike(r"\S\s+\S")), normal))
+
+
+def safe_merges(candidates: DataFrame, merges: DataFrame) -> DataFrame:
+    """source, target, reason of each proposed merge; it is accepted where the reason is null.
+
+    ``candidates``: slug, kind, forms (title and aliases); ``merges``: a closed map of source to target.  Both must be known, neither a gene, and a name of several words must be shared.
+    """
+    side = lambda c: candidates.select(F.col("slug").alias(c), F.coalesce(F.col("kind") == "gene", F.lit(False)).alias(f"{c}_gene"), expanded_names(F.col("forms")).alias(f"{c}_names"))
+    both = merges.select("source", "target").join(side("source"), "source", "left").join(side("target"), "target", "left")
+    known = F.col("source_names").isNotNull() & F.col("target_names").isNotNull()
+    reason = F.when(~known, UNKNOWN).when(F.col("source_gene") | F.col("target_gene"), GENE).when(~F.arrays_overlap("source_names", "target_names"), UNSHARED)
+    return both.select("source", "target", reason.alias("reason"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import packing
 from folioscope.plans.registry import query
+from folioscope.sources import sinks
 from folioscope.sources.tables import load
 
 
@@ -26,17 +27,6 @@ def papers(spark, sf) -> DataFrame:
 SQL_PAPERS = "papers as (select o_orderkey as id, o_orderstatus as status, year(o_orderdate)::int as year, o_orderdate::date as day, o_orderpriority as priority, o_totalprice as total, c_custkey as cust, c_mktsegment as segment, c_nationkey as nation from orders left join customer on o_custkey = c_custkey)"
 
 
-def all_terms(text: Column, terms: list[str]) -> Column:
-    """Every term is somewhere in the text."""
-    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(t.lower())) for t in terms], F.lit(True))
-
-
-def search_catalogue(df: DataFrame, text: str, terms: list[str], first: Column, most: int, *where: Column) -> DataFrame:
-    """Rows that hold all terms and pass all filters, most important first."""
-    kept = df.where(all_terms(F.col(text), terms) & reduce(lambda a, b: a & b, where, F.lit(True)))
-    return kept.orderBy(first.desc(), F.desc("year"), F.desc("id")).limit(most)
-
-
 @query("a01_filtered_scan", f"with {SQL_PAPERS} select id, status, year from papers where status = 'F' and year >= 1995")
 def a01(spark, sf):
     return papers(spark, sf).where("status = 'F' and year >= 1995").select("id", "status", "year")
@@ -65,6 +55,31 @@ def b01(spark, sf):
     return p.select("id", F.coalesce(F.nullif("segment", F.lit("")), "priority").alias("venue"), F.concat(F.coalesce("status", F.lit("")), F.lit("; "), F.coalesce("priority", F.lit(""))).alias("tags"), F.round("total", 2).alias("shown"))
 
 
+#: Orders as catalogue items, each third of them a candidate whose metadata stand in its record only.
+ITEMS = {
+    "work_id": "'w' || o_orderkey", "id_kind": "case when o_orderkey % 3 > 0 then 'doi' end", "title": "o_orderpriority || ' of ' || o_orderkey", "year": "case when o_orderkey % 3 > 0 then year(o_orderdate) end",
+    "journal": "case when o_orderkey % 3 > 0 then o_orderpriority when o_orderkey % 6 = 0 then '' end", "doi": "'10.1/' || o_orderkey", "openalex_status": "o_orderstatus", "openalex_year": "year(o_orderdate) + o_orderkey % 2", "category": "case when o_custkey % 4 > 0 then 'c' || (o_custkey % 4) end",
+    "ingest_status": "case when o_orderkey % 5 = 0 then 'failed' else 'ready' end", "pdf_key": "case when o_orderkey % 7 > 0 then 'pdf/' || o_orderkey || '.pdf' end", "pdf_bytes": "o_orderkey * 10",
+}
+RECORD = {"authors": "case when o_orderkey % 2 = 0 then 'Ng; ' || 'Li ' || (o_custkey % 9) else 'Ng' end", "publication_year": "year(o_orderdate)", "source": "'s' || (o_custkey % 5)", "type": "'article'"}
+
+
+def _shown(c: str) -> str:
+    own = f"coalesce(({ITEMS[c]})::varchar, '')" if c in ITEMS else "''"
+    if c in sinks.FROM_RECORD:
+        return f"case when {own} = '' then ({RECORD[sinks.FROM_RECORD[c]]})::varchar else {own} end as {c}"
+    return f"{own} as {c}"
+
+
+@query("b01_catalogue_export", f"select {', '.join(map(_shown, sinks.CATALOGUE))} from orders where o_orderkey % 7 > 0")
+def b01_export(spark, sf):
+    """All columns of the export for items with a PDF; authors, year, journal and type of candidates come from their records."""
+    o = load(spark, sf, "orders")
+    authors = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("Ng"), F.concat(F.lit("Li "), F.col("o_custkey") % 9))).otherwise(F.array(F.lit("Ng")))
+    record = F.struct(authors.alias("authors"), *[F.expr(RECORD[c]).alias(c) for c in ("publication_year", "source", "type")])
+    return sinks.catalogue_rows(o.select(*[F.expr(e).alias(c) for c, e in ITEMS.items()], record.alias("record")))
+
+
 @query("b06_upsert", "with n as (select c_custkey + 750 as k, c_name as nm, case when c_custkey % 3 = 0 then null else c_acctbal end as bal from customer where c_custkey % 2 = 0) select coalesce(c.c_custkey, n.k) as id, coalesce(c.c_name, n.nm) as name, coalesce(n.bal, c.c_acctbal) as balance, c.c_custkey is null as created from customer c full join n on n.k = c.c_custkey")
 def b06(spark, sf):
     """Sets what the new row knows, keeps what the stored row owns."""

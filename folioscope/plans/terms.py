@@ -104,6 +104,20 @@ FORMS = """select item_id as slug, case when item_id % 3 = 0 then 'gene' else 't
 SHAPES = ["w[1] || ' ' || w[2]", "w[1]", "upper(left(w[2], 3))", "w[2]"]
 
 
+#: A part is a candidate with a title of two words and two aliases, and every even one is to be merged into the seventh after it.
+MERGE_FORMS = ["p_name", "upper(p_name) || 's'", "p_type || ' ' || p_brand", "upper(left(p_type, 3))"]
+
+
+@query("g04_accepted_merges", f"""with f as (select p_partkey as slug, p_type as kind, unnest([{', '.join(MERGE_FORMS)}]) as form from part), n as (select slug, list(distinct lower(regexp_replace(regexp_replace(trim(form), '[^A-Za-z0-9+.\\- ]+', ' ', 'g'), 's$', ''))) filter (contains(trim(form), ' ')) as names from f group by slug),
+m as (select p_partkey as source, p_partkey + 7 as target from part where p_partkey % 2 = 0) select source, target, case when b.slug is null then '{G.UNKNOWN}' when x.p_type = 'SMALL' or y.p_type = 'SMALL' then '{G.GENE}' when len(list_intersect(a.names, b.names)) = 0 then '{G.UNSHARED}' end as reason
+ from m join n a on a.slug = source join part x on x.p_partkey = source left join n b on b.slug = target left join part y on y.p_partkey = target""")
+def g04_accepted(spark, sf):
+    """Merges that share a name of several words; genes and unknown candidates are never merged."""
+    p = load(spark, sf, "part")
+    c = p.select(F.col("p_partkey").alias("slug"), F.when(F.col("p_type") == "SMALL", "gene").otherwise("term").alias("kind"), F.array(*[F.expr(x) for x in MERGE_FORMS]).alias("forms"))
+    return G.safe_merges(c, p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 7).alias("target")))
+
+
 @query("h12_mentions", rf"""with w as (select item_id, regexp_extract_all(text, '[A-Za-z]+') as w from benchmark), f as ({" union ".join(FORMS.format(x) for x in SHAPES)}),
 k as (select slug, lower(list_reduce(regexp_extract_all(form, '[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*'), lambda a, b: case when length(b) > length(a) then b else a end)) as token from f),
 t as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*'), lambda x: lower(x)))) as token from documents), p as (select distinct slug, doc_id from k join t using (token)),

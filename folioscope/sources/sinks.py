@@ -16,6 +16,52 @@ def export_csv(df: DataFrame, path: str, key: str) -> None:
     df.select(*flat).orderBy(key).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: The columns of the catalogue's export in their order, and those that a row without them takes from its record.
+CATALOGUE = (
+    "work_id id_kind title authors year journal doi pmid pmcid openalex_id openalex_status openalex_venue openalex_year category document_type source_collection "
+    "ingest_status source_note_status source_note_key pdf_key pdf_filename pdf_bytes pdf_sha256 uploaded_at"
+).split()
+FROM_RECORD = {"authors": "authors", "year": "publication_year", "journal": "source", "document_type": "type"}
+
+
+def cell(df: DataFrame, name: str) -> Column:
+    """A value as one cell: empty for null, lists in their order, whole numbers without a point, true and false."""
+    kind = df.schema[name].dataType.simpleString()
+    c = F.col(name)
+    if kind.startswith("array"):
+        return F.coalesce(F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))), "; "), F.lit(""))
+    if kind.startswith(("decimal", "double", "float")):
+        return F.coalesce(F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("double").cast("string")), F.lit(""))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def catalogue_rows(items: DataFrame) -> DataFrame:
+    """The CATALOGUE columns as cells of the items that have a PDF; ``items`` may lack columns, and has ``record`` (a struct) for those it takes from there."""
+    rows = items.where("pdf_key is not null")
+    record = {f.name for f in items.schema["record"].dataType.fields}
+    flat = rows.select("*", *[F.col(f"record.{r}").alias(f"__{c}") for c, r in FROM_RECORD.items() if r in record])
+    out = []
+    for c in CATALOGUE:
+        own = cell(flat, c) if c in items.columns else F.lit("")
+        if f"__{c}" in flat.columns:
+            own = F.when(own == "", cell(flat, f"__{c}")).otherwise(own)
+        out.append(own.alias(c))
+    return flat.select(*out)
+
+
+def export_catalogue(items: DataFrame, path: str, force: bool = False) -> dict:
+    """Writes the catalogue as CSV parts in the order of work_id and returns a receipt: rows, bytes, columns, items read, and each part's name, bytes and sha256.
+
+    What is at the path stays unless ``force``; a receipt's digests are of the parts as they are read back.
+    """
+    spark = items.sparkSession
+    catalogue_rows(items).orderBy("work_id").write.mode("overwrite" if force else "errorifexists").option("header", True).csv(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    parts = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("part").collect()  # a row for each part
+    rows = spark.read.option("header", True).option("multiLine", True).csv(path).count()
+    return {"output": path, "rows": rows, "bytes": sum(p.bytes for p in parts), "columns": CATALOGUE, "scanned": items.count(), "parts": [p.asDict() for p in parts]}
+
+
 def create_only(df: DataFrame, path: str) -> bool:
     """Writes if nothing is there; False, and nothing changed, if something is."""
     from pyspark.errors import AnalysisException
