@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import present
 from folioscope.lineage import new_table
-from folioscope.operators import folds
+from folioscope.functions import text as T
+from folioscope.operators import audit, folds
+from folioscope.plans import identity as IP
 from folioscope.plans.registry import query
 from folioscope.sources.tables import load
 
@@ -44,6 +46,50 @@ def e06(spark, sf):
     return coverage_matrix(review(spark, sf), PAIRS)
 
 
+#: Lines as catalogue rows with both sources' values of nine fields, by expressions of either dialect.
+def nine(sql: bool) -> dict[str, str]:
+    arr = (lambda *x: f"[{', '.join(x)}]") if sql else (lambda *x: f"array({', '.join(x)})")
+    line = "l_orderkey * 7 + l_linenumber"
+    return {
+        "title": "case when l_partkey % 9 > 0 then l_returnflag || ': T' || (l_partkey % 5) end", "openalex_title": "lower(l_returnflag) || ' t' || (l_partkey % 4)", "year": "case when l_suppkey % 8 > 0 then 1990 + l_linenumber end", "openalex_year": "1990 + l_partkey % 7",
+        "authors": IP.pick(IP.LISTS, line, sql), "openalex_authors": IP.pick(IP.LISTS, f"{line} * 5 + l_suppkey", sql), "journal": "case when l_tax > 0.06 then '' else 'J. of ' || l_linestatus end", "openalex_venue": "'J of ' || case when l_partkey % 2 = 0 then 'O' else 'F' end",
+        "type": "case when l_partkey % 3 = 0 then 'Article' end", "openalex_type": "case when l_partkey % 5 > 0 then 'article' else '?' end", "pmid": IP.pick(IP.PMIDS, line, sql), "pmid_openalex": IP.pick(IP.PMIDS, f"{line} + l_partkey", sql),
+        "pmcid": "'PMC' || (l_partkey % 3)", "pmcid_openalex": "'pmcid:PMC' || (l_suppkey % 3)", "referenced_works": f"case when l_partkey % 4 = 0 then {arr(chr(39) + 'W1' + chr(39), chr(39) + 'bad' + chr(39))} when l_partkey % 4 = 1 then {arr(chr(39) + 'W2' + chr(39), chr(39) + 'W1' + chr(39))} end",
+        "openalex_referenced_works": f"case when l_suppkey % 2 = 0 then {arr(chr(39) + 'https://x.org/W1' + chr(39), chr(39) + 'W2' + chr(39))} else {arr(chr(39) + 'W3' + chr(39))} end", "is_open_access": "case when l_tax > 0.04 then l_discount > 0.05 end", "openalex_is_oa": "l_discount > 0.03",
+    }
+
+
+def sql_form(field: str, c: str) -> str:
+    if field == "authors":
+        first = rf"trim(regexp_split_to_array(trim({c}), '\s*(;|,|\band\b|&|\bet\s+al\.?|·)\s*')[1])"
+        surname = T.SQL_FOLD.format(rf"regexp_extract(trim(regexp_replace(' ' || {first}, '(\s+([A-Z]\.?-?){{1,4}})+$', '')), '\S+$')")
+        surname = f"regexp_replace({surname}, '[^a-z0-9]+', '', 'g')"
+        return rf"case when not regexp_matches({first}, '(?i)consortium|collaboration|group|committee|\[|\{{|\]') and length({surname}) > 1 then {surname} end"
+    if field in ("pmid", "pmcid"):
+        return f"upper(regexp_replace(regexp_extract(regexp_replace(trim({c}), '/+$', ''), '[^/]*$'), '(?i)^{field}:', ''))"
+    if field == "references":
+        ids = f"list_transform({c}, lambda v: regexp_replace(v, '^https?://[a-z.]+/', ''))"
+        return f"case when len(list_filter({ids}, lambda v: not regexp_full_match(v, 'W[0-9]+'))) = 0 then array_to_string(list_sort(list_distinct({ids})), ',') end"
+    return f"({c})::varchar" if field == "oa" else f"nullif(lower(regexp_replace(({c})::varchar, '[^A-Za-z0-9]+', '', 'g')), '')"
+
+
+def sql_there(field: str, c: str) -> str:
+    return f"coalesce(len({c}) > 0, false)" if field == "references" else f"{c} is not null" if field == "oa" else f"coalesce(({c})::varchar <> '', false)"
+
+
+SQL_NINE = f"rows9 as (select (l_orderkey * 10 + l_linenumber)::varchar as work_id, {', '.join(f'{e} as {c}' for c, e in nine(True).items())} from lineitem)"
+SQL_CELLS = " union all ".join(f"select work_id, '{f}' as field, {sql_there(f, a)} as own, {sql_there(f, b)} as other, {sql_form(f, a)} as x, {sql_form(f, b)} as y, {'abs(year - openalex_year)' if f == 'year' else 'null::int'} as gap from rows9" for f, (a, b) in audit.FIELDS.items())
+
+
+@query("e06_nine_pairs", f"""with {SQL_NINE}, cells as ({SQL_CELLS}), c as (select *, own and other and x is not null and y is not null as compared, coalesce(own and other and x <> y, false) as differs from cells), s as (select *, row_number() over (partition by field order by work_id) as nth from c where differs)
+select field, count(*) filter (own) as catalogue, count(*) filter (other) as openalex, count(*) filter (other and not own) as missing_present, count(*) filter (own and other) as both_present, count(*) filter (compared) as compared, count(*) filter (own and other and not compared) as incomparable, count(*) filter (differs) as differing,
+ count(*) filter (differs and gap = 1) as one_year, count(*) filter (differs and gap > 1) as more_years, coalesce((select string_agg(work_id, ',' order by work_id) from s where s.field = c.field and nth <= 3), '') as samples from c group by field""")
+def e06_nine(spark, sf):
+    """Nine pairs of fields: what either source has, what can be compared, what differs, and the first three works that it does."""
+    l = load(spark, sf, "lineitem")  # noqa: E741
+    return audit.coverage(l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("work_id"), *[F.expr(e).alias(c) for c, e in nine(False).items()]))
+
+
 @query("e06_year_differences", f"with {SQL_REVIEW} select case when y1 is null or y2 is null then 'incomparable' when y1 = y2 then '0' when abs(y1 - y2) = 1 then '1' else '2+' end as bucket, count(*) as n from rev group by 1")
 def e06b(spark, sf):
     d = F.abs(F.col("y1") - F.col("y2"))
