@@ -4,7 +4,7 @@ A version is a file that names where each of its tables lies.  Its number is tak
 and tries the next number, unless it asked to follow the version that it has read.  Tables are written before the commit under names of their own; what no commit names can be
 removed later.  A reader opens the newest version, or an older one, and nothing that a writer does changes it.
 
-Taking a number relies on the file system's create without overwriting (a local one's, HDFS's); a store without it needs another way to do that one step.
+Taking a number relies on a create that fails where a file is, in one step (HDFS's, the platform's for local paths); a store without it needs another way to do that.
 """
 
 from __future__ import annotations
@@ -45,8 +45,14 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 def _take(spark: SparkSession, root: str, version: int, content: bytes) -> bool:
     """Whether this writer got the number."""
     files, path = _files(spark, f"{root}/_commits/{_number(version)}")
+    local = files.getUri().getScheme() == "file"
+    if local:
+        # Hadoop's local file system looks first and creates then; the platform does both in one step.
+        files.mkdirs(path.getParent())
+        if not spark.sparkContext._jvm.java.io.File(path.toUri().getPath()).createNewFile():
+            return False
     try:
-        out = files.create(path, False)
+        out = files.create(path, local)
     except Py4JJavaError as e:
         if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
             return False
