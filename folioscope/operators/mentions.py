@@ -122,3 +122,42 @@ def mentions(notes: DataFrame, forms: DataFrame, most: int) -> DataFrame:
     out = cut(out)
     often = small(cut(out.where("n > 0").groupBy("slug").agg(F.sum("n").alias("n")).where(F.col("n") > most).select(F.col("slug").alias("s"))))
     return out.where("n = 0").join(often, F.col("slug") == F.col("s"), "left_anti").select("slug", "doc_id").distinct()
+
+
+def held(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """item_id, doc_id: which texts (doc_id, text) hold which needles (item_id, needle) anywhere; null and empty needles are in none.
+
+    One pass over the texts for each FORM_CHARS characters of needles; no pair of a text and a needle is compared.
+    """
+    spark = texts.sparkSession
+    rows = cut(needles.where("needle is not null and needle <> ''").select("item_id", "needle").distinct())
+    parts = max(1, -(-(rows.agg(F.sum(F.length("needle"))).first()[0] or 0) // FORM_CHARS))
+    schema = f"item_id {rows.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}"
+
+    def searching(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_needle: dict[str, list] = {}
+            for item, needle in sent.value:
+                by_needle.setdefault(needle, []).append(item)
+            automaton = ahocorasick.Automaton()
+            for needle, items in by_needle.items():
+                automaton.add_word(needle, items)
+            if by_needle:
+                automaton.make_automaton()
+            for batch in batches:
+                found, at = [], []
+                for i, text in enumerate(batch.column(1)):
+                    own = {item for _, items in automaton.iter(text.as_py() or "") for item in items} if by_needle else set()
+                    found.extend(own)
+                    at.extend([i] * len(own))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(pa.array(at))], names=["item_id", "doc_id"])
+
+        return run
+
+    every = [spark.sparkContext.broadcast([tuple(r) for r in rows.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k).collect()]) for k in range(parts)]  # some FORM_CHARS each
+    passes = [texts.select("doc_id", "text").mapInArrow(searching(sent), schema) for sent in every]
+    out = passes[0]
+    for p in passes[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.lineage import cut
+from folioscope.operators import mentions
 
 #: Weights of title, heading and content, and the two constants of BM25.
 WEIGHTS, K1, B = (5, 2, 1), 1.2, 0.75
@@ -283,8 +284,11 @@ def classified(docs: DataFrame) -> DataFrame:
 
 
 def text_evidence(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """Which documents hold the whole title of a claim (item_id, title, doi) or its DOI before their reference list; every pair is compared."""
-    c = claims.select("item_id", F.coalesce(T.content("title"), F.lit("")).alias("needle"), T.doi("doi").alias("doi"))
-    title = (F.col("needle") != "") & F.contains("squashed", "needle")
-    doi = F.coalesce(F.array_contains("dois", F.col("doi")), F.lit(False))
-    return text_facts(docs).join(c, title | doi).select("item_id", "doc_id", title.alias("title_present"), doi.alias("doi_present"), "dois", "years", "errors")
+    """Which documents hold the whole title of a claim (item_id, title, doi) or its DOI before their reference list."""
+    c = cut(claims.select("item_id", T.content("title").alias("needle"), T.doi("doi").alias("doi")))
+    facts = cut(text_facts(docs))
+    titles = mentions.held(facts.select("doc_id", F.col("squashed").alias("text")), c).withColumn("by_title", F.lit(True))
+    dois = facts.select("doc_id", F.explode("dois").alias("d")).join(c, F.col("d") == F.col("doi")).select("item_id", "doc_id").distinct().withColumn("by_doi", F.lit(True))
+    met = titles.join(dois, ["item_id", "doc_id"], "full_outer")
+    present = lambda x: F.coalesce(F.col(x), F.lit(False))
+    return met.join(facts, "doc_id").select("item_id", "doc_id", present("by_title").alias("title_present"), present("by_doi").alias("doi_present"), "dois", "years", "errors")
