@@ -4,7 +4,7 @@ A term's forms are looked for as whole words.  A gene's forms match as they are
 others in either case and with a plural's ending.  As a term's notes come only those in question that hold the longest token of one of its forms; a term with more
 than ``most`` notes in question is left out, whatever its tokens have in common with other terms.
 
-The automaton is built in each worker from the forms, which every task gets.  Forms beyond FORM_CHARS characters are dealt out over several automata by hash, each of which
+Two passes: the first counts each term's notes in question by their tokens, the second looks for the terms that are left. The automaton is built in each worker from the forms, which every task gets.  Forms beyond FORM_CHARS characters are dealt out over several automata by hash, each of which
 passes over the texts; texts are never shuffled, and only (slug, note) leaves a task, with counts summed for each task.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.lineage import cut
-from folioscope.sizes import small
 
 #: Tokens, forms that match as they are written, and the endings of plurals.
 TOKEN = re.compile(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*")
@@ -89,39 +89,46 @@ def mentions(notes: DataFrame, forms: DataFrame, most: int) -> DataFrame:
     rows = cut(forms.where("form is not null and form <> ''").select("slug", "form", F.coalesce(F.col("kind") == "gene", F.lit(False)).alias("exact")).distinct())
     size = rows.agg(F.sum(F.length("form"))).first()[0] or 0
     parts = max(1, -(-size // FORM_CHARS))
-    schema = f"slug {rows.schema['slug'].dataType.simpleString()}, doc_id {notes.schema['doc_id'].dataType.simpleString()}, n long"
-    # A term's forms stay together, so that its notes in question are counted in one place.
-    every = [spark.sparkContext.broadcast([tuple(r) for r in rows.where(F.pmod(F.xxhash64("slug"), F.lit(parts)) == k).collect()]) for k in range(parts)]  # some FORM_CHARS each
+    texts = notes.select("doc_id", "text")
 
-    def searching(sent):
+    def passes(rows: DataFrame, run, schema: str) -> DataFrame:
+        """One pass over the texts for each share of the terms; a term's forms stay together, and a share has some FORM_CHARS."""
+        share = lambda k: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("slug"), F.lit(parts)) == k).collect()]
+        out = [texts.mapInArrow(run(spark.sparkContext.broadcast(share(k))), schema) for k in range(parts)]
+        return reduce(DataFrame.unionByName, out)
+
+    def counting(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms_, counts = Forms(sent.value), Counter()
-            names, types = ["slug", "doc_id", "n"], None
+            for batch in batches:
+                for text in batch.column(1):
+                    counts.update(forms_.posted(text.as_py() or ""))
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["slug", "n"])
+
+        return run
+
+    def searching(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forms_ = Forms(sent.value)
             for batch in batches:
                 ids, slugs = [], []
-                types = batch.column(0).type
                 for i, text in enumerate(batch.column(1)):
                     t = text.as_py() or ""
                     if posted := forms_.posted(t):
-                        counts.update(posted)
                         own = forms_.found(t, posted)
                         slugs.extend(own)
                         ids.extend([i] * len(own))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(slugs), batch.column(0).take(pa.array(ids)), pa.array([0] * len(ids), pa.int64())], names=names)
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.nulls(len(counts), types), pa.array(list(counts.values()), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(slugs), batch.column(0).take(pa.array(ids))], names=["slug", "doc_id"])
 
         return run
 
-    texts = notes.select("doc_id", "text")
-    passes = [texts.mapInArrow(searching(sent), schema) for sent in every]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    out = cut(out)
-    often = small(cut(out.where("n > 0").groupBy("slug").agg(F.sum("n").alias("n")).where(F.col("n") > most).select(F.col("slug").alias("s"))))
-    return out.where("n = 0").join(often, F.col("slug") == F.col("s"), "left_anti").select("slug", "doc_id").distinct()
+    slug = f"slug {rows.schema['slug'].dataType.simpleString()}"
+    asked = passes(rows, counting, f"{slug}, n long").groupBy("slug").agg(F.sum("n").alias("n")).where(F.col("n") <= most)
+    # Terms that are left out are not looked for: they would be most of the automaton's hits.
+    left = cut(rows.join(asked.select("slug"), "slug", "left_semi"))
+    return passes(left, searching, f"{slug}, doc_id {notes.schema['doc_id'].dataType.simpleString()}").distinct()
 
 
 def held(texts: DataFrame, needles: DataFrame) -> DataFrame:
