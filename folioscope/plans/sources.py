@@ -298,17 +298,16 @@ def b02(spark, sf):
 
 @query("b07_html_report", "select s_suppkey as key, s_name || ' </script><b>\"&' as name, '2024-01-01'::date + (s_suppkey % 50)::int as day, (select '2024-01-01'::date + min(s_suppkey % 50)::int from supplier) as first, (select '2024-01-01'::date + max(s_suppkey % 50)::int from supplier) as last, true as alone, true as refused from supplier")
 def b07(spark, sf):
-    """The rows that a report holds, read back out of its page, with its dates; ``refused``: a report of more rows isn't made."""
+    """The rows that a report's pages hold, read back out of them, with its dates; ``refused``: a page of more rows isn't made."""
     rows = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.concat("s_name", F.lit(' </script><b>"&')).alias("name"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 50).cast("int")).alias("day"))
-    page = sinks.html_report(rows, "Suppliers", date="day")
+    pages = sinks.html_pages(rows, "Suppliers", "key", date="day")
     try:
         sinks.html_report(load(spark, sf, "supplier"), "Too many", most=5)
         refused = False
     except ValueError:
         refused = True
-    first, last, data = sinks.report_parts(page)
-    read = spark.createDataFrame([(d,) for d in data], "row string").select(F.from_json("row", "key long, name string, day date").alias("r")).select("r.*")
-    return read.select("*", F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last"), F.lit(page.count("</script>") == 1).alias("alone"), F.lit(refused).alias("refused"))
+    read = sinks.page_parts(pages.withColumn("alone", F.size(F.split("html", "</script>")) == 2)).select(F.from_json("row", "key long, name string, day date").alias("r"), "first", "last", "alone")
+    return read.select("r.*", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"), "alone", F.lit(refused).alias("refused"))
 
 
 @query("j01_new_objects", "select event_id, event_type from events where event_id % 3 > 0")

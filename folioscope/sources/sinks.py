@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators.packing import positions
+
 
 def export_csv(df: DataFrame, path: str, key: str) -> None:
     """A CSV with fixed columns, lists joined by ``; ``, sorted by key; as many part files as the data needs."""
@@ -111,6 +113,34 @@ def html_report(df: DataFrame, title: str, most: int = 10_000, date: str | None
     return f"<!doctype html><title>{html.escape(title)}</title><p id='range'>{shown}</p><script type='application/json' id='rows'>{data}</script>"
 
 
+#: Where a page's rows stand, in any dialect's pattern.
+ROWS = ("<script type='application/json' id='rows'>", "</script>")
+
+
+def html_pages(df: DataFrame, title: str, key: str, most: int = 10_000, date: str | None = None) -> DataFrame:
+    """page (from 0) and html of a report of any size: pages of ``most`` rows in the order of ``key`` (unique), each with the range of a date over the whole report.
+
+    A page is one group, so no task holds more than its rows; each is as ``html_report`` writes one.
+    """
+    at = positions(df.withColumn("__all", F.lit(0)), "__all", key).drop("__all")
+    row = F.replace(F.to_json(F.struct(*df.columns)), F.lit("<"), F.lit("\\u003c"))
+    pages = at.groupBy(F.floor(F.col("at") / most).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", row.alias("row")))), lambda r: r["row"]), ", ").alias("data"))
+    shown = F.concat_ws(" to ", F.min(date), F.max(date)) if date else F.max(F.lit(""))
+    days = df.agg(shown.alias("days"))  # one row
+    head = f"<!doctype html><title>{html.escape(title)}</title><p id='range'>"
+    return pages.crossJoin(F.broadcast(days)).select("page", F.concat(F.lit(head), "days", F.lit(f"</p>{ROWS[0]}["), "data", F.lit(f"]{ROWS[1]}")).alias("html"))
+
+
+def page_parts(pages: DataFrame) -> DataFrame:
+    """first and last (dates as text) and row (JSON) for each row of ``html_pages``, with the page's other columns."""
+    shown = F.split(F.regexp_extract("html", "id='range'>([^<]*)<", 1), " to ")
+    data = F.regexp_extract("html", f"(?s){ROWS[0]}(.*){ROWS[1]}", 1)
+    days = [F.nullif(F.try_element_at(shown, F.lit(i)), F.lit("")).alias(n) for i, n in ((1, "first"), (2, "last"))]
+    others = [c for c in pages.columns if c != "html"]
+    # Dates first, so that no row carries its page along.
+    return pages.select(*others, *days, F.from_json(data, "array<string>").alias("data")).select(*others, "first", "last", F.explode("data").alias("row"))
+
+
 def report_parts(page: str) -> tuple[str | None, str | None, list[str]]:
     """First and last date of a report, and its rows as JSON."""
     shown = re.search("id='range'>([^<]*)<", page)[1]
