@@ -1,12 +1,12 @@
 """The audit of a catalogue against a second source: nine pairs of fields, what can be compared and what differs, and who is affected.
 
 A field is there if it is neither null nor empty; False is a value. Two values are compared in the form that ``identity.comparable`` gives their field, and a value without such a form
-makes the pair incomparable.  All fields are judged in one pass over the rows and unpivoted, so what shuffles is a row for each field and task, and a few samples.
+makes the pair incomparable.  A field's counts are one pass over its columns, so what shuffles is a row for each field and task, and a few samples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import present
@@ -39,28 +39,38 @@ def form(df: DataFrame, field: str, column: str) -> Column:
     return identity.comparable(field, F.col(column))
 
 
-def judged(df: DataFrame, key: str) -> DataFrame:
-    """work_id, field, own, other, compared, differs, gap (of years) for each row and field."""
-    cells = []
-    for field, (a, b) in FIELDS.items():
-        x, y = form(df, field, a), form(df, field, b)
-        known = there(df, a) & there(df, b) & x.isNotNull() & y.isNotNull()
-        gap = F.abs(F.try_to_number(F.col(a).cast("string"), F.lit("9999")) - F.try_to_number(F.col(b).cast("string"), F.lit("9999"))).cast("int") if field == "year" else F.lit(None).cast("int")
-        cells.append(F.struct(F.lit(field).alias("field"), there(df, a).alias("own"), there(df, b).alias("other"), known.alias("compared"), (known & (x != y)).alias("differs"), gap.alias("gap")))
-    return df.select(F.left(F.col(key).cast("string"), F.lit(NAME)).alias("work_id"), F.explode(F.array(*cells)).alias("c")).select("work_id", "c.*")
+def forms(df: DataFrame, key: str, field: str) -> DataFrame:
+    """work_id, own, other, gap, and x and y, the comparable forms: a projection of its own, as what is made of a form names it several times."""
+    a, b = FIELDS[field]
+    year = lambda c: F.try_to_number(F.col(c).cast("string"), F.lit("9999"))
+    gap = F.abs(year(a) - year(b)).cast("int") if field == "year" else F.lit(None).cast("int")
+    return df.select(F.left(F.col(key).cast("string"), F.lit(NAME)).alias("work_id"), there(df, a).alias("own"), there(df, b).alias("other"), form(df, field, a).alias("x"), form(df, field, b).alias("y"), gap.alias("gap"))
+
+
+def judged(df: DataFrame, key: str, field: str) -> DataFrame:
+    """work_id, field, own, other, compared, differs, gap (of years) for each row."""
+    both = F.col("own") & F.col("other")
+    known, differs = both & F.col("x").isNotNull() & F.col("y").isNotNull(), F.coalesce(both & (F.col("x") != F.col("y")), F.lit(False))
+    return forms(df, key, field).select("work_id", F.lit(field).alias("field"), "own", "other", known.alias("compared"), differs.alias("differs"), "gap")
 
 
 def coverage(df: DataFrame, key: str = "work_id") -> DataFrame:
-    """field, catalogue, openalex, missing_present, both_present, compared, incomparable, differing, one_year, more_years, samples (the first three work ids that differ, comma-joined)."""
-    c = judged(df, key)
+    """field, catalogue, openalex, missing_present, both_present, compared, incomparable, differing, one_year, more_years, samples (the first three work ids that differ, comma-joined).
+
+    Each field reads its own columns, so that a task's code stays small enough to be compiled.  Samples are a short list for each field and task; nothing is sorted or exploded.
+    """
     both = F.col("own") & F.col("other")
     n = lambda x: F.count_if(x)
-    counts = c.groupBy("field").agg(
-        n("own").alias("catalogue"), n("other").alias("openalex"), n(F.col("other") & ~F.col("own")).alias("missing_present"), n(both).alias("both_present"), n("compared").alias("compared"), n(both & ~F.col("compared")).alias("incomparable"),
-        n("differs").alias("differing"), n(F.col("differs") & (F.col("gap") == 1)).alias("one_year"), n(F.col("differs") & (F.col("gap") > 1)).alias("more_years"),
-    )
-    first = c.where("differs").withColumn("nth", F.row_number().over(Window.partitionBy("field").orderBy("work_id"))).where(F.col("nth") <= SAMPLES)
-    samples = first.groupBy(F.col("field").alias("f")).agg(F.array_join(F.array_sort(F.collect_list("work_id")), ",").alias("samples"))
+    counts, first = None, None
+    for field in FIELDS:
+        c = judged(df, key, field)
+        own = c.groupBy("field").agg(
+            n("own").alias("catalogue"), n("other").alias("openalex"), n(F.col("other") & ~F.col("own")).alias("missing_present"), n(both).alias("both_present"), n("compared").alias("compared"), n(both & ~F.col("compared")).alias("incomparable"),
+            n("differs").alias("differing"), n(F.col("differs") & (F.col("gap") == 1)).alias("one_year"), n(F.col("differs") & (F.col("gap") > 1)).alias("more_years"),
+        )
+        least = c.where("differs").select(F.col("field").alias("f"), "work_id").orderBy("work_id").limit(SAMPLES)
+        counts, first = (own, least) if counts is None else (counts.unionByName(own), first.unionByName(least))
+    samples = first.groupBy("f").agg(F.array_join(F.array_sort(F.collect_list("work_id")), ",").alias("samples"))
     return counts.join(samples, F.col("field") == F.col("f"), "left").drop("f").withColumn("samples", F.coalesce("samples", F.lit("")))
 
 

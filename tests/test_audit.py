@@ -29,3 +29,8 @@ def test_forms_are_compared_and_what_has_none_is_incomparable(spark):
     m = audit.list_marks(df).first()
     assert (m.authors_at_cap, m.references, m.invalid_references) == (1, 18, 1)
     assert {r.differing for r in audit.coverage(df.limit(0)).collect()} == set()
+
+
+def test_samples_sort_and_explode_no_rows(spark):
+    plan = audit.coverage(spark.createDataFrame([row(1)], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "GlobalLimit 3" in plan
