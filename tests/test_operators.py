@@ -346,6 +346,17 @@ def identity_parts(stem):
     return int(m[2]), m[1], m[3] or ""
 
 
+@pytest.mark.parametrize("name", ["i02_author_agreement", "d14_file_name", "i03_sequence_ratio"])
+def test_small_tables_of_much_work_are_spread(spark, sf, name):
+    assert registry.QUERIES[name](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_words_of_a_name_are_made_once(spark):
+    """The surname's words don't stand in the lambdas that name them."""
+    df = spark.createDataFrame([("van-der-bilt", ["W. van der Bilt"])], "a string, n array<string>").select(identity.author_agreement("a", F.col("n")).alias("x"))
+    assert df.first().x is True and df._jdf.queryExecution().optimizedPlan().toString().count("translate") <= 3
+
+
 def test_sequence_ratios_are_difflibs(spark, sf):
     import difflib
     import re
