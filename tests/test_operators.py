@@ -357,6 +357,17 @@ def test_words_of_a_name_are_made_once(spark):
     assert df.first().x is True and df._jdf.queryExecution().optimizedPlan().toString().count("translate") <= 3
 
 
+def test_covered_pairs_leave_out_what_cannot_be_covered(spark):
+    """A shared rare word is not enough to meet: the rest must be there too."""
+    from folioscope.operators import similar
+
+    words = lambda i: ["rare"] + [f"w{i}x{k}" for k in range(9)]
+    left = spark.createDataFrame([(1, 0, words(1)), (2, 0, words(2))], "id long, block int, words array<string>")
+    right = spark.createDataFrame([(i, 0, words(i)) for i in range(1, 30)], "rid long, block int, words array<string>")
+    assert sorted(map(tuple, similar.covered_pairs(left, right, 0.8).collect())) == [(1, 1), (2, 2)]
+    assert sorted(map(tuple, similar.jaccard_pairs(left, right, 0.8).collect())) == [(1, 1), (2, 2)]
+
+
 def test_sequence_ratios_are_difflibs(spark, sf):
     import difflib
     import re
