@@ -27,7 +27,7 @@ def search_notes(spark: SparkSession, sf_dir: str, query: str, limit: int = 10,
     n = notes(spark, sf_dir)
     n = n if category is None else n.where(F.col("category") == category)
     asked = spark.createDataFrame([(0, query)], "query_id int, text string").select("query_id", T.query_terms("text").alias("terms"))
-    best = search.best_sections(search.bm25(search.indexed(n), asked), limit)
+    best = search.best_sections(search.bm25(search.tokenised(n), asked), limit)
     return best.join(n, "doc_id").select("rank", "doc_id", "title", "score", T.snippet("text", T.query_terms(F.lit(query))).alias("snippet"))
 
 
