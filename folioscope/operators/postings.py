@@ -1,6 +1,7 @@
 """A stored inverted index, by term and block, and exact top-k search that reads only the blocks that can matter.
 
-Postings of a term lie in the order of their sections in blocks of BLOCK, each with the best that a section of it can add to a score.  The files are partitioned by a hash of the term and
+Sections are dealt out by their documents into slices, once, and indexed where they are.  A slice's postings of a term lie in the order of their sections in blocks of BLOCK, each with the best
+that a section of it can add to a score.  The files are partitioned by a hash of the term and
 sorted by term, so a question reads the row groups of its terms.  From the blocks' bests alone follows a score that the k-th best document reaches at least; a block whose best, with the
 bests of the question's other terms, stays below it is not opened.  A section in such a block cannot be among the k best, so what is left of its score cannot mislead.
 
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 
 from folioscope.lineage import cut
 from folioscope.operators import search
-from folioscope.operators.packing import positions
-from folioscope.sizes import small
+from folioscope.sizes import dealt, small
 
 BLOCK, BUCKETS = 128, 64
+#: Sections of a slice, which one task indexes and searches.
+SLICE = 20_000
 #: Different terms of all questions that may stand in a plan as a list; more of them are joined.
 LISTED = 5_000
 
@@ -99,18 +101,21 @@ def build(sections: DataFrame, path: str, stemmed: bool = False) -> Index:
     """Writes the index of ``sections`` (``search.indexed``: doc_id, ord, len, t0, t1, t2) under ``path``."""
     row = sections.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     total, average = row.n, row.avg or 1.0
-    tf = search.postings(sections).groupBy("term", "doc_id", "ord", "len").agg(F.sum("w").alias("tf"))
+    slices = max(1, -(-total // SLICE))
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int")
+    own = dealt(sections.select(of.alias("slice"), "doc_id", "ord", "len", "t0", "t1", "t2"), "slice")
+    tf = search.postings(own, "slice").groupBy("slice", "term", "doc_id", "ord", "len").agg(F.sum("w").alias("tf"))
     if stemmed:
-        tf = cut(tf)
-        known = small(cut(stems(tf.select("term").distinct())))
-        tf = tf.join(known, "term").groupBy(F.col("stem").alias("term"), "doc_id", "ord", "len").agg(F.sum("tf").alias("tf"))
-    placed = positions(tf, "term", "doc_id", "ord").withColumn("block", F.floor(F.col("at") / BLOCK))
-    own = gain(F.col("tf"), F.col("len"), average)
-    blocks = placed.withColumn("gain", own).groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("gain").alias("best"), F.max_by("doc_id", F.struct("gain", "doc_id")).alias("best_doc"), F.array_sort(F.collect_list(F.struct("doc_id", "ord", "gain"))).alias("held")
-    )
+        words = sections.select(F.explode(F.array_distinct(F.concat("t0", "t1", "t2"))).alias("term")).distinct()
+        tf = tf.join(small(cut(stems(cut(words)))), "term").groupBy("slice", F.col("stem").alias("term"), "doc_id", "ord", "len").agg(F.sum("tf").alias("tf"))
+    posting = F.struct("doc_id", "ord", gain(F.col("tf"), F.col("len"), average).alias("gain"))
+    lists = tf.groupBy("slice", "term").agg(F.array_sort(F.collect_list(posting)).alias("all"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int")), lambda i: F.slice("all", i * BLOCK + 1, F.lit(BLOCK)))
+    blocks = lists.select("slice", "term", F.posexplode(parts).alias("at", "held"))
+    best = F.array_max(F.transform("held", lambda h: F.struct(h["gain"].alias("gain"), h["doc_id"].alias("doc_id"))))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    blocks.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(path)
+    blocks = blocks.select("term", (F.col("slice").cast("long") * (1 << 32) + F.col("at")).alias("block"), "slice", F.size("held").cast("long").alias("n"), best["gain"].alias("best"), best["doc_id"].alias("best_doc"), "held", bucket.alias("bucket"))
+    blocks.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(path)
     return Index(path, total, average, stemmed)
 
 
@@ -127,7 +132,7 @@ def asked(spark: SparkSession, index: Index, queries: DataFrame) -> DataFrame:
 
 
 def top(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(query_id, doc_id, ord, score) of all sections that may be the best of the k best documents, and (query_id, blocks, opened): how many blocks there were and how many were read for it.
+    """(query_id, doc_id, ord, score) of the best sections of each slice's k best documents, among which are the k best of all, and (query_id, blocks, opened): how many blocks there were and how many were read for it.
 
     ``queries``: query_id, terms (array, different ones).  ``search.best_sections`` ranks the first frame.
     """
@@ -150,7 +155,12 @@ def top(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]
     judged = met.join(small(cut(kth)), F.col("query_id") == F.col("q"), "left")
     opens = F.col("bound") + F.col("others") >= F.coalesce(F.col("reached"), F.lit(0.0)) - 1e-6
     judged = cut(judged.select("query_id", "term", "block", "idf", opens.alias("opens")))
-    wanted = small(judged.where("opens").drop("opens"))
-    hits = blocks.select("term", "block", "held").join(wanted, ["term", "block"]).select("query_id", "idf", F.explode("held").alias("h"))
-    scored = hits.groupBy("query_id", "h.doc_id", "h.ord").agg(F.sum(F.col("idf") * F.col("h.gain")).alias("score"))
-    return scored, judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("opens").alias("opened"))
+    # Of a block once what its questions ask of it; a slice's blocks are scored in one task, and only its best documents leave it.
+    wanted = judged.where("opens").groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "idf")).alias("by"))
+    hits = dealt(blocks.select("slice", "term", "block", "held").join(small(cut(wanted)), ["term", "block"]), "slice")
+    hits = hits.select("slice", F.explode("by").alias("q"), "held").select("slice", "q.query_id", "q.idf", F.explode("held").alias("h"))
+    scored = hits.groupBy("slice", "query_id", "h.doc_id", "h.ord").agg(F.sum(F.col("idf") * F.col("h.gain")).alias("score"))
+    exact = scored.withColumn("s", F.round("score", 9))
+    one = exact.withColumn("nth", F.row_number().over(Window.partitionBy("slice", "query_id", "doc_id").orderBy(F.desc("s"), "ord"))).where("nth = 1")
+    best = one.withColumn("nth", F.row_number().over(Window.partitionBy("slice", "query_id").orderBy(F.desc("s"), "doc_id"))).where(F.col("nth") <= k)
+    return best.select("query_id", "doc_id", "ord", "score"), judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("opens").alias("opened"))
