@@ -12,6 +12,7 @@ from folioscope.operators import assets as A
 from folioscope.operators import mentions as M
 from folioscope.operators import terms as G
 from folioscope.plans.registry import query
+from folioscope.sizes import spread
 from folioscope.sources.tables import load
 
 #: A line with its words w1, w2, w3 as a line of a glossary; n is its place in the document.
@@ -170,7 +171,7 @@ select p_partkey, case when num <> '' then case when noun ilike 'extended%table'
  case when num <> '' then case when noun ilike 'extended%table' then 'Extended Data Table ' when noun ilike 'extended%' then 'Extended Data Fig. ' when noun ilike 'supp%table' then 'Supplementary Table ' when noun ilike 'supp%' then 'Supplementary Fig. ' when noun ilike 'table' then 'Table ' else 'Figure ' end || num end as label, case when run >= 2 then left('abcdefghijkl', run) else '' end as panels from w""")
 def h15_captions(spark, sf):
     """The key, label and panels that captions give."""
-    p = load(spark, sf, "part").withColumns({"kinds": F.array(*[F.lit(x) for x in KINDS]), "tails": F.array(*[F.lit(x) for x in TAILS])})
+    p = spread(load(spark, sf, "part").select("p_partkey", "p_name")).withColumns({"kinds": F.array(*[F.lit(x) for x in KINDS]), "tails": F.array(*[F.lit(x) for x in TAILS])})
     c = p.select("p_partkey", F.expr(CAP).alias("cap"))
     return c.select("p_partkey", A.asset_name(F.col("cap")).alias("n"), F.array_join(A.panels(F.col("cap")), "").alias("panels")).select("p_partkey", "n.key", "n.label", "panels")
 
