@@ -22,10 +22,12 @@ ACRONYM_PLURAL, SINGULAR, LONGER_THAN = "^[A-Z][A-Za-z0-9-]*[A-Z0-9]s$", "(ss|us
 
 def glossary(notes: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``notes`` without the text, with term and definition for each line of the Glossary section."""
-    section = F.regexp_extract(F.col(text), HEADING + r"([\s\S]*?)(?:\n## |$)", 1)
-    part = lambda k: F.regexp_extract_all(section, F.lit(LINE), F.lit(k))
-    x = notes.select(*[c for c in notes.columns if c != text], F.explode(F.arrays_zip(part(1).alias("t"), part(2).alias("d"))).alias("x"))
-    return x.select(*[c for c in notes.columns if c != text], F.trim("x.t").alias("term"), F.trim("x.d").alias("definition"))
+    more = [c for c in notes.columns if c != text]
+    # What stands between the heading and the next one, found by its ends: a pattern would be tried at each of its characters.
+    section = F.substring_index(F.try_element_at(F.split(F.col(text), HEADING, 2), F.lit(2)), "\n## ", 1)
+    part = lambda k: F.regexp_extract_all("__section", F.lit(LINE), F.lit(k))
+    x = notes.select(*more, section.alias("__section")).select(*more, F.explode(F.arrays_zip(part(1).alias("t"), part(2).alias("d"))).alias("x"))
+    return x.select(*more, F.trim("x.t").alias("term"), F.trim("x.d").alias("definition"))
 
 
 def aliases(term: Column) -> Column:

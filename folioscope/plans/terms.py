@@ -12,16 +12,16 @@ from folioscope.operators import assets as A
 from folioscope.operators import mentions as M
 from folioscope.operators import terms as G
 from folioscope.plans.registry import query
-from folioscope.sizes import spread
+from folioscope.sizes import parted, spread
 from folioscope.sources.tables import load
 
-#: A line with its words w1, w2, w3 as a line of a glossary; n is its place in the document.
-ENTRY = """case n % 4 when 0 then '- **' || w1 || ' (' || w2 || ')**: about ' || line when 1 then ' * **' || w2 || ' / ' || w3 || '** ： other ' || line
- when 2 then '-  **' || upper(left(w3, 3)) || 's vs ' || w1 || '**:third ' || line else '- **' || w1 || '–' || w2 || ' / β' || w3 || ' (αγ' || w3 || ')**: ' || line end"""
+#: A line with its words w1, w2, w3 as a line of a glossary; n is its place in the document.  {0} is where the names are found.
+ENTRY = """case {0}n % 4 when 0 then '- **' || {0}w1 || ' (' || {0}w2 || ')**: about ' || {0}line when 1 then ' * **' || {0}w2 || ' / ' || {0}w3 || '** ： other ' || {0}line
+ when 2 then '-  **' || upper(left({0}w3, 3)) || 's vs ' || {0}w1 || '**:third ' || {0}line else '- **' || {0}w1 || '–' || {0}w2 || ' / β' || {0}w3 || ' (αγ' || {0}w3 || ')**: ' || {0}line end"""
 NOTE = "'# Note' || chr(10) || '## ' || case when doc_id % 2 = 0 then '7. Glossary' else 'Glossary' end || chr(10) || lines || chr(10) || '## End' || chr(10) || '- **no**: no'"
 SQL_GLOSS = rf"""w0 as (select doc_id, lang, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
 w as (select doc_id, lang, n, line, regexp_extract_all(line, '[A-Za-z]+') as w from w0), e as (select doc_id, lang, n, line, w[1] as w1, w[2] as w2, w[3] as w3 from w where len(w) >= 3),
-t as (select doc_id, lang, {NOTE.replace('lines', f'string_agg({ENTRY}, chr(10) order by n)')} as text from e group by doc_id, lang), s as (select doc_id, lang, regexp_extract(text, '(?:^|\n)## (?:7\. )?Glossary[ \t]*\n((?s).*?)(?:\n## |$)', 1) as sec from t),
+t as (select doc_id, lang, {NOTE.replace('lines', f'string_agg({ENTRY.format('')}, chr(10) order by n)')} as text from e group by doc_id, lang), s as (select doc_id, lang, regexp_extract(text, '(?:^|\n)## (?:7\. )?Glossary[ \t]*\n((?s).*?)(?:\n## |$)', 1) as sec from t),
 g as (select doc_id, lang, trim(unnest(regexp_extract_all(sec, '(?m)^[ \t]*[-*][ \t]+\*\*(.+?)\*\*[ \t]*[:：][ \t]*(.*)$', 1))) as term, trim(unnest(regexp_extract_all(sec, '(?m)^[ \t]*[-*][ \t]+\*\*(.+?)\*\*[ \t]*[:：][ \t]*(.*)$', 2))) as definition from s)"""
 GREEK_SQL = "lower(form)"
 for _letter, _plain in G.GREEK.items():
@@ -33,11 +33,19 @@ f3 as (select *, trim(regexp_replace(regexp_replace(regexp_replace({GREEK_SQL},
 f as (select doc_id, lang, definition, form, case when low like '%s' and (regexp_matches(last, '^[A-Z][A-Za-z0-9-]*[A-Z0-9]s$') or (length(regexp_extract(low, '[^ ]*$')) > 4 and not regexp_matches(low, '(ss|us|is)$'))) then left(low, -1) else low end as slug from f3)"""
 
 
+#: The first three words of a line.
+WORDS = "^[^A-Za-z]*([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)"
+
+
 def gloss(spark, sf):
-    lines = load(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("w", F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0)))
-    e = lines.where("size(w) >= 3").select("doc_id", "lang", "n", "line", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.col("w")[2].alias("w3")).select("doc_id", "lang", F.struct("n", F.expr(ENTRY).alias("entry")).alias("e"))
-    n = e.groupBy("doc_id", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["entry"]), "\n").alias("lines"))
-    return G.glossary(n.select("doc_id", "lang", F.expr(NOTE).alias("text")))
+    """The glossaries of notes.  A note is made where its document lies; texts are shuffled only where documents share an id, of which one note is made."""
+    alone, shared = parted(load(spark, sf, "documents").select("doc_id", "lang", "text").where("text is not null"), "doc_id", "lang")
+    d = alone.select("doc_id", "lang", F.array("text").alias("texts")).unionByName(shared.groupBy("doc_id", "lang").agg(F.collect_list("text").alias("texts")))
+    word = lambda line, k: F.regexp_extract(line, WORDS, k).alias(f"w{k}")
+    lines = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, "\n"), lambda line, n: F.struct(n.alias("n"), line.alias("line"), *[word(line, k) for k in (1, 2, 3)]))))
+    e = d.select("doc_id", "lang", F.size("texts").alias("of"), lines.alias("e")).select("doc_id", "lang", F.when(F.col("of") > 1, F.sort_array("e")).otherwise(F.col("e")).alias("e"))
+    e = e.select("doc_id", "lang", F.expr(f"array_join(transform(filter(e, x -> x.w3 <> ''), x -> {ENTRY.format('x.')}), '\n')").alias("lines"))
+    return G.glossary(e.select("doc_id", "lang", F.expr(NOTE).alias("text")))
 
 
 def forms(spark, sf):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.lineage import cut
+
 #: Rows of a few numbers each that may be broadcast; larger tables are joined in a shuffle.
 SENT_ROWS = 200_000
 
@@ -22,3 +26,10 @@ def spread(table: DataFrame) -> DataFrame:
 def dealt(table: DataFrame, *keys: str) -> DataFrame:
     """``table`` dealt out by keys to as many tasks as a shuffle has, for a join that is much work for few bytes: its tasks would be merged into one."""
     return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def parted(table: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table`` whose keys no other row has, and those of shared keys: only keys are shuffled to tell them apart, and what follows need not move the first ones."""
+    shared = small(cut(table.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return table.join(shared, same, "left_anti"), table.join(shared, same, "left_semi")
