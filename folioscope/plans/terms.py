@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.lineage import cut
 from folioscope.operators import assets as A
 from folioscope.operators import mentions as M
 from folioscope.operators import terms as G
@@ -95,9 +96,10 @@ def e11(spark, sf):
 
 @query("e12_merged_counts", f"with {SQL_FORMS}, m as (select slug, left(slug, 2) as target from (select distinct slug from f) where length(slug) = 3) select coalesce(target, slug) as slug, count(distinct doc_id) as notes, count(distinct form) as forms from f left join m using (slug) group by 1")
 def e12(spark, sf):
-    f = forms(spark, sf)
+    # Written once: the merge map is made of the same forms.
+    f = cut(forms(spark, sf).select("slug", F.col("doc_id").alias("stem"), "form"))
     m = f.select("slug").distinct().where("length(slug) = 3").withColumn("target", F.left("slug", F.lit(2)))
-    return G.folded(f.withColumnRenamed("doc_id", "stem"), m)
+    return G.folded(f, m)
 
 
 @query("g04_safe_merges", "with m as (select p_partkey as a, p_partkey + 7 as b from part where p_partkey % 11 = 0) select a, b, case when y.p_partkey is null then 'missing' when x.p_type = 'SMALL' or y.p_type = 'SMALL' then 'gene' when len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) = 0 then 'no shared name' else 'accepted' end as outcome from m join part x on x.p_partkey = a left join part y on y.p_partkey = b")

@@ -43,3 +43,8 @@ def test_sections_end_where_the_pattern_ended(spark):
     old = d.select("doc_id", F.regexp_extract("text", pattern, 1).alias("s")).select("doc_id", F.explode(F.arrays_zip(*[F.regexp_extract_all("s", F.lit(terms.LINE), F.lit(k)).alias(n) for k, n in ((1, "t"), (2, "d"))])).alias("x")).select("doc_id", F.trim("x.t"), F.trim("x.d"))
     got = sorted(map(tuple, terms.glossary(d).collect()))
     assert got == sorted(map(tuple, old.collect())) and len(got) == 4
+
+
+def test_forms_are_made_once(spark, sf):
+    plan = registry.QUERIES["e12_merged_counts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Glossary[" not in plan  # what is counted reads a table of forms
