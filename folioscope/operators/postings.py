@@ -106,8 +106,10 @@ def build(sections: DataFrame, path: str, stemmed: bool = False) -> Index:
     own = dealt(sections.select(of.alias("slice"), "doc_id", "ord", "len", "t0", "t1", "t2"), "slice")
     tf = search.postings(own, "slice").groupBy("slice", "term", "doc_id", "ord", "len").agg(F.sum("w").alias("tf"))
     if stemmed:
-        words = sections.select(F.explode(F.array_distinct(F.concat("t0", "t1", "t2"))).alias("term")).distinct()
-        tf = tf.join(small(cut(stems(cut(words)))), "term").groupBy("slice", F.col("stem").alias("term"), "doc_id", "ord", "len").agg(F.sum("tf").alias("tf"))
+        # A slice's words are stemmed once each, where their postings are.
+        held = tf.groupBy("slice", "term").agg(F.collect_list(F.struct("doc_id", "ord", "len", "tf")).alias("p"))
+        each = stems(held).select("slice", F.col("stem").alias("term"), F.explode("p").alias("p")).select("slice", "term", "p.*")
+        tf = each.groupBy("slice", "term", "doc_id", "ord", "len").agg(F.sum("tf").alias("tf"))
     posting = F.struct("doc_id", "ord", gain(F.col("tf"), F.col("len"), average).alias("gain"))
     lists = tf.groupBy("slice", "term").agg(F.array_sort(F.collect_list(posting)).alias("all"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int")), lambda i: F.slice("all", i * BLOCK + 1, F.lit(BLOCK)))
