@@ -198,12 +198,15 @@ def exclusions(r: Column) -> Column:
 def looked_up(items: DataFrame, records: DataFrame, **keys: str) -> DataFrame:
     """``items`` with a struct for each keyword: the record whose pmid is in that column, or null.
 
-    The records with their repeats removed are one row for each pmid, so a join never multiplies items.
+    The records with their repeats removed are one row for each pmid, so a join never multiplies items.  Items without a pmid
+    find nothing; they are dealt out by what else they hold, or one task would get them all.
     """
     r = records.dropDuplicates(["pmid"])
+    plain = [F.col(c) for c, t in items.dtypes if not t.startswith(("array", "map", "struct", "variant"))]
     for name, column in keys.items():
         one = r.select(F.col("pmid").alias(f"__{name}"), F.struct(*r.columns).alias(name))
-        items = items.join(one, items[column] == one[f"__{name}"], "left").drop(f"__{name}")
+        by = items.withColumn("__by", F.coalesce(F.col(column), F.concat(F.lit("none "), F.xxhash64(*plain).cast("string"))))
+        items = by.join(one, (by["__by"] == one[f"__{name}"]) & by[column].isNotNull(), "left").drop("__by", f"__{name}")
     return items
 
 
