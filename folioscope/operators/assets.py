@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import let
+from folioscope.sizes import parted
+
 #: How captions and sentences name a figure or table.
 CAPTION = r"(?i)(Extended\s+Data\s+Fig(?:ure)?\.?|Supplementary\s+Fig(?:ure)?\.?|Supplementary\s+Table|Extended\s+Data\s+Table|Fig(?:ure)?\.?|Table)\s*([0-9]+)"
 REFERENCE = r"(?i)(Extended\s+Data\s+|Supplementary\s+|Suppl\.\s*)?(Fig(?:ure)?s?\.?|Tables?)\s*(S?\d+[A-Za-z]?(?:\s*(?:[-–,]|and)\s*S?\d+[A-Za-z]?)*)"
@@ -58,21 +61,57 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z(])"), lambda s: F.btrim(s, F.lit(" \t\n\r\f"))), lambda s: F.length(s) >= LEAST_SENTENCE)
 
 
+def named(sentence: Column) -> Column:
+    """(keys, first): what a sentence refers to, as keys in order and as the first (kind, number, text) in sorted order, one more than may be related."""
+    part = lambda r, k: F.transform(r["numbers"], k)
+    keys = lambda refs: F.array_distinct(F.flatten(F.transform(refs, lambda r: part(r, lambda n: F.concat(r["kind"], n)))))
+    every = lambda refs: F.flatten(F.transform(refs, lambda r: part(r, lambda n: F.struct(r["kind"].alias("kind"), n.cast("bigint").alias("number"), n.alias("text")))))
+    return let(references(sentence), lambda refs: F.struct(keys(refs).alias("keys"), F.slice(F.sort_array(F.array_distinct(every(refs))), 1, MOST_RELATED + 1).alias("first")))
+
+
+def may_refer(sentence: Column) -> Column:
+    """Whether a sentence holds a word that every reference has; most don't, and no pattern is tried on them."""
+    return let(F.lower(sentence), lambda low: low.contains("fig") | low.contains("table"))
+
+
+def related(first: Column, key: Column) -> Column:
+    """The keys, but for the sentences' own, of what its sentences name: the first of each one hold the first of all."""
+    name = lambda x: F.concat(x["kind"], x["text"])
+    return F.transform(F.slice(F.filter(F.sort_array(F.array_distinct(F.flatten(first))), lambda x: name(x) != key), 1, MOST_RELATED), name)
+
+
+def text_mentions(text: Column) -> Column:
+    """(key, sentences, related) of each figure and table that a text mentions: its sentences' keys are sorted, and of each key's run the first are taken."""
+    found = F.transform(F.array_distinct(F.filter(sentences(F.coalesce(text, F.lit(""))), may_refer)), lambda s: F.struct(s.alias("sentence"), named(s).alias("named")))
+
+    def grouped(found: Column, pairs: Column) -> Column:
+        begins = F.filter(F.transform(pairs, lambda p, j: F.when((j == 0) | (F.get(pairs, j - 1)["key"] != p["key"]), j)), lambda j: j.isNotNull())
+
+        def group(key: Column, own: Column) -> Column:
+            of = F.transform(own, lambda p: F.get(found, p["at"]))
+            return F.struct(key.alias("key"), F.transform(of, lambda x: x["sentence"]).alias("sentences"), related(F.transform(of, lambda x: x["named"]["first"]), key).alias("related"))
+
+        return F.transform(begins, lambda j: let(F.get(pairs, j)["key"], lambda key: let(F.filter(F.slice(pairs, j + 1, F.lit(MOST_MENTIONS)), lambda p: p["key"] == key), lambda own: group(key, own))))
+
+    pairs = lambda found: F.sort_array(F.flatten(F.transform(found, lambda x, i: F.transform(x["named"]["keys"], lambda k: F.struct(k.alias("key"), i.alias("at"))))))
+    return let(found, lambda found: let(pairs(found), lambda pairs: grouped(found, pairs)))
+
+
 def mentions(papers: DataFrame) -> DataFrame:
     """doc_id, key, sentences (the first twelve different ones that mention it, in order), related (keys named in the same ones).
 
-    ``papers``: doc_id, text.  Every reference of a sentence is a mention of what it names.
+    ``papers``: doc_id, text.  Every reference of a sentence is a mention of what it names.  A paper's mentions are gathered where its text lies;
+    sentences are shuffled only where papers share an id.
     """
-    s = papers.select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("at", "sentence")).withColumn("refs", references(F.col("sentence"))).where("size(refs) > 0")
-    every = F.array_sort(F.array_distinct(F.flatten(F.transform("refs", lambda r: F.transform(r["numbers"], lambda n: F.struct(r["kind"].alias("kind"), n.cast("bigint").alias("number"), n.alias("text")))))))
-    keys = F.array_distinct(F.flatten(F.transform("refs", lambda r: F.transform(r["numbers"], lambda n: F.concat(r["kind"], n)))))
-    m = s.select("doc_id", "at", "sentence", every.alias("every"), F.explode(keys).alias("key"))
-    m = m.groupBy("doc_id", "key", "sentence").agg(F.min("at").alias("at"), F.first("every").alias("every"))
-    m = m.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("at"))).where(F.col("nth") <= MOST_MENTIONS)
+    alone, shared = parted(papers.select("doc_id", "text"), "doc_id")
+    own = alone.select("doc_id", F.explode(text_mentions(F.col("text"))).alias("m")).select("doc_id", "m.key", "m.sentences", "m.related")
+    s = shared.select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("at", "sentence")).where(may_refer(F.col("sentence")))
+    m = s.select("doc_id", "at", "sentence", named(F.col("sentence")).alias("n")).select("doc_id", "at", "sentence", "n.first", F.explode("n.keys").alias("key"))
+    m = m.groupBy("doc_id", "key", "sentence").agg(F.min("at").alias("at"), F.first("first").alias("first"))
+    m = m.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("at", "sentence"))).where(F.col("nth") <= MOST_MENTIONS)
     # At most MOST_MENTIONS sentences of a key are gathered.
-    g = m.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"), F.flatten(F.collect_list("every")).alias("every"))
-    other = F.filter(F.array_sort(F.array_distinct("every")), lambda x: F.concat(x["kind"], x["text"]) != F.col("key"))
-    return g.select("doc_id", "key", F.col("s.sentence").alias("sentences"), F.transform(F.slice(other, 1, MOST_RELATED), lambda x: F.concat(x["kind"], x["text"])).alias("related"))
+    g = m.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"), F.collect_list("first").alias("first"))
+    return own.unionByName(g.select("doc_id", "key", F.col("s.sentence").alias("sentences"), related(F.col("first"), F.col("key")).alias("related")))
 
 
 def extended_caption(items: Column, caption: Column) -> Column:

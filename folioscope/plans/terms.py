@@ -162,7 +162,8 @@ mm as (select doc_id, key, count(*) as n, md5(string_agg(sentence, chr(10) order
 @query("h15_mentions", f"with {SQL_MENTIONS} select doc_id, key, n, digest, coalesce(related, '') as related from mm left join rr using (doc_id, key)")
 def h15_mentions(spark, sf):
     """The sentences that mention each figure and table of a paper, and what else they name."""
-    p = load(spark, sf, "documents").where("text is not null").select("doc_id", F.expr(PAPER).alias("text"))
+    # A null text stays null and mentions nothing; a filter would read texts where ids are counted.
+    p = load(spark, sf, "documents").select("doc_id", F.expr(PAPER).alias("text"))
     m = A.mentions(p)
     return m.select("doc_id", "key", F.size("sentences").cast("bigint").alias("n"), F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"), F.array_join("related", " ").alias("related"))
 
