@@ -169,15 +169,21 @@ ABBREVIATIONS = ("e.g.", "i.e.", "al.", "vs.", "cf.", "Fig.")
 def without_checklist(c: Column | str, least: int = LEAST_OFFSET) -> Column:
     """A text without the reporting checklist that it ends with: cut at the first marker whose first place is far enough in."""
     t = col(c)
-    cuts = F.filter(F.array(*[F.instr(F.lower(t), m) for m in CHECKLIST]), lambda p: p > least)
-    return F.when(F.size(cuts) > 0, F.rtrim(F.substring(t, F.lit(1), F.array_min(cuts) - 1), F.lit(" \t\n\r\x0b\x0c"))).otherwise(t)
+    # Places are counted only in texts that hold the marker, as most don't.
+    place = lambda low, m: F.when(F.contains(low, F.lit(m)), F.instr(low, m))
+    first = let(F.lower(t), lambda low: F.array_min(F.filter(F.array(*[place(low, m) for m in CHECKLIST]), lambda p: p > least)))
+    return let(first, lambda p: F.when(p.isNotNull(), F.rtrim(F.substring(t, F.lit(1), p - 1), F.lit(" \t\n\r\x0b\x0c"))).otherwise(t))
 
 
 def without_blobs(c: Column | str) -> Column:
     """A text without runs of more than forty single characters; empty if what is left is scattered letters."""
-    left = F.regexp_replace(col(c), r"(\S\s){41,}", "")
-    n = F.size(F.regexp_extract_all(left, F.lit(r"\S+"), F.lit(0)))
-    return F.when((n >= 15) & (F.length(F.regexp_replace(left, r"\s+", "")) < 2 * n), "").otherwise(left)
+    def scattered(left: Column, solid: Column) -> Column:
+        n = F.size(F.regexp_extract_all(left, F.lit(r"\S+"), F.lit(0)))
+        # Between n words are n - 1 blanks or more, so words are counted only where there are blanks enough.
+        return (solid < 2 * (F.length(left) - solid + 1)) & (n >= 15) & (solid < 2 * n)
+
+    solid = lambda left: F.length(F.regexp_replace(left, r"\s+", ""))
+    return let(F.regexp_replace(col(c), r"\S\s(?:\S\s){40,}", ""), lambda left: F.when(let(solid(left), lambda n: scattered(left, n)), "").otherwise(left))
 
 
 def first_sentence(c: Column | str) -> Column:
