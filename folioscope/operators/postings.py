@@ -82,6 +82,15 @@ def stems(words: DataFrame, word: str = "term") -> DataFrame:
     return step(d, lambda w: F.when(w.endswith("ll") & _without(w, "l").rlike(_measure(2)), _without(w, "l")).otherwise(w)).drop("__plain", "__was")
 
 
+def stemmed(sections: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``queries`` (query_id, terms) by the stems of their terms, and (word, term) of the words of ``sections`` (``search.indexed``) that have one of these stems: each different word is stemmed once."""
+    q = cut(stems(queries.select("query_id", F.explode("terms").alias("term"))).select("query_id", F.col("stem").alias("term")).distinct())
+    words = cut(sections.select(F.explode(F.array_distinct(F.concat("t0", "t1", "t2"))).alias("word")).distinct())
+    # A table: a filter of stems would be worked into each step that makes them.
+    forms = cut(stems(words, "word").select("word", F.col("stem").alias("term"))).join(small(cut(q.select("term").distinct())), "term", "left_semi")
+    return q.groupBy("query_id").agg(F.collect_list("term").alias("terms")), cut(forms.select("word", "term"))
+
+
 @dataclass
 class Index:
     """Where an index lies, and its totals; ``stemmed`` says whether its terms are stems."""
